@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heron.llm.common import stored, table
 from heron.llm.exact_dedup import keep_one
+from heron.llm.minhash import keep_first
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first(docs)
+
+
+STAGES = [("exact_dedup", exact), ("near_dedup", near)]
 
 #: Stages with a trained model or a tokenizer have no SQL form.
 ORACLE_SQL = None

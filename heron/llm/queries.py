@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heron.llm.common import table
 from heron.llm.exact_dedup import exact_dedup
+from heron.llm.minhash import near_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_minhash_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": """
