@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from heron.llm.common import stored, table
+from heron.llm.decontaminate import clean
 from heron.llm.exact_dedup import keep_one
 from heron.llm.minhash import keep_first
 
@@ -17,7 +18,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated)]
 
 #: Stages with a trained model or a tokenizer have no SQL form.
 ORACLE_SQL = None

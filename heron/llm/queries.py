@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heron.llm.common import table
+from heron.llm.decontaminate import contamination
 from heron.llm.exact_dedup import exact_dedup
 from heron.llm.minhash import near_dedup
 
@@ -17,7 +19,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_minhash_near_dedup)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_decontamination, op9_minhash_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -25,4 +32,15 @@ with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
 select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, sha256(n.t) as text_sha256
 from n join g using (t)""",
+    "op8_decontamination": r"""
+with d as (select doc_id, row_number() over () as rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-`{-\x7F]+'), lambda w: w <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-`{-\x7F]+'), lambda w: w <> '') as w from benchmark),
+bw as (select distinct item_id, len(list_slice(w, s, s + 9)) as n, array_to_string(list_slice(w, s, s + 9), ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select rid, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as g from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as s from d, sizes where len(w) >= n)),
+m as (select rid, s, bw.n, item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
+h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + n)) as p from m) group by rid),
+i as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct rid, cast(item_id as varchar) as i from m) group by rid)
+select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from d left join h using (rid) left join i using (rid)""",
 }
