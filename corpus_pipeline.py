@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heron.llm.bpe import digests
 from heron.llm.common import stored, table
 from heron.llm.decontaminate import clean
 from heron.llm.exact_dedup import keep_one
 from heron.llm.minhash import keep_first
+from heron.llm.queries import tokenizer_path
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return digests(docs, tokenizer_path(), tokens=True)
+
+
+STAGES = [("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("bpe", encoded)]
 
 #: Stages with a trained model or a tokenizer have no SQL form.
 ORACLE_SQL = None
