@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from heron.llm import toxicity
 from heron.llm.bpe import digests
 from heron.llm.common import stored, table
 from heron.llm.decontaminate import clean
@@ -12,6 +14,11 @@ from heron.llm.minhash import keep_first
 from heron.llm.queries import tokenizer_path
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(~toxicity.toxic(F.col("text"), model))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
@@ -28,7 +35,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(docs, tokenizer_path(), tokens=True)
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("bpe", encoded)]
+STAGES = [("toxicity", not_toxic), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("bpe", encoded)]
 
 #: Stages with a trained model or a tokenizer have no SQL form.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heron.llm import toxicity
 from heron.llm.bpe import digests
 from heron.llm.common import table
 from heron.llm.decontaminate import contamination
@@ -20,6 +21,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file, the same on every machine."""
     import public_tokenizers
@@ -36,7 +42,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op8_decontamination, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_bpe, op8_decontamination, op9_minhash_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": """
