@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.llm import toxicity
+from heron.llm import chat, toxicity
 from heron.llm.bpe import digests
 from heron.llm.common import table
 from heron.llm.decontaminate import contamination
@@ -26,6 +26,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(chat.windows(turns))
+    return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file, the same on every machine."""
     import public_tokenizers
@@ -42,7 +50,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_bpe, op8_decontamination, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op8_decontamination, op9_minhash_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -61,4 +69,17 @@ h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s
 i as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct rid, cast(item_id as varchar) as i from m) group by rid)
 select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
 from d left join h using (rid) left join i using (rid)""",
+    "op3_chat_formatting": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p as (select *, row_number() over w as pos, sum(len(regexp_extract_all(text, '\S+')) + 4) over (w rows between unbounded preceding and current row) - (len(regexp_extract_all(text, '\S+')) + 4) as ofs,
+  first_value(case when role = 'system' then text end) over w as head from t window w as (partition by conv_id order by turn nulls first, role, text)),
+q as (select *, ofs // 384 as win from p),
+r as (select *, min(win) over l as nxt, min(ofs) over l as next_at, row_number() over (partition by conv_id, win order by pos) = 1 as begins from q window l as (partition by conv_id order by win range between 1 following and unbounded following)),
+m as (select conv_id, win, pos, role, text from r
+  union select conv_id, nxt, pos, role, text from r where nxt is not null and next_at - ofs <= 128
+  union select conv_id, win, 1, 'system', head from r where win > 0 and begins and head is not null),
+f as (select conv_id, sum(len(role || text) + len(regexp_replace(role || text, '[^~<\[\]]', '', 'g')) + 10) as formatted_chars from m group by conv_id),
+d as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by pos) as turns, coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') as loss from p group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from d join f using (conv_id)""",
 }
