@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.llm import chat, quality, toxicity
+from heron.llm import chat, pii, quality, toxicity
 from heron.llm.bpe import digests
 from heron.llm.common import table
 from heron.llm.decontaminate import contamination
@@ -45,6 +45,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    rank = F.create_map(*(F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)))
+
+    def joined(spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -55,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
