@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,22 @@ HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package's modules to the executors' Python, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heron_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="heron-ship-")) / "heron_modules.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._heron_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
