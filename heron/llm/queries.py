@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.llm import chat, pii, quality, toxicity
+from heron.llm import chat, pii, quality, repeats, toxicity
 from heron.llm.bpe import digests
 from heron.llm.common import table
 from heron.llm.decontaminate import contamination
@@ -45,6 +45,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     rank = F.create_map(*(F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)))
@@ -67,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op6_repeats, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
