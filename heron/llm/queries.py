@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.llm import chat, pii, quality, repeats, toxicity
+from heron.llm import chat, pii, quality, repeats, toxicity, warc
 from heron.llm.bpe import digests
-from heron.llm.common import table
+from heron.llm.common import stored, table
 from heron.llm.decontaminate import contamination
 from heron.llm.exact_dedup import exact_dedup
 from heron.llm.minhash import near_dedup
@@ -45,6 +45,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archive of all pages against a replica in which one byte of some records is wrong."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    wrong = (F.col("page_id") % 97 == 13) & F.col("html").endswith(">")
+    replica = pages.withColumn("html", F.when(wrong, F.concat(F.substring(F.col("html"), F.lit(1), F.length("html") - 1), F.lit("?"))).otherwise(F.col("html")))
+    ours, theirs = (warc.tree(stored(warc.leaves(p), "leaves")) for p in (pages, replica))
+    found = warc.audit(ours, theirs).withColumn("intact", F.lit(False))
+    roots = ours[-1].select("file", F.col("hash").alias("root_sha256"))
+    rows = ours[0].join(found, ["file", "node"], "left").join(roots, "file")
+    return rows.select("page_id", "file", F.col("start").alias("record_offset"), (F.col("end") - F.col("start")).alias("n_bytes"), F.col("hash").alias("record_sha256"), "root_sha256", F.coalesce("intact", F.lit(True)).alias("intact"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.length("kept")
@@ -73,7 +85,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op6_repeats, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op5_warc_fixity, op6_repeats, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -105,4 +117,15 @@ m as (select conv_id, win, pos, role, text from r
 f as (select conv_id, sum(len(role || text) + len(regexp_replace(role || text, '[^~<\[\]]', '', 'g')) + 10) as formatted_chars from m group by conv_id),
 d as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by pos) as turns, coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') as loss from p group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from d join f using (conv_id)""",
+    "op5_warc_fixity": r"""
+with r as (select page_id, coalesce(cast(floor(page_id / 1000) as bigint), -1) as file, coalesce(html, '') like '%>' as shut,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as body from pages),
+h as (select page_id, file, shut, strlen(body) as n_bytes, sha256(body) as hash from r),
+l as (select *, row_number() over w - 1 as node, cast(sum(n_bytes) over (w rows between unbounded preceding and current row) as bigint) as stop from h window w as (partition by file order by page_id nulls first, hash)),
+l1 as (select file, node // 16 as node, min(stop - n_bytes) as start, max(stop) as stop, sha256(min(stop - n_bytes) || ',' || max(stop) || ',' || string_agg(hash, ',' order by node)) as hash from l group by file, node // 16),
+l2 as (select file, node // 16 as node, min(start) as start, max(stop) as stop, sha256(min(start) || ',' || max(stop) || ',' || string_agg(hash, ',' order by node)) as hash from l1 group by file, node // 16),
+l3 as (select file, sha256(min(start) || ',' || max(stop) || ',' || string_agg(hash, ',' order by node)) as hash from l2 group by file)
+select page_id, file, stop - n_bytes as record_offset, n_bytes, l.hash as record_sha256, l3.hash as root_sha256, not (page_id % 97 = 13 and shut) as intact from l join l3 using (file)""",
 }
