@@ -1 +1 @@
-"""Subpackage of the engine."""
+"""Column functions: no joins, no aggregates."""

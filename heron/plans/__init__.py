@@ -1 +1 @@
-"""Subpackage of the engine."""
+"""Registered queries, one module a family of operators."""

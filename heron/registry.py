@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from heron.plans import urls
+
+FAMILIES = [urls]
+QUERIES: dict[str, Callable] = {k: v for m in FAMILIES for k, v in m.R.queries.items()}
+ORACLES: dict[str, str] = {k: v for m in FAMILIES for k, v in m.R.oracles.items()}
