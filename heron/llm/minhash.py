@@ -5,10 +5,12 @@ with equal sets are first folded into one representative. Each representative is
 coordinate values; two sets of similarity 0.75 agree in fewer than AGREE of COORDS coordinates with
 probability 2e-8. A pair that agrees in AGREE of them shares one of its COORDS - AGREE + 1 rarest
 values (both sides order values alike), so only these prefixes are posted and the longest lists are
-skipped. Within each list every member is first paired with one centre; pairs that agree often
-enough are confirmed on the full shingle sets and joined into components. Lists whose members still
-lie in several components are then compared in blocks, other components only, and confirmed pairs
-are joined again. So no list is expanded into all its pairs unless its members really differ.
+skipped. Each list has a centre, its most widely shared member, and lists of one centre are one
+group. Every member is first paired with the centre; pairs that agree often enough are confirmed on
+the full shingle sets and joined into components. In groups whose members still lie in several
+components, all outside the largest component are then compared with all members, in squares and on
+full sets, and one link for each two components comes out. So a group that holds together costs one
+pair for each member, and no pair that isn't a link is ever a row.
 
 Cases: null, empty and blank texts have no set, are linked with nothing and stay. Texts under WIDTH
 words are one shingle. Rows that repeat a doc_id are one document; of a repeated row one stays (of
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from heron.llm.components import components
 from heron.llm.textcodec import U, mix, shingle_sets
 
 WIDTH, COORDS, AGREE = 5, 64, 28
-#: Representatives compared at once where a list has members of several components.
-SQUARE = 1024
+#: Members of either side that are compared at once where a group has several components.
+SQUARE = 512
 #: Ids of candidate documents are broadcast up to this many (16 MB), and joined otherwise.
 FEW_IDS = 2_000_000
 
@@ -110,11 +111,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets meet 100 * |intersection| >= 75 * |union|; stored."""
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= FEW_IDS
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    # one row an id; of different texts under one id, the one whose fingerprint decides
-    sets = stored(shingles(mine).groupBy("doc_id").agg(F.min_by("s", F.struct(F.size("s"), F.xxhash64("s"))).alias("s")), "sets")
+    sets = _sets(docs, stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
     joined = _attached(_attached(pairs, sets, "b", s="s_b"), sets, "a", s="s_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,38 +126,65 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _across(prefix: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
-    """Agreeing pairs (a, b) of one list but of different components, compared in blocks."""
-    held = stored(prefix.join(label, "doc", "left").select("token", "doc", F.coalesce("comp", "doc").alias("comp")), "held")
-    split = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("token", "size")
-    # lists with the same first and last members, sizes and sums of members are compared once
-    lists = held.join(split, "token").groupBy("token", "size").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
-    once = stored(lists.groupBy("size", "d0", "d1", "h", "h2").agg(F.min("token").alias("token")).select("token", "size"), "lists")
-    squares = F.ceil(F.col("size") / SQUARE).cast("int")
-    rows = (
-        held.join(once, "token")
-        .join(reps.select(F.col("doc_id").alias("doc"), "n", "sig"), "doc")
-        .withColumn("k", squares)
-        .withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "comp", "n", "sig")
-    )
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        x, y = part[part["mine"] == i], part[part["mine"] == j]
-        out = []
-        if len(x) and len(y):
-            sx, sy = np.stack(x["sig"].to_numpy()), np.stack(y["sig"].to_numpy())
-            nx, ny, cx, cy, dx, dy = (f[c].to_numpy() for c in ("n", "comp", "doc") for f in (x, y))
-            for r in range(len(x)):
-                ok = (cy != cx[r]) & (np.minimum(ny, nx[r]) * 100 >= np.maximum(ny, nx[r]) * 75)
-                at = np.flatnonzero(ok)
-                at = at[(sy[at] == sx[r]).sum(axis=1) >= AGREE]
-                out += [(min(dx[r], d), max(dx[r], d)) for d in dy[at]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, s: the shingle set of each id in ids; stored."""
+    few = ids.count() <= FEW_IDS
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    # one row an id; of different texts under one id, the one whose fingerprint decides
+    return stored(shingles(mine).groupBy("doc_id").agg(F.min_by("s", F.struct(F.size("s"), F.xxhash64("s"))).alias("s")), "sets")
+
+
+def _compare(part: pa.Table) -> pa.Table:
+    """One link for each two components that linked sets of the two sides lie in; sets are compared exactly."""
+    side = part.column("side").to_numpy()
+    doc, comp = part.column("doc").to_numpy(), part.column("comp").to_numpy()
+    sets = part.column("s").combine_chunks()
+    at, values = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten().to_numpy()
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(doc)), size)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inx = side[row] == 0
+    vocabulary = np.intersect1d(values[inx], values[~inx])
+    both = np.zeros((len(x), len(y)), np.float32)
+    place = np.empty(len(doc), np.int64)
+    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    column = np.searchsorted(vocabulary, values)
+    known = column < len(vocabulary)
+    known[known] = vocabulary[column[known]] == values[known]
+    row, column, inx = row[known], column[known], inx[known]
+    order = np.argsort(column, kind="stable")
+    row, column, inx = row[order], column[order], inx[order]
+    for k in range(0, len(vocabulary), SQUARE * 4):
+        lo, hi = np.searchsorted(column, [k, k + SQUARE * 4])
+        width = min(SQUARE * 4, len(vocabulary) - k)
+        left, right = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+        r, c, i = row[lo:hi], column[lo:hi] - k, inx[lo:hi]
+        left[place[r[i]], c[i]] = 1
+        right[place[r[~i]], c[~i]] = 1
+        both += left @ right.T
+    linked = (100 * both >= 75 * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+    i, j = np.nonzero(linked)
+    found = {(min(p, q), max(p, q)): (min(m, n), max(m, n)) for p, q, m, n in zip(comp[x[i]], comp[y[j]], doc[x[i]], doc[y[j]], strict=True)}
+    return pa.table({"a": pa.array([p for p, _ in found.values()], pa.int64()), "b": pa.array([q for _, q in found.values()], pa.int64())})
+
+
+def _across(member: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one group (centre, doc) that lie in different components; stored.
+
+    All members outside a group's largest component are compared with all members, SQUARE by SQUARE.
+    """
+    held = stored(member.join(label, "doc", "left").select("centre", "doc", F.coalesce("comp", "doc").alias("comp")), "held")
+    parts = held.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("size"))
+    split = parts.groupBy("centre").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("cnt")).filter("most < cnt")
+    split = stored(split.select("centre", "main", "cnt", F.ceil((F.col("cnt") - F.col("most")) / SQUARE).cast("int").alias("rows"), F.ceil(F.col("cnt") / SQUARE).cast("int").alias("columns")), "split")
+    of_split = stored(skew_join(held, split, ["centre"], held.count()), "of_split")
+    sets = _sets(docs, stored(of_split.select(F.col("doc").alias("doc_id")).distinct(), "ids"))
+    full = of_split.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = full.filter("comp <> main").select("centre", block("rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("side"), "doc", "comp", "s")
+    every = full.select("centre", each("rows").alias("i"), block("columns").alias("j"), F.lit(1).alias("side"), "doc", "comp", "s")
+    return stored(out.unionByName(every).groupBy("centre", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "across")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -175,11 +199,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     central = heavy.groupBy("doc").agg(F.sum("cnt").alias("w"))
     centred = stored(heavy.select("doc", "token").join(central, "doc"), "centred")
     centres = stored(centred.groupBy("token").agg(F.min(F.struct(-F.col("w"), "doc")).alias("c"), F.count(F.lit(1)).alias("cnt")).select("token", F.col("c.doc").alias("centre"), "cnt"), "centres")
-    stars = skew_join(centred.select("token", "doc"), centres, ["token"], centred.count()).filter("doc <> centre")
-    stars = stars.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+    member = stored(skew_join(centred.select("token", "doc"), centres, ["token"], centred.count()).select("centre", "doc").distinct(), "member")
+    stars = member.filter("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
     links = _confirmed(_agreeing(stars, classes), docs)
     label = components(links)
-    more = _confirmed(_across(centred.select("token", "doc"), label, classes), docs)
+    more = _across(member, label, docs)
     links = stored(links.unionByName(more), "all")
     label = components(links)
     of_class = classes.join(label.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("f1", "f2", "n", F.coalesce("comp", "doc_id").alias("component_id"), "cnt")
