@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 Items and documents become words: A-Z folded, runs of characters other than ASCII non-alphanumerics.
-The index holds postings (term, document, position) of the corpus for the terms asked for. For each
-test window the ANCHORS rarest terms by corpus frequency are looked up; their lists, shifted by the
-term's offset in the window, are intersected on (document, window, start). What remains is checked
-on all terms of the window, again by shifted lists, now of the candidate documents only.
+The index holds postings (term, document, position) of the corpus for the terms asked for. Each test
+window names its rarest terms by corpus frequency, as many as it takes for fewer than CHANCE places
+to be expected at random. The rarest term's list, shifted by the term's offset, gives places that
+are intersected with the shifted lists of the others. What remains is checked on all terms of the
+window, again by shifted lists, now of the candidate documents only.
 `phrase_matches` returns exact occurrences, `proximity_matches` pairs of a window's two rarest
 terms within a distance.
 
@@ -17,13 +18,16 @@ not listed among items. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.llm.common import lower_ascii, stored
 
 WINDOW = 10
-ANCHORS = 3
+#: Places expected at random in the whole corpus below which a window needs no further list.
+CHANCE = 1e-3
 #: Distinct test terms or windows are broadcast up to this many rows (about 100 MB), else joined by shuffle.
 FEW = 1_000_000
 SEPARATORS = r"[\x00-/:-`{-\x7F]+"
@@ -55,39 +59,56 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return flat.join(small(terms), "term")
 
 
-def term_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """window, n, term, off, rank (1: rarest in the corpus); stored."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_words of every row; stored."""
+    return stored(docs.select(*document_key(), F.size(words(F.col("text"))).cast("long").alias("n_words")), "counts")
+
+
+def term_windows(docs: DataFrame, windows: DataFrame, n_words: int) -> DataFrame:
+    """window, n, term, off, rank (0: rarest in the corpus), needed (an anchor); stored."""
     spelt = windows.select("window", F.size("w").alias("n"), F.posexplode("w").alias("off", "term")).distinct()
     terms = stored(spelt.select("term").distinct(), "terms")
     freq = stored(postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
-    ranked = spelt.join(small(freq), "term", "left").groupBy("window", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "term", "off"))).alias("t"))
+    known = spelt.join(small(freq), "term")
+    order = Window.partitionBy("window").orderBy("df", "term", "off")
     # a window with a term that the corpus lacks can't occur
-    return stored(ranked.filter(F.col("t")[0]["df"] > 0).select("window", "n", F.posexplode("t").alias("rank", "t")).select("window", "n", "rank", "t.term", "t.off"), "windows")
+    whole = F.count(F.lit(1)).over(Window.partitionBy("window")) == F.col("n")
+    before = F.coalesce(F.sum(F.log(F.col("df") / F.lit(max(n_words, 1)))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = known.select("window", "n", "term", "off", (F.row_number().over(order) - 1).alias("rank"), whole.alias("whole"), before.alias("before"))
+    needed = (F.col("rank") == 0) | (F.log(F.lit(max(n_words, 1))) + F.col("before") > math.log(CHANCE))
+    return stored(ranked.filter("whole").select("window", "n", "term", "off", "rank", needed.alias("needed")), "windows")
+
+
+def _met(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """wanted (doc_id, text_key, window, n, start, term, off) rows whose term stands at start + off."""
+    at = wanted.withColumn("pos", F.col("start") + F.col("off"))
+    held = index.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("pos").alias("p"), F.col("term").alias("t")).distinct()
+    return at.join(held, F.expr("doc_id <=> d and text_key = k and pos = p and term = t"))
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+def phrase_matches(docs: DataFrame, windows: DataFrame, n_words: int) -> DataFrame:
     """doc_id, text_key, window, n, start: every exact occurrence; windows has window, w."""
-    spelt = term_windows(docs, windows)
-    first = spelt.filter(F.col("rank") < anchors)
-    index = postings(docs, stored(first.select("term").distinct(), "anchors"))
-    spots = index.join(small(first), "term").select("doc_id", "text_key", "window", "n", (F.col("pos") - F.col("off")).alias("start"), "off").filter("start >= 0")
-    # no count of distinct offsets is needed but for rows that repeat a document
-    meet = spots.groupBy("doc_id", "text_key", "window", "n", "start").agg(F.size(F.collect_set("off")).alias("met"))
-    candidates = stored(meet.filter(F.col("met") == F.least(F.lit(anchors), F.col("n"))).drop("met"), "candidates")
-    some = stored(candidates.select("doc_id", "text_key").distinct(), "some")
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
-    keyed = docs.select("doc_id", "text", document_key()[1])
-    pick = small(some)
-    held = keyed.join(pick, same(keyed, pick), "left_semi").select("doc_id", "text")
-    rest = stored(postings(held, stored(spelt.select("term").distinct(), "terms")).select("doc_id", "text_key", "pos", "term").distinct(), "postings")
-    wanted = candidates.join(small(spelt.select("window", "term", "off")), "window").withColumn("pos", F.col("start") + F.col("off"))
-    met = wanted.join(rest.withColumnsRenamed({"doc_id": "d", "text_key": "k", "pos": "p", "term": "t"}), F.expr("doc_id <=> d and text_key = k and pos = p and term = t"))
-    return met.groupBy("doc_id", "text_key", "window", "n", "start").agg(F.count(F.lit(1)).alias("met")).filter("met = n").drop("met")
+    spelt = term_windows(docs, windows, n_words)
+    anchors = spelt.filter("needed")
+    place = ["doc_id", "text_key", "window", "n", "start"]
+    index = stored(postings(docs, stored(anchors.select("term").distinct(), "anchors")).select("term", *place[:2], "pos"), "index")
+    first = index.join(small(anchors.filter("rank = 0")), "term").select(*place[:4], (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0").distinct()
+    others = stored(anchors.filter("rank > 0").select("window", "term", "off"), "others")
+    several = stored(others.groupBy("window").agg(F.count(F.lit(1)).alias("lists")), "several")
+    begun = first.join(small(several), "window", "left")
+    met = _met(begun.filter("lists is not null").join(small(others), "window"), index).groupBy(*place, "lists").agg(F.count(F.lit(1)).alias("met"))
+    candidates = stored(met.filter("met = lists").select(*place).unionByName(begun.filter("lists is null").select(*place)), "candidates")
+    some = stored(candidates.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), "some")
+    held = docs.select("doc_id", "text", document_key()[1]).join(small(some), F.expr("doc_id <=> d and text_key = k"), "left_semi").select("doc_id", "text")
+    rest = stored(postings(held, stored(spelt.select("term").distinct(), "terms")), "postings")
+    whole = _met(candidates.join(small(spelt.select("window", "term", "off")), "window"), rest)
+    return whole.groupBy(*place).agg(F.count(F.lit(1)).alias("met")).filter("met = n").drop("met")
 
 
 def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
     """doc_id, text_key, window, at, apart: places where a window's two rarest terms stand within slop words."""
-    two = term_windows(docs, windows).filter("rank < 2")
+    n_words = word_counts(docs).agg(F.sum("n_words")).first()[0] or 0
+    two = term_windows(docs, windows, n_words).filter("rank < 2")
     pair = two.groupBy("window").agg(F.min_by("term", "rank").alias("x"), F.max_by("term", "rank").alias("y")).filter("x <> y")
     index = stored(postings(docs, stored(two.select("term").distinct(), "anchors")).withColumn("cell", F.floor(F.col("pos") / (slop + 1))), "near")
     left = index.join(small(pair.withColumnRenamed("x", "term")), "term").withColumnRenamed("pos", "at").select("doc_id", "text_key", "window", "at", "y", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
@@ -99,13 +120,14 @@ def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int) -> DataFra
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated of every document."""
     windows = stored(test_windows(items, width), "windows")
-    found = stored(phrase_matches(docs, windows.select("window", "w").distinct()), "matches")
+    every = word_counts(docs)
+    total = every.agg(F.sum("n_words")).first()[0] or 0
+    found = stored(phrase_matches(docs, windows.select("window", "w").distinct(), total), "matches")
     hit = found.select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos")).groupBy("doc_id", "text_key").agg(F.count_distinct("pos").alias("n_hit"))
     named = found.select("doc_id", "text_key", "window").distinct().join(small(windows.select("window", "item_id")), "window")
     listed = named.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     dirty = hit.join(listed.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.expr("doc_id <=> d and text_key = k"), "left").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n_hit", "items")
     dirty = stored(dirty, "dirty")
-    every = docs.select(*document_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = every.join(small(dirty), F.expr("doc_id <=> d and text_key = k"), "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n > 0).alias("contaminated"))
