@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Entries of each of the two tables of recent encodings in a worker.
-HELD = 150_000
+HELD = 500_000
 ROWS = 256
 
 
@@ -122,7 +122,7 @@ class Codec:
                     left = self.parts[left][1]
                     if left == limit:
                         break
-        if len(self.compatible) > 4 * HELD:
+        if len(self.compatible) > HELD:
             self.compatible.clear()
         self.compatible[key] = fit
         return fit
@@ -163,8 +163,12 @@ class Codec:
         return out
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
-        raw = word.encode()
-        ranks = self.encode_symbols(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
+        if word.isascii():
+            symbols = word[:-1] + chr(256 + ord(word[-1]))
+        else:
+            raw = word.encode()
+            symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
+        ranks = self.encode_symbols(symbols)
         made = b"".join([self.packed[r] for r in ranks]), " ".join([self.names[r] for r in ranks])
         if len(word) < 64:
             if len(self.words) >= HELD:
@@ -191,20 +195,14 @@ class Codec:
     def encode_bytes(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text."""
         parts = self.special.split(text) if self.special and any(s in text for s in self.specials) else [text]
-        ids, spelt = [], []
+        get, known = self.pieces.get, self.known
+        made: list[tuple[bytes, str]] = []
         for part in parts:
             if part in self.specials:
-                ids.append(self.specials[part].to_bytes(4, "little"))
-                spelt.append(part)
-                continue
-            get = self.pieces.get
-            for piece in part.replace("\n", " ").split(" "):
-                if piece:
-                    a, b = get(piece) or self.known(piece)
-                    if a:
-                        ids.append(a)
-                        spelt.append(b)
-        return b"".join(ids), " ".join(spelt)
+                made.append((self.specials[part].to_bytes(4, "little"), part))
+            else:
+                made += [m for piece in part.replace("\n", " ").split(" ") if piece and (m := get(piece) or known(piece))[0]]
+        return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
