@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from heron.plans import text, urls
+from heron.plans import access, corpus, detect, links, text, urls
 
-FAMILIES = [urls, text]
+FAMILIES = [urls, text, detect, corpus, links, access]
 QUERIES: dict[str, Callable] = {k: v for m in FAMILIES for k, v in m.R.queries.items()}
 ORACLES: dict[str, str] = {k: v for m in FAMILIES for k, v in m.R.oracles.items()}
