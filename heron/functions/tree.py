@@ -1,0 +1,188 @@
+"""One pass over a page's tags: regions, blocks, sections, navigation, forms, images, code, density.
+
+The parser is the standard library's; what it makes of broken markup is defined here: void tags
+hold nothing, an end tag closes up to its nearest open start tag, and one that matches none is
+ignored. All rows of a page come out of one parse, so no operator parses it again.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe"}
+REGIONS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "sidebar", "main": "main"}
+HERO = re.compile(r"hero|banner|jumbotron", re.I)
+BUTTON = re.compile(r"\b(btn|button|cta)\b", re.I)
+BLANK = re.compile(r"\s+")
+PURPOSES = {"tracking": "track|trace", "quote": "quote|rate", "search": "search|find", "contact": "contact|message"}
+LANGUAGE_CLASS = re.compile(r"(?:^|\s)(?:language|lang|highlight-source|brush:)[-: ]?\s*([a-z0-9+#]+)", re.I)
+
+
+class Page(HTMLParser):
+    """Collects rows (kind, name, text, url, level, region, parent) in document order."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple] = []
+        self.stack: list[tuple[str, dict]] = []
+        self.capture: list[tuple[int, str, dict, list[str]]] = []
+        self.heading: list[tuple[int, int]] = []
+        self.inputs: list[dict] | None = None
+        self.form: dict = {}
+        self.words: list[tuple[str, int, int]] = []
+        self.blocks: list[list] = []
+
+    def region(self) -> str:
+        for tag, attrs in reversed(self.stack):
+            if HERO.search(attrs.get("class") or ""):
+                return "hero"
+            if tag in REGIONS:
+                return REGIONS[tag]
+        return "main"
+
+    def hidden(self) -> bool:
+        return any(t in HIDDEN for t, _ in self.stack)
+
+    def put(self, kind: str, name: str, text: str, url: str | None = None, level: int | None = None) -> None:
+        parent = self.heading[-1][1] if self.heading else None
+        if kind == "heading":
+            while self.heading and self.heading[-1][0] >= (level or 0):
+                self.heading.pop()
+            parent = self.heading[-1][1] if self.heading else None
+            self.heading.append((level or 0, len(self.rows)))
+        self.rows.append((len(self.rows), kind, name, text, url, level, self.region(), parent))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        held = {k: v or "" for k, v in attrs}
+        if tag == "img":
+            self.put("image", "img", held.get("alt", ""), next((held[a] for a in ("data-src", "data-lazy", "data-original", "src") if held.get(a)), None))
+        elif tag == "meta" and held.get("property", held.get("name", "")).lower() in ("og:image", "twitter:image"):
+            self.put("image", "meta", "", held.get("content"))
+        elif tag == "input" and self.inputs is not None:
+            self.inputs.append(held)
+        if m := re.search(r"background(?:-image)?\s*:[^;]*url\([\"']?([^\"')]+)", held.get("style", "")):
+            self.put("image", "background", "", m[1])
+        if tag in VOID:
+            return
+        self.stack.append((tag, held))
+        if tag == "form":
+            self.inputs, self.form = [], held
+        if tag in ("article", "main", "section", "div", "body"):
+            self.blocks.append([tag, len(self.stack), 0, 0, 0, []])
+        for b in self.blocks:
+            b[3] += 1
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "title", "pre", "code", "script"):
+            self.capture.append((len(self.stack), tag, held, []))
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(t == tag for t, _ in self.stack):
+            return
+        while self.stack:
+            top, held = self.stack[-1]
+            self.leave(top, held)
+            self.stack.pop()
+            if top == tag:
+                break
+
+    def leave(self, tag: str, held: dict) -> None:
+        depth = len(self.stack)
+        if self.blocks and self.blocks[-1][1] == depth:
+            name, _, chars, tags, linked, parts = self.blocks.pop()
+            text = BLANK.sub(" ", " ".join(parts)).strip()
+            if len(text) >= 50:
+                score = len(text) / (tags + 1) * (1 - linked / (len(text) + 1))
+                self.words.append((text, int(score * 1000), 1 if name == "main" else 0))
+        if tag == "form" and self.inputs is not None:
+            kinds = [i.get("type", "text").lower() for i in self.inputs]
+            action = self.form.get("action", "").lower()
+            purpose = "login" if "password" in kinds else next((p for p, r in PURPOSES.items() if re.search(r, action)), "other")
+            fields = ",".join(i.get("name", "") for i in self.inputs if i.get("type", "text").lower() not in ("hidden", "submit", "button"))
+            self.put("form", purpose, fields, self.form.get("action"))
+            self.inputs = None
+        if self.capture and self.capture[-1][0] == depth:
+            _, _, attrs, parts = self.capture.pop()
+            raw = "".join(parts)
+            text = BLANK.sub(" ", raw).strip()
+            if tag[0] == "h" and tag[1:].isdigit() and text:
+                self.put("heading", tag, text, level=int(tag[1:]))
+            elif tag == "p" and len(text) > 20:
+                self.put("text", "p", text)
+            elif tag == "li" and len(text) > 10 and self.region() not in ("nav", "header", "footer"):
+                self.put("list", "li", text)
+            elif tag == "a" and attrs.get("href"):
+                nav = self.region() in ("nav", "header")
+                self.put("nav" if nav else "cta" if BUTTON.search(attrs.get("class", "")) else "link", "a", text[:100], attrs["href"])
+            elif tag == "title" and text:
+                self.put("title", "title", text)
+            elif tag == "pre" or (tag == "code" and not any(t == "pre" for t, _ in self.stack[:-1])):
+                m = LANGUAGE_CLASS.search(attrs.get("class", ""))
+                self.put("code", m[1].lower() if m else "", raw.strip("\n"))
+            elif tag == "script" and "json" in attrs.get("type", ""):
+                self.put("data", attrs["type"], raw.strip())
+            if tag not in HIDDEN:
+                for c in self.capture:
+                    c[3].append(raw)
+
+    def handle_data(self, data: str) -> None:
+        if self.capture:
+            self.capture[-1][3].append(data)
+        if not self.hidden():
+            linked = any(t == "a" for t, _ in self.stack)
+            for b in self.blocks:
+                b[2] += len(data)
+                b[4] += len(data) * linked
+                b[5].append(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.stack:
+            self.leave(*self.stack[-1])
+            self.stack.pop()
+
+    def main_text(self, least_words: int = 100) -> str:
+        """A main element of enough words, else the densest block; the whole body where that holds under a quarter of it."""
+        mains = [t for t, _, main in self.words if main and len(t.split()) >= least_words]
+        if mains:
+            return mains[0]
+        if not self.words:
+            return ""
+        best, whole = max(self.words, key=lambda w: w[1])[0], max((t for t, _, _ in self.words), key=len)
+        return whole if len(best.split()) < 0.25 * len(whole.split()) else best
+
+
+ROWS = "page_id long, pos int, kind string, name string, text string, url string, level int, region string, parent int"
+
+
+def parse(html: str | None) -> Page:
+    page = Page()
+    page.feed(html or "")
+    page.close()
+    return page
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """One row a block of every page (page_id, html), in document order, with region and parent heading."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [(i, *r) for i, h in zip(part["page_id"], part["html"], strict=True) for r in parse(h).rows]
+            frame = pd.DataFrame(out, columns=["page_id", "pos", "kind", "name", "text", "url", "level", "region", "parent"])
+            yield frame.astype({"level": "Int32", "parent": "Int32"})
+
+    return pages.select("page_id", "html").mapInPandas(run, ROWS)
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """page_id, text: the main text of every page by text density."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"page_id": part["page_id"], "text": [parse(h).main_text() for h in part["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")

@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from heron.plans import access, corpus, detect, links, text, urls
+from heron.plans import access, corpus, detect, files, links, markup, text, urls
+from heron.session import ship
 
-FAMILIES = [urls, text, detect, corpus, links, access]
-QUERIES: dict[str, Callable] = {k: v for m in FAMILIES for k, v in m.R.queries.items()}
+
+def shipped(query: Callable) -> Callable:
+    """The query, with the package's modules given to the executors first."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+FAMILIES = [urls, text, detect, corpus, links, access, markup, files]
+QUERIES: dict[str, Callable] = {k: shipped(v) for m in FAMILIES for k, v in m.R.queries.items()}
 ORACLES: dict[str, str] = {k: v for m in FAMILIES for k, v in m.R.oracles.items()}

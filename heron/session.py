@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,17 @@ def build(cpus: str | None = None, shuffle_partitions: int | None = None) -> Spa
         .config("spark.driver.memory", os.environ.get("HERON_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's modules to the executors' Python, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heron_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="heron-ship-")) / "heron_modules.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._heron_shipped = True
