@@ -135,5 +135,5 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item, with all their columns."""
-    dirty = stored(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "dirty")
-    return docs.join(small(dirty), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    dirty = stored(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_heron_id")).distinct(), "dirty")
+    return docs.join(small(dirty), F.col("doc_id").eqNullSafe(F.col("_heron_id")), "left_anti")

@@ -103,12 +103,12 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, fingerprint=F.xxhash64) ->
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    ids = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    ids = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_heron_id"), F.col("text_sha256").alias("_heron_sha"))
     sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    left = docs.withColumn("_mine", sha).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_sha")), "left_semi")
+    left = docs.withColumn("_heron_mine", sha).join(ids, F.col("doc_id").eqNullSafe(F.col("_heron_id")) & (F.col("_heron_mine") == F.col("_heron_sha")), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left.drop("_mine")
-    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_mine"])
-    return left.join(repeated, same, "left_anti").unionByName(once).drop("_mine")
+        return left.drop("_heron_mine")
+    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_heron_id")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_heron_id"))
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_heron_mine"])
+    return left.join(repeated, same, "left_anti").unionByName(once).drop("_heron_mine")

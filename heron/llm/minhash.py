@@ -13,9 +13,9 @@ full sets, and one link for each two components comes out. So a group that holds
 pair for each member, and no pair that isn't a link is ever a row.
 
 Cases: null, empty and blank texts have no set, are linked with nothing and stay. Texts under WIDTH
-words are one shingle. Rows that repeat a doc_id are one document; of a repeated row one stays (of
-different texts under one doc_id, the one with the smallest set fingerprint decides). A null doc_id
-is kept, in a component of its own, without links. An empty table gives no rows. Extra columns are
+words are one shingle. Rows that repeat doc_id and text get equal results; of different texts under
+one doc_id, the one with the smallest set fingerprint is linked, the others take the component of
+their copies or stand alone. A null doc_id is kept, in a component of its own, without links. An empty table gives no rows. Extra columns are
 ignored.
 """
 
@@ -209,7 +209,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     of_class = classes.join(label.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("f1", "f2", "n", F.coalesce("comp", "doc_id").alias("component_id"), "cnt")
     of_class = stored(of_class, "of_class")
     some = sigs.filter("doc_id is not null and n > 0")
-    linked = skew_join(some.select("doc_id", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = skew_join(some.select("doc_id", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count(), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = sigs.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

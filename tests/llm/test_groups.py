@@ -67,6 +67,11 @@ def test_near_dedup_of_nothing(spark):
     assert minhash.keep_first(alone).count() == 1
 
 
+def test_near_dedup_keeps_all_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "quite another text of six words"), (2, "one two three four five six"), (2, "one two three four five six")], DOCS)
+    assert minhash.near_dedup(docs).count() == 4
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (4, 5), (5, 6), (2, 1)], "a long, b long")
     assert {r["doc"]: r["comp"] for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 8, 9: 8}
