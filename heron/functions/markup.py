@@ -13,7 +13,9 @@ LANGUAGES = [
     (r"^\s*(public |private |protected |class |interface |@Override)", "java", 0.7), (r"System\.out\.print|\.equals\(|new [A-Z]", "java", 0.5), (r"^\s*(#include |int main|void |printf\()", "c", 0.6), ("std::|cout|cin|#include <iostream>|nullptr", "cpp", 0.6),
     (r"^\s*(def |end$|require |class .+ < |attr_accessor)", "ruby", 0.7), (r"\.each do|puts |\.nil\?|\.map \{", "ruby", 0.5), (r"^\s*(<\?php|\$[a-z_]+\s*=|function .+\()", "php", 0.7), (r"\$this->|->|echo |require_once", "php", 0.5),
     (r"^\s*(SELECT |INSERT |UPDATE |DELETE |CREATE TABLE|ALTER TABLE)", "sql", 0.8), (r"\bFROM\b|\bWHERE\b|\bJOIN\b|\bGROUP BY\b", "sql", 0.5), (r"^\s*<!DOCTYPE|<html|<head|<body|<div", "html", 0.7), (r"<[a-z]+[^>]*>.*</[a-z]+>", "html", 0.4),
-    (r"^\s*[\[{]", "json", 0.3), (r'"[^"]+"\s*:\s*["\d\[\{]', "json", 0.5), (r"^\s*\$\s+\w", "bash", 0.7), (r"^\s*(#!/bin/|if \[\[|for .+ in|while |export |echo \$)", "bash", 0.7), (r"\$\{|\|\||&&|sudo |apt-get|apt |npm |pip |brew ", "bash", 0.4),
+    (r"^\s*(@media|@import|@keyframes|@font-face)", "css", 0.7), (r"\{\s*(color|background|margin|padding|font-|display|position)\s*:", "css", 0.6), (r"\.([\w-]+)\s*\{", "css", 0.4),
+    (r"^\s*[\[{]", "json", 0.3), (r'"[^"]+"\s*:\s*["\d\[\{]', "json", 0.5), (r"^\s*[a-z_]+:\s*($|\n|[\"'\d\[])", "yaml", 0.5), (r"^\s*- [a-z_]+:", "yaml", 0.4), (r"^\s*\$\s+\w", "bash", 0.7), (r"^\s*(#!/bin/|if \[\[|for .+ in|while |export |echo \$)", "bash", 0.7), (r"\$\{|\|\||&&|sudo |apt-get|apt |npm |pip |brew ", "bash", 0.4), ("cat |trafilatura |curl |wget ", "bash", 0.5),
+    (r"^\s*(#{1,6} |```|\*\*|__|\[.+\]\(.+\))", "markdown", 0.6),
 ]
 
 
