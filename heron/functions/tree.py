@@ -22,10 +22,15 @@ BUTTON = re.compile(r"\b(btn|button|cta)\b", re.I)
 BLANK = re.compile(r"\s+")
 PURPOSES = {"tracking": "track|trace", "quote": "quote|rate", "search": "search|find", "contact": "contact|message"}
 LANGUAGE_CLASS = re.compile(r"(?:^|\s)(?:language|lang|highlight-source|brush:)[-: ]?\s*([a-z0-9+#]+)", re.I)
+FILE_NAME = re.compile(r"\b([\w-]+\.[a-z]{1,4}):?$")
+HIGHLIGHT = re.compile(r"highlight|codehilite|prism|hljs|syntax|sourcecode|code-block", re.I)
 
 
 class Page(HTMLParser):
-    """Collects rows (kind, name, text, url, level, region, parent) in document order."""
+    """Collects rows (pos, kind, name, text, url, level, region, parent, context, hint) in document order.
+
+    context is the paragraph before an image or code block, hint the file name that goes with code.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -36,6 +41,7 @@ class Page(HTMLParser):
         self.inputs: list[dict] | None = None
         self.form: dict = {}
         self.words: list[tuple[str, int, int]] = []
+        self.said = ""
         self.blocks: list[list] = []
 
     def region(self) -> str:
@@ -49,19 +55,22 @@ class Page(HTMLParser):
     def hidden(self) -> bool:
         return any(t in HIDDEN for t, _ in self.stack)
 
-    def put(self, kind: str, name: str, text: str, url: str | None = None, level: int | None = None) -> None:
+    def put(self, kind: str, name: str, text: str, url: str | None = None, level: int | None = None, hint: str | None = None) -> None:
         parent = self.heading[-1][1] if self.heading else None
         if kind == "heading":
             while self.heading and self.heading[-1][0] >= (level or 0):
                 self.heading.pop()
             parent = self.heading[-1][1] if self.heading else None
             self.heading.append((level or 0, len(self.rows)))
-        self.rows.append((len(self.rows), kind, name, text, url, level, self.region(), parent))
+        near = self.said[: 200 if kind == "image" else 300] if kind in ("image", "code", "inline") else None
+        self.rows.append((len(self.rows), kind, name, text, url, level, self.region(), parent, near or None, hint))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         held = {k: v or "" for k, v in attrs}
         if tag == "img":
             self.put("image", "img", held.get("alt", ""), next((held[a] for a in ("data-src", "data-lazy", "data-original", "src") if held.get(a)), None))
+        elif tag == "source" and any(t == "picture" for t, _ in self.stack) and held.get("srcset"):
+            self.put("image", "picture", "", held["srcset"].split()[0].rstrip(","))
         elif tag == "meta" and held.get("property", held.get("name", "")).lower() in ("og:image", "twitter:image"):
             self.put("image", "meta", "", held.get("content"))
         elif tag == "input" and self.inputs is not None:
@@ -113,6 +122,7 @@ class Page(HTMLParser):
                 self.put("heading", tag, text, level=int(tag[1:]))
             elif tag == "p" and len(text) > 20:
                 self.put("text", "p", text)
+                self.said = text
             elif tag == "li" and len(text) > 10 and self.region() not in ("nav", "header", "footer"):
                 self.put("list", "li", text)
             elif tag == "a" and attrs.get("href"):
@@ -121,8 +131,12 @@ class Page(HTMLParser):
             elif tag == "title" and text:
                 self.put("title", "title", text)
             elif tag == "pre" or (tag == "code" and not any(t == "pre" for t, _ in self.stack[:-1])):
-                m = LANGUAGE_CLASS.search(attrs.get("class", ""))
-                self.put("code", m[1].lower() if m else "", raw.strip("\n"))
+                around = " ".join(a.get("class") or "" for _, a in self.stack[-3:])
+                m = LANGUAGE_CLASS.search(attrs.get("class", "")) or LANGUAGE_CLASS.search(around)
+                named = FILE_NAME.search(self.said)
+                hint = next((attrs[a] for a in ("data-filename", "data-file", "title") if attrs.get(a)), named[1] if named else None)
+                short = tag == "code" and "\n" not in raw.strip() and len(raw) < 100 and not HIGHLIGHT.search(around)
+                self.put("inline" if short else "code", m[1].lower() if m else "", raw.strip("\n"), hint=hint)
             elif tag == "script" and "json" in attrs.get("type", ""):
                 self.put("data", attrs["type"], raw.strip())
             if tag not in HIDDEN:
@@ -156,7 +170,7 @@ class Page(HTMLParser):
         return whole if len(best.split()) < 0.25 * len(whole.split()) else best
 
 
-ROWS = "page_id long, pos int, kind string, name string, text string, url string, level int, region string, parent int"
+ROWS = "page_id long, pos int, kind string, name string, text string, url string, level int, region string, parent int, context string, hint string"
 
 
 def parse(html: str | None) -> Page:
@@ -172,7 +186,7 @@ def blocks(pages: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = [(i, *r) for i, h in zip(part["page_id"], part["html"], strict=True) for r in parse(h).rows]
-            frame = pd.DataFrame(out, columns=["page_id", "pos", "kind", "name", "text", "url", "level", "region", "parent"])
+            frame = pd.DataFrame(out, columns=["page_id", "pos", "kind", "name", "text", "url", "level", "region", "parent", "context", "hint"])
             yield frame.astype({"level": "Int32", "parent": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, ROWS)

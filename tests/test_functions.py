@@ -81,6 +81,12 @@ def test_tree_of_fixture():
     assert [r[6] for r in rows if r[4] == "/legal.pdf"] == ["footer"]
 
 
+def test_tree_contexts():
+    rows = tree.parse('<p>Listing of the file main.py:</p><pre data-filename="a.rs">x</pre><div class="highlight"><code>y()</code></div><p>plain <code>z</code> words go here</p><picture><source srcset="/a.webp 1x, /b.webp 2x"><img src="/a.png"></picture>').rows
+    assert [(r[1], r[3], r[9]) for r in rows if r[1] in ("code", "inline")] == [("code", "x", "a.rs"), ("code", "y()", "main.py"), ("inline", "z", "main.py")]
+    assert [(r[4], r[8]) for r in rows if r[1] == "image"] == [("/a.webp", "plain z words go here"), ("/a.png", "plain z words go here")]
+
+
 def test_tree_of_broken_markup():
     assert tree.parse(None).rows == []
     assert [r[3] for r in tree.parse("<h1>a<b>b</h1></div><p>long enough to be a paragraph").rows] == ["ab", "long enough to be a paragraph"]
