@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Entries of each of the two tables of recent encodings in a worker.
-HELD = 500_000
+HELD = 250_000
 ROWS = 256
 
 
@@ -204,6 +204,12 @@ class Codec:
                 made += [m for piece in part.replace("\n", " ").split(" ") if piece and (m := get(piece) or known(piece))[0]]
         return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
+    def forget(self) -> None:
+        """Empties the tables of recent encodings: a worker outlives its task."""
+        self.words.clear()
+        self.pieces.clear()
+        self.compatible.clear()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
 
@@ -217,7 +223,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs with tokens (array of ids)."""
+    """docs with tokens (array of ids), which takes the place of a column of that name."""
+    docs = docs.drop("tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, at = codec(path), docs_columns.index("text")
@@ -226,6 +233,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(some, ROWS)
                 ids = [np.frombuffer(c.encode_bytes(t or "")[0], "<u4").astype(np.int32) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*docs_columns, "tokens"])
+        c.forget()
 
     docs_columns = docs.columns
     return docs.mapInArrow(run, docs.limit(0).withColumn("tokens", F.array().cast("array<int>")).schema)
@@ -233,6 +241,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (with tokens) with decoded, the text of its tokens."""
+    encoded = encoded.drop("decoded")
     columns = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +271,7 @@ def digests(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
                     held.append(np.frombuffer(ids, "<i4"))
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns | ({"tokens": pa.array(held, pa.list_(pa.int32()))} if tokens else {}))
+        c.forget()
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
