@@ -4,34 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heron.session import ship
+
+#: Rows of an Arrow batch at most: texts average kilobytes, and some are far longer.
+BATCH_ROWS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most this many keys can each hold more than one part in so many of all rows.
 HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives this package's modules to the executors' Python, once a session."""
-    sc = spark.sparkContext
-    if getattr(sc, "_heron_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="heron-ship-")) / "heron_modules.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent).as_posix())
-    sc.addPyFile(str(archive))
-    sc._heron_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; the executors' Python gets the package, and Arrow batches a bound for long texts."""
     ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,10 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it back."""
+    ship(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heron-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._heron_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._heron_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:

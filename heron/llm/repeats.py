@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import skew_join, stored
+from heron.llm.common import discard, skew_join, stored
 from heron.llm.textcodec import _BYTE, U, _Powers, chunks, mix
 
 SPAN, KMER = 200, 32
@@ -227,12 +227,9 @@ def repeated_ranges(keyed: DataFrame, keep: str = "none") -> DataFrame:
     occurrences = stored(runs(keyed), "runs")
     anchors = occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("cnt"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("cnt > 1")
     anchors = stored(anchors, "anchors")
-    n = anchors.count()
-    if n <= FEW:
-        again = occurrences.join(F.broadcast(anchors), "h")
-    else:
-        again = skew_join(occurrences, anchors, ["h"], occurrences.count())
+    again = skew_join(occurrences, anchors, ["h"], occurrences.count())
     again = stored(again.select(*occurrences.columns, (F.col("c0") != F.col("c1")).alias("several")), "again")
+    discard(occurrences)
     context = ["h", "c", "w", "a"]
     shaped = again.withColumns({"w": F.col("hi") - F.col("lo"), "a": F.col("at") - F.col("lo")})
     folded = stored(shaped.groupBy(*context, "several").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc_id", "text_key", "lo")).alias("first")), "contexts")
@@ -243,8 +240,10 @@ def repeated_ranges(keyed: DataFrame, keep: str = "none") -> DataFrame:
     # one place of each context of an anchor that has several, with its bytes
     places = folded.filter("several").select("h", "w", "a", "cnt", "first.*").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "w", "a", "cnt", "lo")).alias("p"))
     places = stored(places.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "p"), "places")
-    few = (places.agg(F.sum(F.size("p"))).first()[0] or 0) <= FEW
-    spelt = keyed.join(F.broadcast(places) if few else places, F.expr("doc_id <=> d and text_key = k")).dropDuplicates(["doc_id", "text_key"])
+    held = F.expr("doc_id <=> d and text_key = k")
+    few = places.count() <= FEW  # then only these texts are shuffled
+    some = keyed.join(F.broadcast(places.select("d", "k")), held, "left_semi") if few else keyed
+    spelt = some.join(places, held).dropDuplicates(["doc_id", "text_key"])
     bodies = spelt.select("doc_id", "text_key", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), "p").select("doc_id", "text_key", F.expr("explode(transform(p, x -> named_struct('h', x.h, 'w', x.w, 'a', x.a, 'cnt', x.cnt, 'lo', x.lo, 'body', substring(bytes, x.lo + 1, x.w + 200))))").alias("x"))
     contexts = bodies.select(F.col("x.h").alias("key"), "doc_id", "text_key", "x.lo", F.col("x.a").alias("anchor"), "x.cnt", F.lit(0).alias("frm"), F.col("x.w").alias("to"), "x.body")
     ranges = whole.unionByName(_compared(stored(contexts, "bodies"), keep))
