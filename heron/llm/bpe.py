@@ -17,6 +17,9 @@ rows give equal rows; null ids are kept; an empty table gives no rows; extra col
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import json
 import re
@@ -205,10 +208,13 @@ class Codec:
         return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
     def forget(self) -> None:
-        """Empties the tables of recent encodings: a worker outlives its task."""
+        """Empties the tables of recent encodings and returns their memory: a worker outlives its task."""
         self.words.clear()
         self.pieces.clear()
         self.compatible.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
