@@ -37,6 +37,8 @@ from tokenizers import Tokenizer
 #: Entries of each of the two tables of recent encodings in a worker.
 HELD = 250_000
 ROWS = 256
+#: Printable ASCII and the letters of Latin-1.
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
 def byte_letters() -> dict[str, int]:
@@ -93,6 +95,7 @@ class Codec:
         # the library's \s leaves out the separators 1C to 1F, which Python's has
         self.cut = regex.compile(cut.replace(r"\s", r"\p{White_Space}"))
         self.cut_ascii = re.compile(cut.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", r" \t\n\r\v\fa-z0-9"))
+        self.cut_latin = re.compile(self.cut_ascii.pattern.replace("a-z", "a-zß-öø-ÿ"))
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.names = [self.spell([i]) for i in self.ids]
         self.words: dict[str, tuple[bytes, str]] = {}
@@ -140,8 +143,9 @@ class Codec:
             return greedy
         n = len(word)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (size, r) in self.automaton.iter(word):
-            starts[last - size + 1].append((size, r))  # by growing end, so the longest is last
+        for last, match in self.automaton.iter(word):
+            starts[last - match[0] + 1].append(match)  # by growing end, so the longest is last
+        known = self.compatible.get
         dead = bytearray(n + 1)
         out: list[int] = []
         tried: list[int] = []  # which match of each place on the path
@@ -149,8 +153,12 @@ class Codec:
         while pos < n:
             while k >= 0:
                 size, r = starts[pos][k]
-                if not dead[pos + size] and (not out or fits(out[-1], r)):
-                    break
+                if not dead[pos + size]:
+                    if not out:
+                        break
+                    fit = known((out[-1], r))
+                    if fit or (fit is None and fits(out[-1], r)):
+                        break
                 k -= 1
             if k >= 0:
                 out.append(r)
@@ -186,7 +194,12 @@ class Codec:
 
     def known(self, piece: str) -> tuple[bytes, str]:
         """Ids and decoded text of a piece without special tokens."""
-        found = self.cut_ascii.findall(piece.lower()) if piece.isascii() else self.cut.findall(self.normalize(piece))
+        if piece.isascii():
+            found = self.cut_ascii.findall(piece.lower())
+        elif LATIN.fullmatch(piece):  # composed letters, which normalising only lower-cases
+            found = self.cut_latin.findall(piece.lower())
+        else:
+            found = self.cut.findall(self.normalize(piece))
         words = [self.words.get(w) or self.encode_word(w) for w in found]
         made = words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), " ".join([w[1] for w in words]))
         if len(piece) < 64:
