@@ -52,18 +52,16 @@ def passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(CLASSES):
             total = np.concatenate([[0], np.cumsum(kinds == k)])
             x[:, k] = (total[ends] - total[starts]) / n
-        words, _ = word_hashes(offsets, data)
-        blank = (kinds == 3) | (kinds == 4)
-        begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, int)
-        if len(begin) == len(words) and len(words):
-            lo, hi = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
-            count = np.maximum(hi - lo, 1)
-            place = np.repeat(np.arange(len(starts)), hi - lo)
-            order = np.lexsort((words[lo[0] : hi[-1]], place))
-            w, p = words[lo[0] : hi[-1]][order], place[order]
-            again = np.concatenate([[False], (w[1:] == w[:-1]) & (p[1:] == p[:-1])])
-            x[:, CLASSES] = np.bincount(p, again, len(starts)) / count
-            x[:, CLASSES + 1] = np.log1p(n / count) / 4
+        words, begin, _ = word_hashes(offsets, data)
+        lo, hi = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+        count = np.maximum(hi - lo, 1)
+        place = np.repeat(np.arange(len(starts)), hi - lo)
+        order = np.lexsort((words, place))
+        w, p = words[order], place[order]
+        again = np.zeros(len(w), bool)
+        again[1:] = (w[1:] == w[:-1]) & (p[1:] == p[:-1])
+        x[:, CLASSES] = np.bincount(p, again, len(starts)) / count
+        x[:, CLASSES + 1] = np.log1p(n / count) / 4
         x[:, CLASSES + 2] = (ends - starts) / PASSAGE
         x[:, CLASSES + 3] = np.log1p(np.repeat(sizes, per)) / 10
         yield x, first

@@ -58,11 +58,11 @@ def chunks(texts: pa.Array):
         i = j
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word [^space]+ with A-Z folded, and where each text's words begin."""
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word [^space]+ with A-Z folded, its first byte, and where each text's words begin."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     word = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -74,13 +74,13 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, U)
     np.cumsum(_BYTE[_FOLD[data]] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, starts, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: pa.Array, width: int):
     """(row, sorted distinct shingle hashes) of each text, empty texts too."""
     for first, offsets, data in chunks(texts):
-        words, at = word_hashes(offsets, data)
+        words, _, at = word_hashes(offsets, data)
         if len(words) >= width:
             whole = np.zeros(len(words) - width + 1, U)
             for k in range(width):

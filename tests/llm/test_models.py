@@ -43,6 +43,17 @@ def test_quality_held_out():
     assert sum((a >= 0.3) == bool(y) for a, (_, y) in zip(s, test, strict=True)) / len(test) > 0.97
 
 
+def test_quality_of_a_text_does_not_hang_on_its_neighbours():
+    texts = ["a b a b a", "word", "", " \t ", "x\x0by " * 300, "ends blank ", "the cat the cat " * 80 + "end", "é" * 400]
+    alone = [x for t in texts for x, _ in quality.passages(pa.array([t], pa.large_string()))]
+    [(among, first)] = quality.passages(pa.array(texts, pa.large_string()))
+    assert [len(x) for x in alone] == [b - a for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert all((a == b).all() for a, b in zip((r for x in alone for r in x), among, strict=True))
+    assert abs(among[0, quality.CLASSES] - 0.6) < 1e-6 and among[1, quality.CLASSES] == 0
+    model = quality.learn([(t, i % 2) for i, t in enumerate(texts)])
+    assert all(abs(model.score(pa.array([t]))[0] - s) < 1e-9 for t, s in zip(texts, model.score(pa.array(texts)), strict=True))
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_scores_of_odd_rows(spark, module):
     docs = spark.createDataFrame(ODD, DOCS).selectExpr("*", "'x' as score", "1 as held_out")
