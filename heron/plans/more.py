@@ -228,7 +228,13 @@ def code_classes(spark, sf_dir):
 
 @R.add("backoff_and_expiring", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events where event_id % 10 = 0")
 def backoff_and_expiring(spark, sf_dir):
+    return backoff_and_expiring_all(spark, sf_dir).filter("event_id % 10 = 0")
+
+
+@R.add("backoff_and_expiring_all", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events")
+def backoff_and_expiring_all(spark, sf_dir):
+    """Of every event; backoff_and_expiring is the tenth of it that its SQL names."""
     n = F.col("event_id")
     e = n * 7919 % 40000000 - 500000
-    return read(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id", D.backoff(F.lit(3.0), n % 8).alias("delay"), e.between(0, 604800).alias("expiring"))
+    return read(spark, sf_dir, "events").select("event_id", D.backoff(F.lit(3.0), n % 8).alias("delay"), e.between(0, 604800).alias("expiring"))
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from heron import registry
 from heron.functions import detect, markup, text, tree, urls
 from heron.plans.markup import PAGE_FIXTURE
 from heron.streaming import telemetry
@@ -100,3 +101,9 @@ def test_code_without_line_numbers(spark):
 def test_stream_and_batch_counters_agree(spark, sf_dir, tmp_path):
     out = telemetry.drain(telemetry.counters(telemetry.events(spark, sf_dir)), "counters_test", str(tmp_path / "c"), "complete")
     assert out.agg(F.sum("attempts")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_backoff_and_expiring_reads_all_events(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).select("event_id").exceptAll(events.select("event_id")).count() == 0
+    assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).count() == events.count()
