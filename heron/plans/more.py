@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from heron.exprs import Registry, quoted, sql_labels, sql_match
+from heron.exprs import Registry, quoted, sql_any, sql_labels, sql_match
 from heron.functions import detect as D
 from heron.functions import html as H
 from heron.functions import markup as M
@@ -14,7 +14,7 @@ from heron.functions import tree, urls
 from heron.plans.access import OUTCOME, outcome, read
 from heron.plans.links import ANCHORS, links
 from heron.plans.markup import LD, PAGE_FIXTURE, ROBOTS, XML
-from heron.plans.text import SAMPLES, samples
+from heron.plans.text import SAMPLES, SENTENCES, documents, samples
 from heron.plans.urls import PRODUCTS, P, pages
 from heron.sources import sinks
 
@@ -143,11 +143,16 @@ def page_buckets(spark, sf_dir):
     return samples(spark).select("id", F.explode(buckets(F.col("text"))).alias("b")).select("id", "b.*")
 
 
+@R.add("page_buckets_all", " union all ".join(f"select doc_id, {quoted(b)} as bucket, unnest(list_distinct(list_filter({SENTENCES}, lambda x: {sql_any('lower(x)', ks)})[1:5])) as snippet from documents" for b, ks in BUCKETS.items()))
+def page_buckets_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(buckets(F.col("text"))).alias("b")).select("doc_id", "b.*")
+
+
 @R.add("enriched_pages")
 def enriched_pages(spark, sf_dir):
-    """Everything the text functions say of a page, as one record."""
+    """Everything the text functions say of a text, as one record a document."""
     t = F.col("text")
-    return samples(spark).select("id", T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
+    return documents(spark, sf_dir).select("doc_id", T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
 
 
 @R.add("enriched_summary")

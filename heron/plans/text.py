@@ -54,6 +54,11 @@ def text_term_counts_packed(spark, sf_dir):
     return samples(spark).select("id", F.explode(T.term_counts(F.col("text"))).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
 
 
+@R.add("text_term_counts_packed_all", f"select doc_id, x.term as term, x.n as n from (select doc_id, unnest({_sql_counts('lower(text)', rules.TERMS)}) as x from documents)")
+def text_term_counts_packed_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.term_counts(F.col("text"))).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
+
+
 ASCII = f"list_filter(regexp_extract_all(text, '{W}+'), lambda w: regexp_matches(w, '^[A-Za-z]+$'))"
 
 
@@ -99,6 +104,37 @@ def text_money_dedup(spark, sf_dir):
     return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", "m.raw", "m.unit", "m.amount")
 
 
+def _sql_amount(raw: str, unit: str) -> str:
+    low = f"lower({raw})"
+    digits = f"regexp_replace(regexp_replace({low}, '[,$%]', '', 'g'), '\\s*(cpm|per mile|/mile|/hr|per hour|/hour|cents?|¢|k|thousand|million|m)\\s*', '', 'g')"
+    times = f"case when contains({low}, 'k') or contains({low}, 'thousand') then 1000 when contains({low}, 'million') or ends_with({low}, 'm') then 1e6 else 1 end"
+    return f"try_cast({digits} as double) * {times} / case when {unit} = 'per_mile' and contains({low}, 'cent') then 100 else 1 end"
+
+
+# A mention begins after the pieces and the mentions before it.
+_STARTS = "list_sum(list_transform(s[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(r[1:i - 1], lambda v: len(v))), 0)"
+_FOUND = " union all ".join(f"select *, unnest(range(1, len(r) + 1)) as i from (select *, {k} as k, {quoted(unit)} as unit, regexp_extract_all(text, {quoted('(?i)' + p)}) as r, string_split_regex(text, {quoted('(?i)' + p)}) as s from d)" for k, (p, unit) in enumerate(rules.MONEY))
+SQL_MONEY = f"""with d as (select row_number() over () as row, doc_id, text from documents), f as (select row, doc_id, text, k, i, unit, r[i] as raw, cast({_STARTS} as bigint) as start from ({_FOUND})),
+ m as (select *, row_number() over (partition by row order by k, i) - 1 as pos, {_sql_amount('raw', 'unit')} as amount, regexp_replace(substr(text, greatest(0, start - 50) + 1, start + len(raw) + 50 - greatest(0, start - 50)), '^\\s+|\\s+$', '', 'g') as context from f),
+ c as (select *, least(1.0, greatest(0.0, 0.5::double + {sql_count('lower(context)', rules.CONTEXT_FOR)} * 0.1::double - {sql_count('lower(context)', rules.CONTEXT_AGAINST)} * 0.15::double + case when {sql_count('lower(text)', rules.CONTEXT_FOR)} > 5 then 0.1::double else 0 end + case when unit in ('per_mile', 'per_hour') then 0.2::double else 0 end + case when amount >= 1000 then 0.1::double else 0 end)) as sure from m)"""
+
+
+@R.add("text_money_all", f"{SQL_MONEY} select doc_id, cast(pos as int) as pos, raw, unit, amount, context, round(sure, 4) as confidence from c")
+def text_money_all(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m"))
+    return found.select("doc_id", "pos", "m.*", F.round(T.mention_confidence(F.col("m"), F.col("text")), 4).alias("confidence"))
+
+
+@R.add("text_money_dedup_all", f"{SQL_MONEY} select doc_id, raw, unit, amount from (select *, row_number() over (partition by row, lower(trim(raw)), unit order by len(context) desc, pos) as place from c where sure >= 0.4) where place = 1")
+def text_money_dedup_all(spark, sf_dir):
+    """text_money_dedup of every document; texts under one id are told apart."""
+    from pyspark.sql import Window
+
+    found = documents(spark, sf_dir).select("doc_id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m")).filter(T.mention_confidence(F.col("m"), F.col("text")) >= 0.4)
+    best = Window.partitionBy("doc_id", "text_key", F.lower(F.trim("m.raw")), "m.unit").orderBy(F.desc(F.length("m.context")), "pos")
+    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "pos", "m").withColumn("r", F.row_number().over(best)).filter("r = 1").select("doc_id", "m.raw", "m.unit", "m.amount")
+
+
 @R.add("text_money_values", f"select doc_id, unnest(regexp_extract_all(text, '{rules.MONEY[5][0]}')) as raw from documents")
 def text_money_values(spark, sf_dir):
     """Percentages as written: values without contexts need no offsets."""
@@ -114,6 +150,11 @@ def text_dates(spark, sf_dir):
     return samples(spark).select("id", F.explode(T.dates(F.col("text"))).alias("raw"))
 
 
+@R.add("text_dates_all", f"select doc_id, unnest({_sql_all(rules.DATES)}) as raw from documents")
+def text_dates_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.dates(F.col("text"))).alias("raw"))
+
+
 STATE_RE = "^(?i)(?:" + "|".join(n for n in rules.STATES if "_" not in n) + ")$"
 
 
@@ -140,6 +181,11 @@ def text_keyword_groups_packed(spark, sf_dir):
     return samples(spark).select("id", F.explode(T.keyword_groups(F.col("text"))).alias("keyword_group", "k")).select("id", "keyword_group", F.array_join("k", "|").alias("keywords"))
 
 
+@R.add("text_keyword_groups_packed_all", f"select doc_id, x.k as keyword_group, array_to_string(x.v, '|') as keywords from (select doc_id, unnest({_sql_groups('lower(text)', rules.COMPENSATION)}) as x from documents)")
+def text_keyword_groups_packed_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(T.keyword_groups(F.col("text"))).alias("keyword_group", "k")).select("doc_id", "keyword_group", F.array_join("k", "|").alias("keywords"))
+
+
 def _label(p: str) -> str:
     return p.replace(r"\s+", " ").replace(r"(?:\w+ )?", "").replace(r"(?:\w+\s+)?", "").replace("(?:ly)?", "")
 
@@ -149,6 +195,11 @@ def text_urgency(spark, sf_dir):
     return samples(spark).select("id", T.urgency(F.col("text")).alias("l")).select("id", (F.size("l") > 0).alias("urgent"), F.array_join("l", "|").alias("labels"))
 
 
+@R.add("text_urgency_all", f"select doc_id, len(l) > 0 as urgent, array_to_string(l, '|') as labels from (select doc_id, {sql_labels((_label(p), f'regexp_matches(lower(text), {quoted(p)})') for p in rules.URGENCY)} as l from documents)")
+def text_urgency_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.urgency(F.col("text")).alias("l")).select("doc_id", (F.size("l") > 0).alias("urgent"), F.array_join("l", "|").alias("labels"))
+
+
 def _sql_sentiment(key: str, source: str, good: list[str], bad: list[str]) -> str:
     n = lambda ws: f"len(list_filter({sql_words('text')}, lambda w: w in ({', '.join(map(quoted, ws))})))"
     return f"select {key}, p as positive, n as negative, case when p + n = 0 then 0.5 else p / cast(p + n as double) end as ratio, case when p > n then 'positive' when n > p then 'negative' else 'neutral' end as tone from (select {key}, {n(good)} as p, {n(bad)} as n from {source})"
@@ -164,6 +215,11 @@ def text_sentiment_packed(spark, sf_dir):
     return samples(spark).select("id", T.sentiment(F.col("text")).alias("s")).select("id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
 
 
+@R.add("text_sentiment_packed_all", _sql_sentiment("doc_id", "documents", rules.POSITIVE, rules.NEGATIVE))
+def text_sentiment_packed_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.sentiment(F.col("text")).alias("s")).select("doc_id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
+
+
 SYNTHETIC_AUDIENCES = {"english": ["the ", "and ", " of "], "german": [" der ", " die ", " und "], "french": [" le ", " et ", " la "], "spanish": [" el ", " y ", " los "]}
 
 

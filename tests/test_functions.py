@@ -1,8 +1,10 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from heron import registry
 from heron.functions import detect, markup, text, tree, urls
 from heron.plans.markup import PAGE_FIXTURE
+from heron.plans.text import samples
 from heron.streaming import telemetry
 
 
@@ -107,3 +109,30 @@ def test_backoff_and_expiring_reads_all_events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).select("event_id").exceptAll(events.select("event_id")).count() == 0
     assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).count() == events.count()
+
+
+def _six(spark, tmp_path):
+    samples(spark).selectExpr("cast(id as bigint) as doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+WHOLE = ["text_term_counts_packed", "text_money", "text_money_dedup", "text_dates", "text_keyword_groups_packed", "text_urgency", "text_sentiment_packed", "page_buckets"]
+
+
+def test_whole_text_queries_of_the_six_sentences(spark, tmp_path):
+    d, con = _six(spark, tmp_path), duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
+    for name in WHOLE:
+        few, every = registry.QUERIES[name](spark, d).withColumnRenamed("id", "doc_id"), registry.QUERIES[f"{name}_all"](spark, d)
+        got = sorted(map(tuple, every.collect()))
+        assert got and got == sorted(map(tuple, few.select(*every.columns).collect())), name
+        want = con.execute(f"select {', '.join(every.columns)} from ({registry.ORACLES[f'{name}_all']})").fetchall()
+        assert got == sorted(want), name
+
+
+def test_enriched_reads_every_document(spark, sf_dir, tmp_path):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert registry.QUERIES["enriched_pages"](spark, sf_dir).count() == n
+    d = _six(spark, tmp_path)
+    assert registry.QUERIES["enriched_pages"](spark, d).count() == 6
+    assert tuple(registry.QUERIES["enriched_summary"](spark, d).first()) == (7, 3, 6, 2)
