@@ -65,18 +65,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def term_windows(docs: DataFrame, windows: DataFrame, n_words: int) -> DataFrame:
-    """window, n, term, off, rank (0: rarest in the corpus), needed (an anchor); stored."""
+    """window, n, term, off, rank (0: rarest in the corpus), whole (the corpus has all terms), needed (an anchor); stored. Terms that the corpus lacks have no rows."""
     spelt = windows.select("window", F.size("w").alias("n"), F.posexplode("w").alias("off", "term")).distinct()
     terms = stored(spelt.select("term").distinct(), "terms")
     freq = stored(postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     known = spelt.join(small(freq), "term")
     order = Window.partitionBy("window").orderBy("df", "term", "off")
-    # a window with a term that the corpus lacks can't occur
     whole = F.count(F.lit(1)).over(Window.partitionBy("window")) == F.col("n")
     before = F.coalesce(F.sum(F.log(F.col("df") / F.lit(max(n_words, 1)))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ranked = known.select("window", "n", "term", "off", (F.row_number().over(order) - 1).alias("rank"), whole.alias("whole"), before.alias("before"))
     needed = (F.col("rank") == 0) | (F.log(F.lit(max(n_words, 1))) + F.col("before") > math.log(CHANCE))
-    return stored(ranked.filter("whole").select("window", "n", "term", "off", "rank", needed.alias("needed")), "windows")
+    return stored(ranked.select("window", "n", "term", "off", "rank", "whole", needed.alias("needed")), "windows")
 
 
 def _met(wanted: DataFrame, index: DataFrame) -> DataFrame:
@@ -88,7 +87,8 @@ def _met(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, n_words: int) -> DataFrame:
     """doc_id, text_key, window, n, start: every exact occurrence; windows has window, w."""
-    spelt = term_windows(docs, windows, n_words)
+    # a window with a term that the corpus lacks can't occur
+    spelt = term_windows(docs, windows, n_words).filter("whole")
     anchors = spelt.filter("needed")
     place = ["doc_id", "text_key", "window", "n", "start"]
     index = stored(postings(docs, stored(anchors.select("term").distinct(), "anchors")).select("term", *place[:2], "pos"), "index")
@@ -106,11 +106,12 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, n_words: int) -> DataFra
 
 
 def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """doc_id, text_key, window, at, apart: places where a window's two rarest terms stand within slop words."""
+    """doc_id, text_key, window, at, apart: places where the two rarest distinct terms of a window that the corpus has stand within slop words."""
     n_words = word_counts(docs).agg(F.sum("n_words")).first()[0] or 0
-    two = term_windows(docs, windows, n_words).filter("rank < 2")
-    pair = two.groupBy("window").agg(F.min_by("term", "rank").alias("x"), F.max_by("term", "rank").alias("y")).filter("x <> y")
-    index = stored(postings(docs, stored(two.select("term").distinct(), "anchors")).withColumn("cell", F.floor(F.col("pos") / (slop + 1))), "near")
+    held = term_windows(docs, windows, n_words).groupBy("window", "term").agg(F.min("rank").alias("rank"))
+    two = held.withColumn("place", F.row_number().over(Window.partitionBy("window").orderBy("rank"))).filter("place < 3")
+    pair = stored(two.groupBy("window").agg(F.min_by("term", "place").alias("x"), F.max_by("term", "place").alias("y")).filter("x <> y"), "pairs")
+    index = stored(postings(docs, stored(pair.select(F.explode(F.array("x", "y")).alias("term")).distinct(), "anchors")).withColumn("cell", F.floor(F.col("pos") / (slop + 1))), "near")
     left = index.join(small(pair.withColumnRenamed("x", "term")), "term").withColumnRenamed("pos", "at").select("doc_id", "text_key", "window", "at", "y", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     right = index.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("cell").alias("c"), F.col("term").alias("t"), "pos")
     both = left.join(right, F.expr("doc_id <=> d and text_key = k and cell = c and y = t"))

@@ -73,6 +73,13 @@ def test_proximity(spark):
     assert 2 not in {r["doc_id"] for r in found.collect()} and {r["doc_id"] for r in found.collect()} >= {1, 3}
 
 
+def test_proximity_of_changed_and_repeated_words(spark):
+    items = spark.createDataFrame([(1, "rare words unseen near"), (2, "odd odd even")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "rare words changed near near"), (2, "even x odd odd even even"), (3, "near " + "x " * 50 + "rare")], DOCS)
+    found = decontaminate.proximity_matches(docs, decontaminate.test_windows(items).select("window", "w").distinct(), 5)
+    assert {(r["doc_id"], r["window"]) for r in found.collect()} == {(1, "rare words unseen near"), (2, "odd odd even")}
+
+
 def test_chat_windows(spark):
     said = "</s>[INST] ok ~0 <h>[x] ] [/INST]"
     turns = [(1, 0, "system", "be good"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", "w " * 900), (1, 5, "user", "again"), (1, 6, "assistant", "yes"), (2, 0, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (None, 0, "user", "n")]
