@@ -120,6 +120,11 @@ def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int) -> DataFra
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated of every document."""
+    return _judged(docs, items, width).drop("text_key")
+
+
+def _judged(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """contamination() with text_key."""
     windows = stored(test_windows(items, width), "windows")
     every = word_counts(docs)
     total = every.agg(F.sum("n_words")).first()[0] or 0
@@ -131,10 +136,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     dirty = stored(dirty, "dirty")
     joined = every.join(small(dirty), F.expr("doc_id <=> d and text_key = k"), "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n > 0).alias("contaminated"))
+    return joined.select("doc_id", "text_key", "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item, with all their columns."""
-    dirty = stored(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_heron_id")).distinct(), "dirty")
-    return docs.join(small(dirty), F.col("doc_id").eqNullSafe(F.col("_heron_id")), "left_anti")
+    dirty = stored(_judged(docs, items).filter("contaminated").select(F.col("doc_id").alias("_heron_id"), F.col("text_key").alias("_heron_key")).distinct(), "dirty")
+    return docs.join(small(dirty), F.col("doc_id").eqNullSafe(F.col("_heron_id")) & (document_key()[1] == F.col("_heron_key")), "left_anti")

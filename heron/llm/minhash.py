@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heron.llm.common import skew_join, stored
@@ -48,8 +48,12 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(COORDS, dtype=U))
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), sig; sig is null for an empty set."""
+    """doc_id, text_key, n, f1, f2 (fingerprint of the set), sig; sig is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,9 +63,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 f1.append(int(mix(s).sum(dtype=U).astype(np.int64)) if len(s) else 0)
                 f2.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).astype(np.int64)) if len(s) else 0)
                 sigs.append(_signature(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, f1 long, f2 long, sig array<long>")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -189,6 +193,11 @@ def _across(member: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
+    return _judged(docs).drop("text_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_dedup() with text_key."""
     sigs = stored(signatures(docs), "sigs")
     full = sigs.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sig")).alias("x")).select("doc_id", "x.*")
     classes = stored(full.groupBy("f1", "f2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("cnt")), "classes")
@@ -209,12 +218,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     of_class = classes.join(label.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("f1", "f2", "n", F.coalesce("comp", "doc_id").alias("component_id"), "cnt")
     of_class = stored(of_class, "of_class")
     some = sigs.filter("doc_id is not null and n > 0")
-    linked = skew_join(some.select("doc_id", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count(), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = sigs.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = skew_join(some.select("doc_id", "text_key", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count(), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = sigs.filter("doc_id is null or n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each component."""
-    gone = near_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _judged(docs).filter("not kept").select(F.col("doc_id").alias("_heron_id"), F.col("text_key").alias("_heron_key")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_heron_id")) & (text_key() == F.col("_heron_key")), "left_anti")

@@ -67,6 +67,13 @@ def test_near_dedup_of_nothing(spark):
     assert minhash.keep_first(alone).count() == 1
 
 
+def test_keep_first_keeps_other_texts_of_one_id(spark):
+    same, other = "one two three four five six", "quite another text of six words"
+    docs = spark.createDataFrame([(1, same), (2, same), (2, other), (2, None), (None, same)], DOCS)
+    got = {(r["doc_id"], r["text"]) for r in minhash.keep_first(docs).collect()}
+    assert got == {(1, same), (2, other), (2, None), (None, same)}
+
+
 def test_near_dedup_keeps_all_rows_of_one_id(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (1, "quite another text of six words"), (2, "one two three four five six"), (2, "one two three four five six")], DOCS)
     assert minhash.near_dedup(docs).count() == 4

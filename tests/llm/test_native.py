@@ -80,6 +80,12 @@ def test_proximity_of_changed_and_repeated_words(spark):
     assert {(r["doc_id"], r["window"]) for r in found.collect()} == {(1, "rare words unseen near"), (2, "odd odd even")}
 
 
+def test_clean_keeps_other_texts_of_one_id(spark):
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "one two"), (None, "clean"), (1, "so one two"), (1, "clean too"), (1, None)], DOCS)
+    assert sorted(str(r["text"]) for r in decontaminate.clean(docs, items).collect()) == ["None", "clean", "clean too"]
+
+
 def test_chat_windows(spark):
     said = "</s>[INST] ok ~0 <h>[x] ] [/INST]"
     turns = [(1, 0, "system", "be good"), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "user", None), (1, 4, "assistant", "w " * 900), (1, 5, "user", "again"), (1, 6, "assistant", "yes"), (2, 0, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (None, 0, "user", "n")]
