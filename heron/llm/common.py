@@ -4,35 +4,55 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.session import ship
 
-#: Rows of an Arrow batch at most: texts average kilobytes, and some are far longer.
-BATCH_ROWS = 2000
+#: Bytes of text in one piece of an Arrow batch that Python works on at a time; a longer text is a piece.
+PIECE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most this many keys can each hold more than one part in so many of all rows.
 HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
+#: Tables written by stored() and not deleted yet, and the folder where a local session has none set.
+_written: list[DataFrame] = []
+_own_dir: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input; the executors' Python gets the package, and Arrow batches a bound for long texts."""
+    """A table of the input."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `most` bytes of column `text` each, one row at least."""
+    for batch in batches:
+        size = batch.column(text).cast(pa.large_string())
+        bounds = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1] if len(size) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set (tests)."""
+    """The folder that all executors share. Only a local session (tests) may lack one and gets its own."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        set_to = tempfile.mkdtemp(prefix="heron-shared-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
+    if set_to:
+        return set_to
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="heron-shared-"))
+    return _own_dir[0]
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
@@ -43,14 +63,28 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
+    _written.append(table)
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a stored table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._heron_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._heron_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if table in _written:
+            _written.remove(table)
+
+
+def mark() -> int:
+    """A point to which discard_since() goes back."""
+    return len(_written)
+
+
+def discard_since(point: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables stored since mark(), but for `keep`: call it when no result that reads them is left to run."""
+    discard(*[t for t in _written[point:] if t is not keep])
 
 
 def lower_ascii(c: Column) -> Column:
@@ -65,12 +99,15 @@ def heavy(counts: DataFrame, total: int) -> tuple[Column, DataFrame]:
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
-    """left joined to right, which is unique on keys and has `cnt`, the left rows of each key.
+    """left joined to right, a stored table that is unique on keys and has `cnt`, the left rows of each key.
 
     Keys with over 1/HEAVY_PARTS of all `total` left rows number under HEAVY_PARTS, so their right
-    rows are broadcast and the left rows stay where they are; all other keys are shuffled.
+    rows are broadcast and the left rows stay where they are; all other keys are shuffled. Where no
+    key is that heavy, this is a plain join.
     """
     cond, top = heavy(right, total)
+    if top.isEmpty():
+        return left.join(right, keys, how)
     marked = left.join(F.broadcast(top.select(*keys).withColumn("_hot", F.lit(True))), keys, "left")
     hot = left.join(F.broadcast(top), keys, "inner")
     cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right.filter(~cond), keys, how)

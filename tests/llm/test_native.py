@@ -26,8 +26,10 @@ def brute(rows):
     return groups
 
 
-@pytest.mark.parametrize("block,fingerprint", [(4096, F.xxhash64), (3, F.xxhash64), (2, lambda b: F.length(b).cast("long"))])
-def test_exact_dedup(spark, odd, block, fingerprint):
+@pytest.mark.parametrize("block,fingerprint,few", [(4096, F.xxhash64, 100), (3, F.xxhash64, 0), (2, lambda b: F.length(b).cast("long"), 100), (2, lambda b: F.length(b).cast("long"), 0)])
+def test_exact_dedup(spark, odd, monkeypatch, block, fingerprint, few):
+    monkeypatch.setattr(exact_dedup, "FEW_PRINTS", few)
+    monkeypatch.setattr(exact_dedup, "ROWS", 1)
     docs = odd if block > 100 else odd.filter("length(text) < 100 or text is null")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     out = exact_dedup.exact_dedup(docs, block, fingerprint).collect()
@@ -40,7 +42,9 @@ def test_exact_dedup(spark, odd, block, fingerprint):
         assert sum(r["kept"] for r in mine) == 1
 
 
-def test_exact_dedup_keeps_rows(spark, odd):
+@pytest.mark.parametrize("few", [100, 0])
+def test_exact_dedup_keeps_rows(spark, odd, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "FEW_ROWS", few)
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 2, 4, 5, 6, 8, 9]
