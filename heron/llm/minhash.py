@@ -1,22 +1,25 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 Every document becomes its set of WIDTH-word shingles and a signature of COORDS minima. Documents
-with equal sets are first folded into one representative. Each representative is posted under its
-coordinate values; two sets of similarity 0.75 agree in fewer than AGREE of COORDS coordinates with
-probability 2e-8. A pair that agrees in AGREE of them shares one of its COORDS - AGREE + 1 rarest
-values (both sides order values alike), so only these prefixes are posted and the longest lists are
-skipped. Each list has a centre, its most widely shared member, and lists of one centre are one
-group. Every member is first paired with the centre; pairs that agree often enough are confirmed on
-the full shingle sets and joined into components. In groups whose members still lie in several
-components, all outside the largest component are then compared with all members, in squares and on
-full sets, and one link for each two components comes out. So a group that holds together costs one
-pair for each member, and no pair that isn't a link is ever a row.
+with equal sets are first folded into one node. Each node is posted under its coordinate values; two
+sets of similarity 0.75 agree in fewer than AGREE of COORDS coordinates with probability 2e-8. A
+pair that agrees in AGREE of them shares one of its COORDS - AGREE + 1 rarest values (both sides
+order values alike), so only these prefixes are posted and the longest lists are skipped. Each list
+has a centre, its most widely shared member, and lists of one centre are one group. Every member is
+first paired with the centre; pairs that agree often enough are confirmed on the full shingle sets
+and joined into components. In groups whose members still lie in several components, all outside
+the largest component are then compared with all members, in squares of bounded size and on full
+sets, and one link for each two components comes out. So a group that holds together costs one pair
+for each member, and no pair that isn't a link is ever a row; a group that falls apart costs the
+square of what lies outside its largest component.
+
+Shingles are compared by 64-bit hashes of their words; words over 64 bytes are hashed by BLAKE2.
 
 Cases: null, empty and blank texts have no set, are linked with nothing and stay. Texts under WIDTH
-words are one shingle. Rows that repeat doc_id and text get equal results; of different texts under
-one doc_id, the one with the smallest set fingerprint is linked, the others take the component of
-their copies or stand alone. A null doc_id is kept, in a component of its own, without links. An empty table gives no rows. Extra columns are
-ignored.
+words are one shingle; very long texts are hashed whole. A document is a row: several texts under
+one doc_id are linked each by its own set, and rows that repeat doc_id and text get equal results. A
+null doc_id is kept, in a component of its own, without links. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import skew_join, stored
+from heron.llm.common import HEAVY_PARTS, pieces, skew_join, stored
 from heron.llm.components import components
 from heron.llm.textcodec import U, mix, shingle_sets
+from heron.session import ship
 
 WIDTH, COORDS, AGREE = 5, 64, 28
-#: Members of either side that are compared at once where a group has several components.
-SQUARE = 512
-#: Ids of candidate documents are broadcast up to this many (16 MB), and joined otherwise.
-FEW_IDS = 2_000_000
+#: Members, and shingles, of either side that are compared at once where a group has several components.
+SQUARE, SQUARE_SHINGLES = 512, 1 << 20
+#: Ids of candidate documents (24 bytes each) are broadcast up to this many, and joined by shuffle beyond.
+FEW_IDS = 1_000_000
+#: Rows of one key that are joined in one task at least before they are salted.
+SALT_ROWS = 1000
 
 _ODD = mix(np.arange(1, COORDS + 1, dtype=U)) | U(1)
 
@@ -55,8 +61,10 @@ def text_key() -> Column:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n, f1, f2 (fingerprint of the set), sig; sig is null for an empty set."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, f1, f2, sigs = [], [], [], []
             for _, s in shingle_sets(batch.column(1), WIDTH):
                 n.append(len(s))
@@ -68,55 +76,65 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, f1 long, f2 long, sig array<long>")
 
 
-def shingles(docs: DataFrame) -> DataFrame:
-    """doc_id, s (the sorted shingle hashes)."""
+def shingles(texts: DataFrame) -> DataFrame:
+    """node, s (the sorted shingle hashes) of texts (node, text)."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids, held, size = [], [], 0
             for row, s in shingle_sets(batch.column(1), WIDTH):
                 ids.append(batch.column(0)[row].as_py())
                 held.append(s.view(np.int64))
                 size += len(s)
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["node", "s"])
                     ids, held, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["node", "s"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """token, doc: the postings that can bring two representatives together; stored."""
-    postings = reps.select(F.col("doc_id").alias("doc"), F.explode("sig").alias("token"))
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """token, node: the postings that can bring two nodes together; stored."""
+    postings = nodes.select("node", F.explode("sig").alias("token"))
     freq = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"), "freq")
-    total = reps.count() * COORDS
+    total = nodes.count() * COORDS
     shared = skew_join(postings, freq, ["token"], total)
-    ranked = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("cnt", "token"))).alias("t"))
-    room = F.lit(COORDS - AGREE + 1) - (F.lit(COORDS) - F.size("t"))  # values held by no other document come first
-    return stored(ranked.filter(F.size("t") >= AGREE).select("doc", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("doc", "p.token"), "prefix")
-
+    ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cnt", "token"))).alias("t"))
+    room = F.lit(COORDS - AGREE + 1) - (F.lit(COORDS) - F.size("t"))  # values held by no other node come first
+    return stored(ranked.filter(F.size("t") >= AGREE).select("node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("node", "p.token"), "prefix")
 
-def _attached(pairs: DataFrame, rows: DataFrame, key: str, **columns: str) -> DataFrame:
-    """pairs with columns of the row whose doc_id is key; centres of many pairs are not shuffled."""
-    count = stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("cnt")), "degree")
-    right = rows.select(F.col("doc_id").alias(key), *(F.col(c).alias(to) for c, to in columns.items())).join(count, key)
-    return skew_join(pairs, right, [key], pairs.count()).drop("cnt")
 
+def _attached(pairs: DataFrame, rows: DataFrame, key: str, other: str, **columns: str) -> DataFrame:
+    """pairs with columns of the row whose node is key.
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in AGREE coordinates and whose set sizes allow a link."""
+    Keys of very many pairs are salted by `other`: their row is copied once for each salt, and only
+    the salts of fewer than HEAVY_PARTS keys are broadcast, never the columns.
+    """
+    right = rows.select(F.col("node").alias(key), *(F.col(c).alias(to) for c, to in columns.items()))
+    per = max(pairs.count() // HEAVY_PARTS, SALT_ROWS)
+    salts = stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > per).select(key, F.ceil(F.col("cnt") / per).cast("int").alias("salts")), "salts")
+    if salts.isEmpty():
+        return pairs.join(right, key)
+    dealt = lambda df: df.join(F.broadcast(salts), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = dealt(pairs).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts")
+    copied = dealt(right).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.join(copied, [key, "salt"]).drop("salt")
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in AGREE coordinates and whose set sizes allow a link; stored."""
     pairs = stored(pairs, "stars")
-    both = _attached(_attached(pairs, reps, "b", n="n_b", sig="s_b"), reps, "a", n="n_a", sig="s_a")
+    both = _attached(_attached(pairs, nodes, "b", "a", n="n_b", sig="s_b"), nodes, "a", "b", n="n_a", sig="s_a")
     same = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> if(x = y, 1, 0)), 0, (x, y) -> x + y)")
-    return both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (same >= AGREE)).select("a", "b")
+    return stored(both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (same >= AGREE)).select("a", "b"), "pairs")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets meet 100 * |intersection| >= 75 * |union|; stored."""
-    pairs = stored(pairs, "pairs")
-    sets = _sets(docs, stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
-    joined = _attached(_attached(pairs, sets, "b", s="s_b"), sets, "a", s="s_a")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stored pairs whose full shingle sets meet 100 * |intersection| >= 75 * |union|; stored."""
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    joined = _attached(_attached(pairs, sets, "b", "a", s="s_b"), sets, "a", "b", s="s_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +148,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, s: the shingle set of each id in ids; stored."""
-    few = ids.count() <= FEW_IDS
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    # one row an id; of different texts under one id, the one whose fingerprint decides
-    return stored(shingles(mine).groupBy("doc_id").agg(F.min_by("s", F.struct(F.size("s"), F.xxhash64("s"))).alias("s")), "sets")
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, s: the shingle set of each node in wanted, from the text that stands for it; stored."""
+    ids = stored(nodes.select("node", F.col("doc_id").alias("_heron_id"), F.col("text_key").alias("_heron_key")).join(wanted, "node", "left_semi"), "ids")
+    ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    held = ours.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, F.expr("doc_id = _heron_id and text_key = _heron_key"))
+    # rows that repeat id and text make one set
+    return stored(shingles(held).groupBy("node").agg(F.first("s").alias("s")), "sets")
 
 
 def _compare(part: pa.Table) -> pa.Table:
@@ -172,18 +191,19 @@ def _compare(part: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p for p, _ in found.values()], pa.int64()), "b": pa.array([q for _, q in found.values()], pa.int64())})
 
 
-def _across(member: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one group (centre, doc) that lie in different components; stored.
+def _across(member: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one group (centre, node) that lie in different components; stored.
 
-    All members outside a group's largest component are compared with all members, SQUARE by SQUARE.
+    All members outside a group's largest component are compared with all members, square by square;
+    a square has about SQUARE members and SQUARE_SHINGLES shingles on either side.
     """
-    held = stored(member.join(label, "doc", "left").select("centre", "doc", F.coalesce("comp", "doc").alias("comp")), "held")
-    parts = held.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("size"))
-    split = parts.groupBy("centre").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("cnt")).filter("most < cnt")
-    split = stored(split.select("centre", "main", "cnt", F.ceil((F.col("cnt") - F.col("most")) / SQUARE).cast("int").alias("rows"), F.ceil(F.col("cnt") / SQUARE).cast("int").alias("columns")), "split")
-    of_split = stored(skew_join(held, split, ["centre"], held.count()), "of_split")
-    sets = _sets(docs, stored(of_split.select(F.col("doc").alias("doc_id")).distinct(), "ids"))
-    full = of_split.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    held = stored(member.join(label.select(F.col("doc").alias("node"), "comp"), "node", "left").join(nodes.select("node", "n"), "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp")), "held")
+    parts = held.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    split = parts.groupBy("centre").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max(F.struct("size", "comp", "n")).alias("most"), F.sum("size").alias("cnt"), F.sum("n").alias("n")).filter("most.size < cnt")
+    cells = lambda size, n: F.greatest(F.ceil(size / SQUARE), F.ceil(n / SQUARE_SHINGLES)).cast("int")
+    split = stored(split.select("centre", "main", "cnt", cells(F.col("cnt") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("rows"), cells(F.col("cnt"), F.col("n")).alias("columns")), "split")
+    of_split = stored(skew_join(held.drop("n"), split, ["centre"], held.count()), "of_split")
+    full = of_split.join(_sets(docs, nodes, of_split.select("node").distinct()), "node").withColumnRenamed("node", "doc")
     block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = full.filter("comp <> main").select("centre", block("rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("side"), "doc", "comp", "s")
@@ -199,31 +219,33 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """near_dedup() with text_key."""
     sigs = stored(signatures(docs), "sigs")
-    full = sigs.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sig")).alias("x")).select("doc_id", "x.*")
-    classes = stored(full.groupBy("f1", "f2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("cnt")), "classes")
-    prefix = _prefixes(classes)
-    weight = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
-    weight = stored(weight, "weight")
-    heavy = skew_join(prefix, weight, ["token"], prefix.count())
-    central = heavy.groupBy("doc").agg(F.sum("cnt").alias("w"))
-    centred = stored(heavy.select("doc", "token").join(central, "doc"), "centred")
-    centres = stored(centred.groupBy("token").agg(F.min(F.struct(-F.col("w"), "doc")).alias("c"), F.count(F.lit(1)).alias("cnt")).select("token", F.col("c.doc").alias("centre"), "cnt"), "centres")
-    member = stored(skew_join(centred.select("token", "doc"), centres, ["token"], centred.count()).select("centre", "doc").distinct(), "member")
-    stars = member.filter("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    links = _confirmed(_agreeing(stars, classes), docs)
-    label = components(links)
-    more = _across(member, label, docs)
-    links = stored(links.unionByName(more), "all")
-    label = components(links)
-    of_class = classes.join(label.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("f1", "f2", "n", F.coalesce("comp", "doc_id").alias("component_id"), "cnt")
-    of_class = stored(of_class, "of_class")
     some = sigs.filter("doc_id is not null and n > 0")
-    linked = skew_join(some.select("doc_id", "text_key", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count(), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("cnt"))
+    classes = stored(classes.select("f1", "f2", "n", "m.*", "sig", "cnt", F.monotonically_increasing_id().alias("node")), "classes")
+    nodes = classes.select("node", "doc_id", "text_key", "n", "sig")
+    prefix = _prefixes(nodes)
+    weight = stored(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"), "weight")
+    heavy = skew_join(prefix, weight, ["token"], prefix.count())
+    central = heavy.groupBy("node").agg(F.sum("cnt").alias("w"))
+    centred = stored(heavy.select("node", "token").join(central, "node"), "centred")
+    centres = stored(centred.groupBy("token").agg(F.min(F.struct(-F.col("w"), "node")).alias("c"), F.count(F.lit(1)).alias("cnt")).select("token", F.col("c.node").alias("centre"), "cnt"), "centres")
+    member = stored(skew_join(centred.select("token", "node"), centres, ["token"], centred.count()).select("centre", "node").distinct(), "member")
+    stars = member.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = _confirmed(_agreeing(stars, nodes), nodes, docs)
+    more = _across(member, components(links), nodes, docs)
+    if not more.isEmpty():
+        links = stored(links.unionByName(more), "all")
+    of_node = classes.join(components(links).select(F.col("doc").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_node = stored(of_node.select("f1", "f2", "n", "comp", "doc_id", "cnt"), "of_node")
+    lowest = stored(of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("cnt")), "lowest")
+    of_class = stored(skew_join(of_node.drop("doc_id").withColumnRenamed("cnt", "copies"), lowest, ["comp"], of_node.count()).select("f1", "f2", "n", "component_id", F.col("copies").alias("cnt")), "of_class")
+    linked = skew_join(some.select("doc_id", "text_key", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], some.count()).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
     alone = sigs.filter("doc_id is null or n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each component."""
-    gone = _judged(docs).filter("not kept").select(F.col("doc_id").alias("_heron_id"), F.col("text_key").alias("_heron_key")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_heron_id")) & (text_key() == F.col("_heron_key")), "left_anti")
+    """The rows of docs that stay, with all their columns: those of the smallest doc_id of each component."""
+    gone = stored(_judged(docs).filter("not kept").select(F.col("doc_id").alias("_heron_id"), F.col("text_key").alias("_heron_key")).distinct(), "gone")
+    few = gone.count() <= FEW_IDS  # then only ids move
+    return docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id").cast("long") == F.col("_heron_id")) & (text_key() == F.col("_heron_key")), "left_anti")

@@ -50,8 +50,9 @@ def passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = np.maximum(ends - starts, 1)
         kinds = _CLASS[data]
         for k in range(CLASSES):
-            total = np.concatenate([[0], np.cumsum(kinds == k)])
-            x[:, k] = (total[ends] - total[starts]) / n
+            if len(data):
+                held = np.add.reduceat(kinds == k, np.minimum(starts, len(data) - 1), dtype=np.int64)
+                x[:, k] = np.where(ends > starts, held, 0) / n
         words, begin, _ = word_hashes(offsets, data)
         lo, hi = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
         count = np.maximum(hi - lo, 1)

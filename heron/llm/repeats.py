@@ -37,7 +37,7 @@ from heron.llm.textcodec import _BYTE, U, _Powers, chunks, mix
 SPAN, KMER = 200, 32
 WINDOW = SPAN - KMER + 1
 #: Bytes of one long text hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LOW = 22
 #: Contexts of one anchor that are compared at once, and contexts in a bucket.
 TOGETHER, BUCKET = 600, 600

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes hashed at a time; a longer text is hashed alone.
-CHUNK = 1 << 21
+#: Bytes hashed at a time (about 100 bytes of working memory each); a longer text is hashed alone.
+CHUNK = 1 << 18
+#: Longer words are hashed by BLAKE2: a polynomial modulo 2^64 has equal values for some words of 1,024 letters and more.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,11 +62,12 @@ def chunks(texts: pa.Array):
         i = j
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of each word [^space]+ with A-Z folded, its first byte, and where each text's words begin."""
+def _long_hash(word: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(_FOLD[word].tobytes(), digest_size=8).digest(), "little")
+
+
+def _word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    if not n:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     word = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -74,6 +79,38 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, U)
     np.cumsum(_BYTE[_FOLD[data]] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[k] = _long_hash(data[starts[k] : ends[k]])
+    return hashes, starts
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word [^space]+ with A-Z folded, its first byte, and where each text's words begin.
+
+    One long text is read in pieces that end at a blank.
+    """
+    n = len(data)
+    found = [(np.zeros(0, U), np.zeros(0, np.int64))]
+    if len(offsets) > 2 or n <= 2 * CHUNK:
+        found.append(_word_hashes(offsets, data) if n else found[0])
+    else:
+        at = 0
+        while at < n:
+            to = min(at + CHUNK, n)
+            if to < n:
+                blanks = np.flatnonzero(_SPACE[data[at:to]])
+                if not len(blanks):  # one word, longer than a piece
+                    while to < n and not (more := np.flatnonzero(_SPACE[data[to : to + CHUNK]])).size:
+                        to = min(to + CHUNK, n)
+                    to += int(more[0]) if to < n else 0
+                    found.append((np.array([_long_hash(data[at:to])], U), np.array([at])))
+                    at = to
+                    continue
+                to = at + int(blanks[-1]) + 1
+            h, s = _word_hashes(np.array([0, to - at]), data[at:to])
+            found.append((h, s + at))
+            at = to
+    hashes, starts = (np.concatenate(x) for x in zip(*found, strict=True))
     return hashes, starts, np.searchsorted(starts, offsets)
 
 

@@ -61,6 +61,58 @@ def test_near_dedup(spark, monkeypatch, square):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("few,salt", [(0, 1), (1000, 1000)])
+def test_near_dedup_of_repeated_ids(spark, monkeypatch, few, salt):
+    """Several texts under one id: each row is linked by its own text, on all ways of joining."""
+    monkeypatch.setattr(minhash, "FEW_IDS", few)
+    monkeypatch.setattr(minhash, "SALT_ROWS", salt)
+    monkeypatch.setattr(minhash, "HEAVY_PARTS", 4 if few == 0 else 1000)
+    rows = near_copies()
+    ids = [i % 40 + 1 for i in range(len(rows))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows, strict=True)], DOCS)
+    by_row = components_of(list(enumerate(t for _, t in rows)))
+    lowest = {}
+    for k, (_, top) in by_row.items():
+        lowest[top] = min(lowest.get(top, ids[k]), ids[k])
+    want = sorted((ids[k], n, lowest[top]) for k, (n, top) in by_row.items())
+    got = minhash.near_dedup(docs).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    kept = sorted(str((r["doc_id"], r["text"])) for r in minhash.keep_first(docs).collect())
+    assert kept == sorted(str((ids[k], t)) for k, (_, t) in enumerate(rows) if ids[k] == lowest[by_row[k][1]])
+
+
+def test_words_whose_polynomials_meet(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2^64; very long texts are cut at blanks."""
+    texts = []
+    for n in (1024, 4096):
+        for a, b in ("ab", "ba"):
+            s = a
+            while len(s) < n:
+                s += s.translate(str.maketrans(a + b, b + a))
+            texts.append(s)
+    docs = spark.createDataFrame([*enumerate(texts, 1), (9, "long text of words " * 40000), (10, "LONG text of words " * 40000 + "end")], DOCS)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(docs).collect()}
+    assert out == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 9: (4, 9), 10: (5, 9)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of exactly 75 of 100 shingles are linked, pairs of 74 are not."""
+    r = random.Random(8)
+    rows, i = [], 1
+    for k in range(300):
+        # two texts share their first words: n shared shingles, m more on either side
+        n, m = (75, 25) if k % 2 else (74, 26)
+        words = [f"{k}_{j}" for j in range(n + 4)]
+        long = words + [f"{k}x{j}" for j in range(m)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(long))]
+        i += 2
+    r.shuffle(rows)
+    out = {x["doc_id"]: x["component_id"] for x in minhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    for k in range(300):
+        first = 2 * k + 1
+        assert (out[first + 1] == first) == bool(k % 2)
+
+
 def test_near_dedup_of_nothing(spark):
     assert minhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
     alone = spark.createDataFrame([(1, "only one text of a few words here")], DOCS)
