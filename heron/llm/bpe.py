@@ -34,6 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from heron.llm.common import pieces
+from heron.session import ship
+
 #: Entries of each of the two tables of recent encodings in a worker.
 HELD = 250_000
 ROWS = 256
@@ -101,33 +104,30 @@ class Codec:
         self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts at one edge of a token (0 left, 1 right), each with the rank that takes it up."""
+        out, end = [], len(self.ids)
+        while True:
+            out.append((token, end))
+            part = self.parts[token][side]
+            if part == token:
+                return out
+            end, token = token, part
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether merging left and right by rank leaves the boundary between them."""
+        """Whether merging left and right by rank leaves the boundary between them.
+
+        A part lives from its own rank until that of the part that takes it up. A merge crosses the
+        boundary if its rank falls in the lives of a part at the right edge of left and of one at the
+        left edge of right. Of merges of one rank the leftmost comes first: the crossing one loses to
+        one inside left and wins over one inside right.
+        """
         key = left, right
         if (known := self.compatible.get(key)) is not None:
             return known
-        limit, fit = len(self.ids), True
-        while True:
-            made = self.pairs.get((left, right))
-            if made is not None and made < limit:
-                fit = False
-                break
-            if left > right:
-                limit = left
-                left = self.parts[left][1]
-                if left == limit:
-                    limit = right + 1
-                    right = self.parts[right][0]
-                    if right + 1 == limit:
-                        break
-            else:
-                limit = right + 1
-                right = self.parts[right][0]
-                if right + 1 == limit:
-                    limit = left
-                    left = self.parts[left][1]
-                    if left == limit:
-                        break
+        get = self.pairs.get
+        over = self.spine(right, 0)
+        fit = not any((m := get((x, y))) is not None and m < x_end and m <= y_end for x, x_end in self.spine(left, 1) for y, y_end in over)
         if len(self.compatible) > HELD:
             self.compatible.clear()
         self.compatible[key] = fit
@@ -244,10 +244,11 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with tokens (array of ids), which takes the place of a column of that name."""
     docs = docs.drop("tokens")
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, at = codec(path), docs_columns.index("text")
-        for batch in batches:
+        for batch in pieces(batches, at):
             for some in range(0, batch.num_rows, ROWS):
                 part = batch.slice(some, ROWS)
                 ids = [np.frombuffer(c.encode_bytes(t or "")[0], "<u4").astype(np.int32) for t in part.column(at).to_pylist()]
@@ -262,6 +263,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (with tokens) with decoded, the text of its tokens."""
     encoded = encoded.drop("decoded")
     columns = encoded.columns
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, at = codec(path), columns.index("tokens")
@@ -275,10 +277,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and tokens) of every text, encoded and decoded in one pass."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for some in range(0, batch.num_rows, ROWS):
                 part = batch.slice(some, ROWS)
                 n, a, b, held = [], [], [], []

@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heron.llm.common import pieces
 from heron.llm.textcodec import chunks, word_hashes
 from heron.llm.training import SAMPLE_ROWS, held_out, labelled_sample
+from heron.session import ship
 
 PASSAGE = 320
 HIDDEN, GATES, STEPS, RATE, DECAY = 16, 8, 250, 0.03, 1e-4
@@ -136,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             s = model.score(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= KEEP_FROM).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
