@@ -20,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
+#: Files of a stored table for each core, at most: each costs a round trip to the store, however small.
+FILES_PER_CORE = 4
+
 #: Tables written by stored() and not deleted yet, and the folder where a local session has none set.
 _written: list[DataFrame] = []
 _own_dir: list[str] = []
@@ -56,11 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cuts lineage: writes a table to the shared folder and reads it back."""
+    """Cuts lineage: writes a table to the shared folder and reads it back.
+
+    Small partitions are written several to a file, one after the other, so they need no more memory.
+    """
     ship(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heron-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
     _written.append(table)
@@ -73,8 +79,8 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._heron_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if table in _written:
-            _written.remove(table)
+    gone = {t._heron_path for t in tables}
+    _written[:] = [t for t in _written if t._heron_path not in gone]
 
 
 def mark() -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import skew_join, stored
+from heron.llm.common import discard, skew_join, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,15 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     total = edges.count()
     while total:
         near = skew_join(edges.withColumnRenamed("b", "doc"), label, ["doc"], total).groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("near"))
-        mine = label.join(near, "doc").select("doc", "cnt", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        mine = stored(mine, "near")
+        mine = stored(label.join(near, "doc").select("doc", "cnt", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "near")
         # a label is a node: follow it once; labels that many nodes hold are few
-        held = stored(mine.groupBy("comp").agg(F.count(F.lit(1)).alias("cnt")), "held")
-        jump = held.join(mine.select(F.col("doc").alias("comp"), F.col("comp").alias("root")), "comp").select("comp", "root", "cnt")
-        step = skew_join(mine.select("doc", "was", "comp", F.col("cnt").alias("degree")), stored(jump, "jump"), ["comp"], mine.count())
+        held = mine.groupBy("comp").agg(F.count(F.lit(1)).alias("cnt"))
+        jump = stored(held.join(mine.select(F.col("doc").alias("comp"), F.col("comp").alias("root")), "comp").select("comp", "root", "cnt"), "jump")
+        step = skew_join(mine.withColumnRenamed("cnt", "degree"), jump, ["comp"], mine.count())
         new = stored(step.select("doc", F.least("comp", "root").alias("comp"), F.col("degree").alias("cnt"), (F.least("comp", "root") != F.col("was")).alias("moved")), "label")
-        moved = not new.filter("moved").isEmpty()
+        discard(label, mine, jump)
         label = new.drop("moved")
-        if not moved:
+        label._heron_path = new._heron_path
+        if new.filter("moved").isEmpty():
             break
     return label.select("doc", "comp")
