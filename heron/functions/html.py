@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heron import rules
 from heron.exprs import any_match, first_match
+from heron.functions.media import LAZY_ATTRIBUTES
 
 #: DuckDB form of visible().
 SQL_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
@@ -47,16 +48,22 @@ def images(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
 
 
-def lazy_source(tag: Column, attributes: tuple[str, ...] = ("data-src", "data-lazy", "data-original", "data-lazy-src", "data-bg")) -> Column:
+def lazy_source(tag: Column, attributes: list[str] = LAZY_ATTRIBUTES) -> Column:
     """First lazy-loading attribute that holds a link, else src."""
     links = [F.when(attribute(tag, a).rlike("^(http|/|data:)"), attribute(tag, a)) for a in attributes]
     return F.coalesce(*links, attribute(tag, "src"))
 
 
 def dimension(value: Column) -> Column:
-    """Positive whole number of the digits of an attribute, else null."""
-    n = F.try_to_number(F.regexp_replace(value, r"[^\d]", ""), F.lit("9999999999")).cast("long")
-    return F.when(n > 0, n)
+    """Whole number that an attribute is, else null: a unit makes it none."""
+    return F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("long"))
+
+
+def sides(tag: Column) -> Column:
+    """Struct of both sides in pixels, also where they are written with a unit; null unless both are positive."""
+    digits = lambda a: F.regexp_replace(attribute(tag, a), r"[^\d]", "").try_cast("long")
+    w, h = digits("width"), digits("height")
+    return F.when((w > 0) & (h > 0), F.struct(w.alias("width"), h.alias("height")))
 
 
 def image_kind(src: Column, alt: Column, width: Column, height: Column, kinds: dict[str, list[str]] = rules.IMAGE_KINDS) -> Column:
@@ -66,8 +73,10 @@ def image_kind(src: Column, alt: Column, width: Column, height: Column, kinds: d
 
 
 def decorative(src: Column, alt: Column, width: Column, height: Column) -> Column:
-    tiny = (width <= 3) | (height <= 3)
-    small = (width <= 50) & (height <= 50) & (F.coalesce(alt, F.lit("")) == "")
+    """Decorates only: by name, or by size where both sides are known and not 0."""
+    sized = (width != 0) & (height != 0)
+    tiny = sized & (width <= 3) & (height <= 3)
+    small = sized & (width <= 50) & (height <= 50) & (F.coalesce(alt, F.lit("")) == "")
     return F.coalesce(any_match(F.lower(F.concat_ws(" ", src, alt)), rules.DECORATIVE), F.lit(False)) | F.coalesce(tiny, F.lit(False)) | F.coalesce(small, F.lit(False))
 
 

@@ -26,10 +26,11 @@ def language(code: Column, rules: list[tuple[str, str, float]] = LANGUAGES) -> C
     return F.when(F.length(code) >= 10, F.when(best.isNotNull(), F.struct(best["language"].alias("language"), best["confidence"].alias("confidence"))))
 
 
-def numbered_lines_removed(code: Column) -> Column:
-    """Code without leading line numbers, unless that would lose over half of it."""
-    bare = F.array_join(F.transform(F.split(code, "\n"), lambda s: F.regexp_replace(s, r"^\s*\d+[:|.]?\s", "")), "\n")
-    return F.when(F.length(bare) * 2 >= F.length(code), bare).otherwise(code)
+def cleaned(code: Column) -> Column:
+    """Struct (code, truncated): code without leading line numbers, unless that takes over half of it; ends in an ellipsis."""
+    bare = F.array_join(F.transform(F.split(code, "\n"), lambda s: F.regexp_replace(s, r"^\s*\d+[\s:]+", "")), "\n")
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.struct(trim(F.when(F.length(bare) * 2 < F.length(code), code).otherwise(bare)).alias("code"), trim(code).rlike(r"\.\.\.$|…$|# \.\.\.|// \.\.\.").alias("truncated"))
 
 
 def items(html: Column) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron import rules
-from heron.exprs import Registry, quoted, sql_match
+from heron.exprs import Registry, any_match, labels_where, quoted, sql_match
 from heron.functions import html as H
 from heron.functions import urls
-from heron.plans.urls import HOST, P, pages
+from heron.plans.urls import HOST, P, sql_label, pages
 
 R = Registry()
 
@@ -60,9 +60,9 @@ PORTALS = {"english": ["/en"], "numbered": ["[0-9]{3}"], "french": ["/fr", "fr-?
 
 @R.add("link_portals", " union all ".join(f"select page_id, {quoted(n)} as portal, count(*) as n from {LINKS} where {sql_match('lower(href)', ps)} or {sql_match('lower(text)', ps)} group by page_id" for n, ps in PORTALS.items()))
 def link_portals(spark, sf_dir):
-    """Anchors by portal rule: the rule table is a few rows, broadcast by its literal size."""
-    table = spark.createDataFrame([(n, "|".join(f"(?:{p})" for p in ps)) for n, ps in PORTALS.items()], "portal string, pattern string")
-    return links(spark, sf_dir).join(F.broadcast(table), F.expr("lower(href) rlike pattern or lower(text) rlike pattern")).groupBy("page_id", "portal").agg(F.count(F.lit(1)).alias("n"))
+    """Anchors by portal rule; each rule is a literal pattern, so nothing is joined."""
+    held = labels_where((n, any_match(F.lower("href"), ps) | any_match(F.lower("text"), ps)) for n, ps in PORTALS.items())
+    return links(spark, sf_dir).select("page_id", F.explode(held).alias("portal")).groupBy("page_id", "portal").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Feature, URL patterns, text patterns and priority: fitted to the synthetic anchors.
@@ -76,23 +76,23 @@ def _hint_rows() -> str:
 @R.add("link_hints", f"with l as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as sub, row_number() over () as ofs from {LINKS}) select page_id, sub as subtree, feature, priority from (select *, row_number() over (partition by page_id, sub order by rule) as r from ({_hint_rows()}) where sub <> '') where r = 1")
 def link_hints(spark, sf_dir):
     """Subtrees worth a deeper look: the first rule that names a subtree wins."""
-    rows = [(i, f, "|".join(f"(?:{x})" for x in u), "|".join(f"(?:{x})" for x in t) or "(?!)", p) for i, (f, u, t, p) in enumerate(HINTS)]
-    table = spark.createDataFrame(rows, "rule int, feature string, in_url string, in_text string, priority int")
-    hit = links(spark, sf_dir).withColumn("subtree", urls.path(F.col("url"))).filter("subtree <> ''").join(F.broadcast(table), F.expr("lower(url) rlike in_url or lower(text) rlike in_text"))
-    first = Window.partitionBy("page_id", "subtree").orderBy("rule", "pos")
-    return hit.withColumn("r", F.row_number().over(first)).filter("r = 1").select("page_id", "subtree", "feature", "priority")
+    found = [F.when(any_match(F.lower("url"), u) | (any_match(F.lower("text"), t) if t else F.lit(False)), F.struct(F.lit(i).alias("rule"), F.lit(f).alias("feature"), F.lit(p).alias("priority"))) for i, (f, u, t, p) in enumerate(HINTS)]
+    hit = links(spark, sf_dir).withColumn("subtree", urls.path(F.col("url"))).filter("subtree <> ''").select("page_id", "subtree", F.coalesce(*found).alias("h")).filter("h is not null")
+    return hit.groupBy("page_id", "subtree").agg(F.min("h").alias("h")).select("page_id", "subtree", "h.feature", "h.priority")
 
 
-EXPECTED = ["the", "of", "zebra"]
+EXPECTED = ["the", "of", "zebra", "andante"]
 
 
-@R.add("nav_coverage", f"""select host, expected, arg_min(text, (tier, page_id, ofs)) as label, min(tier) as tier from (select host, page_id, ofs, text, expected, case when contains(lower(text), expected) then 1 when contains(n, expected) or contains(expected, n) then 2 end as tier from
- (select *, lower(trim(text)) as n, row_number() over (partition by page_id) as ofs from {ANCHORS} where text <> ''), (select unnest([{', '.join(map(quoted, EXPECTED))}]) as expected)) where tier is not null and tier = 1 group by all having true""".replace("group by all having true", "group by host, expected").replace("arg_min(text, (tier, page_id, ofs))", "min(text)"))
+@R.add("nav_coverage", f"""select host, expected, tier, min(text) as label from (select *, min(tier) over (partition by host, expected) as best from (select host, text, expected, case when contains(lower(text), expected) then 1 when contains(n, expected) or (n <> '' and contains(expected, n)) then 2 end as tier from
+ (select host, text, {sql_label('text')} as n from {ANCHORS} where text <> ''), (select unnest([{', '.join(map(quoted, EXPECTED))}]) as expected)) where tier is not null) where tier = best group by all""")
 def nav_coverage(spark, sf_dir):
-    """Expected sections found among a site's labels directly: the first label in order of name."""
-    expected = F.explode(F.array(*map(F.lit, EXPECTED)))
-    hit = links(spark, sf_dir).filter("text <> ''").select("host", "text", expected.alias("expected")).filter(F.contains(F.lower("text"), F.col("expected")))
-    return hit.groupBy("host", "expected").agg(F.min("text").alias("label"), F.min(F.lit(1)).alias("tier"))
+    """Expected sections among a site's labels: found directly, else in or around a normalised label; the first label in order of name."""
+    x, n = F.col("expected"), urls.nav_label(F.col("text"))
+    labels = links(spark, sf_dir).filter("text <> ''").select("host", "text", n.alias("n")).distinct().withColumn("expected", F.explode(F.array(*map(F.lit, EXPECTED))))
+    tier = F.when(F.contains(F.lower("text"), x), 1).when(F.contains("n", x) | ((F.col("n") != "") & F.contains(x, F.col("n"))), 2)
+    best = labels.withColumn("tier", tier).filter("tier is not null").groupBy("host", "expected").agg(F.min(F.struct("tier", "text")).alias("m"))
+    return best.select("host", "expected", "m.tier", F.col("m.text").alias("label"))
 
 
 @R.add("nav_sections", f"select expected, label, method from (select e as expected, label, method, row_number() over (partition by e order by tier, pos) as r from (select e, label, pos, case when contains(lower(label), e) then 1 when contains(n, e) or contains(e, n) then 2 when s = e then 3 end as tier, case tier when 1 then 'direct' when 2 then 'normalized' when 3 then 'synonym' end as method from (values (1, 'Our Services', 'services', 'services'), (2, 'Who We Are', 'who we are', 'about'), (3, 'View All Tools', 'tools', 'resources'), (4, 'Tech', 'tech', 'technology')) as t(pos, label, n, s), (select unnest([{', '.join(map(quoted, rules.EXPECTED_SECTIONS))}]) as e)) where tier is not null) where r = 1")
@@ -106,23 +106,28 @@ def nav_sections(spark, sf_dir):
     return best.select("expected", "m.label", F.element_at(F.array(F.lit("direct"), F.lit("normalized"), F.lit("synonym")), F.col("m.tier")).alias("method"))
 
 
-IMAGES = """(values (1, '<img src="/a/logo.png" alt="Acme" width="120" height="40">'), (2, '<img data-src="https://x.org/photo.jpg" src="" width="800px" height="600">'), (3, '<img src=''/spacer.gif'' width="1" height="1">'), (4, '<img src="/i/icon-cart.svg" alt="Cart">'), (5, '<img src="/x.png" alt="" width="40" height="40">'), (6, '<img src="/flow-chart.png" alt="Flow" width="x" height="300">')) as t(id, tag)"""
+# Cases of source, size and name, with the page's number for {n}.
+IMAGES = [
+    ('<img src="/a{n}/logo.png" alt="Acme" width="120" height="40">', "/a{n}/logo.png", 120, 40, "logo", False), ('<img data-src="https://x.org/photo{n}.jpg" src="" width="800px" height="600">', "https://x.org/photo{n}.jpg", None, 600, "unknown", False),
+    ("<img src='/spacer.gif' width='1' height='1'>", "/spacer.gif", 1, 1, "unknown", True), ('<img src="/i/icon-cart.svg" alt="Cart">', "/i/icon-cart.svg", None, None, "icon", True),
+    ('<img src="/x.png" alt="" width="40" height="40">', "/x.png", 40, 40, "unknown", True), ('<img src="/flow-chart.png" alt="Flow" width="x" height="300">', "/flow-chart.png", None, 300, "diagram", False),
+    ('<img src="/rule{n}.png" alt="rule" width="600" height="2">', "/rule{n}.png", 600, 2, "unknown", False), ('<img data-background="/bg{n}.jpg" src="/blank.gif" width=" 640 " height="480">', "/bg{n}.jpg", 640, 480, "photo", False), ('<img src="/y.png" width="0" height="3">', "/y.png", 0, 3, "unknown", False),
+]
 
 
-def _sql_attr(name: str) -> str:
-    return rf"case when regexp_matches(tag, '(?is)\s{name}\s*=\s*[\x22\x27]') then coalesce(nullif(regexp_extract(tag, '(?is)\s{name}\s*=\s*\x22([^\x22]*)\x22', 1), ''), regexp_extract(tag, '(?is)\s{name}\s*=\s*\x27([^\x27]*)\x27', 1)) end"
+def _sql_images() -> str:
+    put = lambda v: "null" if v is None else f"replace({quoted(v)}, '{{n}}', page_id::varchar)" if isinstance(v, str) else str(v).lower()
+    return " union all ".join(f"select page_id, {i} as pos, " + ", ".join(f"{put(v)} as {c}" for c, v in zip(("src", "width", "height", "kind", "decorative"), row, strict=True)) + " from pages" for i, (_, *row) in enumerate(IMAGES))
 
 
-NAMED = "lower(concat_ws(' ', src, alt))"
-
-
-@R.add("image_kinds", f"""select id, src, width, height, coalesce(case {' '.join(f"when {sql_match(NAMED, ps)} then {quoted(k)}" for k, ps in rules.IMAGE_KINDS.items())} end, case when width > 200 and height > 200 then 'photo' end, 'unknown') as kind, coalesce({sql_match(NAMED, rules.DECORATIVE)}, false) or coalesce(width <= 3 or height <= 3, false) or coalesce(width <= 50 and height <= 50 and coalesce(alt, '') = '', false) as decorative from
- (select id, coalesce(case when regexp_matches(lazy, '^(http|/|data:)') then lazy end, plain) as src, alt, try_cast(nullif(regexp_replace(w, '\\D', '', 'g'), '') as bigint) as width, try_cast(nullif(regexp_replace(h, '\\D', '', 'g'), '') as bigint) as height from (select id, {_sql_attr('data-src')} as lazy, {_sql_attr('src')} as plain, {_sql_attr('alt')} as alt, {_sql_attr('width')} as w, {_sql_attr('height')} as h from {IMAGES}))""")
+@R.add("image_kinds", _sql_images())
 def image_kinds(spark, sf_dir):
-    tags = spark.sql(f"select * from {IMAGES}").withColumn("tag", F.explode(H.images(F.col("tag"))))
-    rows = tags.select("id", H.lazy_source(F.col("tag")).alias("src"), H.attribute(F.col("tag"), "alt").alias("alt"), H.dimension(H.attribute(F.col("tag"), "width")).alias("width"), H.dimension(H.attribute(F.col("tag"), "height")).alias("height"))
+    """Source, size and kind of images planted in every page, without a tree; the SQL holds what they must be."""
+    html = F.concat(F.replace(F.lit("".join(t for t, *_ in IMAGES)), F.lit("{n}"), F.col("page_id").cast("string")), F.coalesce("html", F.lit("")))
+    tags = pages(spark, sf_dir).select("page_id", F.posexplode(H.images(html)).alias("pos", "tag"))
+    rows = tags.select("page_id", "pos", H.lazy_source(F.col("tag")).alias("src"), H.attribute(F.col("tag"), "alt").alias("alt"), H.dimension(H.attribute(F.col("tag"), "width")).alias("width"), H.dimension(H.attribute(F.col("tag"), "height")).alias("height"))
     c = [F.col(x) for x in ("src", "alt", "width", "height")]
-    return rows.select("id", "src", "width", "height", H.image_kind(*c).alias("kind"), H.decorative(*c).alias("decorative"))
+    return rows.select("page_id", "pos", "src", "width", "height", H.image_kind(*c).alias("kind"), H.decorative(*c).alias("decorative"))
 
 
 @R.add("page_projection", f"select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, {H.SQL_VISIBLE} as text, substr(sha256(trim(regexp_replace(html, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g'))), 1, 16) as content_hash from pages")

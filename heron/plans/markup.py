@@ -6,51 +6,23 @@ from pyspark.sql import functions as F
 
 from heron.exprs import Registry, quoted
 from heron.functions import markup as M
-from heron.functions import tree
+from heron.functions import html as H
+from heron.functions import records
 from heron.plans.urls import pages
 
 R = Registry()
 
 
-@R.add("html_blocks")
-def html_blocks(spark, sf_dir):
-    """All blocks of all pages from one parse each."""
-    return tree.blocks(pages(spark, sf_dir))
-
-
-@R.add("html_block_counts")
-def html_block_counts(spark, sf_dir):
-    return tree.blocks(pages(spark, sf_dir)).groupBy("kind", "region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
-
-
 @R.add("html_anchor_blocks", r"select page_id, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\x22[^\x22]+\x22[^>]*>.*?</a>')) as tag from pages) group by page_id")
 def html_anchor_blocks(spark, sf_dir):
-    """Anchors found by the tree walk; the oracle finds them by pattern."""
-    return tree.blocks(pages(spark, sf_dir)).filter("name = 'a'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@R.add("html_sections")
-def html_sections(spark, sf_dir):
-    """Headings with the blocks under them, as adjacency rows."""
-    b = tree.blocks(pages(spark, sf_dir)).filter("kind in ('heading', 'text', 'list', 'image', 'code')")
-    heads = b.filter("kind = 'heading'").select("page_id", F.col("pos").alias("parent"), F.col("text").alias("heading"), F.col("level").alias("heading_level"))
-    return b.filter("kind <> 'heading'").join(heads, ["page_id", "parent"], "left").groupBy("page_id", "parent", "heading", "heading_level").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
-
-
-@R.add("html_main_text")
-def html_main_text(spark, sf_dir):
-    return tree.main_texts(pages(spark, sf_dir)).withColumn("words", F.regexp_count("text", F.lit(r"\S+")))
-
-
-PAGE_FIXTURE = """<html><head><title>Acme</title><meta property="og:image" content="/og.png"></head><body><header><nav><a href="/a">Alpha</a></nav></header><div class="hero-box"><h1>Move freight</h1><p>A paragraph long enough to count here.</p></div>
-<main><h2>Code</h2><pre class="language-python">1 import os
-2 print(os)</pre><form action="/search"><input name="q"><input type="hidden" name="h"></form><form action="/x"><input type="password" name="p"></form><a class="btn" href="/go">Go</a><div style="background: url('/bg.jpg')"></div></main><footer><a href="/legal.pdf">Legal</a></footer></body></html>"""
+    """Anchors of the element tree; the oracle finds them by pattern."""
+    return records.anchor_counts(pages(spark, sf_dir)).filter("n > 0").select("page_id", "n")
 
 
-@R.add("html_fixture")
-def html_fixture(spark, sf_dir):
-    """A page with every kind of block."""
-    return tree.blocks(spark.createDataFrame([(1, PAGE_FIXTURE)], "page_id long, html string"))
+@R.add("html_body_words", rf"select page_id, len(regexp_extract_all({H.SQL_VISIBLE.replace("coalesce(html, '')", "regexp_replace(html, '(?is)^.*?<body[^>]*>', '')")}, '\S+')) as words from pages")
+def html_body_words(spark, sf_dir):
+    """Words of the element tree's body; the oracle strips tags by pattern."""
+    return records.anchor_counts(pages(spark, sf_dir)).select("page_id", "words")
 
 
 LD = [

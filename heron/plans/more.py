@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from heron import rules
 from heron.exprs import Registry, quoted, sql_any, sql_labels, sql_match
 from heron.functions import detect as D
 from heron.functions import html as H
+from heron.functions import media
 from heron.functions import markup as M
 from heron.functions import text as T
-from heron.functions import tree, urls
+from heron.functions import urls
 from heron.plans.access import OUTCOME, outcome, read
 from heron.plans.links import ANCHORS, links
-from heron.plans.markup import LD, PAGE_FIXTURE, ROBOTS, XML
-from heron.plans.text import SAMPLES, SENTENCES, documents, samples
+from heron.plans.markup import LD, ROBOTS, XML
+from heron.plans.text import SENTENCES, TOLD, documents, told
 from heron.plans.urls import PRODUCTS, P, pages
-from heron.sources import sinks
 
 R = Registry()
 
@@ -97,32 +98,6 @@ def homepage_probe(spark, sf_dir):
     return p.groupBy("page_id").agg(F.count(h).alias("links"), F.count_distinct(h).alias("distinct_links"), F.max(F.when(h.isNotNull(), depth)).cast("long").alias("depth"), F.bool_or(F.lower("html").rlike("cookie-consent|gdpr")).alias("cookie_banner"), F.bool_or(F.lower(h).rlike("/login|/account")).alias("login"))
 
 
-def _fixture(spark):
-    return tree.blocks(spark.createDataFrame([(1, PAGE_FIXTURE)], "page_id long, html string"))
-
-
-@R.add("asset_inventory", "select * from (values ('image', '/og.png', 'decorative'), ('image', '/bg.jpg', 'decorative'), ('document', '/legal.pdf', 'document')) as t(asset_type, url, classification)")
-def asset_inventory(spark, sf_dir):
-    """Images and documents of a page, each address once, the first place wins."""
-    b = _fixture(spark)
-    images = b.filter("kind = 'image'").select("page_id", "pos", F.lit("image").alias("asset_type"), "url", H.asset_kind(F.col("text"), F.col("region"), F.col("url")).alias("classification"))
-    files = b.filter("name = 'a'").filter(F.lower("url").rlike(r"\.(pdf|docx?|xlsx?|pptx?)$")).select("page_id", "pos", F.lit("document").alias("asset_type"), "url", F.lit("document").alias("classification"))
-    first = Window.partitionBy("page_id", "url").orderBy("pos")
-    return images.unionByName(files).withColumn("r", F.row_number().over(first)).filter("r = 1").select("asset_type", "url", "classification")
-
-
-@R.add("page_as_text", "select 1::bigint as page_id, 9 as lines")
-def page_as_text(spark, sf_dir):
-    """A page as text under region banners, lines counted."""
-    text = sinks.as_text(_fixture(spark).filter("kind in ('title', 'nav', 'heading', 'text', 'form', 'cta', 'link')"))
-    return text.select("page_id", F.size(F.split("text", "\n")).alias("lines"))
-
-
-@R.add("page_as_json")
-def page_as_json(spark, sf_dir):
-    return sinks.as_json(tree.blocks(pages(spark, sf_dir)))
-
-
 BUCKETS = {"drivers": ["cdl", "driver"], "owner_operators": ["owner operator", "lease"], "shippers": ["quote", "shipper"]}
 
 
@@ -135,30 +110,30 @@ def _snippets(text: Column, bucket: str, keywords: list[str]) -> Column:
     return F.transform(F.slice(F.array_distinct(T.sentences_with(text, keywords)), 1, 6), lambda s: F.struct(F.lit(bucket).alias("bucket"), s.alias("snippet")))
 
 
-SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
-
-
-@R.add("page_buckets", " union all ".join(f"select id, {quoted(b)} as bucket, s as snippet from (select id, unnest({SENT}) as s from {SAMPLES}) where {' or '.join(f'contains(lower(s), {quoted(k)})' for k in ks)}" for b, ks in BUCKETS.items()))
+@R.add("page_buckets", " union all ".join(f"select doc_id, {quoted(b)} as bucket, unnest(list_distinct(list_filter({SENTENCES}, lambda x: {sql_any('lower(x)', ks)})[1:5])) as snippet from {TOLD}" for b, ks in BUCKETS.items()))
 def page_buckets(spark, sf_dir):
-    return samples(spark).select("id", F.explode(buckets(F.col("text"))).alias("b")).select("id", "b.*")
-
-
-@R.add("page_buckets_all", " union all ".join(f"select doc_id, {quoted(b)} as bucket, unnest(list_distinct(list_filter({SENTENCES}, lambda x: {sql_any('lower(x)', ks)})[1:5])) as snippet from documents" for b, ks in BUCKETS.items()))
-def page_buckets_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.explode(buckets(F.col("text"))).alias("b")).select("doc_id", "b.*")
+    return told(spark, sf_dir).select("doc_id", F.explode(buckets(F.col("text"))).alias("b")).select("doc_id", "b.*")
 
 
 @R.add("enriched_pages")
 def enriched_pages(spark, sf_dir):
     """Everything the text functions say of a text, as one record a document."""
     t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
+    return told(spark, sf_dir).select("doc_id", T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
+
 
+_MATCHES = " + ".join(f"len(regexp_extract_all(text, {quoted('(?i)' + p)}))" for p, _ in rules.MONEY)
+_DATED = " + ".join(f"len(regexp_extract_all(text, {quoted('(?i)' + p)}))" for p in rules.DATES)
+_GROUPED = " + ".join(f"cast({sql_any('lower(text)', ks)} as int)" for ks in rules.COMPENSATION.values())
+_URGENT = " or ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in rules.URGENCY)
 
-@R.add("enriched_summary")
+
+@R.add("enriched_summary", f"select source, count(*) as pages, sum({_MATCHES})::bigint as amounts, sum({_DATED})::bigint as dates, count(*) filter (where {_URGENT}) as urgent, sum({_GROUPED})::bigint as groups from {TOLD} t join (select doc_id, source from documents) d using (doc_id) group by source")
 def enriched_summary(spark, sf_dir):
-    e = enriched_pages(spark, sf_dir)
-    return e.agg(F.sum(F.size("money")).alias("amounts"), F.count_if(F.size("urgency") > 0).alias("urgent"), F.sum(F.size(F.map_keys("keywords"))).alias("groups"), F.sum(F.size("locations")).alias("locations"))
+    """Amounts, dates, urgent pages and pay groups of each source."""
+    e = enriched_pages(spark, sf_dir).select("doc_id", F.size("money").alias("money"), F.size("dates").alias("dates"), (F.size("urgency") > 0).alias("urgent"), F.size(F.map_keys("keywords")).alias("groups"))
+    by = e.join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source")
+    return by.agg(F.count(F.lit(1)).alias("pages"), F.sum("money").alias("amounts"), F.sum("dates").alias("dates"), F.count_if("urgent").alias("urgent"), F.sum("groups").alias("groups"))
 
 
 MORE_LD = [
@@ -223,23 +198,22 @@ def sites_selected(spark, sf_dir):
     return s.unionByName(spark.range(4242, 4243).select(F.col("id").alias("c_custkey"))).distinct()
 
 
-@R.add("code_classes", "select * from (values ('language-python', 'python'), ('hljs lang-js', 'js'), ('plain', null)) as t(class, language)")
-def code_classes(spark, sf_dir):
-    """Language that a class names."""
-    c = spark.createDataFrame([("language-python",), ("hljs lang-js",), ("plain",)], "class string")
-    found = F.regexp_extract("class", r"(?i)(?:^|\s)(?:language|lang)-([a-z0-9+#]+)", 1)
-    return c.select("class", F.when(found != "", F.lower(found)).alias("language"))
+CLASSES = [("language-python", "python", 1.0), ("hljs lang-js", "javascript", 1.0), ("highlight-source-rb", "ruby", 1.0), ("yml-code", "yaml", 0.9), ("hljs golang", "go", 0.9), ("prism-sh", "bash", 0.9), ("brush: plain", "text", 0.8), ("syntax-kt", "kotlin", 0.8), ("code-md", "markdown", 0.7), ("plain", None, None)]
 
 
-@R.add("backoff_and_expiring", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events where event_id % 10 = 0")
-def backoff_and_expiring(spark, sf_dir):
-    return backoff_and_expiring_all(spark, sf_dir).filter("event_id % 10 = 0")
+@R.add("code_classes", "select * from (values " + ", ".join(f"({quoted(c)}, {quoted(n)}, {'null' if x is None else x}::double)" for c, n, x in CLASSES) + ") as t(class, language, confidence)")
+def code_classes(spark, sf_dir):
+    """Language that a class names, with how sure that is."""
+    c = spark.createDataFrame([(c,) for c, *_ in CLASSES], "class string")
+    found = [F.when(F.col("class").rlike(f"(?i){p}"), F.struct(F.lower(F.regexp_extract("class", f"(?i){p}", 1)).alias("language"), F.lit(x).alias("confidence"))) for p, x in media.LANGUAGE_CLASSES]
+    names = F.create_map(*(F.lit(x) for kv in media.ALIASES.items() for x in kv))
+    best = c.select("class", F.coalesce(*found).alias("f"))
+    return best.select("class", F.coalesce(names[F.col("f.language")], F.col("f.language")).alias("language"), "f.confidence")
 
 
-@R.add("backoff_and_expiring_all", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events")
-def backoff_and_expiring_all(spark, sf_dir):
-    """Of every event; backoff_and_expiring is the tenth of it that its SQL names."""
+@R.add("backoff_and_expiring", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events")
+def backoff_and_expiring(spark, sf_dir):
+    """Delay before the next attempt, without its random part, and whether a cookie expires within a week."""
     n = F.col("event_id")
     e = n * 7919 % 40000000 - 500000
     return read(spark, sf_dir, "events").select("event_id", D.backoff(F.lit(3.0), n % 8).alias("delay"), e.between(0, 604800).alias("expiring"))
-

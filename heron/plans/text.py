@@ -28,6 +28,17 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The sentences of SAMPLES in order of id, and DuckDB SQL of told().
+SENTENCES_TOLD = re.findall(r"\(\d, '([^']*)'\)", SAMPLES)
+TOLD = "(select doc_id, coalesce(text, '') || chr(10) || case doc_id % 6 " + " ".join(f"when {k} then {quoted(t)}" for k, t in enumerate(SENTENCES_TOLD)) + " end as text from documents)"
+
+
+def told(spark, sf_dir):
+    """doc_id, text: every whole document, with one of the six sentences after it, as the invented prose names no pay, dates or places."""
+    sentence = F.element_at(F.array(*map(F.lit, SENTENCES_TOLD)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"))
+
+
 W = r"[\p{L}\p{N}_]"
 
 
@@ -49,14 +60,9 @@ def text_term_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(T.term_counts(F.col("text"), rules.SYNTHETIC_TERMS)).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
 
 
-@R.add("text_term_counts_packed", f"select id, x.term as term, x.n as n from (select id, unnest({_sql_counts('lower(text)', rules.TERMS)}) as x from {SAMPLES})")
+@R.add("text_term_counts_packed", f"select doc_id, x.term as term, x.n as n from (select doc_id, unnest({_sql_counts('lower(text)', rules.TERMS)}) as x from {TOLD})")
 def text_term_counts_packed(spark, sf_dir):
-    return samples(spark).select("id", F.explode(T.term_counts(F.col("text"))).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
-
-
-@R.add("text_term_counts_packed_all", f"select doc_id, x.term as term, x.n as n from (select doc_id, unnest({_sql_counts('lower(text)', rules.TERMS)}) as x from documents)")
-def text_term_counts_packed_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.explode(T.term_counts(F.col("text"))).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
+    return told(spark, sf_dir).select("doc_id", F.explode(T.term_counts(F.col("text"))).alias("term", "n")).withColumn("n", F.col("n").cast("long"))
 
 
 ASCII = f"list_filter(regexp_extract_all(text, '{W}+'), lambda w: regexp_matches(w, '^[A-Za-z]+$'))"
@@ -88,51 +94,39 @@ def text_similarity(spark, sf_dir):
     return both.select("item_id", "doc_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
 
 
-@R.add("text_money")
-def text_money(spark, sf_dir):
-    found = samples(spark).select("id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m"))
-    return found.select("id", "pos", "m.*", F.round(T.mention_confidence(F.col("m"), F.col("text")), 4).alias("confidence"))
-
-
-@R.add("text_money_dedup")
-def text_money_dedup(spark, sf_dir):
-    """Of mentions equal but for case and blanks, the one with the longest context, the first of equals; likely pay only."""
-    from pyspark.sql import Window
-
-    found = samples(spark).select("id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m")).filter(T.mention_confidence(F.col("m"), F.col("text")) >= 0.4)
-    best = Window.partitionBy("id", F.lower(F.trim("m.raw")), "m.unit").orderBy(F.desc(F.length("m.context")), "pos")
-    return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", "m.raw", "m.unit", "m.amount")
-
-
 def _sql_amount(raw: str, unit: str) -> str:
-    low = f"lower({raw})"
-    digits = f"regexp_replace(regexp_replace({low}, '[,$%]', '', 'g'), '\\s*(cpm|per mile|/mile|/hr|per hour|/hour|cents?|¢|k|thousand|million|m)\\s*', '', 'g')"
+    low, words = f"lower({raw})", "|".join(map(re.escape, T.UNIT_WORDS))
+    number = f"try_cast(nullif(regexp_extract(regexp_replace({low}, '[,$%]', '', 'g'), '^\\s*([\\d.]+)\\s*(?:(?:{words})\\s*)*$', 1), '') as double)"
     times = f"case when contains({low}, 'k') or contains({low}, 'thousand') then 1000 when contains({low}, 'million') or ends_with({low}, 'm') then 1e6 else 1 end"
-    return f"try_cast({digits} as double) * {times} / case when {unit} = 'per_mile' and contains({low}, 'cent') then 100 else 1 end"
+    return f"{number} * {times} / case when {unit} = 'per_mile' and contains({low}, 'cent') then 100 else 1 end"
+
 
+def sql_mentions(patterns: list[tuple[str, str]], around: int) -> str:
+    """row, doc_id, text, pos, unit, raw, context of mentions: one begins after the pieces and the mentions before it."""
+    starts = "list_sum(list_transform(s[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(r[1:i - 1], lambda v: len(v))), 0)"
+    found = " union all ".join(f"select *, unnest(range(1, len(r) + 1)) as i from (select *, {k} as k, {quoted(unit)} as unit, regexp_extract_all(text, {quoted('(?i)' + p)}) as r, string_split_regex(text, {quoted('(?i)' + p)}) as s from (select row_number() over () as row, doc_id, text from {TOLD}))" for k, (p, unit) in enumerate(patterns))
+    placed = f"select row, doc_id, text, k, i, unit, r[i] as raw, cast({starts} as bigint) as start from ({found})"
+    return f"(select row, doc_id, text, unit, raw, row_number() over (partition by row order by k, i) - 1 as pos, regexp_replace(substr(text, greatest(0, start - {around}) + 1, start + len(raw) + {around} - greatest(0, start - {around})), '^\\s+|\\s+$', '', 'g') as context from ({placed}))"
 
-# A mention begins after the pieces and the mentions before it.
-_STARTS = "list_sum(list_transform(s[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(r[1:i - 1], lambda v: len(v))), 0)"
-_FOUND = " union all ".join(f"select *, unnest(range(1, len(r) + 1)) as i from (select *, {k} as k, {quoted(unit)} as unit, regexp_extract_all(text, {quoted('(?i)' + p)}) as r, string_split_regex(text, {quoted('(?i)' + p)}) as s from d)" for k, (p, unit) in enumerate(rules.MONEY))
-SQL_MONEY = f"""with d as (select row_number() over () as row, doc_id, text from documents), f as (select row, doc_id, text, k, i, unit, r[i] as raw, cast({_STARTS} as bigint) as start from ({_FOUND})),
- m as (select *, row_number() over (partition by row order by k, i) - 1 as pos, {_sql_amount('raw', 'unit')} as amount, regexp_replace(substr(text, greatest(0, start - 50) + 1, start + len(raw) + 50 - greatest(0, start - 50)), '^\\s+|\\s+$', '', 'g') as context from f),
+
+SQL_MONEY = f"""with m as (select *, {_sql_amount('raw', 'unit')} as amount from {sql_mentions(rules.MONEY, 50)}),
  c as (select *, least(1.0, greatest(0.0, 0.5::double + {sql_count('lower(context)', rules.CONTEXT_FOR)} * 0.1::double - {sql_count('lower(context)', rules.CONTEXT_AGAINST)} * 0.15::double + case when {sql_count('lower(text)', rules.CONTEXT_FOR)} > 5 then 0.1::double else 0 end + case when unit in ('per_mile', 'per_hour') then 0.2::double else 0 end + case when amount >= 1000 then 0.1::double else 0 end)) as sure from m)"""
 
 
-@R.add("text_money_all", f"{SQL_MONEY} select doc_id, cast(pos as int) as pos, raw, unit, amount, context, round(sure, 4) as confidence from c")
-def text_money_all(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m"))
+@R.add("text_money", f"{SQL_MONEY} select doc_id, cast(pos as int) as pos, raw, unit, amount, context, round(sure, 4) as confidence from c")
+def text_money(spark, sf_dir):
+    found = told(spark, sf_dir).select("doc_id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m"))
     return found.select("doc_id", "pos", "m.*", F.round(T.mention_confidence(F.col("m"), F.col("text")), 4).alias("confidence"))
 
 
-@R.add("text_money_dedup_all", f"{SQL_MONEY} select doc_id, raw, unit, amount from (select *, row_number() over (partition by row, lower(trim(raw)), unit order by len(context) desc, pos) as place from c where sure >= 0.4) where place = 1")
-def text_money_dedup_all(spark, sf_dir):
-    """text_money_dedup of every document; texts under one id are told apart."""
-    from pyspark.sql import Window
-
-    found = documents(spark, sf_dir).select("doc_id", "text", F.posexplode(T.money(F.col("text"))).alias("pos", "m")).filter(T.mention_confidence(F.col("m"), F.col("text")) >= 0.4)
-    best = Window.partitionBy("doc_id", "text_key", F.lower(F.trim("m.raw")), "m.unit").orderBy(F.desc(F.length("m.context")), "pos")
-    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "pos", "m").withColumn("r", F.row_number().over(best)).filter("r = 1").select("doc_id", "m.raw", "m.unit", "m.amount")
+@R.add("text_money_dedup", f"{SQL_MONEY} select doc_id, raw, unit, amount from (select *, row_number() over (partition by row, lower(trim(raw)), unit order by len(context) desc, pos) as place from c where sure >= 0.4) where place = 1")
+def text_money_dedup(spark, sf_dir):
+    """Of mentions equal but for case and blanks, the one with the longest context, the first of equals; likely pay only."""
+    text = F.col("text")
+    likely = F.filter(F.transform(T.money(text), lambda m, i: F.struct(F.length(m["context"]).alias("n"), (-i).alias("i"), m.alias("m"))), lambda x: T.mention_confidence(x["m"], text) >= 0.4)
+    rows = told(spark, sf_dir).select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(likely).alias("x"))
+    best = rows.groupBy("doc_id", "text_key", F.lower(F.trim("x.m.raw")).alias("said"), F.col("x.m.unit").alias("unit")).agg(F.max("x").alias("x"))
+    return best.select("doc_id", "x.m.raw", "unit", "x.m.amount")
 
 
 @R.add("text_money_values", f"select doc_id, unnest(regexp_extract_all(text, '{rules.MONEY[5][0]}')) as raw from documents")
@@ -141,27 +135,19 @@ def text_money_values(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({rules.MONEY[5][0]})"), F.lit(1))).alias("raw"))
 
 
-def _sql_all(patterns: list[str]) -> str:
-    return "flatten([" + ", ".join(f"regexp_extract_all(text, {quoted('(?i)' + p)})" for p in patterns) + "])"
-
-
-@R.add("text_dates", f"select id, unnest({_sql_all(rules.DATES)}) as raw from {SAMPLES}")
+@R.add("text_dates", f"select doc_id, cast(pos as int) as pos, raw, context from {sql_mentions([(p, 'date') for p in rules.DATES], 30)}")
 def text_dates(spark, sf_dir):
-    return samples(spark).select("id", F.explode(T.dates(F.col("text"))).alias("raw"))
+    """Dates with thirty characters around them."""
+    return told(spark, sf_dir).select("doc_id", F.posexplode(T.dates(F.col("text"))).alias("pos", "m")).select("doc_id", "pos", "m.*")
 
 
-@R.add("text_dates_all", f"select doc_id, unnest({_sql_all(rules.DATES)}) as raw from documents")
-def text_dates_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.explode(T.dates(F.col("text"))).alias("raw"))
+# Whole words are marked, as RE2's word boundary is that of ASCII.
+STATE_RE = "(?i)<(?:" + "|".join(n.replace(" ", r">\s+<") for n in rules.STATES) + ")>"
 
 
-STATE_RE = "^(?i)(?:" + "|".join(n for n in rules.STATES if "_" not in n) + ")$"
-
-
-@R.add("text_locations", f"select doc_id, list_sort(list_filter(list_distinct(list_filter(regexp_extract_all(text, '{W}+'), lambda w: regexp_matches(w, {quoted(STATE_RE)}))), lambda m: lower(m) not in ({', '.join(map(quoted, rules.NOT_STATES))}) or len(m) > 2)) as found from documents")
+@R.add("text_locations", f"select doc_id, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '({W}+)', '<\\1>', 'g'), {quoted(STATE_RE)}), lambda m: regexp_replace(m, '[<>]', '', 'g'))), lambda m: lower(m) not in ({', '.join(map(quoted, rules.NOT_STATES))}) or len(m) > 2)) as found from {TOLD}")
 def text_locations(spark, sf_dir):
-    names = [n for n in rules.STATES if "_" not in n]
-    return documents(spark, sf_dir).select("doc_id", F.sort_array(T.locations(F.col("text"), names)).alias("found"))
+    return told(spark, sf_dir).select("doc_id", F.sort_array(T.locations(F.col("text"))).alias("found"))
 
 
 SYNTHETIC_GROUPS = {"english": ["the", "and", "of the"], "german": ["der ", "und ", "mit "], "licence": ["license", "copyright"], "mail": ["@mail"]}
@@ -176,28 +162,18 @@ def text_keyword_groups(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(T.keyword_groups(F.col("text"), SYNTHETIC_GROUPS)).alias("keyword_group", "k")).select("doc_id", "keyword_group", F.array_join("k", "|").alias("keywords"))
 
 
-@R.add("text_keyword_groups_packed", f"select id, x.k as keyword_group, array_to_string(x.v, '|') as keywords from (select id, unnest({_sql_groups('lower(text)', rules.COMPENSATION)}) as x from {SAMPLES})")
+@R.add("text_keyword_groups_packed", f"select doc_id, x.k as keyword_group, array_to_string(x.v, '|') as keywords from (select doc_id, unnest({_sql_groups('lower(text)', rules.COMPENSATION)}) as x from {TOLD})")
 def text_keyword_groups_packed(spark, sf_dir):
-    return samples(spark).select("id", F.explode(T.keyword_groups(F.col("text"))).alias("keyword_group", "k")).select("id", "keyword_group", F.array_join("k", "|").alias("keywords"))
-
-
-@R.add("text_keyword_groups_packed_all", f"select doc_id, x.k as keyword_group, array_to_string(x.v, '|') as keywords from (select doc_id, unnest({_sql_groups('lower(text)', rules.COMPENSATION)}) as x from documents)")
-def text_keyword_groups_packed_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.explode(T.keyword_groups(F.col("text"))).alias("keyword_group", "k")).select("doc_id", "keyword_group", F.array_join("k", "|").alias("keywords"))
+    return told(spark, sf_dir).select("doc_id", F.explode(T.keyword_groups(F.col("text"))).alias("keyword_group", "k")).select("doc_id", "keyword_group", F.array_join("k", "|").alias("keywords"))
 
 
 def _label(p: str) -> str:
     return p.replace(r"\s+", " ").replace(r"(?:\w+ )?", "").replace(r"(?:\w+\s+)?", "").replace("(?:ly)?", "")
 
 
-@R.add("text_urgency", f"select id, len(l) > 0 as urgent, array_to_string(l, '|') as labels from (select id, {sql_labels((_label(p), f'regexp_matches(lower(text), {quoted(p)})') for p in rules.URGENCY)} as l from {SAMPLES})")
+@R.add("text_urgency", f"select doc_id, len(l) > 0 as urgent, array_to_string(l, '|') as labels from (select doc_id, {sql_labels((_label(p), f'regexp_matches(lower(text), {quoted(p)})') for p in rules.URGENCY)} as l from {TOLD})")
 def text_urgency(spark, sf_dir):
-    return samples(spark).select("id", T.urgency(F.col("text")).alias("l")).select("id", (F.size("l") > 0).alias("urgent"), F.array_join("l", "|").alias("labels"))
-
-
-@R.add("text_urgency_all", f"select doc_id, len(l) > 0 as urgent, array_to_string(l, '|') as labels from (select doc_id, {sql_labels((_label(p), f'regexp_matches(lower(text), {quoted(p)})') for p in rules.URGENCY)} as l from documents)")
-def text_urgency_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.urgency(F.col("text")).alias("l")).select("doc_id", (F.size("l") > 0).alias("urgent"), F.array_join("l", "|").alias("labels"))
+    return told(spark, sf_dir).select("doc_id", T.urgency(F.col("text")).alias("l")).select("doc_id", (F.size("l") > 0).alias("urgent"), F.array_join("l", "|").alias("labels"))
 
 
 def _sql_sentiment(key: str, source: str, good: list[str], bad: list[str]) -> str:
@@ -210,14 +186,9 @@ def text_sentiment(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.sentiment(F.col("text"), ["the", "and", "of"], ["der", "die", "que"]).alias("s")).select("doc_id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
 
 
-@R.add("text_sentiment_packed", _sql_sentiment("id", SAMPLES, rules.POSITIVE, rules.NEGATIVE))
+@R.add("text_sentiment_packed", _sql_sentiment("doc_id", TOLD, rules.POSITIVE, rules.NEGATIVE))
 def text_sentiment_packed(spark, sf_dir):
-    return samples(spark).select("id", T.sentiment(F.col("text")).alias("s")).select("id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
-
-
-@R.add("text_sentiment_packed_all", _sql_sentiment("doc_id", "documents", rules.POSITIVE, rules.NEGATIVE))
-def text_sentiment_packed_all(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.sentiment(F.col("text")).alias("s")).select("doc_id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
+    return told(spark, sf_dir).select("doc_id", T.sentiment(F.col("text")).alias("s")).select("doc_id", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.ratio", "s.tone")
 
 
 SYNTHETIC_AUDIENCES = {"english": ["the ", "and ", " of "], "german": [" der ", " die ", " und "], "french": [" le ", " et ", " la "], "spanish": [" el ", " y ", " los "]}

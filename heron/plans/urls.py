@@ -94,7 +94,7 @@ def url_strategy_names(spark, sf_dir):
 LABELS = "(values ('Our Services'), ('The Company'), ('View All Services'), ('About Us'), ('Who We Are'), ('Investors Home'), ('Services Overview'), ('Zebra'), ('Docs'), ('Discover Products')) as t(label)"
 
 
-def _sql_label(c: str) -> str:
+def sql_label(c: str) -> str:
     out = f"trim(lower({c}))"
     for p in rules.NAV_STRIP:
         out = f"trim(regexp_replace({out}, {quoted(p)}, '', 'g'))"
@@ -106,7 +106,7 @@ def sql_section(label: str) -> str:
     return f"case when {label} in ({', '.join(map(quoted, rules.NAV_SYNONYMS))}) then {label} {near} end"
 
 
-@R.add("nav_labels", f"select label, l as normalized, {sql_section('l')} as section from (select label, {_sql_label('label')} as l from {LABELS})")
+@R.add("nav_labels", f"select label, l as normalized, {sql_section('l')} as section from (select label, {sql_label('label')} as l from {LABELS})")
 def nav_labels(spark, sf_dir):
     return spark.sql(f"select * from {LABELS}").select("label", urls.nav_label(F.col("label")).alias("normalized"), urls.nav_section(F.col("label")).alias("section"))
 

@@ -1,10 +1,8 @@
-import duckdb
 from pyspark.sql import functions as F
 
 from heron import registry
-from heron.functions import detect, markup, text, tree, urls
-from heron.plans.markup import PAGE_FIXTURE
-from heron.plans.text import samples
+from heron.functions import detect, markup, media, page, text, urls
+from heron.functions.dom import Dom
 from heron.streaming import telemetry
 
 
@@ -73,31 +71,107 @@ def test_policy_ladder(spark):
     assert ask("js", "soft_block", attempt=2) is None
 
 
-def test_tree_of_fixture():
-    rows = tree.parse(PAGE_FIXTURE).rows
-    kinds = [(r[1], r[2], r[6]) for r in rows]
-    assert ("nav", "a", "nav") in kinds and ("heading", "h1", "hero") in kinds and ("image", "meta", "main") in kinds
-    assert [r[2] for r in rows if r[1] == "form"] == ["search", "login"]
-    assert [r[3] for r in rows if r[1] == "form"] == ["q", "p"]
-    assert [r[2] for r in rows if r[1] == "code"] == ["python"]
-    assert [r[4] for r in rows if r[1] == "image"] == ["/og.png", "/bg.jpg"]
-    assert [r[6] for r in rows if r[4] == "/legal.pdf"] == ["footer"]
+def test_dom_of_broken_markup():
+    assert list(Dom(None).all()) == [] and Dom(None).text(0) == ""
+    d = Dom("<h1>a<b>b</h1></div><p>one<p>two<ul><li>x<li>y</ul><script>var a = '<p>';</script>")
+    assert [d.tag[i] for i in d.all()] == ["h1", "b", "p", "p", "ul", "li", "li", "script"]
+    assert [d.clean(i) for i in d.all(("h1", "p", "li"))] == ["ab", "one", "two", "x", "y"]
+    assert d.clean(0) == "abonetwoxy"
+    deep = Dom("<div>" * 5000 + "x")
+    assert deep.clean(0) == "x" and len(deep.tag) == 5001
 
 
-def test_tree_contexts():
-    rows = tree.parse('<p>Listing of the file main.py:</p><pre data-filename="a.rs">x</pre><div class="highlight"><code>y()</code></div><p>plain <code>z</code> words go here</p><picture><source srcset="/a.webp 1x, /b.webp 2x"><img src="/a.png"></picture>').rows
-    assert [(r[1], r[3], r[9]) for r in rows if r[1] in ("code", "inline")] == [("code", "x", "a.rs"), ("code", "y()", "main.py"), ("inline", "z", "main.py")]
-    assert [(r[4], r[8]) for r in rows if r[1] == "image"] == [("/a.webp", "plain z words go here"), ("/a.png", "plain z words go here")]
+def test_footer_without_a_footer():
+    links = "".join(f'<a href="/{i}">l{i}</a>' for i in range(6))
+    assert page.footer_container(Dom(f"<div>text</div><div id='foot'><p>copyright us</p>{links}</div>")) is not None
+    d = Dom(f"<div class='SiteFooter'><a href='/x'>x</a></div><div>{links}</div>")
+    assert d.attrs[page.footer_container(d)]["class"] == "SiteFooter"
+    assert page.footer_container(Dom("<p>copyright</p>")) is None
+    many = "".join(f'<a href="/{i}">l{i}</a>' for i in range(12))
+    assert page.footer_container(Dom(f"<body><div>{many} privacy</div><p>x</p></body>")) is not None
 
 
-def test_tree_of_broken_markup():
-    assert tree.parse(None).rows == []
-    assert [r[3] for r in tree.parse("<h1>a<b>b</h1></div><p>long enough to be a paragraph").rows] == ["ab", "long enough to be a paragraph"]
+def test_hero_without_a_hero():
+    assert page.hero(Dom("<main><h1>Head</h1><div>x</div><p>para</p></main>")) == "Head para"
+    assert page.hero(Dom("<div class='banner'>short</div><p>x</p>")) == ""
+    assert page.hero(Dom("<div class='splash'>a splash of more than twenty characters</div>")) == "a splash of more than twenty characters"
+
+
+def test_nav_containers():
+    tag = lambda h: (lambda d, i: None if i is None else (d.tag[i], d.attrs[i].get("class")))(d := Dom(h), page.nav_container(d))
+    assert tag("<nav>a</nav><nav class='primary'>b</nav>") == ("nav", "primary")
+    assert tag("<header><div class='toolbar'></div></header><nav></nav>") == ("div", "toolbar")
+    assert tag("<header><p></p></header><nav></nav>") == ("header", None)
+    assert tag("<div class='main-nav'></div>") == ("div", "main-nav") and tag("<p></p>") is None
+
+
+def test_density():
+    thin = Dom("<body><div class='cookie'>cookies cookies</div>" + "<p>some words outside of every container here</p>" * 40 + "<div>" + "a small container of words in a page of many words" + "</div></body>")
+    found = page.main_text(thin)
+    assert found["place"] == "stripped body" and "cookies" not in found["text"] and found["link_density"] == 0.3
+    dense = Dom("<nav><a href='/'>home</a></nav><section>" + "dense words in a section " * 30 + "</section><div><a href='/x'>" + "linked words only here " * 30 + "</a></div>")
+    assert page.main_text(dense)["place"] == "densest" and page.main_text(dense)["text"].startswith("dense words")
+    assert page.main_text(Dom("<p>only this</p>")) == {"text": "only this", "link_density": 0.5, "place": "body"}
+    assert page.main_text(Dom(""))["place"] == "none"
+
+
+def test_tagged_sections_and_nesting():
+    d = Dom("<h1>One</h1><h3>Three</h3><p>twenty characters or more</p><h2>Two</h2><img src='a.png' width='10px' height='4'><aside><p>twenty characters in an aside</p></aside>")
+    rows = page.sections(d, "https://a.org/x/")
+    assert [(r["kind"], r["text"], r["parent"]) for r in rows] == [("section", "One", None), ("section", "Three", 0), ("text", "twenty characters or more", 1), ("section", "Two", 0), ("image", None, 3)]
+    assert rows[-1]["src"] == "https://a.org/x/a.png" and rows[-1]["width"] is None and rows[-1]["height"] == 4
+    tree = page.nested(rows)
+    assert [c["text"] for c in tree["children"]] == ["One"] and [c["text"] for c in tree["children"][0]["children"]] == ["Three", "Two"]
+    blocks = page.tagged_blocks([{"text": "N", "url": "/n"}], [], "the hero", [{"type": "image", "content": "alt", "url": "/i", "level": None}], [], "no notice")
+    assert [(r["kind"], r["text"], r["parent"], r["tag"]) for r in page.tagged_sections(blocks)] == [("section", "nav_block", None, None), ("section", "hero_block", None, None), ("section", "main_block", None, None), ("text", "N", 0, "link"), ("text", "the hero", 1, "tagged"), ("image", "alt", 2, "tagged")]
+
+
+def test_images_of_a_page():
+    d = Dom('<meta property="og:image" content="/card.png"><meta name="twitter:image" content="/card.png"><div class="x"><h2>Head <b>line</b></h2><img src="data:image/gif;base64,x"><img src="logo.svg" alt="Acme"><img src="/p.png" width="3" height="3"></div><img src="/late.png"><p>a paragraph of more than twenty characters</p>')
+    kinds = {x["src_resolved"]: x for x in media.images(d, "https://a.org/")}
+    assert list(kinds) == ["https://a.org/logo.svg", "https://a.org/late.png", "https://a.org/card.png"]
+    assert kinds["https://a.org/logo.svg"]["context_heading"] == "Headline" and kinds["https://a.org/logo.svg"]["classification"] == "logo"
+    assert kinds["https://a.org/late.png"]["context_text"] == "a paragraph of more than twenty characters" and kinds["https://a.org/late.png"]["context_heading"] == "Headline"
+    assert kinds["https://a.org/card.png"]["source_tag"] == "og:image" and kinds["https://a.org/card.png"]["classification"] == "photo"
+    assert len(media.images(d, "https://a.org/", decorative=True)) == 4
+
+
+def test_codes_of_a_page():
+    d = Dom('<p>src/main.rs</p><pre><code class="hljs rust">fn main() { println!("x"); }</code></pre><p>too short</p><code style="display: block">one line that stands alone</code><script type="application/json">{"a": 1, "b": [1, 2, 3]}</script><pre>short</pre><div class="code-shell"><pre>echo one two three four</pre></div>')
+    found = media.codes(d, config=True)
+    assert [(c["source_tag"], c["language"], c["confidence"], c["filename_hint"]) for c in found] == [("pre", "rust", 0.9, "src/main.rs"), ("pre", "bash", 0.7, None), ("code", None, 0.0, None), ("script", "json", 1.0, None)]
+    assert media.cleaned("12: alpha\n13: beta...") == ("alpha\nbeta...", True) and media.cleaned("1 \n2 \n3 ")[0] == "1 \n2 \n3"
+    assert media.language_name("YML ") == "yaml" and media.language_name(None) is None and media.language_name("zig") == "zig"
+
+
+def test_hints_of_a_page():
+    links = [{"url": "https://a.org/docs/x", "text": "Docs"}, {"url": "https://a.org/go", "text": "Track your shipment"}]
+    found = page.hints(links, "we offer edi integration")
+    assert [(h["feature"], h["subtree"], h["priority"], h["depth_boost"]) for h in found] == [("tracking", "/go", "high", 1), ("api_docs", "/docs/x", "high", 2), ("edi", "", "medium", 0)]
+    assert [h["feature"] for h in page.hints(links, "", wanted=["Tracking"])] == ["tracking"]
+    assert page.hints([{"url": "http://[", "text": "login"}], "") == []
+
+
+def test_scan_of_a_page():
+    html = '<a href="/track/1">Track</a><form action="/quote"><input name="a"><textarea name="t"></textarea></form><form><input type="hidden"></form>sign in with Google and salesforce<script>fetch("/api/v2/x")</script>'
+    s = page.scan(Dom(html), html, "https://a.org/")
+    assert [x["type"] for x in s["portal_links"]] == ["tracking"] and [f["purpose"] for f in s["forms"]] == ["quote"]
+    assert s["providers"] == ["Google OAuth"] and s["integrations"] == ["Salesforce"] and s["endpoints"] == ["/api/v2/x", "/api/v2/"]
+    assert s["feature_count"] == 5 and s["portal_count"] == 1
 
 
 def test_code_without_line_numbers(spark):
-    assert one(spark, markup.numbered_lines_removed, "1 import os\n2 print(os)") == "import os\nprint(os)"
-    assert one(spark, markup.numbered_lines_removed, "1 \n2 \n3 ") == "1 \n2 \n3 "
+    clean = lambda c: markup.cleaned(c)["code"]
+    assert one(spark, clean, "1: import os\n2: print(os)") == "import os\nprint(os)"
+    assert one(spark, clean, "1 \n2 \n3 ") == "1 \n2 \n3"
+    assert one(spark, lambda c: markup.cleaned(c)["truncated"], "a = 1  # ...") is True
+
+
+def test_amounts(spark):
+    cases = {"$5k": 5000.0, "$2 million": 2e6, "$5M": 5e6, "$0.55/mi": None, "62 cents": 62.0, "$1.2.3": None, "4.5%": 4.5, "$,": None, "58 cpm": 58e6}
+    for raw, want in cases.items():
+        assert one(spark, lambda c: text.amount(c, F.lit("dollar")), raw) == want, raw
+    assert one(spark, lambda c: text.amount(c, F.lit("per_mile")), "62 cents per mile") == 0.62
 
 
 def test_stream_and_batch_counters_agree(spark, sf_dir, tmp_path):
@@ -106,33 +180,19 @@ def test_stream_and_batch_counters_agree(spark, sf_dir, tmp_path):
 
 
 def test_backoff_and_expiring_reads_all_events(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).select("event_id").exceptAll(events.select("event_id")).count() == 0
-    assert registry.QUERIES["backoff_and_expiring_all"](spark, sf_dir).count() == events.count()
-
-
-def _six(spark, tmp_path):
-    samples(spark).selectExpr("cast(id as bigint) as doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
-    return str(tmp_path)
-
-
-WHOLE = ["text_term_counts_packed", "text_money", "text_money_dedup", "text_dates", "text_keyword_groups_packed", "text_urgency", "text_sentiment_packed", "page_buckets"]
+    assert registry.QUERIES["backoff_and_expiring"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
-def test_whole_text_queries_of_the_six_sentences(spark, tmp_path):
-    d, con = _six(spark, tmp_path), duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
-    for name in WHOLE:
-        few, every = registry.QUERIES[name](spark, d).withColumnRenamed("id", "doc_id"), registry.QUERIES[f"{name}_all"](spark, d)
-        got = sorted(map(tuple, every.collect()))
-        assert got and got == sorted(map(tuple, few.select(*every.columns).collect())), name
-        want = con.execute(f"select {', '.join(every.columns)} from ({registry.ORACLES[f'{name}_all']})").fetchall()
-        assert got == sorted(want), name
+def test_money_said_twice(spark, tmp_path):
+    spark.createDataFrame([(0, "pay of $900 now. " + "x" * 60 + " the drivers pay is $900 and bonus", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [r for r in registry.QUERIES["text_money_dedup"](spark, str(tmp_path)).collect() if r["raw"] == "$900"]
+    assert len(rows) == 1
+    assert len([r for r in registry.QUERIES["text_money"](spark, str(tmp_path)).collect() if r["raw"] == "$900"]) == 2
 
 
-def test_enriched_reads_every_document(spark, sf_dir, tmp_path):
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert registry.QUERIES["enriched_pages"](spark, sf_dir).count() == n
-    d = _six(spark, tmp_path)
-    assert registry.QUERIES["enriched_pages"](spark, d).count() == 6
-    assert tuple(registry.QUERIES["enriched_summary"](spark, d).first()) == (7, 3, 6, 2)
+def test_enriched_reads_every_document(spark, sf_dir):
+    rows = registry.QUERIES["enriched_pages"](spark, sf_dir)
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    told = rows.filter("doc_id % 6 = 2").first()
+    assert {"March 5, 2021", "2020-11-02"} <= {d["raw"] for d in told["dates"]}
+    assert {"Texas", "New York"} <= set(told["locations"])
