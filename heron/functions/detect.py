@@ -147,3 +147,9 @@ def recommended(cached: Column, challenged: Column, cdn_name: Column, js: Column
 def method_label(cdn_name: Column, kind: Column, js: Column) -> Column:
     """Label of the recorded-response fixtures: challenge before CDN, script need and plain http."""
     return F.when(kind == "sgcaptcha", "stealth+cookies").when(kind.isNotNull(), "stealth").when(js | F.coalesce(cdn_name == "cloudflare", F.lit(False)), "js").otherwise("http")
+
+
+def pay_page(url: Column, page_type: Column) -> Column:
+    """Whether a page is about pay or recruiting."""
+    strong, weak, out = (any_match(url, ps, "(?i)") for ps in (rules.PAY_STRONG, rules.PAY_WEAK, rules.PAY_EXCLUDED))
+    return strong | (~out & weak) | (~out & page_type.isin(*rules.PAY_TYPES))

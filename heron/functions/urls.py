@@ -108,8 +108,9 @@ def product(p: Column, text: Column, products: list[tuple[str, list[str], list[s
     return out
 
 
-STRATEGIES = {"http": "requests", "request": "requests", "requests": "requests", "js": "js", "javascript": "js", "playwright": "js", "stealth": "stealth", "patient": "stealth_patient", "stealth_patient": "stealth_patient", "visible": "visible", "manual": "visible"}
-METHODS = {"requests": "requests", "http": "requests", "js": "playwright", "playwright": "playwright", "stealth": "stealth", "visible": "visible"}
+# Names that playbooks, settings and flags use.
+STRATEGIES = {"http": "requests", "requests": "requests", "request": "requests", "js": "js", "playwright": "js", "stealth": "stealth", "playwright_stealth": "stealth", "visible": "visible", "headed": "visible", "no-headless": "visible", "manual": "visible"}
+METHODS = {"request": "requests", "requests": "requests", "http": "requests", "js": "js", "playwright": "js", "stealth": "stealth", "playwright_stealth": "stealth", "visible": "visible", "headed": "visible", "no-headless": "visible"}
 
 
 def mapped(c: Column, names: dict[str, str], default: str | None) -> Column:

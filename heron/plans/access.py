@@ -6,12 +6,11 @@ words. "Now" is always a parameter.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.exprs import Registry
-from heron.functions import urls
+from heron.functions import flows, policy, urls
 from heron.plans.urls import HOST, P
 
 R = Registry()
@@ -125,13 +124,16 @@ def drift_pages(spark, sf_dir):
     return e.select("user_id", F.size(F.array_except("a", "b")).cast("long").alias("missing"), F.size(F.array_except("b", "a")).cast("long").alias("added"))
 
 
-@R.add("report_diff", "select distinct 'added' as side, user_id, event_type from events a where ts >= timestamp '2024-01-16' and not exists (select 1 from events b where b.ts < timestamp '2024-01-16' and a.user_id = b.user_id and a.event_type = b.event_type) union all select distinct 'removed', user_id, event_type from events a where ts < timestamp '2024-01-16' and user_id in (select user_id from events where ts >= timestamp '2024-01-16') and not exists (select 1 from events b where b.ts >= timestamp '2024-01-16' and a.user_id = b.user_id and a.event_type = b.event_type)")
+BAND = "cast(floor(value / 10) as bigint)"
+
+
+@R.add("report_diff", f"with e as (select user_id, event_type, {BAND} as band, ts >= timestamp '2024-01-16' as late from events), n as (select distinct user_id, event_type, band from e where late), o as (select distinct user_id, event_type, band from e where not late) select 'added' as side, * from (select * from n except select * from o) union all select 'removed', * from (select * from o except select * from n) where user_id in (select user_id from n)")
 def report_diff(spark, sf_dir):
     """Rows added and removed between two reports, of the domains in the new one: anti joins both ways."""
-    e = read(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events").withColumn("band", F.floor(F.col("value") / 10))
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
-    new, old = (e.filter(c).select("user_id", "event_type").distinct() for c in (late, ~late))
-    keys = ["user_id", "event_type"]
+    keys = ["user_id", "event_type", "band"]
+    new, old = (e.filter(c).select(*keys).distinct() for c in (late, ~late))
     removed = old.join(new, keys, "left_anti").join(new.select("user_id").distinct(), "user_id", "left_semi")
     return new.join(old, keys, "left_anti").withColumn("side", F.lit("added")).unionByName(removed.withColumn("side", F.lit("removed")))
 
@@ -149,12 +151,23 @@ def queue_next(spark, sf_dir):
     return queue_upsert(spark, sf_dir).orderBy(F.col("priority") != "high", "added", "user_id").limit(1).select("user_id", "added")
 
 
-@R.add("queue_remaining", "select distinct user_id from events where value < 20 and user_id not in (select user_id from events where value >= 99)")
+#: Work that was done by hand after it had been queued: a purchase of a high value in the last days.
+DONE = "event_type = 'purchase' and value >= 60 and ts >= timestamp '2024-01-25'"
+
+
+@R.add("queue_remaining", f"select distinct user_id from events where value < 20 and user_id not in (select user_id from events where {DONE})")
 def queue_remaining(spark, sf_dir):
-    done = read(spark, sf_dir, "events").filter("value >= 99").select("user_id").distinct()
+    """The queue without the domains whose work is done."""
+    done = read(spark, sf_dir, "events").filter(DONE).select("user_id").distinct()
     return queue_upsert(spark, sf_dir).select("user_id").join(done, "user_id", "left_anti")
 
 
+@R.add("queue_cleared", "select count(distinct user_id) as cleared, 0 as remaining from events where value < 20")
+def queue_cleared(spark, sf_dir):
+    """A queue emptied, and how many entries it had."""
+    return queue_upsert(spark, sf_dir).agg(F.count(F.lit(1)).alias("cleared")).withColumn("remaining", F.lit(0))
+
+
 @R.add("manual_always", f"select user_id, count(*) filter (where ts > timestamp '{NOW}' - interval 10 day) as recent, count(*) filter (where ts > timestamp '{NOW}' - interval 10 day) >= 3 as always from events where event_type = 'purchase' group by user_id")
 def manual_always(spark, sf_dir):
     """Domains completed by hand three times in the look-back."""
@@ -201,11 +214,18 @@ def cookie_status(spark, sf_dir):
     return c.groupBy("domain").agg(F.count(F.lit(1)).alias("cookies"), valid.alias("valid"), first.alias("earliest"), F.when(first.isNull(), "session").when(first < 100, "EXPIRED").when(first - 100 <= 604800, "expiring").otherwise("ok").alias("status"))
 
 
-@R.add("flow_signature", "select event_id, 'click:' || cast(round_even(user_id / 50.0, 0) * 50 as bigint) || ',' || cast(round_even(event_id / 50.0, 0) * 50 as bigint) || ':' || substr(event_type, 1, 3) as signature from events")
+KINDS = {"view": "navigate", "click": "click", "purchase": "scroll", "signup": "type"}
+
+
+@R.add("flow_signature", """select event_id, case event_type when 'view' then 'navigate:https://a.example/' || user_id % 7 when 'click' then 'click:(' || cast(round_even(user_id / 50.0, 0) * 50 as bigint) || ',' || cast(round_even(event_id / 50.0, 0) * 50 as bigint) || '):' || substr('div.product-list-item-of-the-page-' || user_id, 1, 30) || ':' || substr('A label of the item ' || event_id, 1, 20)
+ when 'purchase' then 'scroll:down:' || event_id % 9 when 'signup' then 'type:text ' || event_id % 5 else event_type end as signature from events""")
 def flow_signature(spark, sf_dir):
-    """Fuzzy key of an action: position on a grid of fifty, start of its label."""
-    grid = lambda c: (F.bround(F.col(c) / 50.0, 0) * 50).cast("long").cast("string")
-    return read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("click:"), grid("user_id"), F.lit(","), grid("event_id"), F.lit(":"), F.substring("event_type", 1, 3)).alias("signature"))
+    """Keys of actions of every kind: an address, a place on a grid of fifty with the start of selector and label, a scroll, a text."""
+    n, u = F.col("event_id"), F.col("user_id")
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("event_type")), F.col("event_type"))
+    said = lambda t, c: F.concat(F.lit(t), c.cast("string"))
+    a = F.struct(kind.alias("action"), said("https://a.example/", u % 7).alias("url"), said("div.product-list-item-of-the-page-", u).alias("selector"), said("text ", n % 5).alias("text"), said("A label of the item ", n).alias("label"), F.lit("down").alias("direction"), (n % 9).alias("amount"), u.cast("double").alias("x"), n.cast("double").alias("y"))
+    return read(spark, sf_dir, "events").select("event_id", a.alias("a")).select("event_id", flows.signature(F.col("a")).alias("signature"))
 
 
 @R.add("flow_checks", "select conv_id, count(*) as actions, count(*) filter (where text is null or role is null) as errors, case when sum(len(text)) < 100 and count(*) > 5 then 'too fast' end as warning, count(*) filter (where role = 'system') = 0 as no_start from conversations group by conv_id")
@@ -216,25 +236,15 @@ def flow_checks(spark, sf_dir):
     return c.groupBy("conv_id").agg(n.alias("actions"), F.count_if(F.col("text").isNull() | F.col("role").isNull()).alias("errors"), F.when((F.sum(F.length("text")) < 100) & (n > 5), "too fast").alias("warning"), (F.count_if(F.col("role") == "system") == 0).alias("no_start"))
 
 
-@R.add("flow_compare")
+@R.add("flow_compare", "with t as (select conv_id, count(*) as n, sum(coalesce(turn, 0) % 3) as secs from conversations group by conv_id) select a.conv_id, a.n as actions, a.n as same, 1 as added, 0 as removed, 1.0::double as timing_diff, 2.0::double * a.n / (2 * a.n + 1) as similarity from t a")
 def flow_compare(spark, sf_dir):
-    """Alignment of each conversation's turns with the next conversation's: matching, added and removed roles, similarity."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["role"]).alias("roles"))
-    other = c.select((F.col("conv_id") - 1).alias("conv_id"), F.col("roles").alias("next_roles"))
-
-    @F.pandas_udf("struct<matching:long,added:long,removed:long,ratio:double>")
-    def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        import difflib
-
-
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            m = difflib.SequenceMatcher(None, list(x), list(y), autojunk=False)
-            same = sum(k.size for k in m.get_matching_blocks())
-            rows.append((same, len(y) - same, len(x) - same, m.ratio()))
-        return pd.DataFrame(rows, columns=["matching", "added", "removed", "ratio"])
-
-    return c.join(other, "conv_id").select("conv_id", align("roles", "next_roles").alias("d")).select("conv_id", "d.*")
+    """Every conversation as a flow against itself with one more step at its end: what matches, was added and removed."""
+    c = read(spark, sf_dir, "conversations")
+    step = F.struct(F.lit("type").alias("action"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("selector"), F.concat_ws(":", F.col("turn").cast("string"), "role", "text").alias("text"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("long").alias("amount"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), (F.coalesce("turn", F.lit(0)) % 3).cast("double").alias("delay"))
+    one = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", step.alias("step")))), lambda s: s["step"]).alias("a"))
+    more = F.from_json(F.lit('{"action": "navigate", "url": "https://a.example/", "delay": 1.0}'), flows.ACTION)
+    d = one.select("conv_id", "a", F.concat("a", F.array(more)).alias("b")).select("conv_id", F.size("a").cast("long").alias("actions"), flows.compared(F.col("a"), F.col("b")).alias("d"))
+    return d.select("conv_id", "actions", F.col("d.matching").alias("same"), F.size("d.added").alias("added"), F.size("d.removed").alias("removed"), "d.timing_diff", "d.similarity")
 
 
 @R.add("sample_strata", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by sha256(doc_id || ':7'), doc_id) as r from documents) where r <= 3")
@@ -244,14 +254,31 @@ def sample_strata(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(w).alias("r")).filter("r <= 3").drop("r")
 
 
-@R.add("sample_exclusive", "with a as (select doc_id from documents where lang = 'fr' order by sha256(doc_id || ':1'), doc_id limit 5) select doc_id, 'targeted' as stratum from a union all (select doc_id, 'random' from documents where doc_id not in (select doc_id from a) order by sha256(doc_id || ':2'), doc_id limit 10)")
+@R.add("sample_exclusive", "with r as (select doc_id from documents order by sha256(doc_id || ':1'), doc_id limit 10), t as (select doc_id from documents where lang = 'fr' and doc_id not in (select doc_id from r) order by sha256(doc_id || ':2'), doc_id limit 5), e as (select doc_id from documents where lang = 'de' and doc_id not in (select doc_id from r) and doc_id not in (select doc_id from t) order by sha256(doc_id || ':3'), doc_id limit 4) select doc_id, 'random' as stratum from r union all select doc_id, 'targeted' from t union all select doc_id, 'edge_case' from e")
 def sample_exclusive(spark, sf_dir):
-    """Strata that don't overlap."""
+    """Strata that don't overlap: random ones, then targeted ones, then edge cases."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang")
     by = lambda seed: F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(seed)), 256)
-    a = d.filter("lang = 'fr'").orderBy(by(":1"), "doc_id").limit(5)
-    b = d.join(a.select("doc_id"), "doc_id", "left_anti").orderBy(by(":2"), "doc_id").limit(10)
-    return a.select("doc_id", F.lit("targeted").alias("stratum")).unionByName(b.select("doc_id", F.lit("random").alias("stratum")))
+    held = None
+    for name, cond, seed, n in (("random", F.lit(True), ":1", 10), ("targeted", F.col("lang") == "fr", ":2", 5), ("edge_case", F.col("lang") == "de", ":3", 4)):
+        rest = d if held is None else d.join(held.select("doc_id"), "doc_id", "left_anti")
+        some = rest.filter(cond).orderBy(by(seed), "doc_id").limit(n).select("doc_id", F.lit(name).alias("stratum"))
+        held = some if held is None else held.unionByName(some)
+    return held
+
+
+@R.add("access_plans", f"""select event_id, case when event_id % 11 = 0 then 'visible' when n <> 'requests' then n when event_id % 7 = 1 then 'stealth' when event_id % 7 in (2, 3) then 'js' else n end as initial_strategy, case when event_id % 13 = 0 then 5 when event_id % 3 = 1 then 4 else 3 end as max_attempts, case when event_id % 11 = 1 then 0 else 3 end as max_escalations,
+ coalesce(case when event_id % 5 = 3 then event_id % 2 = 0 end, event_id % 3 = 1 or event_id % 5 = 2) or (n = 'requests' and event_id % 7 = 1) as patient_mode, case when event_id % 5 = 1 then 10.0 when event_id % 3 = 1 then 5.0 else 3.0 end::double as delay_seconds, event_id % 5 <> 4 as allow_stealth, event_id % 3 = 2 as allow_visible
+ from (select event_id, case event_id % 5 when 1 then 'js' when 2 then 'stealth' else case event_id % 3 when 1 then 'stealth' when 2 then 'visible' else 'requests' end end as n from events)""")
+def access_plans(spark, sf_dir):
+    """Plans from playbook, fetch spec, probe and overrides in every combination."""
+    n = F.col("event_id")
+    held = lambda **kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for kv in kv.items() for x in kv))
+    playbook = F.when(n % 3 == 1, held(strategy="playwright_stealth", patient="true", delay="5", max_attempts="4")).when(n % 3 == 2, held(strategy="manual"))
+    spec = F.when(n % 5 == 1, held(method="playwright", delay="10")).when(n % 5 == 2, held(method="stealth", slow_drip="true")).when(n % 5 == 3, held(patient_on_block=F.when(n % 2 == 0, "true").otherwise("false"))).when(n % 5 == 4, held(allow_stealth="false"))
+    recon = F.when(n % 7 == 1, held(waf="cloudflare", js_required="true")).when(n % 7 == 2, held(js_required="true", waf="")).when(n % 7 == 3, held(js_required="true", challenge_detected="false"))
+    over = F.when(n % 11 == 0, held(initial_strategy="visible", access_max_attempts=F.when(n % 13 == 0, "5"))).when(n % 11 == 1, held(access_escalation_mode="static", access_max_attempts=F.when(n % 13 == 0, "5"))).otherwise(held(access_max_attempts=F.when(n % 13 == 0, "5")))
+    return read(spark, sf_dir, "events").select("event_id", policy.access_plan(playbook, spec, recon, over).alias("p")).select("event_id", "p.*")
 
 
 @R.add("log_stats", "select event_type, count(*) as runs, sum(value) as total, cast(min(ts) as date) as first_day, cast(max(ts) as date) as last_day, count(*) filter (where value < 20) as failures from events group by event_type")

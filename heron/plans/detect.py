@@ -115,11 +115,16 @@ def detect_methods(spark, sf_dir):
     return rows.select("id", D.method_label(c("cdn"), c("kind"), c("js")).alias("label"), D.recommended(F.when(c("id") == 6, "visible"), c("kind").isNotNull(), c("cdn"), c("js")).alias("recommended"))
 
 
-@R.add("detect_pay_pages", "select page_id, regexp_matches(lower(url), '/(en|fr)/[a-z]*1') as strong, regexp_matches(lower(url), '[0-9]2') and not regexp_matches(lower(url), '/de/') as weak from pages")
+# Addresses that every eleventh page is given, and whether they are of interest.
+PAY_URLS = [("/careers/drivers", True), ("/blog/careers/1", True), ("/drivers", True), ("/blog/drivers", False), ("/driving-change", False), ("/apply", True), ("/pay-stub", False), ("/owner-operator-jobs", True), ("/work-with-us", True), ("/about", False), ("/driver-benefits", True)]
+
+
+@R.add("detect_pay_pages", "select page_id, case page_id % 11 " + " ".join(f"when {k} then {quoted(u)}" for k, (u, _) in enumerate(PAY_URLS)) + " end as path, case page_id % 11 " + " ".join(f"when {k} then {str(v).lower()}" for k, (_, v) in enumerate(PAY_URLS)) + " end or (page_id % 5 = 0 and page_id % 11 not in (3, 4)) as found from pages")
 def detect_pay_pages(spark, sf_dir):
-    """Pages of interest by a strong pattern, or a weak one outside excluded paths."""
-    u = F.lower("url")
-    return pages(spark, sf_dir).select("page_id", u.rlike("/(en|fr)/[a-z]*1").alias("strong"), (u.rlike("[0-9]2") & ~u.rlike("/de/")).alias("weak"))
+    """Pages on pay and recruiting: by a strong pattern, a weak one outside excluded paths, or their type."""
+    path = F.element_at(F.array(*(F.lit(u) for u, _ in PAY_URLS)), (F.col("page_id") % 11 + 1).cast("int"))
+    kind = F.when(F.col("page_id") % 5 == 0, "careers").otherwise("other")
+    return pages(spark, sf_dir).select("page_id", path.alias("path"), D.pay_page(F.concat(F.lit("https://a.example"), path), kind).alias("found"))
 
 
 @R.add("detect_homepage", rf"select host, arg_min(page_id, (not regexp_matches(path, '^/?$'), page_id)) as homepage from (select page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') as host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages) group by host")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from heron.exprs import Registry
+from heron.exprs import Registry, sql_first_match
+from heron.functions import urls
+from heron.plans.access import read
 from heron.plans.corpus import SITES, site_pages
+from heron.plans.urls import P, pages
 from heron.sources import readers, sinks
 from heron.streaming import telemetry
 
@@ -16,7 +20,12 @@ R = Registry()
 
 
 def _folder(spark) -> str:
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heron-files-")
+    """A new folder in the shared one; only a local session (tests) may do without."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        set_to = tempfile.mkdtemp(prefix="heron-files-")
     return f"{set_to.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -56,21 +65,82 @@ def source_targets(spark, sf_dir):
     return readers.look(found, ["idx", "user", "post"], search="STATUS", tail=5).withColumnRenamed("user", "account")
 
 
+@R.add("source_jsonl_export", f"select page_type, count(*) as pages, cast(sum(len(regexp_extract_all(text, '\\S+'))) as bigint) as words from {SITES} group by page_type")
+def source_jsonl_export(spark, sf_dir):
+    """Pages as JSON lines, read back."""
+    path = _folder(spark)
+    sinks.export_jsonl(site_pages(spark, sf_dir).select("page_id", "host", "page_type", "text"), path)
+    back = spark.read.schema("page_id long, page_type string, text string").json(path)
+    return back.groupBy("page_type").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.regexp_count("text", F.lit(r"\S+"))).cast("long").alias("words"))
+
+
+@R.add("source_run_log", "select event_type as domain, 2 as runs, 2 * count(*) as pages from events group by event_type")
+def source_run_log(spark, sf_dir):
+    """Run records appended twice to one log, read back as a log."""
+    path = _folder(spark)
+    runs = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("pages")).select(F.lit("2024-01-01T00:00:00").alias("timestamp"), F.array("event_type").alias("domains"), "pages")
+    for _ in range(2):
+        sinks.append_log(runs, path)
+    return readers.logs(spark, path).groupBy(F.col("domains")[0].alias("domain")).agg(F.count(F.lit(1)).cast("int").alias("runs"), F.sum("pages").alias("pages"))
+
+
+@R.add("source_site_of", f"with s as (select host, count(*) as pages from {SITES} group by host) select host as domain, pages from s union all select host || '.extra', (select arg_min(b.pages, replace(b.host, '.', '_') || '.json') from s b where starts_with(replace(b.host, '.', '_'), split_part(s.host, '.', 1))) from s union all select 'nowhere.example', null")
+def source_site_of(spark, sf_dir):
+    """Seeds with their site documents: by file name, else by the first label; some have none."""
+    sites = site_pages(spark, sf_dir).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    found = sites.select(F.concat(F.replace("host", F.lit("."), F.lit("_")), F.lit(".json")).alias("file"), "pages")
+    seeds = sites.select(F.col("host").alias("domain")).unionByName(sites.select(F.concat("host", F.lit(".extra")).alias("domain"))).unionByName(spark.range(1).select(F.lit("nowhere.example").alias("domain")))
+    return readers.site_of(found, seeds).select("domain", "site.pages")
+
+
+PROFILE = {"name": "planted", "priority": {"high": ["/en/"], "medium": ["/fr/", "/de/"], "low": ["[0-9]$", "(broken"]}, "products": [{"name": "first", "patterns": ["/en/[a-f]"], "terms": ["the", "of"]}, "odd"], "settings": {"max_pages": 7}}
+
+
+@R.add("source_profile", f"select page_id, {sql_first_match('lower(path)', {'high': ['/en/'], 'medium': ['/fr/', '/de/'], 'low': ['[0-9]$', chr(92) + '(broken']}, 'normal')} as level, 7 as max_pages, 'planted' as profile from {P}")
+def source_profile(spark, sf_dir):
+    """A profile written as settings, found by name and used as a rule pack; a broken pattern is taken as text."""
+    path = _folder(spark)
+    spark.createDataFrame([(json.dumps(PROFILE),)], "value string").coalesce(1).write.text(path)
+    held = readers.profile_of(json.loads(readers._text(spark, path)))
+    p = urls.path(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", urls.priority(p, held.priorities).alias("level"), F.lit(held.max_pages).alias("max_pages"), F.lit(held.name).alias("profile"))
+
+
 @R.add("stream_counters", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as attempts, count(*) filter (where value >= 30) as successes from events group by all")
 def stream_counters(spark, sf_dir):
     """Daily counters from a stream that has run to its end."""
-    out = telemetry.counters(telemetry.events(spark, sf_dir))
-    table = telemetry.drain(out, f"counters_{uuid.uuid4().hex}", _folder(spark), "complete")
+    table = telemetry.drain(telemetry.counters(telemetry.events(spark, sf_dir)), _folder(spark), "complete")
     return table.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @R.add("stream_failures", "select user_id, coalesce(min(n) filter (where value >= 30) - 1, count(*)) as failures, coalesce(min(n) filter (where value >= 30) - 1, count(*)) >= 2 as requeue from (select *, row_number() over (partition by user_id order by ts desc) as n from events) group by user_id")
 def stream_failures(spark, sf_dir):
     out = telemetry.failure_runs(telemetry.events(spark, sf_dir).select("user_id", "value", "ts"))
-    return telemetry.drain(out, f"failures_{uuid.uuid4().hex}", _folder(spark), "update")
+    return telemetry.drain(out, _folder(spark), "update", ["user_id"])
 
 
 @R.add("stream_first_seen", "select count(distinct user_id) as domains from events")
 def stream_first_seen(spark, sf_dir):
     out = telemetry.first_seen(telemetry.events(spark, sf_dir), "60 days")
-    return telemetry.drain(out, f"seen_{uuid.uuid4().hex}", _folder(spark)).agg(F.count_distinct("user_id").alias("domains"))
+    return telemetry.drain(out, _folder(spark)).agg(F.count_distinct("user_id").alias("domains"))
+
+
+@R.add("stream_completions", "select date_trunc('day', ts)::timestamp + to_days(d) as \"end\", user_id, count(*) as done from events, (select unnest([1, 2, 3]) as d) group by all having count(*) >= 3")
+def stream_completions(spark, sf_dir):
+    """Domains with three completions within three days, for every day."""
+    table = telemetry.drain(telemetry.completions(telemetry.events(spark, sf_dir), "3 days", "1 day"), _folder(spark), "complete")
+    return table.withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@R.add("stream_queue", "select user_id, count(*) as attempts, array_to_string(list_sort(list_distinct(list(event_type))), ',') as tried, min(ts) as added from events where value < 20 group by user_id")
+def stream_queue(spark, sf_dir):
+    """The queue of failed domains, kept up as attempts come."""
+    table = telemetry.drain(telemetry.queue(telemetry.events(spark, sf_dir)), _folder(spark), "update", ["user_id"])
+    return table.withColumn("added", F.col("added").cast("timestamp_ntz"))
+
+
+@R.add("stream_strategies", "select user_id, arg_max(event_type, (ts, event_id)) as method, max(ts) as updated_at from events where value >= 30 group by user_id")
+def stream_strategies(spark, sf_dir):
+    """The cache of strategies that worked, kept up as attempts come."""
+    table = telemetry.drain(telemetry.strategies(telemetry.events(spark, sf_dir)), _folder(spark), "update", ["user_id"])
+    return table.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))

@@ -22,8 +22,12 @@ LINKS = rf"""(select *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za
 
 
 def links(spark, sf_dir) -> DataFrame:
-    """page_id, host, pos, href, text, url (resolved), link_host: one row an anchor."""
-    p = pages(spark, sf_dir).select("page_id", F.col("url").alias("base"), F.posexplode(H.anchors(F.col("html"))).alias("pos", "a"))
+    return links_of(pages(spark, sf_dir))
+
+
+def links_of(rows: DataFrame) -> DataFrame:
+    """page_id, host, pos, href, text, url (resolved), link_host of pages: one row an anchor."""
+    p = rows.select("page_id", F.col("url").alias("base"), F.posexplode(H.anchors(F.col("html"))).alias("pos", "a"))
     full = p.select("page_id", "base", urls.host(F.col("base")).alias("host"), "pos", "a.href", "a.text", urls.resolve(F.col("base"), F.col("a.href")).alias("url"))
     return full.withColumn("link_host", urls.host(F.col("url")))
 
@@ -49,9 +53,15 @@ def link_kinds(spark, sf_dir):
     return links(spark, sf_dir).groupBy("host", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("distinct_urls"))
 
 
-@R.add("link_graph", f"select host as src, link_host as dst, count(*) as links, count(distinct page_id) as pages from {LINKS} where link_host <> '' and link_host <> host group by all")
+PARTNER = "'<a href=\"https://partner' || page_id % 7 || '.example.org/x\">Partner</a>'"
+
+
+@R.add("link_graph", f"select host as src, link_host as dst, count(*) as links, count(distinct page_id) as pages from {LINKS.replace('from pages)', f'from (select page_id, url, html || {PARTNER} as html from pages))')} where link_host <> '' and link_host <> host group by all")
 def link_graph(spark, sf_dir):
-    out = links(spark, sf_dir).filter("link_host <> '' and link_host <> host")
+    """Links between sites; every page has one planted link to a partner."""
+    n = (F.col("page_id") % 7).cast("string")
+    rows = pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit('<a href="https://partner'), n, F.lit('.example.org/x">Partner</a>')))
+    out = links_of(rows).filter("link_host <> '' and link_host <> host")
     return out.groupBy(F.col("host").alias("src"), F.col("link_host").alias("dst")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("page_id").alias("pages"))
 
 

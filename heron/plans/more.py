@@ -6,18 +6,17 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from heron import rules
-from heron.exprs import Registry, quoted, sql_any, sql_labels, sql_match
+from heron.exprs import Registry, quoted, sql_any, sql_first_match, sql_labels, sql_match
 from heron.functions import detect as D
 from heron.functions import html as H
-from heron.functions import media
-from heron.functions import markup as M
+from heron.functions import media, records
 from heron.functions import text as T
 from heron.functions import urls
 from heron.plans.access import OUTCOME, outcome, read
 from heron.plans.links import ANCHORS, links
-from heron.plans.markup import LD, ROBOTS, XML
 from heron.plans.text import SENTENCES, TOLD, documents, told
-from heron.plans.urls import PRODUCTS, P, pages
+from heron.plans.planted import planted
+from heron.plans.urls import HOST, PRODUCTS, P, pages
 
 R = Registry()
 
@@ -91,11 +90,12 @@ def page_features(spark, sf_dir):
 
 @R.add("homepage_probe", f"select page_id, count(href) as links, count(distinct href) as distinct_links, max(len(list_filter(string_split(regexp_replace(href, '[?#].*$', ''), '/'), lambda x: x <> ''))) as depth, bool_or(regexp_matches(lower(html), 'cookie-consent|gdpr')) as cookie_banner, bool_or(regexp_matches(lower(href), '/login|/account')) as login from pages left join (select page_id, href from {ANCHORS}) using (page_id) group by page_id")
 def homepage_probe(spark, sf_dir):
-    """Navigation and technology signs of a page."""
-    p = pages(spark, sf_dir).select("page_id", "html", F.explode_outer(H.anchors(F.col("html"))).alias("a"))
-    h = F.col("a.href")
-    depth = F.size(F.filter(F.split(F.regexp_replace(h, "[?#].*$", ""), "/"), lambda x: x != ""))
-    return p.groupBy("page_id").agg(F.count(h).alias("links"), F.count_distinct(h).alias("distinct_links"), F.max(F.when(h.isNotNull(), depth)).cast("long").alias("depth"), F.bool_or(F.lower("html").rlike("cookie-consent|gdpr")).alias("cookie_banner"), F.bool_or(F.lower(h).rlike("/login|/account")).alias("login"))
+    """Navigation and technology signs of a page, from its own array of links."""
+    low = F.lower("html")
+    p = pages(spark, sf_dir).select("page_id", F.transform(H.anchors(F.col("html")), lambda a: a["href"]).alias("h"), low.rlike("cookie-consent|gdpr").alias("cookie_banner"))
+    steps = F.transform("h", lambda h: F.size(F.filter(F.split(F.regexp_replace(h, "[?#].*$", ""), "/"), lambda x: x != "")))
+    login = F.exists("h", lambda h: F.lower(h).rlike("/login|/account"))
+    return p.select("page_id", F.size("h").cast("long").alias("links"), F.size(F.array_distinct("h")).cast("long").alias("distinct_links"), F.array_max(steps).cast("long").alias("depth"), "cookie_banner", F.when(F.size("h") > 0, login).alias("login"))
 
 
 BUCKETS = {"drivers": ["cdl", "driver"], "owner_operators": ["owner operator", "lease"], "shippers": ["quote", "shipper"]}
@@ -136,44 +136,6 @@ def enriched_summary(spark, sf_dir):
     return by.agg(F.count(F.lit(1)).alias("pages"), F.sum("money").alias("amounts"), F.sum("dates").alias("dates"), F.count_if("urgent").alias("urgent"), F.sum("groups").alias("groups"))
 
 
-MORE_LD = [
-    (4, '<script type="application/ld+json">{"@type": "WebSite", "name": "S", "url": "u", "potentialAction": {"target": "u?q={q}"}}</script>'),
-    (5, '<script type="application/ld+json">[{"@type": "Service", "name": "Haul", "provider": {"name": "Acme"}}, {"@type": "Service", "name": "Haul", "provider": "x"}, {"@type": "LocalBusiness", "name": "Yard", "priceRange": "$$", "geo": {"latitude": 1.5, "longitude": 2}, "contactPoint": {"telephone": "1", "contactType": "sales"}}]</script>'),
-]
-
-
-@R.add("jsonld_sites", "select * from (values (4, 'website', 'S', 'u?q={q}', null, null, null::double, null), (5, 'service', 'Haul', null, 'Acme', null, null, null), (5, 'localbusiness', 'Yard', null, null, '$$', 1.5, 'sales')) as t(page_id, item_type, name, search_target, provider, price_range, latitude, contact)")
-def jsonld_sites(spark, sf_dir):
-    """Web sites, services and local businesses; of services with one name the first stays."""
-    i = spark.createDataFrame(MORE_LD, "page_id int, html string").select("page_id", F.posexplode(M.items(F.col("html"))).alias("pos", "v"))
-    v = F.col("v")
-    g = lambda *p: M.text_of(v, *p)
-    rows = i.select("page_id", "pos", M.item_type(v).alias("item_type"), g("$.name").alias("name"), g("$.potentialAction.target").alias("search_target"), g("$.provider.name").alias("provider"), g("$.priceRange").alias("price_range"), F.try_variant_get(v, "$.geo.latitude", "double").alias("latitude"), g("$.contactPoint[0].contactType", "$.contactPoint.contactType").alias("contact"))
-    first = Window.partitionBy("page_id", "item_type", "name").orderBy("pos")
-    return rows.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "pos")
-
-
-@R.add("structured_rollup", "select 5 as items, 1 as organizations, 1 as broken")
-def structured_rollup(spark, sf_dir):
-    i = spark.createDataFrame(LD, "page_id long, html string").select("page_id", F.posexplode(M.items(F.col("html"))).alias("pos", "v"))
-    return i.agg(F.count(F.lit(1)).cast("int").alias("items"), F.count_if(M.item_type(F.col("v")) == "organization").cast("int").alias("organizations"), F.count_if(F.col("v").isNull()).cast("int").alias("broken"))
-
-
-@R.add("robots_delay", "select * from (values ('a.org', 2.5::double), ('b.org', 1.0), ('c.org', 1.0)) as t(domain, delay)")
-def robots_delay(spark, sf_dir):
-    """Crawl delay, or the default where a domain names none or has no file."""
-    domains = spark.createDataFrame([("a.org",), ("b.org",), ("c.org",)], "domain string")
-    held = M.robots(spark.createDataFrame(ROBOTS, "domain string, content string"), "heronbot").select("domain", "crawl_delay")
-    return domains.join(held, "domain", "left").select("domain", F.coalesce("crawl_delay", F.lit(1.0)).alias("delay"))
-
-
-@R.add("sitemap_summary", "select * from (values ('a', 2, 'https://a.org/1,https://a.org/2'), ('b', 1, 'https://b.org/')) as t(source, urls, first_urls)")
-def sitemap_summary(spark, sf_dir):
-    """Each sitemap with its count and first hundred addresses."""
-    u = M.sitemap_urls(spark.createDataFrame(XML, "source string, xml string"))
-    return u.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("urls"), F.array_join(F.slice(F.sort_array(F.collect_list("loc")), 1, 100), ",").alias("first_urls"))
-
-
 PLAYBOOKS = "(values ('acme.com', 'js'), ('www.b.org', 'visible')) as t(domain, max_strategy)"
 FLAGS = "(values ('requests', false, false, false), ('js', true, false, false), ('stealth', true, true, false), ('stealth_patient', true, true, false), ('visible', true, false, true)) as t(strategy, browser, stealth, headed)"
 
@@ -217,3 +179,18 @@ def backoff_and_expiring(spark, sf_dir):
     n = F.col("event_id")
     e = n * 7919 % 40000000 - 500000
     return read(spark, sf_dir, "events").select("event_id", D.backoff(F.lit(3.0), n % 8).alias("delay"), e.between(0, 604800).alias("expiring"))
+
+
+def _region(name: str):
+    return lambda b: b["block_type"] == f"{name}_block"
+
+
+@R.add("site_report", f"""select host, count(*) as pages, cast(sum(words) as bigint) as words, count(*) - count(distinct hash) as duplicates, count(*) filter (where page_type = 'english') as english, cast(4 * count(*) as bigint) as nav_blocks, cast(count(*) as bigint) as hero_blocks, cast(2 * count(*) as bigint) as footer_blocks, round_even(count(distinct word) / 3.0::double, 2) as nav_coverage from
+ (select *, unnest(case when len(found) = 0 then [null] else found end) as word from (select {HOST} as host, page_id, len(regexp_extract_all({H.SQL_VISIBLE}, '\\S+')) as words, sha256(html) as hash, {sql_first_match('lower(path)', rules.SYNTHETIC_PAGE_TYPES, 'other')} as page_type, list_filter(['services', 'resources', 'about'], lambda x: x = 'services') as found from {P})) group by host""")
+def site_report(spark, sf_dir):
+    """A site's report as one record: totals, duplicates, a page type, blocks by region and the share of expected sections found."""
+    u = F.col("url")
+    own = pages(spark, sf_dir).select("page_id", urls.host(u).alias("host"), H.word_count(F.col("html")).alias("words"), F.sha2("html", 256).alias("hash"), urls.page_type(urls.path(u), rules.SYNTHETIC_PAGE_TYPES).alias("page_type"))
+    blocks = records.records(planted(spark, sf_dir)).select("page_id", *(F.size(F.filter("tagged", _region(k))).alias(f"{k}_blocks") for k in ("nav", "hero", "footer")), F.exists("primary_nav", lambda x: F.contains(F.lower(x["text"]), F.lit("services"))).alias("services"))
+    by = own.join(blocks, "page_id").groupBy("host")
+    return by.agg(F.count(F.lit(1)).alias("pages"), F.sum("words").cast("long").alias("words"), (F.count(F.lit(1)) - F.count_distinct("hash")).alias("duplicates"), F.count_if(F.col("page_type") == "english").alias("english"), *(F.sum(f"{k}_blocks").alias(f"{k}_blocks") for k in ("nav", "hero", "footer")), F.bround(F.bool_or("services").cast("double") / 3, 2).alias("nav_coverage"))

@@ -292,6 +292,6 @@ def text_budget(spark, sf_dir):
     """Sample text of each source: a thousand characters a document until over five thousand are held."""
     from pyspark.sql import Window
 
-    piece = documents(spark, sf_dir).select("source", "doc_id", F.substring("text", 1, 1000).alias("t"))
-    held = F.coalesce(F.sum(F.length("t")).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return piece.withColumn("held", held).filter("held <= 5000").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("t")).alias("chars"), F.max("doc_id").alias("last_doc"))
+    piece = documents(spark, sf_dir).select("source", "doc_id", F.least(F.length("text"), F.lit(1000)).alias("n"))  # the texts themselves don't move
+    held = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return piece.withColumn("held", held).filter("held <= 5000").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("chars"), F.max("doc_id").alias("last_doc"))

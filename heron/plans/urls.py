@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heron import rules
 from heron.exprs import Registry, quoted, sql_first_match, sql_match
 from heron.functions import html, urls
+from heron.functions import policy as P_
 
 R = Registry()
 
@@ -79,7 +80,7 @@ def url_seeds(spark, sf_dir):
     return seeds.select("domain", urls.start_url(F.col("domain")).alias("start_url"), urls.cache_key(F.trim("domain")).alias("cache_key"))
 
 
-NAMES = "(values ('HTTP'), (' js '), ('patient'), ('visible'), ('auto'), ('odd')) as t(raw)"
+NAMES = "(values ('HTTP'), (' js '), ('playwright'), ('Playwright_Stealth'), ('headed'), ('no-headless'), ('manual'), ('patient'), ('visible'), ('auto'), ('odd')) as t(raw)"
 
 
 def _sql_map(names: dict[str, str], default: str | None) -> str:
@@ -111,12 +112,13 @@ def nav_labels(spark, sf_dir):
     return spark.sql(f"select * from {LABELS}").select("label", urls.nav_label(F.col("label")).alias("normalized"), urls.nav_section(F.col("label")).alias("section"))
 
 
-@R.add("url_layers", "select page_id, coalesce(case when page_id % 5 = 0 then 'cli' end, case when page_id % 3 = 0 then 'run' end, case when page_id % 2 = 0 then 'seed' end, 'default') as spec from pages")
+@R.add("url_layers", "select page_id, case when page_id % 5 = 0 then 'cli' when page_id % 3 = 0 then 'run' when page_id % 2 = 0 then 'seed' else 'default' end as method, case when page_id % 3 = 0 then '5' else '3' end as delay, case when page_id % 2 = 0 then 'true' end as patient from pages")
 def url_layers(spark, sf_dir):
-    """Layered settings: the last layer that isn't null wins."""
+    """Layers of settings merged by key: the strongest value that isn't null stays."""
     n = F.col("page_id")
-    layers = [F.when(n % 5 == 0, "cli"), F.when(n % 3 == 0, "run"), F.when(n % 2 == 0, "seed"), F.lit("default")]
-    return pages(spark, sf_dir).select("page_id", F.coalesce(*layers).alias("spec"))
+    layer = lambda cond, **kv: F.when(cond, F.create_map(*(F.lit(x).cast("string") for k, v in kv.items() for x in (k, v))))
+    m = P_.merged(layer(F.lit(True), method="default", delay="3"), layer(n % 2 == 0, method="seed", patient="true"), layer(n % 3 == 0, method="run", delay="5", patient=None), layer(n % 5 == 0, method="cli"))
+    return pages(spark, sf_dir).select("page_id", m.alias("m")).select("page_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("method", "delay", "patient")))
 
 
 @R.add("site_rollup", f"""select host, count(*) as pages, sum(words) as words, count(distinct canonical) as urls, max(page_type) as last_type, sum(len(html)) // 1024 as kb from

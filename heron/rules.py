@@ -139,6 +139,10 @@ HINTS = {
     "tms": (["/tms", "/logistics"], [r"transportation\s+management", r"tms\s+integration", r"logistics\s+platform"], "medium", 1),
     "pricing": (["/pricing", "/rates", "/quote"], [r"get\s+a?\s*quote", r"request\s+pricing", r"rate\s+calculator"], "medium", 0),
 }
+PAY_STRONG = ["/careers?(?:/|$)", "/jobs?(?:/|$)", "/owner-?operators?", "/recruiting", "/employment", "/apply(?:/|$)", "/benefits(?:/|$)", "/pay(?:/|$)", "/compensation", "/join(?:-us|-our-team)?(?:/|$)", "/work-?(with|for|at)-us", "/driver-?(?:jobs|careers|pay|benefits|application)"]
+PAY_WEAK = ["/drivers?(?:/|$)", "/driving(?:/|$)"]
+PAY_EXCLUDED = ["/blog/", "/news/", "/press/", "/article/", "/driving-change", "/driving-towards"]
+PAY_TYPES = ["careers", "recruiting", "drivers", "benefits"]
 DECORATIVE = ["spacer", "pixel", "blank", "transparent", "1x1", "sprite", "icon-", "-icon"]
 IMAGE_KINDS = {"logo": ["logo", "brand", "wordmark"], "icon": ["icon", "ico-", "-ico", "favicon", "sprite"], "diagram": ["diagram", "chart", "graph", "flow", "architecture"], "screenshot": ["screenshot", "screen-", "capture", "preview"]}
 

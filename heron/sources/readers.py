@@ -6,6 +6,8 @@ Paths are opened by Spark, so any store works; small settings (YAML, JSON) come
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,17 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def site_of(found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Seeds with their site: by file name of the domain, else the first file that begins with its first label."""
+    """Seeds with their site: by file name of the domain, else the first file that begins with the domain's first label.
+
+    The beginnings of file names are rows of their own, so that both sides meet by equality; only names are compared.
+    """
+    names = found.select("file").distinct()
+    begins = names.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file")), lambda n: F.substring(F.col("file"), F.lit(1), n))).alias("_label"))
     wanted = F.concat(F.regexp_replace("domain", "[./]", "_"), F.lit(".json"))
-    files = found.select("file", F.struct(*[c for c in found.columns if c != "file"]).alias("site"))
-    near = seeds.join(files, F.col("file").startswith(F.substring_index(F.regexp_replace("domain", r"^www\.", ""), ".", 1)), "left")
-    best = F.min_by("site", F.struct((F.col("file") != wanted), "file"))
-    return near.groupBy(*seeds.columns).agg(best.alias("site"))
+    near = seeds.select("domain").distinct().withColumn("_label", F.substring_index("domain", ".", 1)).join(begins, "_label")
+    best = near.groupBy("domain").agg(F.min_by("file", F.struct(F.col("file") != wanted, "file")).alias("file"))
+    held = best.join(found.select("file", F.struct(*[c for c in found.columns if c != "file"]).alias("site")), "file").drop("file")
+    return seeds.join(held, "domain", "left")
 
 
 def pages_of(found: DataFrame) -> DataFrame:
@@ -47,6 +54,7 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, path: str) -> str:
+    """A small settings file, whole; a missing one raises."""
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
@@ -60,6 +68,59 @@ def settings(spark: SparkSession, path: str) -> dict:
     return json.loads(raw) if raw.strip() else {}
 
 
+@dataclass
+class Profile:
+    """Rule packs and limits of a crawl, as the operators take them."""
+
+    name: str = "default"
+    priorities: dict[str, list[str]] = field(default_factory=dict)
+    sections: list[str] = field(default_factory=list)
+    products: list[tuple[str, list[str], list[str]]] = field(default_factory=list)
+    features: list[str] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    max_depth: int = 2
+    max_pages: int = 100
+    prioritize_nav: bool = True
+    skip_external: bool = True
+
+
+def _patterns(listed: list | None) -> list[str]:
+    """Patterns; one that is none is taken as the text it is."""
+    out = []
+    for p in listed or []:
+        try:
+            re.compile(p)
+        except re.error:
+            p = re.escape(p)
+        out.append(p.lower() if p.islower() else p)
+    return out
+
+
+def profile_of(held: dict, name: str = "default") -> Profile:
+    """A profile from its settings; what they leave out has its usual value."""
+    ranked, limits = held.get("priority") or {}, held.get("settings") or {}
+    known = {k: limits[k] for k in ("max_depth", "max_pages", "prioritize_nav", "skip_external") if k in limits}
+    products = [(p.get("name", "Unknown"), _patterns(p.get("patterns")), list(p.get("terms") or [])) for p in held.get("products") or [] if isinstance(p, dict)]
+    return Profile(held.get("name", name), {k: _patterns(ranked.get(k)) for k in ("high", "medium", "low") if ranked.get(k)}, list(held.get("expected_nav_sections") or []), products, list(held.get("features_of_interest") or []), list(held.get("industry_terms") or []), **known)
+
+
+def _profile_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to file of the profiles in a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml,json}").load(folder).select("path")
+    return {r[0].rsplit("/", 1)[-1].rsplit(".", 1)[0]: r[0] for r in found.collect()}
+
+
+def profile_names(spark: SparkSession, folder: str) -> list[str]:
+    return sorted(_profile_files(spark, folder))
+
+
+def profile(spark: SparkSession, folder: str, name: str, fallback: str = "generic") -> Profile:
+    """A named profile, else the fallback, else one with usual values."""
+    files = _profile_files(spark, folder)
+    path = files.get(name) or files.get(fallback)
+    return profile_of(settings(spark, path), name) if path else Profile()
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
     """A list of companies, bare or under `carriers`; anything else is an error."""
     held = settings(spark, path)

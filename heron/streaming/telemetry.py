@@ -53,8 +53,30 @@ def failure_runs(stream: DataFrame, requeue_at: int = 2) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(update, RUN, "run long", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a table in memory; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def queue(stream: DataFrame, failed_below: float = 20) -> DataFrame:
+    """Failed attempts merged by domain as they come: attempts, strategies tried, first time."""
+    by = stream.filter(F.col("value") < failed_below).groupBy("user_id")
+    return by.agg(F.count(F.lit(1)).alias("attempts"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("tried"), F.min("ts").alias("added"))
+
+
+def strategies(stream: DataFrame, success_from: float = 30) -> DataFrame:
+    """Latest successful strategy of each domain as attempts come; equal times in order of event_id."""
+    good = stream.filter(F.col("value") >= success_from)
+    return good.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("method"), F.max("ts").alias("updated_at"))
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files of a shared folder, a batch a subfolder, and reads the result.
+
+    A batch that is run again replaces its own files. In complete mode the last batch counts, in
+    update mode the last row of each key.
+    """
+    out = f"{folder}/out"
+    query = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi")
+    elif mode == "update":
+        rows = rows.groupBy(*(keys or [])).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (keys or [])]), "batch").alias("r")).select(*(keys or []), "r.*")
+    return rows.drop("batch")

@@ -175,7 +175,7 @@ def test_amounts(spark):
 
 
 def test_stream_and_batch_counters_agree(spark, sf_dir, tmp_path):
-    out = telemetry.drain(telemetry.counters(telemetry.events(spark, sf_dir)), "counters_test", str(tmp_path / "c"), "complete")
+    out = telemetry.drain(telemetry.counters(telemetry.events(spark, sf_dir)), str(tmp_path / "c"), "complete")
     assert out.agg(F.sum("attempts")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
