@@ -194,24 +194,49 @@ def test_factors():
 PAGES = "page_id long, url string, html string"
 
 
+def archived(spark, rows):
+    return warc.read(spark, warc.write(spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as node", "2 as hash")))
+
+
+def kinds(spark, ours, theirs):
+    return sorted((r["page_id"], r["kind"]) for r in warc.audit(*(warc.tree(warc.leaves(archived(spark, x))) for x in (ours, theirs))).collect() if r["kind"] != "moved")
+
+
 def test_audit(spark):
-    rows = [(i, f"http://a/{i}", f"<p>{'é' * (i % 50)}</p>") for i in range(2300)] + [(None, None, None), (7, "again", "")]
-    ours = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as node", "2 as hash")
-    wrong = ours.withColumn("html", F.when(F.col("page_id") == 1500, F.lit("<q>ééééé</p>").substr(1, 12)).otherwise(F.col("html")))
-    same = warc.audit(warc.tree(warc.leaves(ours)), warc.tree(warc.leaves(ours)))
-    assert same.count() == 0
-    original = dict((r[0], r[2]) for r in rows)[1500]
-    assert original != "<q>ééééé</p>"
-    found = warc.audit(warc.tree(warc.leaves(ours)), warc.tree(warc.leaves(wrong.filter("page_id is not null")))).collect()
-    assert {r["file"] for r in found} == {-1, 1}
-    assert warc.audit(warc.tree(warc.leaves(ours)), warc.tree(warc.leaves(ours.limit(0)))).count() == len(rows)
-
-
-def test_archive_round_trip(spark):
-    rows = [(1, "http://a/1", "<p>one\r\n\r\n</p>"), (2, None, None), (3, "u", "é" * 300)]
-    made = spark.createDataFrame(rows, PAGES).select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()
-    archive = b"".join(r["r"].encode() for r in made)
+    rows = [(i, f"http://a/{i}", f"<p>{'é' * (i % 50)}</p>") for i in range(2300)] + [(7, "again", ""), (8, "long", "long " * 200000)]
+    assert kinds(spark, rows, rows) == []
+    wrong = [(i, u, "<q>other</q>" if i == 1500 else h) for i, u, h in rows]
+    assert kinds(spark, rows, wrong) == [(1500, "changed")]
+    # a lost record moves all that follow it in its file, and is the only one that is missing
+    assert kinds(spark, rows, [r for r in rows if r[0] != 1200]) == [(1200, "missing")]
+    assert kinds(spark, [r for r in rows if r[0] != 1200], rows) == [(1200, "added")]
+    two = kinds(spark, rows + [(None, None, None)], rows)
+    assert two == [(None, "missing")]
+    assert len(kinds(spark, rows[:20], [])) == 20 and kinds(spark, [], []) == []
+    assert {k for _, k in kinds(spark, [], rows[:20])} == {"added"}
+
+
+def test_archive_round_trip(spark, tmp_path):
+    inner = warc.FIRST + "resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "http://a/1", "<p>one\r\n\r\n</p>"), (2, None, None), (3, "u", "é" * 300), (4, "v", "x" + inner + inner), (5, "w", "\r\n\r\n"), (None, "n", "null"), (1001, "z", "end")]
+    got = archived(spark, rows).collect()
+    made = {r["p"]: r["r"] for r in spark.createDataFrame(rows, PAGES).select(F.col("page_id").alias("p"), warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()}
+    assert sorted(r["record"] for r in got) == sorted(made.values())
+    order = [r["record"] for r in sorted((r for r in got if r["file"] == 0), key=lambda r: (r["at"]["block"], r["at"]["k"]))]
+    assert order == [made[i] for i in range(1, 6)]
+    folder = warc.write(spark.createDataFrame(rows, PAGES))
+    bodies = warc.foreign(spark, f"{folder}/*/*.gz").collect()
+    assert sorted(bytes(r["body"]).decode() for r in bodies) == sorted(h or "" for _, _, h in rows) and {r["kind"] for r in bodies} == {"resource"}
+
+
+def test_parse_of_broken_archives():
+    import gzip
+
+    archive = b"".join(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n".encode() for b in ("one", "", "three\r\n\r\n"))
     back = list(warc.parse(archive))
-    assert [b.decode() for *_, b in back] == [h or "" for _, _, h in rows] and sum(n for _, n, *_ in back) == len(archive)
-    broken = archive.replace(b"WARC-Target-URI: http", b"WARC/-Target", 1)[:-3]
-    assert sum(n for _, n, *_ in warc.parse(broken)) == len(broken)
+    assert [b.decode() for *_, b in back] == ["one", "", "three\r\n\r\n"] and sum(n for _, n, *_ in back) == len(archive)
+    broken = archive.replace(b"Content-Length: 3", b"Content-Length: x", 1)[:-3]
+    assert [bool(f) for _, _, f, _ in warc.parse(broken)] == [False, True, False] and sum(n for _, n, *_ in warc.parse(broken)) == len(broken)
+    members = gzip.compress(archive[:60]) + gzip.compress(archive[60:])
+    assert warc.unzipped(members) == archive and warc.unzipped(archive) == archive
+    assert warc.unzipped(gzip.compress(b"whole") + b"\x1f\x8b broken").startswith(b"whole") and list(warc.parse(b"")) == []
