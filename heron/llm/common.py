@@ -66,7 +66,8 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     ship(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heron-{label}-{uuid.uuid4().hex}"
-    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
     _written.append(table)

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,14 +160,16 @@ def learn(sample: list[tuple[str, int]]) -> Model:
     positives = sum(y for _, y in sample)
     if not 0 < positives < len(sample):
         return Model(words, {})
-    seen, bad = Counter(), Counter()
-    for text, y in sample:
-        found = set().union(*map(_patterns, set(WORD.findall(text.lower())))) if text else set()
-        seen.update(found)
-        if y:
-            bad.update(found)
+    # patterns that mark label 1 thrice or are listed are counted everywhere; of the others only how many there are at most
+    bad = Counter(p for text, y in sample if y for p in set().union(*map(_patterns, set(WORD.findall(text.lower())))))
+    told = {p for p, n in bad.items() if n >= 3} | {f"{w}$" for w in words}
+    seen, vocabulary = Counter(), set()
+    for text, _ in sample:
+        found = set(WORD.findall(text.lower()))
+        vocabulary |= found
+        seen.update(set().union(*map(_patterns, found)) & told)
     base = positives / len(sample)
-    surprise = math.log(len(seen) + 1) + 3
+    surprise = math.log(len(vocabulary) + 1) + 4
 
     def evidence(p: str) -> float:
         n, k = seen[p], bad[p]
@@ -242,8 +243,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def toxic(text: Column, model: Model) -> Column:
     """Whether the model rejects a text."""
 
-    @F.pandas_udf("boolean")
-    def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t or "") >= 0.5 for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py() or "") >= 0.5 for t in texts], pa.bool_())
 
     return judge(F.coalesce(text, F.lit("")))
