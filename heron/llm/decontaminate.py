@@ -34,7 +34,7 @@ SEPARATORS = r"[\x00-/:-`{-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def document_key() -> tuple[Column, Column]:

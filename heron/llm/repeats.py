@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import discard, skew_join, stored
+from heron.llm.common import discard, pieces, skew_join, stored
 from heron.llm.textcodec import _BYTE, U, _Powers, chunks, mix
+from heron.session import ship
 
 SPAN, KMER = 200, 32
 WINDOW = SPAN - KMER + 1
@@ -42,8 +43,8 @@ _LOW = 22
 #: Contexts of one anchor that are compared at once, and contexts in a bucket.
 TOGETHER, BUCKET = 600, 600
 WIDTHS = (43, 11, 1)
-#: Rows that are broadcast at most; more are joined by shuffle.
-FEW = 500_000
+#: Texts, and ranges in them, that are broadcast at most (ids of 16 and ranges of 8 bytes); more are joined by shuffle.
+FEW, FEW_SPANS = 500_000, 2_000_000
 
 
 def _window_minima(v: np.ndarray) -> np.ndarray:
@@ -82,13 +83,14 @@ def _runs(data: np.ndarray, offsets: np.ndarray):
 
 def runs(keyed: DataFrame) -> DataFrame:
     """doc_id, text_key, lo, hi (first and last window start), at (anchor), h, c of every run; keyed has doc_id, text_key, text."""
+    ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             for first, offsets, data in chunks(batch.column(2)):
                 long = len(offsets) == 2 and len(data) > 2 * PIECE
-                pieces = [(a, data[a : a + PIECE + SPAN - 1]) for a in range(0, len(data) - SPAN + 1, PIECE)] if long else [(0, data)]
-                for base, part in pieces:
+                cuts = [(a, data[a : a + PIECE + SPAN - 1]) for a in range(0, len(data) - SPAN + 1, PIECE)] if long else [(0, data)]
+                for base, part in cuts:
                     found = _runs(part, np.array([0, len(part)]) if long else offsets)
                     if found is None:
                         continue
@@ -248,23 +250,59 @@ def repeated_ranges(keyed: DataFrame, keep: str = "none") -> DataFrame:
     contexts = bodies.select(F.col("x.h").alias("key"), "doc_id", "text_key", "x.lo", F.col("x.a").alias("anchor"), "x.cnt", F.lit(0).alias("frm"), F.col("x.w").alias("to"), "x.body")
     ranges = whole.unionByName(_compared(stored(contexts, "bodies"), keep))
     listed = ranges.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("r"))
-    last = "element_at(acc, -1)"
-    merged = F.expr(
-        "aggregate(r, cast(array() as array<struct<s:int,e:int>>), (acc, x) -> "
-        f"if(size(acc) > 0 and if(size(acc) > 0, {last}.e, 0) >= x.s, concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.e)))), concat(acc, array(x))))"
-    )
-    return stored(listed.select("doc_id", "text_key", merged.alias("removed")), "removed")
+    return stored(listed.select("doc_id", "text_key", _merged(F.col("r")).alias("removed")), "removed")
+
+
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges (s, e) joined where they touch or overlap, in time linear in their number."""
+
+    @F.arrow_udf("array<struct<s:int,e:int>>")
+    def merge(lists: pa.Array) -> pa.Array:
+        flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        s, e = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        # ends so far, by rows that come after each other: a row's own ends are beyond all of the row before
+        far = np.int64(1) << 32
+        reach = np.maximum.accumulate(e + row * far) - row * far
+        first = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] > reach[:-1])]) if len(s) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        last = np.concatenate([begin[1:], [len(s)]])[: len(begin)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(s[begin], pa.int32()), pa.array(reach[last].astype(np.int32))], ["s", "e"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), spans)
+
+    return merge(ranges)
+
+
+def _left(body: Column, removed: Column) -> Column:
+    """What lies outside the removed ranges, in order."""
+
+    @F.arrow_udf("binary")
+    def cut(bodies: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for body, spans in zip(bodies, lists, strict=True):
+            if not body.is_valid:
+                out.append(None)
+                continue
+            data, s, e = memoryview(body.as_buffer()), spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist()
+            out.append(b"".join(data[a:b] for a, b in zip([0, *e], [*s, len(data)], strict=True)))
+        return pa.array(out, pa.binary())
+
+    return cut(body, removed)
 
 
 def remove_repeats(docs: DataFrame, keep: str = "none") -> DataFrame:
     """doc_id, n_bytes, removed (ranges), kept (the remaining bytes) of every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    ship(docs.sparkSession)
     ranges = repeated_ranges(keyed, keep).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    few = ranges.count() <= FEW
+    rows, spans = ranges.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
+    few = rows <= FEW and (spans or 0) <= FEW_SPANS
     joined = keyed.join(F.broadcast(ranges) if few else ranges, F.expr("doc_id <=> d and text_key = k"), "left")
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = joined.select("doc_id", body.alias("bytes"), F.coalesce("removed", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("removed"))
-    # what lies between the removed ranges, in order
-    gaps = "transform(sequence(0, size(removed)), i -> substring(bytes, if(i = 0, 0, removed[i - 1].e) + 1, if(i = size(removed), length(bytes), removed[i].s) - if(i = 0, 0, removed[i - 1].e)))"
-    kept = F.expr(f"if(size(removed) = 0, bytes, aggregate({gaps}, cast('' as binary), (acc, x) -> concat(acc, x)))")
+    touched = F.size("removed") > 0  # only these texts go through Python
+    kept = F.coalesce(_left(F.when(touched, F.col("bytes")), F.when(touched, F.col("removed"))), F.col("bytes"))
     return rows.select("doc_id", F.length("bytes").cast("long").alias("n_bytes"), "removed", kept.alias("kept"))

@@ -155,9 +155,10 @@ def brute_repeats(texts, keep):
     return out
 
 
-@pytest.mark.parametrize("keep,together", [("none", 600), ("none", 3), ("first", 600), ("first", 3)])
-def test_repeats(spark, monkeypatch, keep, together):
+@pytest.mark.parametrize("keep,together,few", [("none", 600, 9999), ("none", 3, 0), ("first", 600, 0), ("first", 3, 9999)])
+def test_repeats(spark, monkeypatch, keep, together, few):
     monkeypatch.setattr(repeats, "TOGETHER", together)
+    monkeypatch.setattr(repeats, "FEW", few)
     r = random.Random(1)
     noise = lambda n: "".join(r.choices("abcdefgh é", k=n))
     line, passage = noise(150), noise(330)
@@ -168,6 +169,21 @@ def test_repeats(spark, monkeypatch, keep, together):
     assert [out[i] for i in range(len(texts))] == brute_repeats(texts, keep)
 
 
+def test_repeats_of_null_ids(spark):
+    """Null ids are documents like others; of their equal texts no byte is left."""
+    r = random.Random(7)
+    passage, tail = "".join(r.choices("abcdefgh", k=260)), "".join(r.choices("xyz", k=250))
+    docs = spark.createDataFrame([(None, passage), (None, passage + "end"), (None, tail), (None, None), (3, "start" + passage)], DOCS)
+    assert sorted(bytes(x["kept"]).decode() for x in repeats.remove_repeats(docs).collect()) == sorted(["", "end", tail, "", "start"])
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_merged_ranges(spark):
+    rows = [([(0, 200), (10, 210), (210, 300), (301, 500), (302, 400)],), ([(5, 205)],), ([],), ([(0, 900), (10, 20), (850, 1000)],)]
+    got = spark.createDataFrame(rows, "r array<struct<s:int,e:int>>").coalesce(1).select(repeats._merged(F.col("r")).alias("m")).collect()
+    assert [[tuple(x) for x in r["m"]] for r in got] == [[(0, 300), (301, 500)], [(5, 205)], [], [(0, 1000)]]
+
+
 def test_repeats_in_pieces(spark, monkeypatch):
     from heron.llm import textcodec
 
