@@ -10,11 +10,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def build(cpus: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build(cpus: str | None = None, shuffle_partitions: int | None = None, shared_dir: str | None = None) -> SparkSession:
     """Local session for tests and benchmarks; a cluster supplies its own."""
     n = cpus or os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared_dir) if shared_dir else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{n}]")
+        builder.master(f"local[{n}]")
         .appName("heron")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.sql.session.timeZone", "UTC")
