@@ -140,6 +140,17 @@ def backoff(base: Column, attempt: Column) -> Column:
     return F.least(base * F.pow(F.lit(2.0), attempt), F.lit(120.0))
 
 
+def next_delay(attempt: Column, base: Column, patient: Column, outcome: Column, first: Column, second: Column) -> Column:
+    """Delay before the next attempt, one second at least.
+
+    first and second are shares of 1 (F.rand() or a hash): where patience is asked for, the first
+    picks a base of 8 to 20 seconds; the second moves the delay by up to a fifth either way.
+    """
+    own = F.when(patient | F.coalesce(outcome.isin("soft_block", "challenge_not_cleared"), F.lit(False)), 8.0 + first * 12.0).otherwise(base)
+    delay = backoff(own, attempt)
+    return F.greatest(F.lit(1.0), delay + delay * (second * 0.4 - 0.2))
+
+
 def recommended(cached: Column, challenged: Column, cdn_name: Column, js: Column) -> Column:
     return F.coalesce(cached, F.when(challenged | F.coalesce(cdn_name.isin("cloudflare", "stackpath"), F.lit(False)), "stealth").when(js, "js").otherwise("requests"))
 

@@ -173,12 +173,13 @@ def code_classes(spark, sf_dir):
     return best.select("class", F.coalesce(names[F.col("f.language")], F.col("f.language")).alias("language"), "f.confidence")
 
 
-@R.add("backoff_and_expiring", "select event_id, least(3.0::double * pow(2, event_id % 8), 120) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from events")
+@R.add("backoff_and_expiring", f"select event_id, greatest(1.0::double, d + d * (event_id * 17 % 89 / 89.0::double * 0.4::double - 0.2::double)) as delay, (event_id * 7919 % 40000000 - 500000) between 0 and 604800 as expiring from (select event_id, least((case when event_id % 6 = 0 or {OUTCOME} in ('soft_block', 'challenge_not_cleared') then 8.0::double + event_id * 31 % 97 / 97.0::double * 12.0::double else 3.0::double end) * pow(2, event_id % 8), 120.0::double) as d from events)")
 def backoff_and_expiring(spark, sf_dir):
-    """Delay before the next attempt, without its random part, and whether a cookie expires within a week."""
+    """Delay before the next attempt, its random parts from the event's number, and whether a cookie expires within a week."""
     n = F.col("event_id")
     e = n * 7919 % 40000000 - 500000
-    return read(spark, sf_dir, "events").select("event_id", D.backoff(F.lit(3.0), n % 8).alias("delay"), e.between(0, 604800).alias("expiring"))
+    share = lambda k, m: n * k % m / float(m)
+    return read(spark, sf_dir, "events").select("event_id", D.next_delay(n % 8, F.lit(3.0), n % 6 == 0, outcome(), share(31, 97), share(17, 89)).alias("delay"), e.between(0, 604800).alias("expiring"))
 
 
 def _region(name: str):

@@ -80,17 +80,23 @@ def text_ngrams(spark, sf_dir):
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
+FEW_GRAMS = 500_000
+
+
 @R.add("text_similarity", f"""select item_id, doc_id, met / cast(a + b - met as double) as similarity from (select item_id, doc_id, len(x) as a, len(y) as b, len(list_intersect(x, y)) as met from
  (select item_id, list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) as x from (select item_id, {sql_words('text')} as w from benchmark)),
  (select doc_id, list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) as y from (select doc_id, {sql_words('text')} as w from documents))) where met > 0""")
 def text_similarity(spark, sf_dir):
-    """Trigram Jaccard of benchmark items and documents that share a trigram, through an inverted list."""
+    """Trigram Jaccard of benchmark items and documents that share a trigram, through an inverted list.
+
+    The items' trigrams are broadcast up to FEW_GRAMS rows (about 60 MB); then only trigrams that meet are shuffled.
+    """
     sets = lambda d, k: d.select(k, F.array_distinct(T.ngrams(T.words(F.col("text")), 3)).alias("g"))
     items = sets(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
     docs = sets(documents(spark, sf_dir), "doc_id")
     left = items.select("item_id", F.size("g").alias("a"), F.explode("g").alias("gram"))
     right = docs.select("doc_id", F.size("g").alias("b"), F.explode("g").alias("gram"))
-    both = left.join(right, "gram").groupBy("item_id", "doc_id", "a", "b").agg(F.count(F.lit(1)).alias("both"))
+    both = right.join(F.broadcast(left) if left.count() <= FEW_GRAMS else left, "gram").groupBy("item_id", "doc_id", "a", "b").agg(F.count(F.lit(1)).alias("both"))
     return both.select("item_id", "doc_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
 
 
@@ -261,9 +267,23 @@ def text_grades(spark, sf_dir):
     return p.select("page_id", T.completeness(F.col("html"), F.col("text")).alias("completeness"), T.repeated_trigrams(F.col("text")).cast("long").alias("repeated"))
 
 
-@R.add("text_grades_all")
+_MARKED = f"len(regexp_extract_all(lower(text), {quoted('|'.join(T.MARKERS))}))"
+_SAID = "list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: len(s) > 10)"
+SQL_GRADES = f"""with d as (select row_number() over () as row, doc_id, text from documents),
+ w as (select row, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as w from d),
+ g as (select row, array_to_string(w[i:i + 2], ' ') as gram from (select row, w, unnest(range(1, len(w) - 1)) as i from w)),
+ again as (select row, count(*) as again from (select row, gram from g group by row, gram having count(*) > 2) group by row),
+ f as (select d.row, doc_id, text, {NW} as n, {_MARKED} as marks, coalesce(again, 0) as again, {_SAID} as said, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '')) as parts, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) / cast(greatest(len(text), 1) as double) as signs from d left join again using (row)),
+ h as (select *, list_sum(list_transform(said, lambda s: len(regexp_extract_all(s, '[^ \\t\\n\\x0b\\f\\r]+')))) / cast(nullif(len(said), 0) as double) as mean, len(list_filter(said, lambda s: regexp_matches(s, '^\\p{{Lu}}'))) / cast(nullif(len(said), 0) as double) as formed from f),
+ k as (select doc_id, greatest(1.0::double, least(5.0::double, 3.0::double + case when n >= 500 then 1.0 when n >= 200 then 0.5 when n < 50 then -1.5 when n < 100 then -0.5 else 0.0 end + case when text = '' then 0.0 when 0.25 between 0.05 and 0.4 then 0.5 else 0.0 end + case when regexp_matches(text, '\\n[A-Z][^.!?]*\\n') then 0.25 else 0.0 end)) as completeness,
+ greatest(1.0::double, least(5.0::double, 3.5::double + case marks when 0 then 0.5 when 1 then 0.0 when 2 then 0.0 when 3 then -0.5 when 4 then -0.5 when 5 then -0.5 else -1.0 end + case when n > 20 and again > 5 then -0.5 else 0.0 end)) as precision,
+ case when n < 20 then 2.0::double else greatest(1.0::double, least(5.0::double, 3.0::double + case when parts >= 3 then 0.5 when parts = 1 then -0.5 else 0.0 end + case when mean between 10 and 25 then 0.5 when mean < 5 then -0.75 when mean > 40 then -0.5 else 0.0 end + case when signs > 0.15 then -0.5 else 0.0 end + case when formed > 0.7 then 0.25 else 0.0 end)) end as structure from h)
+ select *, round_even((completeness + precision + structure) / 3, 2) as average from k"""
+
+
+@R.add("text_grades_all", SQL_GRADES)
 def text_grades_all(spark, sf_dir):
-    """All three grades and their mean, of documents as extracted texts."""
+    """All three grades and their mean, of documents as the texts extracted from pages four times as long."""
     t = F.col("text")
     graded = documents(spark, sf_dir).select("doc_id", T.completeness(F.concat(t, t, t, t), t).alias("completeness"), T.precision(t, F.lit(0.2)).alias("precision"), T.structure(t).alias("structure"))
     return graded.withColumn("average", F.bround((F.col("completeness") + F.col("precision") + F.col("structure")) / 3, 2))
