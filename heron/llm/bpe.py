@@ -38,7 +38,7 @@ from heron.llm.common import pieces
 from heron.session import ship
 
 #: Entries of each of the two tables of recent encodings in a worker.
-HELD = 120_000
+HELD = 250_000
 ROWS = 256
 #: Printable ASCII and the letters of Latin-1.
 LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")

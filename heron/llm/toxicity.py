@@ -2,7 +2,8 @@
 
 A lexicon transducer turns the words of a clause into classes: insult, threat, target, negation,
 reporting verb, other. Three transducers rewrite that class string: negation weakens what follows
-within its scope, reported speech does so to the end of the clause, a target strengthens it. They
+within its scope, reported speech does so to the end of the clause, a target before or after
+strengthens it (read from right to left first). They
 are composed into one machine, and a last layer weighs what it puts out, so that a clause is scored
 as a whole. A document's score is a logistic function of its matched clauses.
 
@@ -78,14 +79,21 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
 #: Outputs of the grammar: an insult or threat, plain, aimed, negated or reported.
 PLAIN = {INSULT: "I", THREAT: "H"}
 AIMED = {"I": "J", "H": "K"}
+#: What the machine reads: word classes, and insults and threats that a target follows in the clause.
+ALPHABET = "IHJKTNRo"
 WEAK = {"I": "i", "H": "h", "J": "j", "K": "k"}
 WEIGHT = {"I": 1.0, "J": 1.4, "i": 0.5, "j": 0.7, "H": 0.8, "K": 1.6, "h": 0.2, "k": 0.4}
 SCOPE = 3
 
 
+def aiming() -> Transducer:
+    """An insult or threat is aimed once a target has been read."""
+    return Transducer({(0, TARGET): (1, TARGET)} | {(1, x): (1, y) for x, y in AIMED.items()}, 2)
+
+
 def grammar() -> Transducer:
-    """target, then negation, then reported speech, over the class alphabet."""
-    aimed = Transducer({(0, TARGET): (1, TARGET)} | {(1, x): (1, y) for x, y in AIMED.items()}, 2)
+    """target, then negation, then reported speech, over the class alphabet, from left to right."""
+    aimed = aiming()
     negated = Transducer(states=SCOPE + 1)
     for s in range(SCOPE + 1):
         negated.arcs[s, NEGATION] = SCOPE, NEGATION
@@ -93,7 +101,7 @@ def grammar() -> Transducer:
             negated.arcs |= {(s, x): (s - 1, x) for x in (OTHER, TARGET, REPORT)}
             negated.arcs |= {(s, x): (s, y) for x, y in WEAK.items()}
     reported = Transducer({(0, REPORT): (1, REPORT)} | {(1, x): (1, y) for x, y in WEAK.items()}, 2)
-    return compose(compose(aimed, negated, "IHTNRo"), reported, "IHTNRo")
+    return compose(compose(aimed, negated, ALPHABET), reported, ALPHABET)
 
 
 @dataclass
@@ -104,7 +112,7 @@ class Model:
     nothing: float = 0.02
 
     def __post_init__(self) -> None:
-        self.machine = grammar()
+        self.machine, self.backward = grammar(), aiming()
         strong = sorted((w for w, (c, _) in self.words.items() if c in PLAIN), key=len, reverse=True)
         stems = sorted(self.stems, key=len, reverse=True)
         found = [rf"(?:{'|'.join(map(re.escape, strong))})(?![^\W\d_])"] * bool(strong) + [rf"(?:{'|'.join(map(re.escape, stems))})"] * bool(stems)
@@ -119,9 +127,14 @@ class Model:
         return OTHER, 0.0
 
     def clause_score(self, clause: str) -> float:
+        found = [self.classify(word) for word in WORD.findall(clause)]
+        # from right to left first, for targets that come after
+        state, marked = 0, []
+        for symbol, _ in reversed(found):
+            state, out = self.backward.step(state, symbol)
+            marked.append(out)
         state, total = 0, 0.0
-        for word in WORD.findall(clause):
-            symbol, weight = self.classify(word)
+        for symbol, (_, weight) in zip(reversed(marked), found, strict=True):
             state, out = self.machine.step(state, symbol)
             total += WEIGHT.get(out, 0.0) * weight
         return total

@@ -36,6 +36,49 @@ def test_toxicity_grammar():
     assert model.score("the weather is fine") < 0.5 and model.clauses("") == (0.0, 0)
 
 
+def test_composed_grammar_is_its_parts_in_turn():
+    aimed, machine = toxicity.aiming(), toxicity.grammar()
+    r = random.Random(3)
+    for _ in range(500):
+        symbols = r.choices(toxicity.ALPHABET, k=r.randint(0, 12))
+        state, one = 0, []
+        for x in symbols:
+            state, out = machine.step(state, x)
+            one.append(out)
+        # plainly: a target before aims, a negation weakens within its scope, a report to the end
+        state, want, scope, told = 0, [], 0, False
+        for x in symbols:
+            state, out = aimed.step(state, x)
+            scope = toxicity.SCOPE if out == toxicity.NEGATION else scope
+            weak = out in toxicity.WEAK and (scope > 0 or told)
+            if out in (toxicity.OTHER, toxicity.TARGET, toxicity.REPORT):
+                scope = max(0, scope - 1)
+            told = told or out == toxicity.REPORT
+            want.append(toxicity.WEAK[out] if weak else out)
+        assert one == want, symbols
+    model = toxicity.learn([])
+    assert model.clause_score("idiot, you are") == model.clause_score("you idiot")
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    k = len(pii.TAGS)
+    crf = pii.Crf(r.normal(size=(pii.BUCKETS, k)), r.normal(size=(k, k)))
+    words = [["a", "12"], ["x@y"], ["call", "(415)", "5"]]
+    for run, got in zip(words, crf.decode(words), strict=True):
+        s = crf.emit[pii.features(run)].sum(1)
+        total = lambda path: sum(s[t, y] for t, y in enumerate(path)) + sum(crf.move[a, b] for a, b in zip(path, path[1:], strict=False))
+        assert total(got) == pytest.approx(max(total(p) for p in itertools.product(range(k), repeat=len(run))))
+
+
+def test_shapes_are_of_whole_words():
+    assert pii.shape("a" * 50 + "1") != pii.shape("a" * 50 + "@") and pii.shape("1" * 100 + "x") != pii.shape("1" * 100 + "-")
+
+
 def test_quality_held_out():
     train, test = folds("quality")
     model = quality.learn(train)

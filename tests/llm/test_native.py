@@ -70,6 +70,23 @@ def test_decontamination(spark):
     assert decontaminate.clean(spark.createDataFrame(docs, DOCS), items).count() == 3
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null ids, repeated rows, long texts and columns with clashing names."""
+    items = spark.createDataFrame([(1, "one two"), (None, "long end"), (1, "one two")], "item_id long, text string").selectExpr("*", "1 as window", "2 as w")
+    rows = [(None, "one two"), (None, "clean"), (2, "one two"), (2, "one two"), (3, "long " * 60000 + "end"), (4, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as pos", "2 as term", "3 as n", "4 as d", "5 as k", "6 as start")
+    out = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect())
+    assert out == [("2", 2, 2, ["1"], True), ("2", 2, 2, ["1"], True), ("3", 60001, 2, [], True), ("4", 0, 0, [], False), ("None", 1, 0, [], False), ("None", 2, 2, ["1"], True)]
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "None"]
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_decontamination_by_either_join(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW", few)
+    test_decontamination_of_odd_rows(spark)
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "rare words stand near")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "rare x x words stand near"), (2, "rare " + "x " * 50 + "words"), (3, "near stand words rare")], DOCS)
@@ -102,3 +119,12 @@ def test_chat_windows(spark):
     assert len(held) > 1 and all("be good" in r["text"] for r in held)
     again = [r for r in chat.read_turns(made).collect() if r["again"]]
     assert again and all(r["window"] > 0 for r in again)
+
+
+def test_chat_of_odd_rows(spark):
+    """Columns with clashing names, and a turn longer than many windows."""
+    long = "word " * 50000
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "assistant", "end"), (1, 2, "assistant", "end")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window", "2 as pos", "3 as tokens", "4 as mask", "5 as head")
+    back = chat.read_back(chat.windows(rows)).first()
+    assert back["n_turns"] == 4 and back["loss"] == long + "endend"

@@ -57,6 +57,20 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
         assert none.count() == 0 and none.columns == docs.columns
 
 
+def test_stages_of_repeated_and_long_rows(spark, sf_dir):
+    long = "a long text of words " * 20000
+    rows = [(1, long), (2, long.upper()), (3, "short text"), (3, "short text"), (4, long + "with an end"), (5, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_tokens": F.lit(1), "tokens": F.lit("t")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        left = sorted(str(r["doc_id"]) for r in docs.collect())
+        assert left == {"toxicity": ["1", "2", "3", "3", "4", "5", "None"], "exact_dedup": ["2", "3", "4", "5"], "near_dedup": ["2", "3", "4", "5"], "decontamination": ["2", "3", "4", "5"]}[name]
+    name, last = corpus_pipeline.STAGES[-1]
+    out = {r["doc_id"]: r for r in last(spark, docs, sf_dir).collect()}
+    assert out[5]["n_tokens"] == 0 and len(out[2]["tokens"]) == out[2]["n_tokens"] > 50000
+    assert last(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_registered():
     found = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if re.match(r"op\d", k)} and "pipeline" in found
