@@ -47,12 +47,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the stored archive of all pages against a stored replica in which one byte of some records is wrong."""
-    archive = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    records = warc.read(spark, archive)
+    archive = warc.read(spark, warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    records = archive.records
     end, page = ">" + warc.LAST, F.regexp_extract("record", r"<urn:page:(-?\d*)>", 1).try_cast("long")
     wrong = (page % 97 == 13) & F.col("record").endswith(end)
     replica = warc.copy(records.withColumn("record", F.when(wrong, F.concat(F.expr(f"substring(record, 1, length(record) - {len(end)})"), F.lit("?" + warc.LAST))).otherwise(F.col("record"))))
-    ours, theirs = (warc.tree(warc.leaves(x)) for x in (records, warc.read(spark, replica)))
+    ours, theirs = (warc.tree(x.leaves) for x in (archive, warc.read(spark, replica)))
     found = warc.audit(ours, theirs).filter("kind <> 'moved' and ours is not null").select("file", F.col("ours").alias("node"), F.lit(False).alias("intact"))
     roots = ours[-1].select("file", F.col("hash").alias("root_sha256"))
     rows = ours[0].join(found, ["file", "node"], "left").join(roots, "file")

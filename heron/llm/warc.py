@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +34,7 @@ from heron.llm.common import shared_dir, stored
 from heron.session import ship
 
 FILE_PAGES, FANOUT, LEVELS = 1000, 16, 3
+WRITING = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: How a record begins, and how it ends.
 FIRST, LAST = "WARC/1.0\r\nWARC-Type: ", "\r\n\r\n"
 
@@ -111,7 +113,7 @@ def _written(rows: DataFrame, order: list[str]) -> str:
     folder = f"{shared_dir(rows.sparkSession).rstrip('/')}/heron-archive-{uuid.uuid4().hex}"
     # the writer ends each record with its last byte, a line feed
     lines = rows.sortWithinPartitions("file", *order).select("file", F.expr("substring(record, 1, length(record) - 1)").alias("value"))
-    lines.write.partitionBy("file").option("compression", "gzip").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(folder)
+    lines.write.partitionBy("file").options(**WRITING).text(folder)
     return folder
 
 
@@ -121,18 +123,44 @@ def write(pages: DataFrame) -> str:
     return _written(held.withColumn("sha", F.sha2("record", 256)).repartition("file"), ["page_id", "sha"])
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """file, at (place in the file), record (as text): the records of an archive that `write` or `copy` wrote."""
+@dataclass
+class Archive:
+    """records: file, at (place in the file), record (as text); leaves: page_id, file, node, start, end, hash, stored."""
+
+    records: DataFrame
+    leaves: DataFrame
+
+
+def _marked(records: DataFrame) -> DataFrame:
+    """file, at, page_id, bytes, hash, said (whether the length is what the header says) of records."""
+    head = records.select("*", F.substring_index("record", LAST, 1).alias("head"))
+    page = F.regexp_extract("head", r"\nWARC-Record-ID: <urn:page:(-?\d*)>", 1).try_cast("long")
+    size = F.regexp_extract("head", r"\nContent-Length: (\d+)", 1).try_cast("long")
+    bytes_ = F.octet_length("record").cast("long")
+    said = F.coalesce(size == bytes_ - F.octet_length("head") - 2 * len(LAST), F.lit(False))
+    return head.select("file", "at", page.alias("page_id"), bytes_.alias("bytes"), F.sha2("record", 256).alias("hash"), said.alias("said"))
+
+
+def read(spark: SparkSession, folder: str) -> Archive:
+    """An archive that `write` or `copy` wrote, with the leaves of its tree."""
     ship(spark)
     rows = spark.read.option("lineSep", FIRST).option("recursiveFileLookup", "true").text(folder)
     file = F.regexp_extract(F.col("_metadata.file_path"), r"/file=(-?\d+)/", 1).cast("long")
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
-    found = rows.select(file.alias("file"), at.alias("at"), "value").filter("value <> '' or at.block > 0").select("file", "at", F.concat(F.lit(FIRST), "value").alias("record"))
-    said = F.regexp_extract("record", r"(?s)^.*?\r\nContent-Length: (\d+)\r\n\r\n", 1).try_cast("long")
-    body = F.expr(f"octet_length(record) - octet_length(substring_index(record, '{LAST}', 1)) - 8")
-    odd = stored(found.filter(~F.coalesce(said == body, F.lit(False))).groupBy("file").agg(F.count(F.lit(1)).alias("pieces")), "odd")
-    if odd.isEmpty():
-        return found
+    records = rows.select(file.alias("file"), at.alias("at"), "value").filter("value <> '' or at.block > 0").select("file", "at", F.concat(F.lit(FIRST), "value").alias("record"))
+    marks = stored(_marked(records), "records")
+    odd = stored(marks.filter("not said").select("file").distinct(), "odd")
+    if not odd.isEmpty():
+        records = records.join(odd, "file", "left_anti").unionByName(_mended(records.join(odd, "file", "left_semi")))
+        marks = stored(_marked(records), "records")
+    order = Window.partitionBy("file").orderBy("at")
+    end = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    leaves = marks.select("page_id", "file", (F.row_number().over(order) - 1).alias("node"), (end - F.col("bytes")).alias("start"), end.alias("end"), "hash")
+    return Archive(records, stored(leaves, "leaves"))
+
+
+def _mended(records: DataFrame) -> DataFrame:
+    """The records of whole files, parsed from end to end; a file is parsed in one task."""
 
     def whole(part: pa.Table) -> pa.Table:
         part = part.sort_by([("block", "ascending"), ("k", "ascending")])
@@ -140,25 +168,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         cuts = [(a, data[a : a + n]) for a, n, _, _ in parse(data)]
         return pa.table({"file": pa.array([part.column("file")[0].as_py()] * len(cuts), pa.int64()), "block": pa.array([0] * len(cuts), pa.int64()), "k": pa.array([a for a, _ in cuts], pa.int64()), "record": pa.array([r.decode("utf-8", "replace") for _, r in cuts], pa.string())})
 
-    again = found.join(F.broadcast(odd.select("file")), "file", "left_semi").select("file", "at.block", "at.k", "record")
-    mended = again.groupBy("file").applyInArrow(whole, "file long, block long, k long, record string").select("file", F.struct("block", "k").alias("at"), "record")
-    return found.join(F.broadcast(odd.select("file")), "file", "left_anti").unionByName(mended)
+    again = records.select("file", "at.block", "at.k", "record").groupBy("file").applyInArrow(whole, "file long, block long, k long, record string")
+    return again.select("file", F.struct("block", "k").alias("at"), "record")
 
 
 def copy(records: DataFrame) -> str:
-    """Writes records (file, at, record), as `read` gives them, to an archive of its own without a shuffle; its place."""
+    """Writes the records of an archive to one of its own, without a shuffle where they are read from files; its place."""
     return _written(records, ["at"])
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """page_id, file, node (place in the file), start, end, hash of every record; stored."""
-    page = F.regexp_extract("record", r"\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\n", 1).try_cast("long")
-    held = stored(records.select("file", "at", page.alias("page_id"), F.octet_length("record").cast("long").alias("bytes"), F.sha2("record", 256).alias("hash")), "records")
-    order = Window.partitionBy("file").orderBy("at")
-    end = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return stored(held.select("page_id", "file", (F.row_number().over(order) - 1).alias("node"), (end - F.col("bytes")).alias("start"), end.alias("end"), "hash"), "leaves")
-
-
 def parents(nodes: DataFrame, fanout: int | None = FANOUT) -> DataFrame:
     """file, node, start, end, hash one level up; without a fanout, the roots."""
     up = F.floor(F.col("node") / fanout).cast("int") if fanout else F.lit(0)

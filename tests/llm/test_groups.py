@@ -215,7 +215,7 @@ def archived(spark, rows):
 
 
 def kinds(spark, ours, theirs):
-    return sorted((r["page_id"], r["kind"]) for r in warc.audit(*(warc.tree(warc.leaves(archived(spark, x))) for x in (ours, theirs))).collect() if r["kind"] != "moved")
+    return sorted((r["page_id"], r["kind"]) for r in warc.audit(*(warc.tree(archived(spark, x).leaves) for x in (ours, theirs))).collect() if r["kind"] != "moved")
 
 
 def test_audit(spark):
@@ -235,11 +235,13 @@ def test_audit(spark):
 def test_archive_round_trip(spark, tmp_path):
     inner = warc.FIRST + "resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/1", "<p>one\r\n\r\n</p>"), (2, None, None), (3, "u", "é" * 300), (4, "v", "x" + inner + inner), (5, "w", "\r\n\r\n"), (None, "n", "null"), (1001, "z", "end")]
-    got = archived(spark, rows).collect()
+    got = archived(spark, rows).records.collect()
     made = {r["p"]: r["r"] for r in spark.createDataFrame(rows, PAGES).select(F.col("page_id").alias("p"), warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()}
     assert sorted(r["record"] for r in got) == sorted(made.values())
     order = [r["record"] for r in sorted((r for r in got if r["file"] == 0), key=lambda r: (r["at"]["block"], r["at"]["k"]))]
     assert order == [made[i] for i in range(1, 6)]
+    again = warc.read(spark, warc.copy(archived(spark, rows).records))
+    assert sorted(r["record"] for r in again.records.collect()) == sorted(made.values())
     folder = warc.write(spark.createDataFrame(rows, PAGES))
     bodies = warc.foreign(spark, f"{folder}/*/*.gz").collect()
     assert sorted(bytes(r["body"]).decode() for r in bodies) == sorted(h or "" for _, _, h in rows) and {r["kind"] for r in bodies} == {"resource"}
