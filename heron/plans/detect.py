@@ -59,29 +59,42 @@ HEADERS = """(values (1, 'cf-ray', 'x', 'nginx', 200, ''), (2, 'sg-captcha', 'ch
  (5, 'x-cdn', 'edge', '', 429, 'too many requests'), (6, 'x-none', '', 'Imperva', 200, 'welcome'), (7, 'x-none', '', '', 200, 'please wait')) as t(id, name, value, server, status, html)"""
 
 
-@R.add("detect_cdn", f"""select id, coalesce(named, case when name = 'x-cdn' then value end) as cdn, named as waf, chal as challenged, blocked, named is not null as waf_detected, chal or blocked or named is not null or status in (403, 429, 451) as defended from
+def cases(spark, sf_dir, literal: str, n: int):
+    """Every event with one of n literal cases (with id from 1 on), dealt by its number."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % n + 1).alias("id"))
+    return e.join(F.broadcast(spark.sql(f"select * from {literal}")), "id").drop("id")
+
+
+def sql_cases(literal: str, n: int) -> str:
+    return f"(select event_id, t.* exclude (id) from events join {literal} on t.id = event_id % {n} + 1)"
+
+
+N_HEADERS = 7
+
+
+@R.add("detect_cdn", f"""select event_id, coalesce(named, case when name = 'x-cdn' then value end) as cdn, named as waf, chal as challenged, blocked, named is not null as waf_detected, chal or blocked or named is not null or status in (403, 429, 451) as defended from
  (select *, case when name in ('cf-ray', 'cf-cache-status') then 'cloudflare' when name = 'sg-captcha' then 'stackpath' {' '.join(f"when name = 'x-{n}' or contains(lower(server), '{n}') then '{n}'" for n in ('akamai', 'fastly', 'sucuri', 'datadome'))} when contains(lower(server), 'imperva') then 'imperva' when name = 'x-distil' then 'distil' end as named,
- {sql_any('lower(html)', rules.CHALLENGES)} as chal, status in (403, 429, 451) or {sql_any('lower(html)', rules.SOFT_BLOCKS)} as blocked from {HEADERS})""")
+ {sql_any('lower(html)', rules.CHALLENGES)} as chal, status in (403, 429, 451) or {sql_any('lower(html)', rules.SOFT_BLOCKS)} as blocked from {sql_cases(HEADERS, N_HEADERS)})""")
 def detect_cdn(spark, sf_dir):
-    rows = spark.sql(f"select *, map(name, value, 'server', server) as headers from {HEADERS}")
+    rows = cases(spark, sf_dir, HEADERS, N_HEADERS).withColumn("headers", F.expr("map(name, value, 'server', server)"))
     c, ch = D.cdn(F.col("headers")), D.challenge(F.col("html"))
     bl = D.soft_block(F.col("html"), F.col("status"))
     d = D.bot_defence(c["waf"], ch, bl, F.col("status"))
-    return rows.select("id", c["cdn"].alias("cdn"), c["waf"].alias("waf"), ch.alias("challenged"), bl.alias("blocked"), d["waf_detected"].alias("waf_detected"), d["defended"].alias("defended"))
+    return rows.select("event_id", c["cdn"].alias("cdn"), c["waf"].alias("waf"), ch.alias("challenged"), bl.alias("blocked"), d["waf_detected"].alias("waf_detected"), d["defended"].alias("defended"))
 
 
 CAPTURES = """(values (1, 'Timeout 30000ms', '200 OK', 'x', 10, 5), (2, 'not_html: pdf', '200', '', 10, 0), (3, 'request_error', '', '', 0, 0), (4, 'odd', '', '', 0, 0), (5, '', '429 slow', 'fine', 9000, 400),
  (6, '', '200', 'A captcha challenge', 9000, 400), (7, '', '200', 'Access denied: unusual traffic', 9000, 400), (8, '', '200', 'thin', 5001, 29), (9, '', '200', 'thin', 5001, 30), (10, '', 'x', 'long', 5000, 29)) as t(id, error, status, html, html_bytes, words)"""
 
 
-@R.add("detect_captures", f"""select id, outcome, reason, markers from (select id, case when error <> '' and contains(e, 'timeout') then 'timeout' when error <> '' and contains(e, 'not_html') then 'non_html' when error <> '' and (contains(e, 'request_error') or contains(e, 'navigation_failed')) then 'network_error' when error <> '' then 'unknown_failure'
+@R.add("detect_captures", f"""select event_id, outcome, reason, markers from (select event_id, case when error <> '' and contains(e, 'timeout') then 'timeout' when error <> '' and contains(e, 'not_html') then 'non_html' when error <> '' and (contains(e, 'request_error') or contains(e, 'navigation_failed')) then 'network_error' when error <> '' then 'unknown_failure'
  when code in (403, 429, 451) then 'hard_block' when len(c) > 0 then 'challenge_not_cleared' when len(b) > 0 then 'soft_block' when words > 0 and words < 30 and html_bytes > 5000 then 'thin_content' else 'success_real_content' end as outcome,
  case outcome when 'timeout' then 'capture_timeout' when 'non_html' then 'non_html_response' when 'network_error' then 'network_or_navigation_error' when 'unknown_failure' then 'capture_error' when 'hard_block' then 'hard_block_status' when 'challenge_not_cleared' then 'challenge_markers_detected' when 'soft_block' then 'soft_block_markers_detected' when 'thin_content' then 'very_low_extracted_words' else 'content_captured' end as reason,
- array_to_string(case outcome when 'challenge_not_cleared' then c when 'soft_block' then b else [] end, '|') as markers from (select *, lower(error) as e, try_cast(split_part(status, ' ', 1) as int) as code, {sql_labels((m, f"contains(lower(html), {quoted(m)})") for m in rules.CAPTURE_CHALLENGES)} as c, {sql_labels((m, f"contains(lower(html), {quoted(m)})") for m in rules.CAPTURE_BLOCKS)} as b from {CAPTURES}))""")
+ array_to_string(case outcome when 'challenge_not_cleared' then c when 'soft_block' then b else [] end, '|') as markers from (select *, lower(error) as e, try_cast(split_part(status, ' ', 1) as int) as code, {sql_labels((m, f"contains(lower(html), {quoted(m)})") for m in rules.CAPTURE_CHALLENGES)} as c, {sql_labels((m, f"contains(lower(html), {quoted(m)})") for m in rules.CAPTURE_BLOCKS)} as b from {sql_cases(CAPTURES, 10)}))""")
 def detect_captures(spark, sf_dir):
-    rows = spark.sql(f"select *, map('status', status) as headers from {CAPTURES}")
+    rows = cases(spark, sf_dir, CAPTURES, 10).withColumn("headers", F.expr("map('status', status)"))
     o = D.capture_outcome(F.col("error"), D.status_of(F.col("headers")), F.col("html"), F.col("html_bytes"), F.col("words"))
-    return rows.select("id", o.alias("o")).select("id", "o.outcome", "o.reason", F.array_join("o.markers", "|").alias("markers"))
+    return rows.select("event_id", o.alias("o")).select("event_id", "o.outcome", "o.reason", F.array_join("o.markers", "|").alias("markers"))
 
 
 OUTCOMES = ["success_real_content", "soft_block", "challenge_not_cleared", "thin_content", "network_error", "timeout", "hard_block", "non_html"]
@@ -108,11 +121,11 @@ def detect_next_strategy(spark, sf_dir):
 FIXTURES = """(values (1, 'cloudflare', 'cf-challenge', true), (2, 'cloudflare', null, false), (3, 'stackpath', 'sgcaptcha', true), (4, 'akamai', 'bot-manager', true), (5, 'fastly', null, false), (6, null, null, false), (7, null, null, true)) as t(id, cdn, kind, js)"""
 
 
-@R.add("detect_methods", f"select id, case when kind = 'sgcaptcha' then 'stealth+cookies' when kind is not null then 'stealth' when js or coalesce(cdn = 'cloudflare', false) then 'js' else 'http' end as label, coalesce(case when id = 6 then 'visible' end, case when kind is not null or coalesce(cdn in ('cloudflare', 'stackpath'), false) then 'stealth' when js then 'js' else 'requests' end) as recommended from {FIXTURES}")
+@R.add("detect_methods", f"select event_id, case when kind = 'sgcaptcha' then 'stealth+cookies' when kind is not null then 'stealth' when js or coalesce(cdn = 'cloudflare', false) then 'js' else 'http' end as label, coalesce(case when event_id % 7 = 5 then 'visible' end, case when kind is not null or coalesce(cdn in ('cloudflare', 'stackpath'), false) then 'stealth' when js then 'js' else 'requests' end) as recommended from {sql_cases(FIXTURES, 7)}")
 def detect_methods(spark, sf_dir):
-    rows = spark.sql(f"select * from {FIXTURES}")
+    rows = cases(spark, sf_dir, FIXTURES, 7)
     c = F.col
-    return rows.select("id", D.method_label(c("cdn"), c("kind"), c("js")).alias("label"), D.recommended(F.when(c("id") == 6, "visible"), c("kind").isNotNull(), c("cdn"), c("js")).alias("recommended"))
+    return rows.select("event_id", D.method_label(c("cdn"), c("kind"), c("js")).alias("label"), D.recommended(F.when(c("event_id") % 7 == 5, "visible"), c("kind").isNotNull(), c("cdn"), c("js")).alias("recommended"))
 
 
 # Addresses that every eleventh page is given, and whether they are of interest.

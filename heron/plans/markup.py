@@ -8,6 +8,7 @@ from heron.exprs import Registry, quoted
 from heron.functions import markup as M
 from heron.functions import html as H
 from heron.functions import records
+from heron.plans.detect import cases, sql_cases
 from heron.plans.planted import golden
 from heron.plans.urls import pages
 
@@ -164,9 +165,10 @@ def robots_delay(spark, sf_dir):
     return domains.join(held, "domain", "left").select("domain", F.coalesce("crawl_delay", F.lit(1.0)).alias("delay"))
 
 
-CODES = "(values (1, 'import os\nprint(os.name)'), (2, 'const x = 1; console.log(x)'), (3, 'SELECT a FROM b'), (4, 'short'), (5, 'plain words only here'), (6, '{\"a\": 1, \"b\": 2}')) as t(id, code)"
+CODES = "(values (1, 'import os\nprint(os.name)'), (2, 'const x = 1; console.log(x)'), (3, 'SELECT a FROM b'), (4, 'short'), (5, 'plain words only here'), (6, '{\"a\": 1, \"b\": 2}'), (7, 'fn main() { let mut v = 1; }'), (8, '#!/bin/bash'), (9, '.box { color: red }')) as t(id, code)"
 
 
-@R.add("code_languages", f"select id, case when len(code) >= 10 then (list_sort(list_filter([{', '.join(f'case when regexp_matches(code, {quoted("(?mi)" + p)}) then struct_pack(c := -{c}::double, i := {i}, l := {quoted(n)}) end' for i, (p, n, c) in enumerate(M.LANGUAGES))}], lambda x: x is not null))[1]).l end as language from {CODES}")
+@R.add("code_languages", f"select event_id, case when len(code) >= 10 then (list_sort(list_filter([{', '.join(f'case when regexp_matches(code, {quoted("(?mi)" + p)}) then struct_pack(c := -{c}::double, i := {i}, l := {quoted(n)}) end' for i, (p, n, c) in enumerate(M.LANGUAGES))}], lambda x: x is not null))[1]).l end as language from {sql_cases(CODES, 9)}")
 def code_languages(spark, sf_dir):
-    return spark.sql(f"select * from {CODES}").select("id", M.language(F.col("code"))["language"].alias("language"))
+    """Language that a code looks like, for every event one of nine codes."""
+    return cases(spark, sf_dir, CODES, 9).select("event_id", M.language(F.col("code"))["language"].alias("language"))

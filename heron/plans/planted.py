@@ -37,12 +37,13 @@ PASSAGE = """<header><nav class="site"><ul><li><a href="/planted/a{n}">Alpha pla
 """
 
 
-def planted(spark, sf_dir: str) -> DataFrame:
-    """page_id, url, html of all pages with the passage in front of their content; page n is at p<n>.example/d/e."""
+def planted(spark, sf_dir: str, site=None) -> DataFrame:
+    """page_id, url, html of all pages with the passage in front of their content; page n is at p<n>.example/d/e, or on a site p<site>."""
     n = F.col("page_id").cast("string")
+    home = n if site is None else site.cast("string")
     passage = F.concat(F.lit("<body>"), F.replace(F.lit(PASSAGE), F.lit("{n}"), n))
     html = F.col("html")
-    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://p"), n, F.lit(".example/d/e")).alias("url"), F.when(F.contains(html, F.lit("<body>")), F.replace(html, F.lit("<body>"), passage)).otherwise(F.concat(passage, F.coalesce(html, F.lit("")))).alias("html"))
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://p"), home, F.lit(".example/d/e")).alias("url"), F.when(F.contains(html, F.lit("<body>")), F.replace(html, F.lit("<body>"), passage)).otherwise(F.concat(passage, F.coalesce(html, F.lit("")))).alias("html"))
 
 
 def golden(columns: str, rows: list[tuple]) -> str:
@@ -221,3 +222,15 @@ def page_as_json(spark, sf_dir):
     j = sinks.as_json(records.records(planted(spark, sf_dir)))
     back = j.select("page_id", F.from_json("json", "hero string, tagged array<struct<content:string>>").alias("r"))
     return back.select("page_id", "r.hero", F.size("r.tagged").alias("blocks"), F.col("r.tagged")[0]["content"].alias("first_block"))
+
+
+@R.add("capture_manifest", "select page_id % 9 as site, count(*) as pages, 2 * count(*) + 3 as images, count(*) as documents, 1 as videos, 3 * count(*) + 4 as assets, count(*) as most_pages, sum(strlen(html) > 0)::bigint as captured from pages group by 1")
+def capture_manifest(spark, sf_dir):
+    """A site's assets once each by address, the first page's record of it kept, with how many pages hold it; and counts by type."""
+    site = F.col("page_id") % 9
+    a = records.asset_rows(planted(spark, sf_dir, site)).withColumn("site", site)
+    once = a.groupBy("site", "url").agg(F.min(F.struct("page_id", "pos", "asset_type")).alias("first"), F.count_distinct("page_id").alias("found_on"))
+    kind = lambda k: F.count_if(F.col("first.asset_type") == k)
+    by = once.groupBy("site").agg(kind("image").alias("images"), kind("document").alias("documents"), kind("video").cast("int").alias("videos"), F.count(F.lit(1)).alias("assets"), F.max("found_on").alias("most_pages"))
+    held = pages(spark, sf_dir).groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length("html") > 0).alias("captured"))
+    return held.join(by, "site")

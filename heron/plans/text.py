@@ -289,6 +289,14 @@ def text_grades_all(spark, sf_dir):
     return graded.withColumn("average", F.bround((F.col("completeness") + F.col("precision") + F.col("structure")) / 3, 2))
 
 
+@R.add("grades_by_source", f"select source, count(*) as documents, round_even(avg(completeness), 3) as completeness, round_even(avg(precision), 3) as precision, round_even(avg(structure), 3) as structure, count(*) filter (where average < 3) as weak from ({SQL_GRADES}) join (select doc_id, source from documents) using (doc_id) group by source")
+def grades_by_source(spark, sf_dir):
+    """Mean grades of each source, and how many of its documents are weak."""
+    g = text_grades_all(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    mean = lambda c: F.bround(F.avg(c), 3).alias(c)
+    return g.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), mean("completeness"), mean("precision"), mean("structure"), F.count_if(F.col("average") < 3).alias("weak"))
+
+
 @R.add("text_labels", """select event_id, case when s < 60 then printf('%.0fs', s) when s < 3600 then printf('%.1fm', s / 60) else printf('%.1fh', s / 3600) end as duration,
  case when s < 60 then floor(s)::bigint || 's' when s < 3600 then floor(s / 60)::bigint || 'm' when s < 86400 then floor(s / 3600)::bigint || 'h' else floor(s / 86400)::bigint || 'd' end as age,
  case when e < 0 then 'session' when e - 1000000 < 0 then 'EXPIRED' when (e - 1000000) // 86400 > 365 then ((e - 1000000) // 86400) // 365 || 'y' when (e - 1000000) // 86400 > 30 then ((e - 1000000) // 86400) // 30 || 'mo' when (e - 1000000) // 86400 > 0 then (e - 1000000) // 86400 || 'd' when (e - 1000000) % 86400 > 3600 then ((e - 1000000) % 86400) // 3600 || 'h' else ((e - 1000000) % 86400) // 60 || 'm' end as expiry,
