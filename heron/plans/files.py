@@ -144,3 +144,11 @@ def stream_strategies(spark, sf_dir):
     """The cache of strategies that worked, kept up as attempts come."""
     table = telemetry.drain(telemetry.strategies(telemetry.events(spark, sf_dir)), _folder(spark), "update", ["user_id"])
     return table.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@R.add("stream_drift", "select user_id, day, round_even(words, 6) as words, round_even(lag(words) over (partition by user_id order by day), 6) as was from (select user_id, cast(ts as date) as day, sum(value) as words from events group by 1, 2)")
+def stream_drift(spark, sf_dir):
+    """Daily snapshots of each domain beside the one before, kept up as attempts come."""
+    rows = telemetry.events(spark, sf_dir).select("user_id", "value", "ts")
+    table = telemetry.drain(telemetry.snapshot_changes(rows), _folder(spark), "update", ["user_id", "day"])
+    return table.select("user_id", "day", F.bround("words", 6).alias("words"), F.bround("was", 6).alias("was"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.exprs import Registry, quoted
-from heron.functions import records
+from heron.functions import html, records
+from heron.functions.html import SQL_VISIBLE
 from heron.plans.urls import pages
 from heron.sources import sinks
 
@@ -42,8 +43,8 @@ def planted(spark, sf_dir: str, site=None) -> DataFrame:
     n = F.col("page_id").cast("string")
     home = n if site is None else site.cast("string")
     passage = F.concat(F.lit("<body>"), F.replace(F.lit(PASSAGE), F.lit("{n}"), n))
-    html = F.col("html")
-    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://p"), home, F.lit(".example/d/e")).alias("url"), F.when(F.contains(html, F.lit("<body>")), F.replace(html, F.lit("<body>"), passage)).otherwise(F.concat(passage, F.coalesce(html, F.lit("")))).alias("html"))
+    own = F.col("html")
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://p"), home, F.lit(".example/d/e")).alias("url"), F.when(F.contains(own, F.lit("<body>")), F.replace(own, F.lit("<body>"), passage)).otherwise(F.concat(passage, F.coalesce(own, F.lit("")))).alias("html"))
 
 
 def golden(columns: str, rows: list[tuple]) -> str:
@@ -234,3 +235,32 @@ def capture_manifest(spark, sf_dir):
     by = once.groupBy("site").agg(kind("image").alias("images"), kind("document").alias("documents"), kind("video").cast("int").alias("videos"), F.count(F.lit(1)).alias("assets"), F.max("found_on").alias("most_pages"))
     held = pages(spark, sf_dir).groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length("html") > 0).alias("captured"))
     return held.join(by, "site")
+
+
+@R.add("site_probe", golden("nav nav_depth login search cookie_banner lazy_images main_selector", [(" /planted/a{n}=Alpha planted {n}, /planted/sub{n}=Sub planted, /login{n}=Log in planted", 2, True, False, False, False, "main")]))
+def site_probe(spark, sf_dir):
+    """What a home page says of its site, its navigation that of the passage."""
+    r = records.probes(planted(spark, sf_dir))
+    nav = F.transform(F.filter("nav", lambda x: F.contains(F.lower(x["text"]), F.lit("planted"))), lambda x: F.concat(x["url"], F.lit("="), x["text"]))
+    return r.select("page_id", F.concat(F.lit(" "), F.array_join(F.filter(nav, lambda x: ~F.contains(x, F.lit("Again"))), ", ")).alias("nav"), "nav_depth", "login", "search", "cookie_banner", "lazy_images", "main_selector")
+
+
+@R.add("capture_site_data", f"select page_id % 9 as site, 'p' || page_id % 9 || '.example' as base_domain, case when count(distinct page_id % 2) = 1 then case when min(page_id % 2) = 0 then 'requests' else 'js' end else 'mixed' end as fetch_method, count(*) as pages_captured, greatest(0, max(page_id) - count(*))::bigint as pages_failed, sum(strlen(html))::bigint // 1024 as total_html_kb, 7 * count(*) as total_assets, sum(len(regexp_extract_all({SQL_VISIBLE}, '\\S+')))::bigint as total_word_count from pages group by 1")
+def capture_site_data(spark, sf_dir):
+    """A site's captures as one nested document each, read back from its JSON.
+
+    The document holds a record of every page, as its format asks for; the totals are made beside, by key.
+    """
+    n, site = F.col("page_id"), F.col("page_id") % 9
+    own = pages(spark, sf_dir).select("page_id", F.octet_length("html").alias("bytes"), html.word_count(F.col("html")).alias("words"), F.substring(F.sha2("html", 256), 1, 16).alias("hash"))
+    assets = records.asset_rows(planted(spark, sf_dir, site)).groupBy("page_id").agg(F.count(F.lit(1)).alias("assets"))
+    c = own.join(assets, "page_id", "left").withColumns({"site": site, "method": F.when(n % 2 == 0, "requests").otherwise("js")})
+    kinds = F.count_distinct("method")
+    capture = F.struct("page_id", F.concat(F.lit("https://p"), site.cast("string"), F.lit(".example/d/e")).alias("url"), "hash", F.col("method").alias("fetch_method"), "assets")
+    by = c.groupBy("site").agg(F.sort_array(F.collect_list(capture)).alias("captures"), F.when(kinds == 1, F.min("method")).otherwise("mixed").alias("fetch_method"), F.sum("bytes").alias("bytes"), F.sum("assets").alias("total_assets"), F.sum("words").alias("total_word_count"), F.max("page_id").alias("attempted"))
+    pages_ = F.size("captures")
+    stats = F.struct(pages_.alias("pages_captured"), F.greatest(F.lit(0), F.col("attempted") - pages_).alias("pages_failed"), F.floor(F.col("bytes") / 1024).alias("total_html_kb"), "total_assets")
+    doc = by.select("site", F.to_json(F.struct(F.concat(F.lit("p"), F.col("site").cast("string"), F.lit(".example")).alias("base_domain"), "fetch_method", "captures", stats.alias("stats"), "total_word_count")).alias("json"))
+    form = "base_domain string, fetch_method string, captures array<struct<url:string>>, stats struct<pages_failed:long,total_html_kb:long,total_assets:long>, total_word_count long"
+    d = doc.select("site", F.from_json("json", form).alias("d"))
+    return d.select("site", "d.base_domain", "d.fetch_method", F.size("d.captures").alias("pages_captured"), "d.stats.pages_failed", "d.stats.total_html_kb", "d.stats.total_assets", "d.total_word_count")

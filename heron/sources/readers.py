@@ -121,6 +121,37 @@ def profile(spark: SparkSession, folder: str, name: str, fallback: str = "generi
     return profile_of(settings(spark, path), name) if path else Profile()
 
 
+FIXTURE = "domain string, total_word_count int, access struct<strategy:string,blocked:boolean,escalations:array<string>,block_signals:array<string>>, pages array<struct<url:string,title:string>>"
+EXPECTED = "success boolean, blocked boolean, strategy string, pages_gt int, words_gt int, words_lt int, escalations array<string>, block_reason string"
+
+
+def fixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """id, expected, crawl: the recorded crawls that a folder's manifest.json lists, with what is expected of each; a lost file gives a null crawl."""
+    listed = spark.read.schema(f"fixtures array<struct<id:string,crawl_file:string,expected:struct<{EXPECTED.replace(' boolean', ':boolean').replace(' string', ':string').replace(' int', ':int').replace(' array', ':array').replace(', ', ',')}>>>").option("multiLine", True).json(f"{folder}/manifest.json")
+    wanted = listed.select(F.explode("fixtures").alias("f")).select("f.*")
+    found = spark.read.schema(FIXTURE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    crawls = found.select(F.col("_metadata.file_name").alias("crawl_file"), F.struct(*found.columns).alias("crawl"))
+    return wanted.join(crawls, "crawl_file", "left").select("id", "expected", "crawl")
+
+
+def fixture_failures(held: DataFrame) -> DataFrame:
+    """id, failures: what a recorded crawl doesn't meet; what isn't expected isn't checked."""
+    e, c = (lambda k, p=p: F.col(f"{p}.{k}") for p in ("expected", "crawl"))
+    pages, words, access = F.coalesce(F.size(c("pages")), F.lit(0)), F.coalesce(c("total_word_count"), F.lit(0)), lambda k: F.col(f"crawl.access.{k}")
+    pages = F.greatest(pages, F.lit(0))
+    checks = {
+        "success": (e("success") != ((pages > 0) & (words >= 100))),
+        "blocked": e("blocked") != F.coalesce(access("blocked"), F.lit(False)),
+        "strategy": e("strategy") != F.coalesce(access("strategy"), F.lit("unknown")),
+        "pages_gt": pages <= e("pages_gt"),
+        "words_gt": words <= e("words_gt"),
+        "words_lt": words >= e("words_lt"),
+        "escalations": F.size(F.array_except(e("escalations"), F.coalesce(access("escalations"), F.array().cast("array<string>")))) > 0,
+        "block_reason": ~F.contains(F.coalesce(access("block_signals").cast("string"), F.lit("")), e("block_reason")),
+    }
+    return held.select("id", F.filter(F.array(*(F.when(cond, name) for name, cond in checks.items())), lambda x: x.isNotNull()).alias("failures"))
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
     """A list of companies, bare or under `carriers`; anything else is an error."""
     held = settings(spark, path)

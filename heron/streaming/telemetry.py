@@ -6,6 +6,7 @@ Each takes a streaming DataFrame with user_id, event_type, value and ts (TIMESTA
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,30 @@ def failure_runs(stream: DataFrame, requeue_at: int = 2) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(update, RUN, "run long", "update", "NoTimeout")
 
 
+CHANGE = "user_id long, day date, words double, was double"
+
+
+def snapshot_changes(stream: DataFrame) -> DataFrame:
+    """Each day's sum of a domain beside the day before it, kept up as attempts come; rows of a day that is over are left out."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        day, words, was = state.get if state.exists else (None, 0.0, None)
+        rows = pd.concat(batches)
+        out = {}
+        for at, sum_ in rows.groupby(rows["ts"].dt.date)["value"].sum().sort_index().items():
+            number = (at - date(1970, 1, 1)).days
+            if day is not None and number < day:
+                continue
+            if number != day:
+                day, words, was = number, 0.0, words if day is not None else None
+            words += float(sum_)
+            out[at] = words, was
+        state.update((day, words, was))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "day": list(out), "words": [w for w, _ in out.values()], "was": pd.Series([w for _, w in out.values()], dtype=float)})
+
+    return stream.groupBy("user_id").applyInPandasWithState(update, CHANGE, "day long, words double, was double", "update", "NoTimeout")
+
+
 def queue(stream: DataFrame, failed_below: float = 20) -> DataFrame:
     """Failed attempts merged by domain as they come: attempts, strategies tried, first time."""
     by = stream.filter(F.col("value") < failed_below).groupBy("user_id")

@@ -104,3 +104,19 @@ def test_signatures(spark):
     cases = [({"action": "navigate", "url": "/a"}, "navigate:/a"), ({"action": "click", "x": 76.0, "y": 25.0, "selector": "s" * 40, "label": "l" * 30}, f"click:(100,0):{'s' * 30}:{'l' * 20}"), ({"action": "click"}, "click:(0,0)::"), ({"action": "scroll", "direction": "up", "amount": 3}, "scroll:up:3"), ({"action": "type", "text": "hi"}, "type:hi"), ({"action": "wait"}, "wait")]
     rows = spark.createDataFrame([(none | c,) for c, _ in cases], f"a {flows.ACTION}")
     assert [r[0] for r in rows.select(flows.signature(F.col("a"))).collect()] == [want for _, want in cases]
+
+
+def test_fixtures(spark, tmp_path):
+    good = {"domain": "a.com", "total_word_count": 500, "access": {"strategy": "http", "blocked": False, "escalations": ["http->js"], "block_signals": []}, "pages": [{"url": "/"}, {"url": "/x"}]}
+    bad = {"domain": "b.com", "total_word_count": 45, "access": {"strategy": "js", "blocked": True, "block_signals": ["cloudflare_challenge"]}, "pages": [{"url": "/"}]}
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    (tmp_path / "bad.json").write_text(json.dumps(bad))
+    cases = [
+        ("ok", "good.json", {"success": True, "blocked": False, "strategy": "http", "pages_gt": 1, "words_gt": 100, "escalations": ["http->js"]}, []),
+        ("held", "bad.json", {"success": False, "blocked": True, "words_lt": 100, "block_reason": "cloudflare"}, []),
+        ("off", "bad.json", {"success": True, "blocked": False, "strategy": "http", "pages_gt": 1, "words_gt": 100, "escalations": ["x"], "block_reason": "akamai"}, ["success", "blocked", "strategy", "pages_gt", "words_gt", "escalations", "block_reason"]),
+        ("lost", "none.json", {"success": False, "strategy": "js"}, ["strategy"]),
+    ]
+    (tmp_path / "manifest.json").write_text(json.dumps({"fixtures": [{"id": i, "crawl_file": f, "expected": e} for i, f, e, _ in cases]}))
+    got = {r["id"]: r["failures"] for r in readers.fixture_failures(readers.fixtures(spark, str(tmp_path))).collect()}
+    assert got == {i: want for i, _, _, want in cases}
