@@ -23,8 +23,8 @@ HEAVY_LEAST = 200
 #: Files of a stored table for each core, at most: each costs a round trip to the store, however small.
 FILES_PER_CORE = 4
 
-#: Tables written by stored() and not deleted yet, and the folder where a local session has none set.
-_written: list[DataFrame] = []
+#: Places of tables written by stored() and not deleted yet, and the folder where a local session has none set.
+_written: list[str] = []
 _own_dir: list[str] = []
 
 
@@ -58,6 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def new_place(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one, for discard_since() to delete."""
+    _written.append(f"{shared_dir(spark).rstrip('/')}/heron-{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it back.
 
@@ -65,23 +71,25 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """
     ship(df.sparkSession)
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/heron-{label}-{uuid.uuid4().hex}"
+    path = new_place(spark, label)
     files = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
-    _written.append(table)
     return table
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for place in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [p for p in _written if p not in set(paths)]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._heron_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gone = {t._heron_path for t in tables}
-    _written[:] = [t for t in _written if t._heron_path not in gone]
+        _delete(table.sparkSession, [table._heron_path])
 
 
 def mark() -> int:
@@ -89,9 +97,9 @@ def mark() -> int:
     return len(_written)
 
 
-def discard_since(point: int = 0, keep: DataFrame | None = None) -> None:
+def discard_since(spark: SparkSession, point: int = 0, keep: DataFrame | None = None) -> None:
     """Deletes the tables stored since mark(), but for `keep`: call it when no result that reads them is left to run."""
-    discard(*[t for t in _written[point:] if t is not keep])
+    _delete(spark, [p for p in _written[point:] if keep is None or p != keep._heron_path])
 
 
 def lower_ascii(c: Column) -> Column:

@@ -21,7 +21,6 @@ added. Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heron.llm.common import shared_dir, stored
+from heron.llm.common import new_place, stored
 from heron.session import ship
 
 FILE_PAGES, FANOUT, LEVELS = 1000, 16, 3
@@ -110,7 +109,7 @@ def foreign(spark: SparkSession, path: str) -> DataFrame:
 
 def _written(rows: DataFrame, order: list[str]) -> str:
     """Writes rows (file, record and what orders them) whose files lie in one partition each; the folder."""
-    folder = f"{shared_dir(rows.sparkSession).rstrip('/')}/heron-archive-{uuid.uuid4().hex}"
+    folder = new_place(rows.sparkSession, "archive")
     # the writer ends each record with its last byte, a line feed
     lines = rows.sortWithinPartitions("file", *order).select("file", F.expr("substring(record, 1, length(record) - 1)").alias("value"))
     lines.write.partitionBy("file").options(**WRITING).text(folder)

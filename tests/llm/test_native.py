@@ -128,3 +128,19 @@ def test_chat_of_odd_rows(spark):
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window", "2 as pos", "3 as tokens", "4 as mask", "5 as head")
     back = chat.read_back(chat.windows(rows)).first()
     assert back["n_turns"] == 4 and back["loss"] == long + "endend"
+
+
+def test_stored_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from heron.llm import common
+
+    point = common.mark()
+    a, b, c = (common.stored(spark.range(3), n) for n in "abc")
+    places = [t._heron_path for t in (a, b, c)]
+    common.discard(a)
+    common.discard_since(spark, point, keep=c)
+    assert [os.path.exists(p) for p in places] == [False, False, True] and common.mark() == point + 1
+    assert c.count() == 3
+    common.discard_since(spark, point)
+    assert not os.path.exists(places[2]) and common.mark() == point
