@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, point = docs, mark()
         docs = stored(stage(spark, docs, sf_dir), name)
-        discard_since(point, keep=docs)
+        discard_since(spark, point, keep=docs)
         if hasattr(before, "_heron_path"):
             discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
