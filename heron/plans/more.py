@@ -35,7 +35,8 @@ def product_coverage(spark, sf_dir):
     names = spark.createDataFrame([(n,) for n, *_ in PRODUCTS] + [("fourth",)], "product string")
     found = pages(spark, sf_dir).select("page_id", urls.product(urls.path(F.col("url")), F.col("html"), PRODUCTS).alias("product"))
     by = names.join(found, "product", "left").groupBy("product").agg(F.count("page_id").alias("pages"), (F.count("page_id") > 0).alias("covered"))
-    return by.crossJoin(F.broadcast(by.agg(F.bround(F.avg(F.col("covered").cast("double")), 2).alias("coverage"))))
+    every = Window.partitionBy(F.lit(1))  # as many rows as products are named
+    return by.withColumn("coverage", F.bround(F.avg(F.col("covered").cast("double")).over(every), 2))
 
 
 @R.add("frontier", f"select canonical, min(ofs) as ofs from (select lower(authority) || path as canonical, page_id as ofs from {P} where not regexp_matches(path, '^/de/') union all select lower(authority) || path, page_id + 100000 from {P}) group by canonical order by ofs, canonical limit 50")
