@@ -52,11 +52,11 @@ def jsonld_items(spark, sf_dir):
     return ld_items(spark, sf_dir).select("page_id", "pos", M.item_type(F.col("v")).alias("item_type"), M.text_of(F.col("v"), "$.name").alias("name"))
 
 
-@R.add("jsonld_organizations", golden("name logo employees city same_as", [("Acme {n}", " /l{n}.png", 12, "Ulm", "https://s.org/{n}")]))
+@R.add("jsonld_organizations", golden("name logo employees city same_as", [("Acme {n}", "/l{n}.png", 12, "Ulm", "https://s.org/{n}")]))
 def jsonld_organizations(spark, sf_dir):
     """The last organisation of a page wins."""
     o = ld_items(spark, sf_dir).filter(M.item_type(F.col("v")) == "organization").groupBy("page_id").agg(F.max_by(M.organization(F.col("v")), "pos").alias("o"))
-    return o.select("page_id", "o.name", F.concat(F.lit(" "), "o.logo").alias("logo"), "o.employees", "o.address.city", F.array_join("o.same_as", ",").alias("same_as"))
+    return o.select("page_id", "o.name", "o.logo", "o.employees", "o.address.city", F.array_join("o.same_as", ",").alias("same_as"))
 
 
 @R.add("jsonld_lists", golden("trail question answer product brand price", [("One > Two {n}", "Why {n}?", "So.", "Box {n}", "B", "9.5")]))
@@ -143,18 +143,18 @@ def robots_files(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.explode(listed).alias("r")).select("r.*")
 
 
-@R.add("robots_rules", _named(golden("domain crawl_delay sitemaps disallowed", [("a{n}.org", 2.5, "https://a.org/{n}.xml", " /private"), ("b{n}.org", None, "", " /x{n}")])))
+@R.add("robots_rules", _named(golden("domain crawl_delay sitemaps disallowed", [("a{n}.org", 2.5, "https://a.org/{n}.xml", "/private"), ("b{n}.org", None, "", "/x{n}")])))
 def robots_rules(spark, sf_dir):
     r = M.robots(robots_files(spark, sf_dir), "heronbot")
-    return r.select("domain", "crawl_delay", F.array_join("sitemaps", ",").alias("sitemaps"), F.concat(F.lit(" "), F.array_join("disallowed", ",")).alias("disallowed"))
+    return r.select("domain", "crawl_delay", F.array_join("sitemaps", ",").alias("sitemaps"), F.array_join("disallowed", ",").alias("disallowed"))
 
 
-@R.add("robots_allowed", _named(golden("domain path", [("a{n}.org", " /open"), ("b{n}.org", " /private/1"), ("c{n}.org", " /private/1")])))
+@R.add("robots_allowed", _named(golden("domain path", [("a{n}.org", "/open"), ("b{n}.org", "/private/1"), ("c{n}.org", "/private/1")])))
 def robots_allowed(spark, sf_dir):
     """Paths that no rule forbids; a domain without a file forbids none."""
     listed = F.array(*(F.struct(numbered(d).alias("domain"), numbered(p).alias("path")) for d, p in (("a{n}.org", "/open"), ("a{n}.org", "/private/1"), ("b{n}.org", "/private/1"), ("b{n}.org", "/x{n}/y"), ("c{n}.org", "/private/1"))))
     paths = pages(spark, sf_dir).select("page_id", F.explode(listed).alias("p")).select("p.*")
-    return M.allowed(paths, robots_files(spark, sf_dir), "heronbot").select("domain", F.concat(F.lit(" "), "path").alias("path"))
+    return M.allowed(paths, robots_files(spark, sf_dir), "heronbot").select("domain", "path")
 
 
 @R.add("robots_delay", _named(golden("domain delay", [("a{n}.org", 2.5), ("b{n}.org", 1.0), ("c{n}.org", 1.0)])))

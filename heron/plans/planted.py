@@ -48,20 +48,20 @@ def planted(spark, sf_dir: str, site=None) -> DataFrame:
 
 
 def golden(columns: str, rows: list[tuple]) -> str:
-    """SQL: each row for every page, {n} replaced in texts; a place that begins with / is on the page's site."""
+    """SQL: each row for every page, {n} replaced in texts; a place that begins with @/ is on the page's site."""
 
     def said(v) -> str:
         if not isinstance(v, str):
             return "null" if v is None else str(v).lower()
-        text = f"replace({quoted(v)}, '{{n}}', p.page_id::varchar)"
-        return f"'https://p' || p.page_id || '.example' || {text}" if v.startswith("/") else text
+        text = f"replace({quoted(v.removeprefix('@'))}, '{{n}}', p.page_id::varchar)"
+        return f"'https://p' || p.page_id || '.example' || {text}" if v.startswith("@/") else text
 
     names = columns.split()
     return " union all ".join("select p.page_id, " + ", ".join(f"{said(v)} as {c}" for c, v in zip(names, r, strict=True)) + " from pages p" for r in rows)
 
 
 @R.add("html_nav_links", golden("place text url", [
-    ("primary", "Alpha planted {n}", "/planted/a{n}"), ("primary", "Sub planted", "/planted/sub{n}"), ("utility", "Log in planted", "/login{n}"), ("primary", "Our planted services", "/planted/services"),
+    ("primary", "Alpha planted {n}", "@/planted/a{n}"), ("primary", "Sub planted", "@/planted/sub{n}"), ("utility", "Log in planted", "@/login{n}"), ("primary", "Our planted services", "@/planted/services"),
 ]))
 def html_nav_links(spark, sf_dir):
     """Primary and utility links of header and menus."""
@@ -71,7 +71,7 @@ def html_nav_links(spark, sf_dir):
 
 
 @R.add("html_nav_tree", golden("container utility text url child", [
-    ("nav", "div", "Alpha planted {n}", "/planted/a{n}", "Sub planted"), ("nav", "div", "Sub planted", "/planted/sub{n}", "Sub planted"),
+    ("nav", "div", "Alpha planted {n}", "@/planted/a{n}", "Sub planted"), ("nav", "div", "Sub planted", "@/planted/sub{n}", "Sub planted"),
 ]))
 def html_nav_tree(spark, sf_dir):
     """The primary navigation with the direct anchors of submenus."""
@@ -87,12 +87,12 @@ def html_regions(spark, sf_dir):
 
 LONG = "planted words " * 50 + "with a rate calculator."
 BLOCKS = [
-    ("nav_block", "link", "Alpha planted {n}", "/planted/a{n}", None, "primary"), ("nav_block", "link", "Sub planted", "/planted/sub{n}", None, "primary"), ("nav_block", "link", "Our planted services", "/planted/services", None, "primary"), ("nav_block", "link", "Log in planted", "/login{n}", None, "utility"),
+    ("nav_block", "link", "Alpha planted {n}", "@/planted/a{n}", None, "primary"), ("nav_block", "link", "Sub planted", "@/planted/sub{n}", None, "primary"), ("nav_block", "link", "Our planted services", "@/planted/services", None, "primary"), ("nav_block", "link", "Log in planted", "@/login{n}", None, "utility"),
     ("hero_block", "text", "Planted hero number {n}says a lot", None, None, None),
     ("main_block", "heading", "Planted guide {n}", None, 2, None), ("main_block", "text", "A planted paragraph of some length.", None, None, None), ("main_block", "heading", "Planted steps", None, 3, None), ("main_block", "list", "• planted item one", None, None, None),
-    ("ui_block", "cta", "Planted go", "/d/go{n}", None, None), ("main_block", "image", "Planted photo", "/planted/photo{n}.jpg", None, None), ("main_block", "image", "planted line", "/planted/line.gif", None, None), ("main_block", "image", "Planted chart", "/planted/blank.png", None, None),
+    ("ui_block", "cta", "Planted go", "@/d/go{n}", None, None), ("main_block", "image", "Planted photo", "@/planted/photo{n}.jpg", None, None), ("main_block", "image", "planted line", "@/planted/line.gif", None, None), ("main_block", "image", "Planted chart", "@/planted/blank.png", None, None),
     ("main_block", "heading", "Planted code", None, 2, None), ("main_block", "text", "This planted code shows how a page is told.", None, None, None),
-    ("footer_block", "link", "Planted legal", "/planted/legal{n}", None, None), ("footer_block", "text", "© Planted {n} all rights reserved", None, None, "copyright"),
+    ("footer_block", "link", "Planted legal", "@/planted/legal{n}", None, None), ("footer_block", "text", "© Planted {n} all rights reserved", None, None, "copyright"),
 ]
 
 
@@ -116,11 +116,11 @@ def html_section_tree(spark, sf_dir):
 
 
 @R.add("html_images", golden("source_tag src_resolved alt title width height caption context_heading context_text classification is_lazy", [
-    ("img", "/planted/photo{n}.jpg", "Planted photo", "T", 640, 480, "Planted caption {n}", "Planted guide {n}", "Planted caption {n}", "photo", False),
-    ("img", "/planted/line.gif", "planted line", None, 600, 2, None, "Planted guide {n}", "A planted paragraph of some length.", "unknown", False),
-    ("img", "/planted/lazy{n}.png 2x", "Planted chart", None, None, None, None, "Planted guide {n}", "A planted paragraph of some length.", "diagram", True),
-    ("picture", "/planted/wide{n}.webp", "Planted screenshot", None, None, 600, None, "Planted guide {n}", "A planted paragraph of some length.", "screenshot", False),
-    ("background", "/planted/bg{n}.png", None, None, None, None, None, "Planted guide {n}", "A planted paragraph of some length.", "unknown", False),
+    ("img", "@/planted/photo{n}.jpg", "Planted photo", "T", 640, 480, "Planted caption {n}", "Planted guide {n}", "Planted caption {n}", "photo", False),
+    ("img", "@/planted/line.gif", "planted line", None, 600, 2, None, "Planted guide {n}", "A planted paragraph of some length.", "unknown", False),
+    ("img", "@/planted/lazy{n}.png 2x", "Planted chart", None, None, None, None, "Planted guide {n}", "A planted paragraph of some length.", "diagram", True),
+    ("picture", "@/planted/wide{n}.webp", "Planted screenshot", None, None, 600, None, "Planted guide {n}", "A planted paragraph of some length.", "screenshot", False),
+    ("background", "@/planted/bg{n}.png", None, None, None, None, None, "Planted guide {n}", "A planted paragraph of some length.", "unknown", False),
 ]))
 def html_images(spark, sf_dir):
     """Images that don't only decorate, with caption, heading and paragraph near by."""
@@ -137,23 +137,23 @@ def html_codes(spark, sf_dir):
     return records.code_rows(planted(spark, sf_dir), inline=True).select("page_id", "source_tag", "content", "language", "confidence", "is_inline", "is_truncated", "context_heading", "context_text", "filename_hint", "line_count")
 
 
-@R.add("html_forms", golden("action method purpose fields has_password", [("planted/track", "POST", "tracking", "no{n}:text,s:text", False), ("planted/in", "GET", "login", "p:password", True)]))
+@R.add("html_forms", golden("action method purpose fields has_password", [("/planted/track", "POST", "tracking", "no{n}:text,s:text", False), ("/planted/in", "GET", "login", "p:password", True)]))
 def html_forms(spark, sf_dir):
     """Forms with their fields and purpose."""
     s = records.scans(planted(spark, sf_dir)).select("page_id", F.inline("forms"))
     fields = F.array_join(F.transform("fields", lambda x: F.concat(x["name"], F.lit(":"), x["type"])), ",")
-    return s.select("page_id", F.ltrim(F.col("action"), F.lit("/")).alias("action"), "method", "purpose", fields.alias("fields"), "has_password")
+    return s.select("page_id", "action", "method", "purpose", fields.alias("fields"), "has_password")
 
 
-@R.add("html_portals", golden("type url text", [("login", "/login{n}", "Log in planted")]))
+@R.add("html_portals", golden("type url text", [("login", "@/login{n}", "Log in planted")]))
 def html_portals(spark, sf_dir):
     """Links to portals; those of the passage."""
     return records.scans(planted(spark, sf_dir)).select("page_id", F.inline("portal_links")).filter("contains(lower(text), 'planted')").select("page_id", "type", "url", "text")
 
 
 @R.add("html_hints", golden("feature subtree priority reason depth_boost", [
-    ("portal", "", "high", "URL pattern ''/login'' matched: https://p{n}.example/login{n}".replace("''", "'"), 1), ("pricing", "", "medium", r"Page text contains 'rate\s+calculator'", 0),
-]).replace("replace('', '{n}', p.page_id::varchar) as subtree, replace('high'", "'/login' || p.page_id as subtree, replace('high'"))
+    ("portal", "/login{n}", "high", "URL pattern '/login' matched: https://p{n}.example/login{n}", 1), ("pricing", "", "medium", r"Page text contains 'rate\s+calculator'", 0),
+]))
 def html_hints(spark, sf_dir):
     """Crawl hints with their reason; those of the passage."""
     return records.hints(planted(spark, sf_dir)).filter("subtree like '/login%' or reason like '%calculator%'").select("page_id", "feature", "subtree", "priority", "reason", "depth_boost")
@@ -169,9 +169,9 @@ FIGURE = "Planted caption {n}"
 
 
 @R.add("asset_inventory", golden("asset_type url alt region context classification width height", [
-    ("image", "/planted/photo{n}.jpg", "Planted photo", "main", FIGURE, "content_image", 640, 480), ("image", "/planted/spacer.gif", "", "main", None, "decorative", 1, 1), ("image", "/planted/line.gif", "planted line", "main", None, "content_image", 600, 2),
-    ("image", "/planted/blank.png", "Planted chart", "main", None, "content_image", None, None), ("image", "/planted/wide{n}.webp", None, "main", "", "decorative", None, None),
-    ("video", "/planted/film.mp4", None, "main", "planted help planted file", "video", None, None), ("document", "/planted/file{n}.PDF?x=1", None, "main", "planted help planted file", "document", None, None),
+    ("image", "@/planted/photo{n}.jpg", "Planted photo", "main", FIGURE, "content_image", 640, 480), ("image", "@/planted/spacer.gif", "", "main", None, "decorative", 1, 1), ("image", "@/planted/line.gif", "planted line", "main", None, "content_image", 600, 2),
+    ("image", "@/planted/blank.png", "Planted chart", "main", None, "content_image", None, None), ("image", "@/planted/wide{n}.webp", None, "main", "", "decorative", None, None),
+    ("video", "@/planted/film.mp4", None, "main", "planted help planted file", "video", None, None), ("document", "@/planted/file{n}.PDF?x=1", None, "main", "planted help planted file", "document", None, None),
 ]))
 def asset_inventory(spark, sf_dir):
     """Images, media and documents of a page with where they stand; the text around them where that is short."""
@@ -237,12 +237,12 @@ def capture_manifest(spark, sf_dir):
     return held.join(by, "site")
 
 
-@R.add("site_probe", golden("nav nav_depth login search cookie_banner lazy_images main_selector", [(" /planted/a{n}=Alpha planted {n}, /planted/sub{n}=Sub planted, /login{n}=Log in planted", 2, True, False, False, False, "main")]))
+@R.add("site_probe", golden("nav nav_depth login search cookie_banner lazy_images main_selector", [("/planted/a{n}=Alpha planted {n}, /planted/sub{n}=Sub planted, /login{n}=Log in planted", 2, True, False, False, False, "main")]))
 def site_probe(spark, sf_dir):
     """What a home page says of its site, its navigation that of the passage."""
     r = records.probes(planted(spark, sf_dir))
     nav = F.transform(F.filter("nav", lambda x: F.contains(F.lower(x["text"]), F.lit("planted"))), lambda x: F.concat(x["url"], F.lit("="), x["text"]))
-    return r.select("page_id", F.concat(F.lit(" "), F.array_join(F.filter(nav, lambda x: ~F.contains(x, F.lit("Again"))), ", ")).alias("nav"), "nav_depth", "login", "search", "cookie_banner", "lazy_images", "main_selector")
+    return r.select("page_id", F.array_join(F.filter(nav, lambda x: ~F.contains(x, F.lit("Again"))), ", ").alias("nav"), "nav_depth", "login", "search", "cookie_banner", "lazy_images", "main_selector")
 
 
 @R.add("capture_site_data", f"select page_id % 9 as site, 'p' || page_id % 9 || '.example' as base_domain, case when count(distinct page_id % 2) = 1 then case when min(page_id % 2) = 0 then 'requests' else 'js' end else 'mixed' end as fetch_method, count(*) as pages_captured, greatest(0, max(page_id) - count(*))::bigint as pages_failed, sum(strlen(html))::bigint // 1024 as total_html_kb, 7 * count(*) as total_assets, sum(len(regexp_extract_all({SQL_VISIBLE}, '\\S+')))::bigint as total_word_count from pages group by 1")
