@@ -20,8 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
-#: Files of a stored table for each core, at most: each costs a round trip to the store, however small.
-FILES_PER_CORE = 4
+#: Files of a stored table, at most: so many for each core, or one for so many shuffle partitions where
+#: that is more. Each costs round trips to the store, however small.
+FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
 
 #: Places of tables written by stored() and not deleted yet, and the folder where a local session has none set.
 _written: list[str] = []
@@ -72,8 +73,8 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     ship(df.sparkSession)
     spark = df.sparkSession
     path = new_place(spark, label)
-    files = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
-    files.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
+    most = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE)
+    df.coalesce(most).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
     return table
