@@ -7,11 +7,12 @@ pair that agrees in AGREE of them shares one of its COORDS - AGREE + 1 rarest va
 order values alike), so only these prefixes are posted and the longest lists are skipped. Each list
 has a centre, its most widely shared member, and lists of one centre are one group. Every member is
 first paired with the centre; pairs that agree often enough are confirmed on the full shingle sets
-and joined into components. In groups whose members still lie in several components, all outside
-the largest component are then compared with all members, in squares of bounded size and on full
+and joined into components. In groups whose members still lie in several components, what can't hold
+a link is told by the distances of one set of each component and their radii; of the rest, all
+outside the largest component are compared with all members, in squares of bounded size and on full
 sets, and one link for each two components comes out. So a group that holds together costs one pair
 for each member, and no pair that isn't a link is ever a row; a group that falls apart costs the
-square of what lies outside its largest component.
+square of the number of its components, and of what lies outside the largest within reach of others.
 
 Shingles are compared by 64-bit hashes of their words; words over 64 bytes are hashed by BLAKE2.
 
@@ -37,6 +38,8 @@ from heron.llm.textcodec import U, mix, shingle_sets
 from heron.session import ship
 
 WIDTH, COORDS, AGREE = 5, 64, 28
+#: Jaccard distance of a link at most.
+FAR = 0.25
 #: Members, and shingles, of either side that are compared at once where a group has several components.
 SQUARE, SQUARE_SHINGLES = 512, 1 << 20
 #: Ids of candidate documents (24 bytes each) are broadcast up to this many, and joined by shuffle beyond.
@@ -157,19 +160,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(shingles(held).groupBy("node").agg(F.first("s").alias("s")), "sets")
 
 
-def _compare(part: pa.Table) -> pa.Table:
-    """One link for each two components that linked sets of the two sides lie in; sets are compared exactly."""
+def _shared(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of side 0, rows of side 1, sizes of all sets, and how many shingles each two sets of the sides share."""
     side = part.column("side").to_numpy()
-    doc, comp = part.column("doc").to_numpy(), part.column("comp").to_numpy()
     sets = part.column("s").combine_chunks()
     at, values = sets.offsets.to_numpy() - sets.offsets[0].as_py(), sets.flatten().to_numpy()
     size = np.diff(at)
-    row = np.repeat(np.arange(len(doc)), size)
+    row = np.repeat(np.arange(len(side)), size)
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     inx = side[row] == 0
     vocabulary = np.intersect1d(values[inx], values[~inx])
     both = np.zeros((len(x), len(y)), np.float32)
-    place = np.empty(len(doc), np.int64)
+    place = np.empty(len(side), np.int64)
     place[x], place[y] = np.arange(len(x)), np.arange(len(y))
     column = np.searchsorted(vocabulary, values)
     known = column < len(vocabulary)
@@ -185,29 +187,96 @@ def _compare(part: pa.Table) -> pa.Table:
         left[place[r[i]], c[i]] = 1
         right[place[r[~i]], c[~i]] = 1
         both += left @ right.T
+    return x, y, size, both
+
+
+def _compare(part: pa.Table) -> pa.Table:
+    """One link for each two components that linked sets of the two sides lie in; sets are compared exactly."""
+    comp = part.column("comp").to_numpy()
+    x, y, size, both = _shared(part)
     linked = (100 * both >= 75 * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
     i, j = np.nonzero(linked)
-    found = {(min(p, q), max(p, q)): (min(m, n), max(m, n)) for p, q, m, n in zip(comp[x[i]], comp[y[j]], doc[x[i]], doc[y[j]], strict=True)}
-    return pa.table({"a": pa.array([p for p, _ in found.values()], pa.int64()), "b": pa.array([q for _, q in found.values()], pa.int64())})
+    found = np.unique(np.sort(np.stack([comp[x[i]], comp[y[j]]], 1), 1), axis=0)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _within_reach(part: pa.Table) -> pa.Table:
+    """The components that may hold a link to another one, by the distance of what stands for them and their radius."""
+    comp, radius, centre = (part.column(c).to_numpy() for c in ("comp", "radius", "centre"))
+    x, y, size, both = _shared(part)
+    apart = 1 - both.astype(np.float64) / (size[x][:, None] + size[y][None, :] - both)
+    near = (apart <= FAR + radius[x][:, None] + radius[y][None, :] + 1e-9) & (comp[x][:, None] != comp[y][None, :])
+    i, j = np.nonzero(near)
+    found = np.unique(np.concatenate([comp[x[i]], comp[y[j]]]))
+    return pa.table({"centre": pa.array(np.repeat(centre[:1], len(found)), pa.int64()), "comp": pa.array(found, pa.int64())})
+
+
+def _cells(size: Column, n: Column) -> Column:
+    return F.greatest(F.ceil(size / SQUARE), F.ceil(n / SQUARE_SHINGLES)).cast("int")
+
+
+def _block(doc: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.col(n)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _split(held: DataFrame) -> DataFrame:
+    """The members (centre, node, n, comp) of groups that lie in several components, with the largest one (main), and in how many rows and columns of squares; stored."""
+    parts = held.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    split = parts.groupBy("centre").agg(F.max(F.struct("size", "comp", "n")).alias("most"), F.sum("size").alias("cnt"), F.sum("n").alias("n")).filter("most.size < cnt")
+    split = stored(split.select("centre", F.col("most.comp").alias("main"), "cnt", _cells(F.col("cnt") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("rows"), _cells(F.col("cnt"), F.col("n")).alias("columns")), "split")
+    return stored(skew_join(held, split, ["centre"], held.count()), "of_split")
+
+
+def _reachable(of_split: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre, comp, cnt of the components that may hold a link to another one of their group; stored.
+
+    Jaccard distance is a metric: sets of two components can't be linked if the sets that stand for
+    the components are further apart than FAR and both components' radii. So each member is compared
+    with its component's own set, and these sets with each other, square by square.
+    """
+    own = stored(of_split.groupBy("centre", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("cnt"), F.sum("n").alias("n")), "reps")
+    pairs = skew_join(of_split.select("centre", "comp", F.col("node").alias("b")), own.select("centre", "comp", F.col("rep").alias("a"), "cnt"), ["centre", "comp"], of_split.count()).filter("a <> b")
+    pairs = stored(pairs.select("centre", "comp", "a", "b"), "spread")
+    joined = _attached(_attached(pairs, sets, "b", "a", s="s_b"), sets, "a", "b", s="s_a").select("centre", "comp", "s_a", "s_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                apart.append(1 - both / (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.float64())], ["centre", "comp", "apart"])
+
+    radius = joined.mapInArrow(run, "centre long, comp long, apart double").groupBy("centre", "comp").agg(F.max("apart").alias("radius"))
+    total = own.groupBy("centre").agg(_cells(F.count(F.lit(1)), F.sum("n")).alias("cells"), F.count(F.lit(1)).alias("cnt"))
+    stands = own.join(radius, ["centre", "comp"], "left").select("centre", "comp", "rep", F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    stands = skew_join(stored(stands, "stands"), stored(total, "total"), ["centre"], own.count()).drop("cnt").join(sets.withColumnRenamed("node", "rep"), "rep")
+    left = stands.select("centre", _block("rep", "cells").alias("i"), _each("cells").alias("j"), F.lit(0).alias("side"), "comp", "radius", "s")
+    right = stands.select("centre", _each("cells").alias("i"), _block("rep", "cells").alias("j"), F.lit(1).alias("side"), "comp", "radius", "s")
+    near = left.unionByName(right).groupBy("centre", "i", "j").applyInArrow(_within_reach, "centre long, comp long").distinct()
+    return stored(near.join(own.select("centre", "comp", "cnt"), ["centre", "comp"]), "near")
 
 
 def _across(member: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between members of one group (centre, node) that lie in different components; stored.
 
-    All members outside a group's largest component are compared with all members, square by square;
-    a square has about SQUARE members and SQUARE_SHINGLES shingles on either side.
+    Components out of reach of all others of the group are left out. Of the rest, all members outside
+    the largest component are compared with all members, square by square; a square has about SQUARE
+    members and SQUARE_SHINGLES shingles on either side.
     """
     held = stored(member.join(label.select(F.col("doc").alias("node"), "comp"), "node", "left").join(nodes.select("node", "n"), "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp")), "held")
-    parts = held.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
-    split = parts.groupBy("centre").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max(F.struct("size", "comp", "n")).alias("most"), F.sum("size").alias("cnt"), F.sum("n").alias("n")).filter("most.size < cnt")
-    cells = lambda size, n: F.greatest(F.ceil(size / SQUARE), F.ceil(n / SQUARE_SHINGLES)).cast("int")
-    split = stored(split.select("centre", "main", "cnt", cells(F.col("cnt") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("rows"), cells(F.col("cnt"), F.col("n")).alias("columns")), "split")
-    of_split = stored(skew_join(held.drop("n"), split, ["centre"], held.count()), "of_split")
-    full = of_split.join(_sets(docs, nodes, of_split.select("node").distinct()), "node").withColumnRenamed("node", "doc")
-    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    out = full.filter("comp <> main").select("centre", block("rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("side"), "doc", "comp", "s")
-    every = full.select("centre", each("rows").alias("i"), block("columns").alias("j"), F.lit(1).alias("side"), "doc", "comp", "s")
+    of_split = _split(held)
+    sets = _sets(docs, nodes, of_split.select("node").distinct())
+    near = _reachable(of_split, sets)
+    again = stored(skew_join(of_split.select("centre", "node", "n", "comp"), near, ["centre", "comp"], of_split.count()).drop("cnt"), "again")
+    full = _split(again).join(sets, "node").withColumnRenamed("node", "doc")
+    out = full.filter("comp <> main").select("centre", _block("doc", "rows").alias("i"), _each("columns").alias("j"), F.lit(0).alias("side"), "comp", "s")
+    every = full.select("centre", _each("rows").alias("i"), _block("doc", "columns").alias("j"), F.lit(1).alias("side"), "comp", "s")
     return stored(out.unionByName(every).groupBy("centre", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "across")
 
 

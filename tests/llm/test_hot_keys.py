@@ -51,3 +51,32 @@ def test_repeats_of_a_hot_line(spark, low, monkeypatch):
     texts = [noise(40) + line + noise(60) for _ in range(25)] + [line] * 5 + [noise(500)]
     out = {x["doc_id"]: bytes(x["kept"]) for x in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert [out[i] for i in range(len(texts))] == brute_repeats(texts, "none")
+
+
+def test_near_dedup_of_clusters_around_a_template(spark, monkeypatch):
+    """Clusters that share a template lie in one group; those out of reach of each other are left out of the squares, chains of links are not lost."""
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(70)]
+    rows = []
+    for c in range(6):
+        own = [f"c{c}_{i}" for i in range(30)]
+        base = template + own
+        for k in range(8):
+            mine = list(base)
+            for _ in range(r.randint(0, 2)):
+                mine[r.randrange(len(mine))] = f"x{c}_{k}_{r.randrange(999)}"
+            if c in (4, 5):  # two clusters that drift towards each other
+                mine[70 : 70 + 4 * k] = [f"d_{i}" for i in range(4 * k)]
+            rows.append((100 * c + k + 1, " ".join(mine)))
+    seen = []
+    reachable = minhash._reachable
+
+    def watched(of_split, sets):
+        near = reachable(of_split, sets)
+        seen.append((of_split.select("centre", "comp").distinct().count(), near.count()))
+        return near
+
+    monkeypatch.setattr(minhash, "_reachable", watched)
+    out = minhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == components_of(rows)
+    assert seen and seen[0][1] < seen[0][0], seen
