@@ -37,9 +37,14 @@ from tokenizers import Tokenizer
 from heron.llm.common import pieces
 from heron.session import ship
 
-#: Entries of each of the two tables of recent encodings in a worker.
-HELD = 250_000
+#: Entries of each of the two tables of recent encodings in a worker (a full one is put aside, and what
+#: is asked for again is taken over), and of pairs that were looked at.
+HELD, PAIRS = 120_000, 300_000
+#: The same where memory is dearer than time.
+LEAN = 30_000
 ROWS = 256
+#: Two ranks make one key.
+SHIFT = 24
 #: Printable ASCII and the letters of Latin-1.
 LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
@@ -55,6 +60,7 @@ class Codec:
     """Encoder and decoder of one tokenizer file (byte-level BPE with a word-end suffix)."""
 
     def __init__(self, path: str) -> None:
+        self.held = HELD
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -73,7 +79,7 @@ class Codec:
         rank = {t: i for i, t in enumerate(base)} | {a + b: len(base) + i for i, (a, b) in enumerate(merges)}
         self.ids = [0] * len(rank)
         self.parts: list[tuple[int, int]] = [(0, 0)] * len(rank)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         self.by_symbols: dict[str, int] = {}
         self.width = [0] * len(rank)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
@@ -83,9 +89,9 @@ class Codec:
             self.automaton.add_word(s, (len(s), r))
         self.automaton.make_automaton()
         for i, (a, b) in enumerate(merges):
-            self.parts[len(base) + i] = pair = rank[a], rank[b]
-            self.pairs[pair] = len(base) + i
-        self.compatible: dict[tuple[int, int], bool] = {}
+            self.parts[len(base) + i] = left, right = rank[a], rank[b]
+            self.pairs[left << SHIFT | right] = len(base) + i
+        self.compatible: dict[int, bool] = {}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         # the offset table: all token strings in one, with where each id's begins
@@ -103,6 +109,8 @@ class Codec:
         self.names = [self.spell([i]) for i in self.ids]
         self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.old_pieces: dict[str, tuple[bytes, str]] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at one edge of a token (0 left, 1 right), each with the rank that takes it up."""
@@ -122,13 +130,13 @@ class Codec:
         left edge of right. Of merges of one rank the leftmost comes first: the crossing one loses to
         one inside left and wins over one inside right.
         """
-        key = left, right
+        key = left << SHIFT | right
         if (known := self.compatible.get(key)) is not None:
             return known
         get = self.pairs.get
         over = self.spine(right, 0)
-        fit = not any((m := get((x, y))) is not None and m < x_end and m <= y_end for x, x_end in self.spine(left, 1) for y, y_end in over)
-        if len(self.compatible) > HELD:
+        fit = not any((m := get(x << SHIFT | y)) is not None and m < x_end and m <= y_end for x, x_end in self.spine(left, 1) for y, y_end in over)
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[key] = fit
         return fit
@@ -156,7 +164,7 @@ class Codec:
                 if not dead[pos + size]:
                     if not out:
                         break
-                    fit = known((out[-1], r))
+                    fit = known(out[-1] << SHIFT | r)
                     if fit or (fit is None and fits(out[-1], r)):
                         break
                 k -= 1
@@ -174,18 +182,21 @@ class Codec:
         return out
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
+        made = self.old_words.get(word) or self._encoded(word)
+        if len(word) < 64:
+            if len(self.words) >= self.held:
+                self.words, self.old_words = {}, self.words
+            self.words[word] = made
+        return made
+
+    def _encoded(self, word: str) -> tuple[bytes, str]:
         if word.isascii():
             symbols = word[:-1] + chr(256 + ord(word[-1]))
         else:
             raw = word.encode()
             symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         ranks = self.encode_symbols(symbols)
-        made = b"".join([self.packed[r] for r in ranks]), " ".join([self.names[r] for r in ranks])
-        if len(word) < 64:
-            if len(self.words) >= HELD:
-                self.words.clear()
-            self.words[word] = made
-        return made
+        return b"".join([self.packed[r] for r in ranks]), " ".join([self.names[r] for r in ranks])
 
     def spell(self, ids: list[int]) -> str:
         """Token strings by the offset table, blanks between."""
@@ -194,6 +205,14 @@ class Codec:
 
     def known(self, piece: str) -> tuple[bytes, str]:
         """Ids and decoded text of a piece without special tokens."""
+        made = self.old_pieces.get(piece) or self._cut(piece)
+        if len(piece) < 64:
+            if len(self.pieces) >= self.held:
+                self.pieces, self.old_pieces = {}, self.pieces
+            self.pieces[piece] = made
+        return made
+
+    def _cut(self, piece: str) -> tuple[bytes, str]:
         if piece.isascii():
             found = self.cut_ascii.findall(piece.lower())
         elif LATIN.fullmatch(piece):  # composed letters, which normalising only lower-cases
@@ -201,12 +220,7 @@ class Codec:
         else:
             found = self.cut.findall(self.normalize(piece))
         words = [self.words.get(w) or self.encode_word(w) for w in found]
-        made = words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), " ".join([w[1] for w in words]))
-        if len(piece) < 64:
-            if len(self.pieces) >= HELD:
-                self.pieces.clear()
-            self.pieces[piece] = made
-        return made
+        return words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), " ".join([w[1] for w in words]))
 
     def encode_bytes(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text."""
@@ -222,12 +236,10 @@ class Codec:
 
     def forget(self) -> None:
         """Empties the tables of recent encodings and returns their memory: a worker outlives its task."""
-        self.words.clear()
-        self.pieces.clear()
+        for table in (self.words, self.old_words, self.pieces, self.old_pieces):
+            table.clear()
         self.compatible.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        returned()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
@@ -236,6 +248,13 @@ class Codec:
         return self.spell(ids)
 
 
+def returned() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @lru_cache(1)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -275,12 +294,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.limit(0).withColumn("decoded", F.lit("")).schema)
 
 
-def digests(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and tokens) of every text, encoded and decoded in one pass."""
+def digests(docs: DataFrame, path: str, tokens: bool = False, lean: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and tokens) of every text, encoded and decoded in one pass.
+
+    lean: workers hold smaller tables, and let go of the tokenizer after each task.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        c.held = LEAN if lean else HELD
         for batch in pieces(batches, 1):
             for some in range(0, batch.num_rows, ROWS):
                 part = batch.slice(some, ROWS)
@@ -294,6 +317,10 @@ def digests(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns | ({"tokens": pa.array(held, pa.list_(pa.int32()))} if tokens else {}))
         c.forget()
+        if lean:
+            del c
+            codec.cache_clear()
+            returned()
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
