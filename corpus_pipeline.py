@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every text with digests of them and of the decoded text; null counts as empty."""
-    return digests(docs, tokenizer_path(), tokens=True)
+    return digests(docs, tokenizer_path(), tokens=True, lean=True)
 
 
 # All stages take whole texts of any length, ties and repeated rows, empty tables (which stay empty)
