@@ -20,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_PARTS = 1000
 HEAVY_LEAST = 200
 
+#: Rows of an Arrow batch while a table is stored: the JVM keeps the memory of the largest batch it made.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 #: Files of a stored table, at most: so many for each core, or one for so many shuffle partitions where
 #: that is more. Each costs round trips to the store, however small.
 FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
@@ -69,12 +72,18 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Cuts lineage: writes a table to the shared folder and reads it back.
 
     Small partitions are written several to a file, one after the other, so they need no more memory.
+    The session's settings are afterwards what they were.
     """
     ship(df.sparkSession)
     spark = df.sparkSession
     path = new_place(spark, label)
     most = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE)
-    df.coalesce(most).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
+    rows = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS)
+    try:
+        df.coalesce(most).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else looks for it
+    finally:
+        spark.conf.set(BATCH, rows)
     table = spark.read.schema(df.schema).parquet(path)
     table._heron_path = path
     return table

@@ -135,9 +135,10 @@ def test_stored_tables_are_deleted(spark, tmp_path):
 
     from heron.llm import common
 
-    point = common.mark()
+    point, before = common.mark(), spark.conf.get(common.BATCH)
     a, b, c = (common.stored(spark.range(3), n) for n in "abc")
     places = [t._heron_path for t in (a, b, c)]
+    assert spark.conf.get(common.BATCH) == before
     common.discard(a)
     common.discard_since(spark, point, keep=c)
     assert [os.path.exists(p) for p in places] == [False, False, True] and common.mark() == point + 1
