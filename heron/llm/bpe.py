@@ -257,7 +257,9 @@ def returned() -> None:
 
 @lru_cache(1)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    returned()  # what reading the file took, about as much as the codec itself
+    return made
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -297,7 +299,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, tokens: bool = False, lean: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and tokens) of every text, encoded and decoded in one pass.
 
-    lean: workers hold smaller tables, and let go of the tokenizer after each task.
+    lean: workers hold smaller tables.
     """
     ship(docs.sparkSession)
 
@@ -317,10 +319,6 @@ def digests(docs: DataFrame, path: str, tokens: bool = False, lean: bool = False
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns | ({"tokens": pa.array(held, pa.list_(pa.int32()))} if tokens else {}))
         c.forget()
-        if lean:
-            del c
-            codec.cache_clear()
-            returned()
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
