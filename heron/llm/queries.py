@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.llm import chat, pii, quality, repeats, toxicity, warc
+from heron.llm import audit, centroids, chat, pii, quality, repeats, simhash, toxicity, warc
 from heron.llm.bpe import digests
 from heron.llm.common import stored, table
 from heron.llm.decontaminate import contamination
@@ -89,7 +89,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op5_warc_fixity, op6_repeats, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def clustering_sql(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, dims: int = centroids.DIMS, scale: int = centroids.SCALE) -> str:
+    """Each round as a query of the one before: all distances, the nearest by distance and number, means rounded down."""
+    apart = "list_sum(list_transform(range(1, {d} + 1), lambda k: (p.x[k] - c.x[k]) * (p.x[k] - c.x[k])))".format(d=dims)
+    nearest = "select p.rid, min(struct_pack(distance := cast({a} as bigint), cluster := c.cluster)) as m from p, c{k} c group by p.rid"
+    out = [
+        f"e as (select row_number() over () as rid, vec_id, embedding from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = {dims})",
+        f"p as (select rid, vec_id, list_transform(embedding, lambda v: cast(floor({scale} * cast(v as double)) as bigint)) as x from e)",
+        f"c0 as (select row_number() over (order by h, x) - 1 as cluster, x from (select sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h, x from p) order by h, x limit {clusters})",
+    ]
+    for k in range(rounds):
+        out.append(f"a{k} as ({nearest.format(a=apart, k=k)})")
+        out.append(f"s{k} as (select a{k}.m.cluster as cluster, k, cast(floor(sum(p.x[k])::double / count(*)) as bigint) as v from a{k} join p using (rid), unnest(range(1, {dims} + 1)) t(k) group by all)")
+        out.append(f"c{k + 1} as (select c{k}.cluster, coalesce(n.x, c{k}.x) as x from c{k} left join (select cluster, list(v order by k) as x from s{k} group by cluster) n using (cluster))")
+    out.append(f"a as ({nearest.format(a=apart, k=rounds)})")
+    return f"""
+with {(","+chr(10)).join(out)},
+t as (select p.vec_id, cast(a.m.cluster as integer) as cluster, a.m.distance as distance from a join p using (rid))
+select t.*, cast(sum(distance) over (partition by t.cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from t join c{rounds} c using (cluster)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_chat_formatting, op4_bpe, op5_warc_fixity, op6_repeats, op7_pii, op8_decontamination, op9_minhash_near_dedup, op10_quality, op11_simhash_near_dedup, op12_centroid_clustering, op13_filter_audit)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -132,4 +165,23 @@ l1 as (select file, node // 16 as node, min(stop - n_bytes) as start, max(stop)
 l2 as (select file, node // 16 as node, min(start) as start, max(stop) as stop, sha256(min(start) || ',' || max(stop) || ',' || string_agg(hash, ',' order by node)) as hash from l1 group by file, node // 16),
 l3 as (select file, sha256(min(start) || ',' || max(stop) || ',' || string_agg(hash, ',' order by node)) as hash from l2 group by file)
 select page_id, file, stop - n_bytes as record_offset, n_bytes, l.hash as record_sha256, l3.hash as root_sha256, not (page_id % 97 = 13 and shut) as intact from l join l3 using (file)""",
+    "op12_centroid_clustering": clustering_sql(),
+    "op13_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+lowest as (select text, min(doc_id) as first from d group by text),
+f as (select row_number() over () as rid, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  (case when len(w) < 100 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end) || (case when 100 * strlen(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) then 'C' else '' end)
+  || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end) || (case when doc_id > first then 'E' else '' end) as fails
+  from d join lowest using (text) left join l using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+s as (select part, filter_order, step, filter_order[step] as x, n, good, toxic, fails,
+  (select min(k) from unnest(range(1, 6)) u(k) where contains(fails, filter_order[k])) as hit from g, o, unnest(range(1, 6)) t(step)),
+r as (select part, filter_order, step, x, sum(case when hit is null or hit > step then n else 0 end) as kept, sum(case when hit = step then n else 0 end) as removed,
+  sum(case when hit < step and contains(fails, x) then n else 0 end) as redundant, sum(case when fails = x then n else 0 end) as unique_fails,
+  sum(case when hit = step then good else 0 end) as good_lost, sum(case when hit = step then toxic else 0 end) as toxic_lost from s group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from r""",
 }
