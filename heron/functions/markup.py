@@ -126,6 +126,6 @@ def robots(files: DataFrame, agent: str, most: int = 20) -> DataFrame:
 
 
 def allowed(paths: DataFrame, files: DataFrame, agent: str) -> DataFrame:
-    """paths (domain, path) that no disallow prefix of ours covers."""
+    """paths (domain, path) that no disallow prefix of ours covers: a plain reading of the listed rules. What a crawler may fetch is robots.decisions()."""
     rules = robots_lines(files, agent).filter("directive = 'disallow' and ours and value <> ''").select("domain", F.col("value").alias("prefix"))
     return paths.join(rules, (paths["domain"] == rules["domain"]) & F.expr("startswith(path, prefix)"), "left_anti")
