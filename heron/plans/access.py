@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from heron.exprs import Registry
 from heron.functions import flows, policy, urls
 from heron.plans.urls import HOST, P
+from heron.session import folder
+from heron.streaming import keyed
 
 R = Registry()
 NOW = "2024-02-01 00:00:00"
@@ -164,8 +166,11 @@ def queue_remaining(spark, sf_dir):
 
 @R.add("queue_cleared", "select count(distinct user_id) as cleared, 0 as remaining from events where value < 20")
 def queue_cleared(spark, sf_dir):
-    """A queue emptied, and how many entries it had."""
-    return queue_upsert(spark, sf_dir).agg(F.count(F.lit(1)).alias("cleared")).withColumn("remaining", F.lit(0))
+    """A stored queue emptied, how many entries it had, and how many are left in it."""
+    table = keyed.KeyedTable(spark, folder(spark), "user_id long, attempts long", ["user_id"], 16)
+    table.merge(queue_upsert(spark, sf_dir).select("user_id", "attempts"), lambda old, new: old.unionByName(new))
+    cleared = table.clear()
+    return table.read().agg(F.lit(cleared).cast("long").alias("cleared"), F.count(F.lit(1)).cast("int").alias("remaining"))
 
 
 @R.add("manual_always", f"select user_id, count(*) filter (where ts > timestamp '{NOW}' - interval 10 day) as recent, count(*) filter (where ts > timestamp '{NOW}' - interval 10 day) >= 3 as always from events where event_type = 'purchase' group by user_id")

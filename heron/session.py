@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent).as_posix())
     sc.addPyFile(str(archive))
     sc._heron_shipped = True
+
+
+def folder(spark) -> str:
+    """A new folder in the shared one; only a local session (tests) may do without."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        set_to = tempfile.mkdtemp(prefix="heron-files-")
+    return f"{set_to.rstrip('/')}/files-{uuid.uuid4().hex}"
