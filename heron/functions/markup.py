@@ -90,8 +90,9 @@ def sitemap_urls(maps: DataFrame, most: int = 10000) -> DataFrame:
 
 
 def sitemap_children(maps: DataFrame) -> DataFrame:
-    """source, loc: the sitemaps that an index names."""
-    return maps.select("source", F.explode(F.xpath(F.col("xml"), F.lit("//*[local-name()='sitemap']/*[local-name()='loc']/text()"))).alias("loc")).withColumn("loc", F.trim("loc"))
+    """source, loc: the sitemaps that an index names, with or without a namespace; broken XML names none."""
+    parsed = F.from_xml("xml", "sitemap array<struct<loc:string>>", {"ignoreNamespace": "true"})
+    return maps.select("source", F.explode(parsed["sitemap"]["loc"]).alias("loc")).withColumn("loc", F.trim("loc")).filter("loc <> ''")
 
 
 def lastmod(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heron import rules
 from heron.exprs import Registry, quoted, sql_any, sql_contained, sql_count, sql_labels
 from heron.functions import text as T
+from heron.functions.budget import running_sums
 
 R = Registry()
 B = chr(92)
@@ -318,8 +319,5 @@ def text_intervals(spark, sf_dir):
 @R.add("text_budget", "select source, count(*) as pages, sum(len(t)) as chars, max(doc_id) as last_doc from (select source, doc_id, substr(text, 1, 1000) as t, coalesce(sum(len(substr(text, 1, 1000))) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as held from documents) where held <= 5000 group by source")
 def text_budget(spark, sf_dir):
     """Sample text of each source: a thousand characters a document until over five thousand are held."""
-    from pyspark.sql import Window
-
     piece = documents(spark, sf_dir).select("source", "doc_id", F.least(F.length("text"), F.lit(1000)).alias("n"))  # the texts themselves don't move
-    held = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return piece.withColumn("held", held).filter("held <= 5000").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("chars"), F.max("doc_id").alias("last_doc"))
+    return running_sums(piece, ["source"], ["doc_id"], "n").filter("held <= 5000").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("chars"), F.max("doc_id").alias("last_doc"))
