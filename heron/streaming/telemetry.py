@@ -105,3 +105,15 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str]
     elif mode == "update":
         rows = rows.groupBy(*(keys or [])).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (keys or [])]), "batch").alias("r")).select(*(keys or []), "r.*")
     return rows.drop("batch")
+
+
+def freshness(due: DataFrame, crawls: DataFrame, within: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Each due visit (user_id, event_id, due_at) with the crawls (user_id, crawled_at) in the time before it, or none: then it has to be made.
+
+    An interval join of two streams: the watermarks bound how long either side is held. A visit
+    without a crawl comes out once no crawl in its interval can come any more; null keys have none.
+    """
+    left = due.withWatermark("due_at", late)
+    right = crawls.withWatermark("crawled_at", late).withColumnRenamed("user_id", "crawled")
+    near = F.expr(f"user_id = crawled and crawled_at <= due_at and crawled_at > due_at - interval {within}")
+    return left.join(right, near, "leftOuter").select("user_id", "event_id", "due_at", "crawled_at")
