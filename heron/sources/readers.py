@@ -152,21 +152,30 @@ def fixture_failures(held: DataFrame) -> DataFrame:
     return held.select("id", F.filter(F.array(*(F.when(cond, name) for name, cond in checks.items())), lambda x: x.isNotNull()).alias("failures"))
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """value: a settings file as one text; many files are many rows."""
+    return spark.read.text(path, wholetext=True)
+
+
+COMPANY = "array<struct<name:string,domain:string,category:string,tier:int>>"
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
-    """A list of companies, bare or under `carriers`; anything else is an error."""
-    held = settings(spark, path)
-    rows = held.get("carriers") if isinstance(held, dict) else held
-    if not isinstance(rows, list):
+    """A list of companies, bare or under `carriers`; anything else is an error. A category may be one name or a list."""
+    text = F.col("value")
+    listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, COMPANY)).otherwise(F.from_json(text, f"struct<carriers:{COMPANY}>")["carriers"])
+    held = _whole(spark, path).select(listed.alias("c"))
+    if held.filter("c is null").count():
         raise ValueError(f"{path}: neither a list nor one under carriers")
-    flat = [(r.get("name"), r.get("domain"), r.get("category") if isinstance(r.get("category"), list) else [r["category"]] if r.get("category") else [], r.get("tier")) for r in rows]
-    return spark.createDataFrame(flat, "name string, domain string, category array<string>, tier int")
+    c = F.col("c.category")
+    names = F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(F.array(c))
+    return held.select(F.explode("c").alias("c")).select("c.name", "c.domain", names.alias("category"), "c.tier")
 
 
 def playbooks(spark: SparkSession, path: str) -> DataFrame:
     """domain, max_strategy, settings (JSON): entries that aren't mappings are dropped."""
-    held = settings(spark, path)
-    rows = [(d, p.get("max_strategy"), json.dumps(p, sort_keys=True)) for d, p in held.items() if isinstance(p, dict)] if isinstance(held, dict) else []
-    return spark.createDataFrame(rows, "domain string, max_strategy string, settings string")
+    rows = _whole(spark, path).select(F.explode(F.from_json("value", "map<string,string>")).alias("domain", "settings")).filter(F.ltrim("settings").startswith("{"))
+    return rows.select("domain", F.get_json_object("settings", "$.max_strategy").alias("max_strategy"), "settings")
 
 
 def logs(spark: SparkSession, path: str) -> DataFrame:
