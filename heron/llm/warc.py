@@ -51,6 +51,10 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *head), F.lit(LAST), body, F.lit(LAST))
 
 
+#: Header names as they are given back, however a file writes them.
+_NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "Content-Type", "Content-Length")}
+
+
 def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, header, body) of each record; a damaged stretch has an empty header."""
     at = 0
@@ -60,7 +64,7 @@ def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         if archive.startswith(b"WARC/", at) and end >= 0:
             for line in archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
                 name, _, value = line.partition(":")
-                fields[name.strip()] = value.strip()
+                fields[_NAMES.get(name.strip().lower(), name.strip())] = value.strip()
         size = fields.get("Content-Length", "")
         stop = end + 4 + int(size) if size.isdigit() else -1
         if stop >= 0 and archive.startswith(b"\r\n\r\n", stop):
@@ -73,18 +77,58 @@ def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
             at = found
 
 
-def unzipped(data: bytes) -> bytes:
-    """The bytes of gzip members one after the other; other bytes as they are, and what can be read of a broken member."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
-    while data.startswith(b"\x1f\x8b"):
-        member = zlib.decompressobj(31)
+#: How a gzip member begins; compressed bytes that are read at a time.
+MEMBER, STEP = b"\x1f\x8b\x08", 1 << 14
+
+
+def _begins(data: bytes, at: int) -> int:
+    """Where the deflated bytes of the member at `at` begin; -1 if its header isn't whole."""
+    flags, place = data[at + 3] if at + 10 <= len(data) else 0, at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):  # a name, a comment: up to a zero
+        if flags & flag:
+            place = data.find(b"\0", place) + 1 or len(data) + 1
+    place += 2 if flags & 2 else 0
+    return place if place <= len(data) else -1
+
+
+def _inflated(data: bytes, at: int, out: list[bytes]) -> int:
+    """Adds what can be read of the member at `at` to out; where the next one is looked for.
+
+    Checksums aren't asked for: fixity is the caller's, and a wrong one must not cost the bytes.
+    """
+    place = _begins(data, at)
+    if place < 0:
+        return len(data)
+    member = zlib.decompressobj(-15)
+    while not member.eof and place < len(data):
+        piece, before = data[place : place + STEP], member.copy()
         try:
-            out.append(member.decompress(data) + member.flush())
+            out.append(member.decompress(piece))
         except zlib.error:
+            for k in range(len(piece)):  # byte by byte up to the damage
+                try:
+                    out.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    break
+            return at + 1
+        place += len(piece)
+    out.append(member.flush())
+    return place - len(member.unused_data) + 8 if member.eof else len(data)
+
+
+def unzipped(data: bytes) -> bytes:
+    """The bytes of gzip members one after the other, whole or as far as each can be read; other bytes as they are."""
+    if not data.startswith(MEMBER[:2]):
+        return data
+    out: list[bytes] = []
+    at = 0
+    while at < len(data):
+        at = data.find(MEMBER, at)
+        if at < 0:
             break
-        data = member.unused_data
+        at = _inflated(data, at, out)
     return b"".join(out)
 
 
