@@ -142,18 +142,21 @@ i as (select rid, count(*) as n_items, string_agg(i, ',' order by i) as items fr
 select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
 from d left join h using (rid) left join i using (rid)""",
     "op3_chat_formatting": r"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with recursive t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-p as (select *, row_number() over w as pos, sum(len(regexp_extract_all(text, '\S+')) + 4) over (w rows between unbounded preceding and current row) - (len(regexp_extract_all(text, '\S+')) + 4) as ofs,
-  first_value(case when role = 'system' then text end) over w as head from t window w as (partition by conv_id order by turn nulls first, role, text)),
-q as (select *, ofs // 384 as win from p),
-r as (select *, min(win) over l as nxt, min(ofs) over l as next_at, row_number() over (partition by conv_id, win order by pos) = 1 as begins from q window l as (partition by conv_id order by win range between 1 following and unbounded following)),
-m as (select conv_id, win, pos, role, text from r
-  union select conv_id, nxt, pos, role, text from r where nxt is not null and next_at - ofs <= 128
-  union select conv_id, win, 1, 'system', head from r where win > 0 and begins and head is not null),
+c as (select *, len(regexp_extract_all(text, '\S+')) + 4 as tokens, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from t),
+p as (select *, cast(sum(tokens) over (partition by conv_id order by pos) - tokens as bigint) as ofs from c),
+g as (select conv_id, pos, 0 as win, tokens as used from p where pos = 1
+  union all select p.conv_id, p.pos, case when used + p.tokens <= 384 then win else win + 1 end, case when used + p.tokens <= 384 then used + p.tokens else p.tokens end from g join p on p.conv_id is not distinct from g.conv_id and p.pos = g.pos + 1),
+q as (select p.*, g.win from p join g on p.conv_id is not distinct from g.conv_id and p.pos = g.pos),
+b as (select conv_id, win, min(pos) as pos, min(ofs) as ofs from q group by all),
+h as (select conv_id, min(pos) as pos, arg_min(text, pos) as text, arg_min(tokens, pos) as tokens from p where role = 'system' group by conv_id),
+m as (select conv_id, win, pos, role, text from q
+  union select q.conv_id, b.win, q.pos, q.role, q.text from q join b on q.conv_id is not distinct from b.conv_id and b.ofs > q.ofs left join h on q.conv_id is not distinct from h.conv_id where b.ofs - q.ofs <= 128 - coalesce(h.tokens, 0)
+  union select b.conv_id, b.win, h.pos, 'system', h.text from b join h on b.conv_id is not distinct from h.conv_id and h.pos < b.pos),
 f as (select conv_id, sum(len(role || text) + len(regexp_replace(role || text, '[^~<\[\]]', '', 'g')) + 10) as formatted_chars from m group by conv_id),
 d as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by pos) as turns, coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') as loss from p group by conv_id)
-select conv_id, n_turns, sha256(turns) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from d join f using (conv_id)""",
+select d.conv_id, n_turns, sha256(turns) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from d join f on d.conv_id is not distinct from f.conv_id""",
     "op5_warc_fixity": r"""
 with r as (select page_id, coalesce(cast(floor(page_id / 1000) as bigint), -1) as file, coalesce(html, '') like '%>' as shut,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || chr(13) || chr(10)
