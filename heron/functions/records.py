@@ -28,7 +28,6 @@ CODES = "codes array<struct<content:string,language:string,confidence:double,is_
 ASSETS = "assets array<struct<url:string,asset_type:string,alt:string,link_text:string,width:long,height:long,srcset:string,poster:string,region:string,context:string,classification:string>>"
 MAIN = "text string, link_density double, place string"
 SCAN = "portal_links array<struct<type:string,url:string,text:string>>, forms array<struct<action:string,method:string,fields:array<struct<name:string,type:string>>,has_password:boolean,purpose:string>>, providers array<string>, integrations array<string>, endpoints array<string>, features array<struct<category:string,feature_type:string,confidence:double>>, portal_count int, feature_count int"
-PROBE = f"technologies array<string>, generator string, nav {LINKS}, nav_depth int, links int, internal_links int, external_links int, login boolean, search boolean, cookie_banner boolean, lazy_images boolean, endless boolean, main_selector string"
 HINTS = "hints array<struct<feature:string,subtree:string,priority:string,reason:string,depth_boost:int>>"
 NAVIGATION = f"container string, links array<struct<text:string,url:string,children:{LINKS}>>, utility string"
 
@@ -98,7 +97,3 @@ def navigation(pages: DataFrame) -> DataFrame:
         return {"container": dom.tag[nav] if nav is not None else None, "links": page.nav_links(dom, nav, url) if nav is not None else [], "utility": dom.tag[other] if other is not None else None}
 
     return made(pages, NAVIGATION, make)
-
-
-def probes(pages: DataFrame) -> DataFrame:
-    return made(pages, PROBE, lambda dom, html, url: page.probe(dom, html, url))

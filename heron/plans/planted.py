@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.exprs import Registry, quoted
-from heron.functions import html, records
+from heron.functions import html, probe, records
 from heron.functions.html import SQL_VISIBLE
 from heron.plans.urls import pages
 from heron.sources import sinks
@@ -240,7 +240,7 @@ def capture_manifest(spark, sf_dir):
 @R.add("site_probe", golden("nav nav_depth login search cookie_banner lazy_images main_selector", [("/planted/a{n}=Alpha planted {n}, /planted/sub{n}=Sub planted, /login{n}=Log in planted", 2, True, False, False, False, "main")]))
 def site_probe(spark, sf_dir):
     """What a home page says of its site, its navigation that of the passage."""
-    r = records.probes(planted(spark, sf_dir))
+    r = probe.probes(planted(spark, sf_dir))
     nav = F.transform(F.filter("nav", lambda x: F.contains(F.lower(x["text"]), F.lit("planted"))), lambda x: F.concat(x["url"], F.lit("="), x["text"]))
     return r.select("page_id", F.array_join(F.filter(nav, lambda x: ~F.contains(x, F.lit("Again"))), ", ").alias("nav"), "nav_depth", "login", "search", "cookie_banner", "lazy_images", "main_selector")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heron.exprs import Registry
-from heron.functions import containers
+from heron.exprs import Registry, sql_match
+from heron import rules
+from heron.functions import containers, probe
 from heron.plans import links, robots
 from heron.plans.access import read
 from heron.session import folder
@@ -35,6 +36,20 @@ def asset_pages(spark, sf_dir):
     return containers.pages_of(held, ["url"])
 
 
+_ROOT = "replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '')"
+_SIGNS = ", ".join(f"{sql_match('lower(html)', marks, '(?s)')} as {sign}" for sign, marks in rules.PAGE_SIGNS.items())
+
+
+@R.add("page_probe", f"""with z as (select page_id, {_ROOT} as site, html, url, case when regexp_matches(html, '(?is)<(nav|header)\\b') then array_to_string(regexp_extract_all(html, '(?is)<nav\\b.*?</nav\\s*>|<header\\b.*?</header\\s*>'), '') else html end as bars from pages),
+ l as (select page_id, site, regexp_replace(regexp_replace(h, '[?#].*$', ''), '/+$', '') as path, h, k from (select page_id, site, unnest(regexp_extract_all(bars, '(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>.*?</a>', 1)) as h, generate_subscripts(regexp_extract_all(bars, '(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>.*?</a>', 1), 1) as k from z)),
+ n as (select page_id, string_agg(path, ' ' order by k) as nav, max(len(path) - len(replace(path, '/', ''))) as depth from (select page_id, path, min(k) as k from l group by all) group by page_id)
+ select page_id, coalesce(nav, '') as nav, cast(coalesce(depth, 0) as int) as nav_depth, cast(len(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref="[^"]*"[^>]*>.*?</a>')) as int) as links, {_SIGNS}, case when regexp_matches(html, '(?i)<main\\b') then 'main' when regexp_matches(html, '(?i)<article\\b') then 'article' end as main_selector from z left join n using (page_id)""")
+def page_probe(spark, sf_dir):
+    """What every page as it stands says of its site: contents of its bars, links, signs and where its text is."""
+    r = probe.probes(read(spark, sf_dir, "pages"))
+    return r.select("page_id", F.array_join(F.transform("nav", lambda x: x["url"]), " ").alias("nav"), "nav_depth", "links", *rules.PAGE_SIGNS, "main_selector")
+
+
 _SITE = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 

@@ -125,6 +125,22 @@ FRAMEWORKS = {
 HYDRATION = [r"window\.__INITIAL_STATE__", r"window\.__PRELOADED_STATE__", r"window\.__APP_STATE__", r"hydrate\(", r"createRoot\(", r"ReactDOM\.render"]
 NOSCRIPT = ["<noscript>.*?(?:enable|requires?|need).*?javascript.*?</noscript>", "<noscript>.*?(?:browser|support).*?javascript.*?</noscript>"]
 BUNDLES = [r"src=[\"'][^\"']*(?:bundle|main|app|vendor|chunk)\.[a-f0-9]+\.js", r"src=[\"'][^\"']*webpack", r"src=[\"'][^\"']*\.chunk\.js"]
+# Marks of what a page offers, and of where its text is, the first that occurs.
+PAGE_SIGNS = {
+    "login": ["/login", "/signin", "/sign-in", "/auth", "/account", "/portal", "/my-account", "/customer", r"<input\b[^>]*\btype\s*=\s*[\"']password[\"']"],
+    "search": ["/search", "search-results", "q=", r"<input\b[^>]*\btype\s*=\s*[\"']search[\"']", r"<form\b[^>]*\brole\s*=\s*[\"']search[\"']"],
+    "cookie_banner": ["cookie-consent", "cookie-banner", "cookie-notice", "cookie-policy", "gdpr", "cc-window", "cc-banner", "onetrust", "cookiebot", "privacy-banner", "consent-banner", "accept-cookies"],
+    "lazy_images": ["lazyload", "lazy-load", r"<[^>]*\sdata-src\s*=", r"<img\b[^>]*\bloading\s*=\s*[\"']lazy[\"']"],
+    "endless": ["infinite.?scroll", "load.?more", "pagination"],
+}
+MAIN_MARKS = {
+    "main": r"<main\b",
+    "article": r"<article\b",
+    '[role="main"]': r"<[^>]*\brole\s*=\s*[\"']main[\"']",
+    "#content": r"<[^>]*\bid\s*=\s*[\"']content[\"']",
+    ".content": r"<[^>]*\bclass\s*=\s*[\"']([^\"']*\s)?content(\s[^\"']*)?[\"']",
+    "#main": r"<[^>]*\bid\s*=\s*[\"']main[\"']",
+}
 TECHNOLOGIES = {
     "react": ["react", "_react", "__NEXT_DATA__", "data-reactroot"], "vue": ["vue", "__vue__", "data-v-[a-f0-9]"], "angular": ["ng-version", "ng-app", "angular", "<app-root"],
     "next.js": ["__NEXT_DATA__", "_next/static"], "nuxt": ["__NUXT__", "_nuxt/"], "wordpress": ["wp-content", "wp-includes", "wordpress"], "drupal": ["drupal", "/sites/default/"],
