@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heron.exprs import Registry, sql_match
+from heron.exprs import Registry, quoted, sql_match
 from heron import rules
-from heron.functions import containers, probe
+from heron.functions import containers, hints, html, probe
+from heron.functions import urls as U
 from heron.plans import links, robots
 from heron.plans.access import read
 from heron.session import folder
@@ -36,6 +37,32 @@ def asset_pages(spark, sf_dir):
     return containers.pages_of(held, ["url"])
 
 
+#: What to look for, in the words of the pages.
+WORDS = {"articles": (["/the$", "/der$"], ["^die$"], "high", 1), "joining": (["/an"], ["^und$", "^et$"], "medium", 2), "rest": (["zebra"], ["que", "thth"], "low", 1)}
+
+
+def _sql_hints() -> str:
+    out = []
+    for k, (us, ts, _, _) in enumerate(WORDS.values()):
+        cases = [f"when regexp_matches(lower(url), {quoted(p)}) then {quoted(f"URL pattern '{p}' matched: ")} || url" for p in us] + [f"when regexp_matches(lower(text), {quoted(p)}) then {quoted(f"Link text matched '{p}': ")} || text" for p in ts]
+        out.append(f"select page_id, sub, pos, {k} as rank, case {' '.join(cases)} end as reason from l")
+    return " union all ".join(out)
+
+
+_PAGE_TEXT = " union all ".join(f"select page_id, {k} as rank, case {' '.join(f'when regexp_matches(lower(text), {quoted(p)}) then {quoted(chr(80) + f"age text contains {chr(39)}{p}{chr(39)}")}' for p in ts)} end as reason from x" for k, (_, ts, _, _) in enumerate(WORDS.values()))
+
+
+@R.add("page_hints", f"""with l as (select page_id, url, text, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as sub, row_number() over () as pos from {links.LINKS}), x as (select page_id, {html.SQL_VISIBLE} as text from pages),
+ b as (select page_id, sub, min(struct_pack(rank := rank, pos := pos, reason := reason)) as b from ({_sql_hints()}) where reason is not null and sub <> '' group by all),
+ a as (select page_id, sub as subtree, b.rank as rank, b.reason as reason from b union all select page_id, '', rank, reason from ({_PAGE_TEXT}) t where reason is not null and (page_id, rank) not in (select (page_id, b.rank) from b))
+ select page_id, [{', '.join(map(quoted, WORDS))}][rank + 1] as feature, subtree, [{', '.join(quoted(p) for _, _, p, _ in WORDS.values())}][rank + 1] as priority, cast(case when subtree = '' then 0 else [{', '.join(str(b) for *_, b in WORDS.values())}][rank + 1] end as int) as depth_boost, reason from a""")
+def page_hints(spark, sf_dir):
+    """Subtrees of every page that a crawl should look into, and why; features that only the text speaks of have none."""
+    found = links.links(spark, sf_dir).withColumn("path", U.path(F.col("url")))
+    texts = read(spark, sf_dir, "pages").select("page_id", html.visible(F.col("html")).alias("text"))
+    return hints.hints(found, texts, WORDS)
+
+
 _ROOT = "replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '')"
 _SIGNS = ", ".join(f"{sql_match('lower(html)', marks, '(?s)')} as {sign}" for sign, marks in rules.PAGE_SIGNS.items())
 
