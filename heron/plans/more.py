@@ -119,8 +119,13 @@ def page_buckets(spark, sf_dir):
 @R.add("enriched_pages")
 def enriched_pages(spark, sf_dir):
     """Everything the text functions say of a text, as one record a document."""
+    return enriched(spark, sf_dir, "doc_id")
+
+
+def enriched(spark, sf_dir, *keys: str):
+    """keys of each document with its record."""
     t = F.col("text")
-    return told(spark, sf_dir).select("doc_id", T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
+    return told(spark, sf_dir, *(k for k in keys if k != "doc_id")).select(*keys, T.money(t).alias("money"), T.dates(t).alias("dates"), T.locations(t).alias("locations"), T.keyword_groups(t).alias("keywords"), T.urgency(t).alias("urgency"), T.sentiment(t).alias("sentiment"), T.audience(t).alias("audience"))
 
 
 _MATCHES = " + ".join(f"len(regexp_extract_all(text, {quoted('(?i)' + p)}))" for p, _ in rules.MONEY)
@@ -132,9 +137,8 @@ _URGENT = " or ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in rules
 @R.add("enriched_summary", f"select source, count(*) as pages, sum({_MATCHES})::bigint as amounts, sum({_DATED})::bigint as dates, count(*) filter (where {_URGENT}) as urgent, sum({_GROUPED})::bigint as groups from {TOLD} t join (select doc_id, source from documents) d using (doc_id) group by source")
 def enriched_summary(spark, sf_dir):
     """Amounts, dates, urgent pages and pay groups of each source."""
-    e = enriched_pages(spark, sf_dir).select("doc_id", F.size("money").alias("money"), F.size("dates").alias("dates"), (F.size("urgency") > 0).alias("urgent"), F.size(F.map_keys("keywords")).alias("groups"))
-    by = e.join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source")
-    return by.agg(F.count(F.lit(1)).alias("pages"), F.sum("money").alias("amounts"), F.sum("dates").alias("dates"), F.count_if("urgent").alias("urgent"), F.sum("groups").alias("groups"))
+    e = enriched(spark, sf_dir, "source").select("source", F.size("money").alias("money"), F.size("dates").alias("dates"), (F.size("urgency") > 0).alias("urgent"), F.size(F.map_keys("keywords")).alias("groups"))
+    return e.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("money").alias("amounts"), F.sum("dates").alias("dates"), F.count_if("urgent").alias("urgent"), F.sum("groups").alias("groups"))
 
 
 PLAYBOOKS = "(values ('acme.com', 'js'), ('www.b.org', 'visible')) as t(domain, max_strategy)"

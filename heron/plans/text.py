@@ -34,10 +34,10 @@ SENTENCES_TOLD = re.findall(r"\(\d, '([^']*)'\)", SAMPLES)
 TOLD = "(select doc_id, coalesce(text, '') || chr(10) || case doc_id % 6 " + " ".join(f"when {k} then {quoted(t)}" for k, t in enumerate(SENTENCES_TOLD)) + " end as text from documents)"
 
 
-def told(spark, sf_dir):
-    """doc_id, text: every whole document, with one of the six sentences after it, as the invented prose names no pay, dates or places."""
+def told(spark, sf_dir, *more: str):
+    """doc_id, text and `more` columns: every whole document, with one of the six sentences after it, as the invented prose names no pay, dates or places."""
     sentence = F.element_at(F.array(*map(F.lit, SENTENCES_TOLD)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"), *more)
 
 
 W = r"[\p{L}\p{N}_]"
@@ -285,15 +285,20 @@ SQL_GRADES = f"""with d as (select row_number() over () as row, doc_id, text fro
 @R.add("text_grades_all", SQL_GRADES)
 def text_grades_all(spark, sf_dir):
     """All three grades and their mean, of documents as the texts extracted from pages four times as long."""
+    return graded(spark, sf_dir, "doc_id")
+
+
+def graded(spark, sf_dir, *keys: str):
+    """keys of each document with its grades and their mean."""
     t = F.col("text")
-    graded = documents(spark, sf_dir).select("doc_id", T.completeness(F.concat(t, t, t, t), t).alias("completeness"), T.precision(t, F.lit(0.2)).alias("precision"), T.structure(t).alias("structure"))
+    graded = documents(spark, sf_dir).select(*keys, T.completeness(F.concat(t, t, t, t), t).alias("completeness"), T.precision(t, F.lit(0.2)).alias("precision"), T.structure(t).alias("structure"))
     return graded.withColumn("average", F.bround((F.col("completeness") + F.col("precision") + F.col("structure")) / 3, 2))
 
 
 @R.add("grades_by_source", f"select source, count(*) as documents, round_even(avg(completeness), 3) as completeness, round_even(avg(precision), 3) as precision, round_even(avg(structure), 3) as structure, count(*) filter (where average < 3) as weak from ({SQL_GRADES}) join (select doc_id, source from documents) using (doc_id) group by source")
 def grades_by_source(spark, sf_dir):
     """Mean grades of each source, and how many of its documents are weak."""
-    g = text_grades_all(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    g = graded(spark, sf_dir, "source")
     mean = lambda c: F.bround(F.avg(c), 3).alias(c)
     return g.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), mean("completeness"), mean("precision"), mean("structure"), F.count_if(F.col("average") < 3).alias("weak"))
 
