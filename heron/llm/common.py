@@ -112,6 +112,15 @@ def discard_since(spark: SparkSession, point: int = 0, keep: DataFrame | None =
     _delete(spark, [p for p in _written[point:] if keep is None or p != keep._heron_path])
 
 
+def release(spark: SparkSession) -> None:
+    """Has the executors give back the heap that earlier work grew, before work whose memory is Python's.
+
+    A collector keeps what it has grown to; a full collection shrinks it. One short task a core.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z only. The fast branch is taken where lower() can change nothing else."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
