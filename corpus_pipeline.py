@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heron.llm import toxicity
 from heron.llm.bpe import digests
-from heron.llm.common import discard, discard_since, mark, stored, table
+from heron.llm.common import discard, discard_since, mark, release, stored, table
 from heron.llm.decontaminate import clean
 from heron.llm.exact_dedup import keep_one
 from heron.llm.minhash import keep_first
@@ -27,16 +27,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; texts without words and null ids stay."""
+    release(spark)
     return keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of any benchmark item; texts without words stay, and so do all if there is no item."""
+    release(spark)
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every text with digests of them and of the decoded text; null counts as empty."""
+    release(spark)
     return digests(docs, tokenizer_path(), tokens=True, lean=True)
 
 
