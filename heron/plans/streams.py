@@ -30,6 +30,16 @@ def stream_probe_cache(spark, sf_dir):
     return telemetry.drain(caches.probe_lookups(telemetry.events(caches.session(spark), sf_dir)), _folder(spark))
 
 
+@R.add("stream_failure_runs", """with e as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events),
+ s as (select *, sum(case when before is null or ts - before > interval 1 day then 1 else 0 end) over (partition by user_id order by ts, event_id) as run from e),
+ g as (select *, sum(cast(value >= 30 as int)) over (partition by user_id, run order by ts, event_id) as good from s),
+ f as (select event_id, user_id, count(*) filter (where not value >= 30) over (partition by user_id, run, good order by ts, event_id rows between unbounded preceding and current row) as failures from g)
+ select event_id, user_id, failures, failures >= 2 as requeue from f""")
+def stream_failure_runs(spark, sf_dir):
+    """Failures in a row up to each attempt, forgotten a day after the last one."""
+    return telemetry.drain(caches.failure_runs(telemetry.events(caches.session(spark), sf_dir), caches.DAY), _folder(spark))
+
+
 def failures(events):
     """domain, at, reason, tried, tier of failed attempts."""
     return events.filter("value < 20").select(F.concat(F.lit("d"), F.col("user_id").cast("string"), F.lit(".org")).alias("domain"), F.col("ts").cast("timestamp").alias("at"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("reason"), F.array("event_type").alias("tried"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(2).alias("tier"))

@@ -22,6 +22,7 @@ from heron.session import ship
 
 DAY = 86_400_000_000
 LOOKED = "user_id long, event_id long, cached string, failed string, hit boolean"
+RUNS = "user_id long, event_id long, failures long, requeue boolean"
 PROBED = "user_id long, event_id long, fetched boolean, fetched_at long"
 _KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 
@@ -110,6 +111,23 @@ class Probes(Forgetful):
         return held, (fetched, held[0])
 
 
+class Failures(Forgetful):
+    """Failures in a row up to each attempt; a domain that is not heard of for the time to live begins anew."""
+
+    schema, output = "run long, updated long", RUNS
+
+    def __init__(self, ttl: int, success_from: float, requeue_at: int) -> None:
+        self.ttl, self.success_from, self.requeue_at = ttl, success_from, requeue_at
+
+    def until(self, held: tuple) -> int:
+        return held[1] + self.ttl + 1
+
+    def answer(self, held: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        run, updated = held or (0, row[3])
+        run = 0 if row[2] is not None and row[2] >= self.success_from else run + 1
+        return (run, max(updated, row[3])), (run, run >= self.requeue_at)
+
+
 def _run(stream: DataFrame, processor: Forgetful, late: str) -> DataFrame:
     ship(stream.sparkSession)
     rows = stream.select("user_id", "event_id", "event_type", "value", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
@@ -124,3 +142,8 @@ def strategy_lookups(stream: DataFrame, ttl: int = 30 * DAY, success_from: float
 def probe_lookups(stream: DataFrame, ttl: int = 7 * DAY, error_ttl: int = DAY, error_below: float = 20, late: str = "1 day") -> DataFrame:
     """Whether each request of a site's probe has to be fetched anew, and when what it gets was fetched."""
     return _run(stream, Probes(ttl, error_ttl, error_below), late)
+
+
+def failure_runs(stream: DataFrame, ttl: int = 30 * DAY, success_from: float = 30, requeue_at: int = 2, late: str = "1 day") -> DataFrame:
+    """Failures in a row up to each attempt, and whether the domain goes back to the queue."""
+    return _run(stream, Failures(ttl, success_from, requeue_at), late)

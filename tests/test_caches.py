@@ -38,6 +38,17 @@ def plain_probes(rows, ttl, error_ttl):
     return out
 
 
+def plain_runs(rows, ttl):
+    held, out = {}, {}
+    for user, event, _, value, ts in sorted(rows, key=lambda r: (r[4], r[1])):
+        run, at_ = held.get(user, (0, ts))
+        run = 0 if ts - at_ > ttl else run
+        run = 0 if value is not None and value >= 30 else run + 1
+        held[user] = run, ts
+        out[event] = run, run >= 2
+    return out
+
+
 def streamed(spark, tmp_path, rows, make):
     """Runs rows, a file a day, in order; the result, and how many keys the state held after each batch."""
     own = caches.session(spark)
@@ -62,12 +73,15 @@ def visits():
     return rows
 
 
-@pytest.mark.parametrize("kind", ["strategies", "probes"])
+@pytest.mark.parametrize("kind", ["strategies", "probes", "runs"])
 def test_cache(spark, tmp_path, kind):
     rows, day = visits(), datetime.timedelta(days=1)
     if kind == "strategies":
         out, held = streamed(spark, tmp_path, rows, lambda s: caches.strategy_lookups(s, 2 * caches.DAY, late="1 hour"))
         assert {r["event_id"]: (r["cached"], r["failed"], r["hit"]) for r in out} == plain_strategies(rows, 2 * day)
+    elif kind == "runs":
+        out, held = streamed(spark, tmp_path, rows, lambda s: caches.failure_runs(s, 2 * caches.DAY, late="1 hour"))
+        assert {r["event_id"]: (r["failures"], r["requeue"]) for r in out} == plain_runs(rows, 2 * day)
     else:
         out, held = streamed(spark, tmp_path, rows, lambda s: caches.probe_lookups(s, 3 * caches.DAY, caches.DAY, late="1 hour"))
         assert {r["event_id"]: (r["fetched"], r["fetched_at"]) for r in out} == plain_probes(rows, 3 * day, day)
