@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heron import rules
 from heron.exprs import any_contained, any_match, contained, labels_where
 from heron.functions.html import visible
+from heron.functions.spans import bound
 
 
 def js_required(html: Column, words: Column | None = None) -> Column:
@@ -27,9 +28,13 @@ def js_required(html: Column, words: Column | None = None) -> Column:
     ]
     if words is not None:
         found.append(("low_extracted_words", (words < 100) & (F.length(html) > 5000)))
-    signals = labels_where(found)
-    framework = F.coalesce(*(F.when(c, name) for (_, c), name in zip(frameworks, rules.FRAMEWORKS, strict=True)))
-    return F.transform(F.array(F.struct(signals.alias("s"), framework.alias("f"))), _js_verdict)[0]
+    mark = "framework:"  # each pattern is run once: the framework is read from the signals
+
+    def judged(signals: Column) -> Column:
+        first = F.get(F.filter(signals, lambda x: x.startswith(mark)), F.lit(0))
+        return F.transform(F.array(F.struct(signals.alias("s"), F.substring(first, len(mark) + 1, 99).alias("f"))), _js_verdict)[0]
+
+    return bound(labels_where(found), judged)
 
 
 def _js_verdict(x: Column) -> Column:

@@ -83,8 +83,7 @@ def product(v: Column) -> Column:
 
 def sitemap_urls(maps: DataFrame, most: int = 10000) -> DataFrame:
     """source, loc, lastmod, changefreq, priority of urlset documents (source, xml), with or without a namespace; most a document."""
-    x = F.regexp_replace("xml", r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    parsed = F.from_xml(x, "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>")
+    parsed = F.from_xml("xml", "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>", {"ignoreNamespace": "true"})
     rows = maps.select("source", F.posexplode(parsed["url"]).alias("pos", "u")).filter((F.col("pos") < most) & (F.trim("u.loc") != ""))
     return rows.select("source", F.trim("u.loc").alias("loc"), lastmod(F.col("u.lastmod")).alias("lastmod"), F.trim("u.changefreq").alias("changefreq"), F.expr("try_cast(u.priority as double)").alias("priority"))
 

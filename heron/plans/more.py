@@ -41,7 +41,7 @@ def product_coverage(spark, sf_dir):
 
 @R.add("frontier", f"select canonical, min(ofs) as ofs from (select lower(authority) || path as canonical, page_id as ofs from {P} where not regexp_matches(path, '^/de/') union all select lower(authority) || path, page_id + 100000 from {P}) group by canonical order by ofs, canonical limit 50")
 def frontier(spark, sf_dir):
-    """Start pages before discovered ones, each address once in order of first sight, robots rules applied, fifty at most."""
+    """Start pages before discovered ones, each address once in order of first sight, fifty at most in all; crawl_frontier goes by site and robots rules."""
     u = F.col("url")
     all_ = pages(spark, sf_dir).select(F.concat(F.lower(urls.part(u, "AUTHORITY")), urls.path(u)).alias("canonical"), urls.path(u).alias("p"), "page_id")
     start = all_.filter(~F.col("p").rlike("^/de/")).select("canonical", F.col("page_id").alias("ofs"))

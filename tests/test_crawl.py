@@ -62,6 +62,13 @@ def test_nested_site_maps(spark):
     assert sitemaps.reached(m, roots.limit(0)).collect() == []
 
 
+def test_prefixed_maps(spark):
+    sm = 'xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    maps = [("i", f"<sm:sitemapindex {sm}><sm:sitemap><sm:loc> m </sm:loc></sm:sitemap></sm:sitemapindex>"), ("m", f"<sm:urlset {sm}><sm:url><sm:loc>u</sm:loc><sm:priority>0.5</sm:priority></sm:url></sm:urlset>")]
+    m = spark.createDataFrame(maps, "source string, xml string")
+    assert [(x["root"], x["loc"], x["depth"]) for x in sitemaps.all_urls(m, m.select("source").filter("source = 'i'")).collect()] == [("i", "u", 1)]
+
+
 @pytest.mark.parametrize("ranges", [1, 7, None])
 def test_running_sums(spark, ranges):
     r = random.Random(4)
