@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heron.exprs import Registry, quoted, sql_match
 from heron import rules
-from heron.functions import containers, hints, html, probe
+from heron.functions import containers, features, hints, html, probe
 from heron.functions import urls as U
 from heron.plans import links, robots
 from heron.plans.access import read
@@ -114,3 +114,28 @@ def stream_freshness(spark, sf_dir):
     out = telemetry.freshness(stream("due", "user_id long, event_id long, due_at timestamp"), stream("crawls", "user_id long, crawled_at timestamp"))
     rows = telemetry.drain(out, path).filter("event_id >= 0")
     return rows.groupBy("event_id", "user_id").agg(F.count("crawled_at").alias("crawls"), (F.count("crawled_at") > 0).alias("skipped"))
+
+
+#: Kinds of links in the words of the pages, and a form at the end of each page, by its length: to sign in, to ask, one with nothing to see.
+OFFERS = {"articles": ["/the$", "/der$", "^die$"], "joining": ["/and", "^et$"]}
+FORMS = ['<form action="/account"><input name="p" type="password"></form>', '<form method="post" action="/get-quote"><input name="q"><select name="w"></select></form><script>fetch("/api/v2/rates")</script>', '<form action="/search"><input type="hidden" name="t"></form> Sign in with Google, Salesforce']
+_OFFERED = f"(select page_id, url, html || [{', '.join(map(quoted, FORMS))}][length(html) % 3 + 1] as html from pages)"
+
+
+def _sql_offers() -> str:
+    tags = "(?is)<a\\b[^>]*\\bhref=\"[^\"]*\"[^>]*>.*?</a>"
+    link = f"(select page_id, lower(regexp_extract(t, '(?i)\\bhref=\"([^\"]*)\"', 1)) as h, lower(trim(regexp_replace(regexp_replace(regexp_extract(t, '(?s)^<[^>]*>(.*)</[aA]>$', 1), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) as x from (select page_id, unnest(regexp_extract_all(html, '{tags}')) as t from o))"
+    out = [f"select page_id, 'portal' as category, {quoted(k)} as feature_type from {link} where {sql_match('h', ps)} or {sql_match('x', ps)}" for k, ps in OFFERS.items()]
+    out += ["select page_id, 'form', 'login' from o where contains(html, 'type=\"password\"')", "select page_id, 'form', 'quote' from o where contains(html, '/get-quote')", "select page_id, 'api', 'endpoint' from o where contains(html, '/api/v2/')"]
+    out += [f"select page_id, 'integration', 'oauth' from v where regexp_matches(text, {quoted('(?s)' + p)})" for p in rules.OAUTH.values()]
+    out += [f"select page_id, 'integration', {quoted('tms' if 'TM' in n or 'Software' in n else 'platform')} from v where regexp_matches(text, {quoted(p)}) or regexp_matches(low, {quoted(p)})" for n, p in rules.INTEGRATIONS.items()]
+    return " union all ".join(out)
+
+
+@R.add("site_features", f"with o as {_OFFERED}, v as (select page_id, lower(html) as low, lower({html.SQL_VISIBLE}) as text from o), f as ({_sql_offers()}) select regexp_extract(url, '^https?://([^/?#]+)', 1) as site, category, feature_type, count(*) as found, count(distinct page_id) as pages from f join pages using (page_id) group by all")
+def site_features(spark, sf_dir):
+    """What each site offers: features found and pages that show them."""
+    page = read(spark, sf_dir, "pages")
+    offered = page.select("page_id", F.concat("html", F.element_at(F.array(*map(F.lit, FORMS)), F.length("html") % 3 + 1)).alias("html"))
+    site = page.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"))
+    return features.features(offered, OFFERS).join(site, "page_id").groupBy("site", "category", "feature_type").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("page_id").alias("pages"))
