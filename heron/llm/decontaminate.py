@@ -13,7 +13,7 @@ Cases: null and empty texts have no words and no hits. An item of fewer words th
 window of its own; an item without words is none. Repeated documents and items count like any other
 (rows that repeat both doc_id and text give equal rows). An empty benchmark leaves all documents
 clean; empty documents give no rows. Null ids are kept and matched like others; a null item_id is
-not listed among items. Extra columns are ignored.
+not listed among items. Very long texts are read whole, a posting a term. Extra columns are ignored.
 """
 
 from __future__ import annotations

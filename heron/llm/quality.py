@@ -5,7 +5,8 @@ character classes, word lengths and repeated words; gated attention weighs the p
 weighted sum is scored. Encoder, attention and scorer are trained together on document labels
 (numpy, full batches, Adam, fixed seed), on a bounded labelled sample.
 
-Cases: null counts as empty; an empty text is one empty passage and is scored like any other.
+Cases: null counts as empty; an empty text is one empty passage and is scored like any other. Very
+long texts are all of their passages, in pieces of a batch.
 Without labels, or with one label only, every score is the share of label 1 (0.5 without labels).
 Repeated rows give equal rows; null ids are kept and never held out; an empty table gives no rows;
 extra columns are ignored.
