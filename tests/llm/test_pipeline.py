@@ -73,7 +73,7 @@ def test_stages_of_repeated_and_long_rows(spark, sf_dir):
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if re.match(r"op\d", k)} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if re.match(r"op\d", k)} and "pipeline" in found
 
 
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op3_chat_formatting", "op5_warc_fixity", "op8_decontamination"])
