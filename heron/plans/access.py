@@ -98,8 +98,10 @@ SNAP = "(select user_id, cast(ts as date) as day, sum(value) as words, count(*)
  case when not was_blocked and blocked then 'new_block:high' when was_blocked and not blocked then 'block_resolved:low' end], lambda x: x is not null), ',') as alerts from (select *, case when was > 0 then (words - was) / was end as change from (select *, lag(words) over w as was, lag(strategy) over w as was_strategy, lag(blocked) over w as was_blocked from {SNAP} window w as (partition by user_id order by day)) where was_strategy is not null)""")
 def drift(spark, sf_dir):
     """Daily snapshots of each domain against the one before; a change from nothing is null."""
-    e = read(spark, sf_dir, "events")
-    snap = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("words"), F.count(F.lit(1)).alias("pages"), F.max("event_type").alias("strategy"), (F.max("value") < 60).alias("blocked"))
+    # sums of doubles hang on their order: each is taken in order of event_id, however the rows are dealt
+    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).select("user_id", "day", "event_id", "value", "event_type")
+    e = e.repartition("user_id", "day").sortWithinPartitions("user_id", "day", "event_id", "value")
+    snap = e.groupBy("user_id", "day").agg(F.sum("value").alias("words"), F.count(F.lit(1)).alias("pages"), F.max("event_type").alias("strategy"), (F.max("value") < 60).alias("blocked"))
     w = Window.partitionBy("user_id").orderBy("day")
     both = snap.withColumns({"was": F.lag("words").over(w), "was_strategy": F.lag("strategy").over(w), "was_blocked": F.lag("blocked").over(w)}).filter("was_strategy is not null")
     both = both.withColumn("change", F.when(F.col("was") > 0, (F.col("words") - F.col("was")) / F.col("was")))
