@@ -11,6 +11,7 @@ other way, its longest later one. A window repeats if one of them reaches SPAN.
 Anchors with very many different contexts (a common line in many surroundings) aren't compared at
 once: their windows are dealt by what lies left and right of the anchor within narrower and
 narrower ranges of offsets, until few enough meet or, at width one, whole windows are equal.
+After each dealing, contexts that are equal within their range are folded again.
 
 keep="none" removes every byte of a string that starts anywhere else; keep="first" leaves the first
 place (by doc_id, hash of text, offset) and removes later copies.
@@ -197,22 +198,31 @@ def _narrowed(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.mapInArrow(run, CONTEXT)
 
 
+def _folded(narrowed: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    """Contexts (as CONTEXT) of which those of one key with the same windows are one, and the ranges that this finds to repeat.
+
+    narrowed is stored and has c besides, the hash of all bytes of its windows.
+    """
+    start = (F.col("lo") + F.col("frm")).alias("start")
+    groups = narrowed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("cnt"), F.sum("cnt").alias("copies"), F.min(F.struct("doc_id", "text_key", start, "lo", "anchor", "frm", "to", "body")).alias("first"))
+    groups = stored(groups, "folded")
+    again = groups.filter("cnt > 1").select("key", "c", "cnt", F.struct("first.doc_id", "first.text_key", "first.start").alias("first"))
+    total = groups.agg(F.sum("cnt")).first()[0] or 0
+    met = skew_join(narrowed.select("key", "c", "doc_id", "text_key", "lo", "frm", "to", F.col("cnt").alias("copies")), again, ["key", "c"], total)
+    chosen = (F.col("copies") == 1) if keep == "none" else (F.struct("doc_id", "text_key", start) != F.col("first"))
+    ranges = met.filter(chosen).select("doc_id", "text_key", (F.col("lo") + F.col("frm")).alias("s"), (F.col("lo") + F.col("to") + SPAN).alias("e"))
+    one = groups.select("key", "first.doc_id", "first.text_key", "first.lo", "first.anchor", F.col("copies").alias("cnt"), "first.frm", "first.to", "first.body")
+    return one, ranges
+
+
 def _compared(contexts: DataFrame, keep: str) -> DataFrame:
     """Ranges of contexts (as CONTEXT) whose windows repeat in another context of the same key."""
     out = None
-    for width in (*WIDTHS, 0):
+    for width in WIDTHS:
         counts = stored(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
         total = counts.agg(F.sum("n")).first()[0] or 0
         few = counts.filter(f"n between 2 and {TOGETHER}")
         many = counts.filter(f"n > {TOGETHER}").select("key", F.col("n").alias("m"))
-        if not width:  # keys are whole windows now
-            first = F.struct("doc_id", "text_key", F.col("lo") + F.col("frm"))
-            firsts = contexts.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
-            firsts = stored(firsts, "firsts")
-            met = skew_join(contexts.select("key", "doc_id", "text_key", "lo", "frm", F.col("cnt").alias("copies")), firsts, ["key"], total)
-            chosen = (F.col("copies") == 1) if keep == "none" else (first != F.col("first"))
-            ranges = met.filter(chosen).select("doc_id", "text_key", (F.col("lo") + F.col("frm")).alias("s"), (F.col("lo") + F.col("frm") + SPAN).alias("e"))
-            return out.unionByName(ranges) if out is not None else ranges
         buckets = max(1, total // BUCKET)
         some = contexts.join(few.select("key"), "key", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
         ranges = some.groupBy("bucket").applyInArrow(lambda part: _bucket(keep)(part), RANGES)
@@ -220,8 +230,11 @@ def _compared(contexts: DataFrame, keep: str) -> DataFrame:
         if many.isEmpty():
             return out
         held = skew_join(contexts.withColumnRenamed("cnt", "copies"), many.select("key", F.col("m").alias("cnt")), ["key"], total).drop("cnt").withColumnRenamed("copies", "cnt")
-        contexts = stored(_narrowed(held.select(*contexts.columns), width), "narrowed")
-    raise AssertionError
+        narrowed = _narrowed(held.select(*contexts.columns), width).withColumn("c", F.sha2(F.substring(F.col("body"), F.col("frm") + 1, F.col("to") - F.col("frm") + SPAN), 256))
+        # windows within a common passage are folded here, by ranges of offsets rather than one by one
+        contexts, ranges = _folded(stored(narrowed, "narrowed"), keep)
+        out = out.unionByName(ranges)
+    return out  # keys are whole windows now, and equal ones are folded
 
 
 def repeated_ranges(keyed: DataFrame, keep: str = "none") -> DataFrame:

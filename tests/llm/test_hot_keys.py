@@ -53,6 +53,22 @@ def test_repeats_of_a_hot_line(spark, low, monkeypatch):
     assert [out[i] for i in range(len(texts))] == brute_repeats(texts, "none")
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_windows_within_a_hot_passage_are_folded_by_ranges(spark, low, monkeypatch, keep):
+    """Not dealt out one by one: what a text in which the passage stands adds to the narrowest table doesn't grow with the passage."""
+    monkeypatch.setattr(repeats, "TOGETHER", 3)
+    seen, stored = [], repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, label="step": (seen.append((label, t := stored(df, label))), t)[1])
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = noise(330)
+    texts = [noise(90 + i) + passage + noise(60) for i in range(12)] + [noise(400)]
+    out = {x["doc_id"]: bytes(x["kept"]) for x in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS), keep).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_repeats(texts, keep)
+    dealt = [t.count() for label, t in seen if label == "narrowed"]
+    assert dealt and max(dealt) < 12 * 40
+
+
 def test_near_dedup_of_clusters_around_a_template(spark, monkeypatch):
     """Clusters that share a template lie in one group; those out of reach of each other are left out of the squares, chains of links are not lost."""
     r = random.Random(11)
