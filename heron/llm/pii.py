@@ -1,10 +1,10 @@
 """Personal data: fixed base patterns, and a linear-chain CRF over word shapes that adds spans.
 
 Base spans (email, ip, card, phone) are found leftmost and without overlap within a kind; a match
-that fails its check is dropped and not tried again. The CRF tags the words around every word that
-holds a digit or an at sign, also one in words: features are the shapes of a word and its neighbours and whether they
+that fails its check is dropped and not tried again. The CRF tags every word of
+a text: features are the shapes of a word and its neighbours and whether they
 are cue words; tags are begin and inside of the four kinds. It is trained on a small labelled table
-(maximum likelihood, fixed steps) and decoded by Viterbi in numpy over batches of sequences. Its
+(maximum likelihood, fixed steps) and decoded by Viterbi in numpy over all texts of a batch at once. Its
 spans are added where they overlap no base span.
 
 Cases: null counts as empty; empty texts have no spans. Offsets are code points, end exclusive.
@@ -132,6 +132,13 @@ the score was 3-2 at half time
 on 2021-05-17 at 10:30 we met
 about 75% of 300 cases
 it is @ home now
+they met at noon in town
+he sat at home and slept
+it was dark. At night he came
+look at the sea, at last
+the shop is open. At weekends, they rest
+not at all what the others said
+of the door. At first, nobody came
 prices rose 4.5 percent in 2020
 licensed under version 2.0 of the terms
 id 88213 was closed
@@ -141,24 +148,38 @@ CUES = {w: k for k, words in enumerate(("email mail e-mail write contact correo
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 BUCKETS = 4096
 STEPS, RATE, DECAY = 120, 0.3, 1e-3
-REACH = 3
 WORD = re.compile(r"\S+")
-#: What makes a word and those around it worth tagging.
-MARKED = re.compile(r"[0-9@]|[\[(]at[\])]|\barroba\b")
+#: Words of a part of a longer text, by how many words parts overlap, and words whose scores are held at once.
+LONG, MARGIN, TOGETHER = 4096, 256, 1 << 19
 
 
 #: Longer words are looked at anew each time, so that the table of known words stays small.
 KNOWN_WORD = 64
 
 
+CLASSES = str.maketrans({chr(c): "d" if chr(c).isdigit() else "X" if chr(c).isupper() else "x" for c in range(128) if chr(c).isalnum()})
+MARKS = set("@.:-()[]+/%,")
+
+
+def _hashes(named: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(int.from_bytes(hashlib.blake2b(f.encode(), digest_size=4).digest(), "little") for f in named)
+
+
+_known_hashes = lru_cache(100_000)(_hashes)
+
+
 def _shape(word: str) -> tuple[int, ...]:
     """Hashed features of one whole word: shape, short shape, digits, marks, cue."""
-    long = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
+    if word.isascii():
+        long = word.translate(CLASSES)
+        digits = long.count("d")
+    else:
+        long = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
+        digits = sum(c.isdigit() for c in word)
     short = re.sub(r"(.)\1+", r"\1", long)
-    digits = sum(c.isdigit() for c in word)
-    marks = "".join(sorted(set(word) & set("@.:-()[]+/%,")))
+    marks = "" if word.isalnum() else "".join(sorted(MARKS.intersection(word)))
     named = (f"l{long}" if digits else "l", f"s{short}", f"n{min(digits, 20)}", f"m{marks}", f"c{CUES.get(word.lower().strip(':,'), '')}")
-    return tuple(int.from_bytes(hashlib.blake2b(f.encode(), digest_size=4).digest(), "little") for f in named)
+    return _known_hashes(named) if len(word) <= KNOWN_WORD else _hashes(named)
 
 
 _known_shape = lru_cache(100_000)(_shape)
@@ -194,29 +215,61 @@ class Crf:
     emit: np.ndarray
     move: np.ndarray
 
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, tags) scores of the words of one text after another; an empty word stands for an edge."""
+        ids: dict[str, int] = {"": 0}
+        row = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
+        own = np.array([shape(w) if w else (0,) * (WIDE // 3) for w in ids], np.uint64)
+        by_place = [self.emit[((own * np.uint64(2 * k + 1) + np.uint64(977 * k)) % np.uint64(BUCKETS)).astype(np.int32)].sum(1) for k in range(3)]
+        f = by_place[0][row]
+        f[1:] += by_place[1][row[:-1]]
+        f[:-1] += by_place[2][row[1:]]
+        f[0] += by_place[1][0]
+        f[-1] += by_place[2][0]
+        return f
+
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi over all sequences at once, those of like length together."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for some in range(0, len(order), 256):
-            part = order[some : some + 256]
-            sizes = np.array([len(sequences[i]) for i in part])
-            f = np.zeros((len(part), sizes.max(), len(TAGS)))
-            for row, i in enumerate(part):
-                f[row, : sizes[row]] = self.emit[features(sequences[i])].sum(1)
-            best, back = f[:, 0], np.zeros(f.shape, np.int8)
-            for t in range(1, f.shape[1]):
-                through = best[:, :, None] + self.move[None]
-                back[:, t] = through.argmax(1)
-                best = np.where((t < sizes)[:, None], through.max(1) + f[:, t], best)
-            tag = best.argmax(1)
-            for row, i in enumerate(part):
-                path, k = np.empty(sizes[row], int), tag[row]
-                for t in range(sizes[row] - 1, -1, -1):
-                    path[t] = k
-                    k = back[row, t, k]
-                out[i] = path
-        return out
+        """The best tags of every whole sequence, by Viterbi over many at once.
+
+        Sequences of over LONG words are decoded in parts that overlap by MARGIN words on both sides, far
+        more than a best path needs to settle.
+        """
+        parts = [(i, max(0, a - MARGIN), a, min(len(s), a + LONG)) for i, s in enumerate(sequences) for a in range(0, len(s), LONG)]
+        tags: list[list[np.ndarray]] = [[] for _ in sequences]
+        at = 0
+        while at < len(parts):
+            to, n = at, 0
+            while to < len(parts) and (to == at or n + parts[to][3] - parts[to][1] <= TOGETHER):
+                n += parts[to][3] - parts[to][1]
+                to += 1
+            found = self._decode([sequences[i][lo : hi + MARGIN] for i, lo, _, hi in parts[at:to]])
+            for (i, lo, a, hi), t in zip(parts[at:to], found, strict=True):
+                tags[i].append(t[a - lo : hi - lo])
+            at = to
+        return [np.concatenate(t) if t else np.zeros(0, int) for t in tags]
+
+    def _decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        scores_of = self.emissions([w for s in sequences for w in (*s, "")])
+        sizes = np.array([len(s) for s in sequences])
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        order = np.argsort(-sizes, kind="stable")  # the sequences that still go on come first
+        start, size = begin[order], sizes[order]
+        left = np.searchsorted(-size, -np.arange(size[0]), "left")
+        back = np.zeros(scores_of.shape, np.int8)
+        best, into = scores_of[start], np.ascontiguousarray(self.move.T)
+        for t in range(1, len(left)):
+            n = left[t]
+            through = best[:n, None, :] + into
+            at = start[:n] + t
+            back[at] = k = through.argmax(2)
+            best[:n] = np.take_along_axis(through, k[:, :, None], 2)[:, :, 0] + scores_of[at]
+        tags, state = np.empty(len(scores_of), np.int8), best.argmax(1)
+        for t in range(len(left) - 1, -1, -1):
+            n = left[t]
+            at = start[:n] + t
+            tags[at] = state[:n]
+            state[:n] = back[at, state[:n]]
+        return [tags[a : a + n].astype(int) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -255,44 +308,19 @@ def trained() -> Crf:
     return Crf(emit, move)
 
 
-def sequences(text: str) -> list[list[tuple[str, int, int]]]:
-    """Runs of words (word, start, end) within REACH words of one with a digit or an at sign."""
-    out: list[list[tuple[str, int, int]]] = []
-    end = 0
-    while m := MARKED.search(text, end):
-        # a run begins REACH words back, in a stretch that grows until it holds them
-        back = 64
-        while True:
-            begin = max(end, m.start() - back)
-            before = [(x.group(), begin + x.start(), begin + x.end()) for x in WORD.finditer(text[begin : m.start()])]
-            if begin == end or len(before) > REACH + 1:
-                break
-            back *= 4
-        touching = bool(before) and before[-1][2] == m.start()
-        own = before[-1][1] if touching else m.start()
-        head = (before[:-1] if touching else before)[-REACH:]
-        if begin > end and head and head[0][1] == begin:
-            head = head[1:]
-        run, left = head, REACH + 1
-        for x in WORD.finditer(text, own):
-            run.append((x.group(), x.start(), x.end()))
-            left = REACH + 1 if MARKED.search(x.group()) else left - 1
-            if not left:
-                break
-        out.append(run)
-        end = run[-1][2]
-    return out
+def sequences(text: str) -> list[tuple[str, int, int]]:
+    """Every word of a text with its start and end."""
+    return [(x.group(), x.start(), x.end()) for x in WORD.finditer(text)]
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], crf: Crf) -> list[list[tuple[str, int, int]]]:
-    runs = [(i, run) for i, t in enumerate(texts) for run in sequences(t)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, run), tags in zip(runs, crf.decode([[w for w, _, _ in run] for _, run in runs]), strict=True):
-        t = 0
-        while t < len(run):
-            if tags[t] % 2 == 0:  # O, or inside without begin
-                t += 1
-                continue
+    for i, tags in enumerate(crf.decode([t.split() for t in texts])):  # split() parts at what WORD leaves out
+        begins = np.flatnonzero(tags % 2 == 1)
+        if not len(begins):
+            continue
+        run = sequences(texts[i])
+        for t in begins.tolist():
             kind, start, tag = TAGS[tags[t]][2:], run[t][1], tags[t]
             while t + 1 < len(run) and tags[t + 1] == tag + 1:
                 t += 1
@@ -300,7 +328,6 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], crf:
             stop = b - (len(word) - len(word.rstrip(".,;:!?")))
             if stop > start and all(stop <= x or start >= y for _, x, y in bases[i]):
                 out[i].append((kind, start, stop))
-            t += 1
     return out
 
 
@@ -317,12 +344,10 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in pieces(batches, 1):
-            for some in range(0, batch.num_rows, 256):
-                part = batch.slice(some, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                bases = [base_spans(t) for t in texts]
-                added = added_spans(texts, bases, crf)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(as_rows, bases), span), pa.array(map(as_rows, added), span)], ["doc_id", "base", "added"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            bases = [base_spans(t) for t in texts]
+            added = added_spans(texts, bases, crf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(as_rows, bases), span), pa.array(map(as_rows, added), span)], ["doc_id", "base", "added"])
 
     kind = "array<struct<kind:string,start:long,end:long>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base {kind}, added {kind}")

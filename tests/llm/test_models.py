@@ -164,3 +164,18 @@ def test_bpe_rows(spark, tokenizers_path):
     out = bpe.decode(bpe.encode(docs, tokenizers_path), tokenizers_path).collect()
     assert len(out) == len(ODD) and [r["tokens"] for r in out if not r["text"]] == [[], []]
     assert bpe.digests(docs.limit(0), tokenizers_path).count() == 0
+
+
+def test_crf_tags_every_word():
+    """Also where no digit or at sign is near, and like the plain decoder over parts of a long text."""
+    import numpy as np
+
+    crf = pii.trained()
+    texts = ["write to anna.lee at example dot com today", "the shop is open. At noon, they rest", "so it goes " * 3000 + "write to anna.lee at example dot com today"]
+    added = pii.added_spans(texts, [[], [], []], crf)
+    assert [texts[0][a:b] for _, a, b in added[0]] == ["anna.lee at example dot com"] and added[1] == []
+    assert [(k, texts[2][a:b]) for k, a, b in added[2]] == [("email", "anna.lee at example dot com")]
+    r = np.random.default_rng(3)
+    words = [str(w) for w in r.choice(["call", "(415)", "5", "x@y", "me", "at", "dot", "the"], 10000)]
+    parts, whole = crf.decode([words])[0], crf._decode([words])[0]
+    assert len(parts) == len(words) and np.array_equal(parts, whole)
