@@ -43,7 +43,8 @@ def any_match(subject: Column, patterns: Iterable[str], flags: str = "") -> Colu
 def argmax_label(counts: list[tuple[str, Column]], default: str) -> Column:
     """Label of the largest count, the first of equals; default if all are 0."""
     best = F.array_max(F.array(*(F.struct(c.alias("n"), F.lit(-i).alias("i"), F.lit(label).alias("label")) for i, (label, c) in enumerate(counts))))
-    return F.when(best["n"] == 0, F.lit(default)).otherwise(best["label"])
+    # counted once: the condition and its result would each do it
+    return F.transform(F.array(best), lambda b: F.when(b["n"] == 0, F.lit(default)).otherwise(b["label"]))[0]
 
 
 # The same in DuckDB SQL.

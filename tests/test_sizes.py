@@ -34,3 +34,34 @@ def test_grades_cut_sentences_once(spark, sf_dir):
     """A condition that repeats an expression computes it again."""
     plan = registry.QUERIES["text_grades_all"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[.!?]+") == 1
+
+
+def plan(spark, sf_dir, name):
+    return registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_enriched_pages_lowers_and_cuts_once(spark, sf_dir):
+    """What stands inside a lambda is computed again for each of its uses."""
+    said = plan(spark, sf_dir, "enriched_pages")
+    assert said.count("lower(text") <= 8 and said.count(r"(?U)(\w+)") == 1
+
+
+
+def test_names_under_their_letters(spark):
+    """Names tried letter by letter are found as one alternation finds them."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from heron import rules
+    from heron.functions import text as T
+
+    names = [*rules.STATES, "New", "Kan", "A"]
+    texts = ["In new \n york, KANSAS or west Virginia; virginia's WA", "Alabamax xAL AL", "ſouth Dakota, Kansas", "oklahoma ok", "newyork new mexico north\tdakota_ OHIO-IO", "", None, "A.AK é AL éAL"]
+    plain = r"(?iU)\b(" + "|".join(n.replace(" ", r"\s+") for n in names) + r")\b"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert T.one_of(names) != plain[5:] and re.search(r"\(\?=", T.one_of(names))
+    for a, b in df.select(F.regexp_extract_all("text", F.lit(plain), F.lit(1)), F.regexp_extract_all("text", F.lit(f"(?iU){T.one_of(names)}"), F.lit(1))).collect():
+        assert a == b
+    assert T.one_of(["a.b", "c"]) == r"\b(a.b|c)\b"
