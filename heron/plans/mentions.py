@@ -64,7 +64,7 @@ def enriched_documents(spark, sf_dir):
     t = F.col("text")
     joined = lambda c, f: F.array_join(F.transform(c, f), "|")
     keys = F.array_sort(F.transform(F.map_entries(T.keyword_groups(t)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))))
-    rows = P.told(spark, sf_dir).select("doc_id", joined(T.money(t), lambda m: F.concat(m["unit"], F.lit(":"), m["raw"])).alias("money"), joined(T.dates(t), lambda m: m["raw"]).alias("dates"), F.array_join(F.sort_array(T.locations(t)), "|").alias("locations"), F.array_join(keys, ";").alias("keywords"), F.array_join(T.urgency(t), "|").alias("urgency"), T.sentiment(t).alias("s"), T.audience(t).alias("audience"))
+    rows = P.told(spark, sf_dir).select("doc_id", joined(T.raws(t, rules.MONEY), lambda m: F.concat(m["unit"], F.lit(":"), m["raw"])).alias("money"), joined(T.raws(t, [(p, "date") for p in rules.DATES]), lambda m: m["raw"]).alias("dates"), F.array_join(F.sort_array(T.locations(t)), "|").alias("locations"), F.array_join(keys, ";").alias("keywords"), F.array_join(T.urgency(t), "|").alias("urgency"), T.sentiment(t).alias("s"), T.audience(t).alias("audience"))
     return rows.select("doc_id", "money", "dates", "locations", "keywords", "urgency", F.col("s.positive").cast("long").alias("positive"), F.col("s.negative").cast("long").alias("negative"), "s.tone", "audience")
 
 

@@ -40,6 +40,11 @@ def plan(spark, sf_dir, name):
     return registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_enriched_documents_asks_for_no_places(spark, sf_dir):
+    """A record of amounts and dates as written needs no pieces of text, and words are cut once."""
+    said = plan(spark, sf_dir, "enriched_documents")
+    assert "{1,4096}" not in said and said.count(r"(?U)(\w+)") == 1
+
 
 def test_enriched_pages_lowers_and_cuts_once(spark, sf_dir):
     """What stands inside a lambda is computed again for each of its uses."""
