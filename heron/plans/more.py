@@ -136,8 +136,9 @@ _URGENT = " or ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in rules
 
 @R.add("enriched_summary", f"select source, count(*) as pages, sum({_MATCHES})::bigint as amounts, sum({_DATED})::bigint as dates, count(*) filter (where {_URGENT}) as urgent, sum({_GROUPED})::bigint as groups from {TOLD} t join (select doc_id, source from documents) d using (doc_id) group by source")
 def enriched_summary(spark, sf_dir):
-    """Amounts, dates, urgent pages and pay groups of each source."""
-    e = enriched(spark, sf_dir, "source").select("source", F.size("money").alias("money"), F.size("dates").alias("dates"), (F.size("urgency") > 0).alias("urgent"), F.size(F.map_keys("keywords")).alias("groups"))
+    """Amounts, dates, urgent pages and pay groups of each source: counted, without places and contexts."""
+    t = F.col("text")
+    e = told(spark, sf_dir, "source").select("source", F.size(T.raws(t, rules.MONEY)).alias("money"), F.size(T.raws(t, [(p, "date") for p in rules.DATES])).alias("dates"), T.urgent(t).alias("urgent"), T.keyword_group_count(t).alias("groups"))
     return e.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("money").alias("amounts"), F.sum("dates").alias("dates"), F.count_if("urgent").alias("urgent"), F.sum("groups").alias("groups"))
 
 

@@ -52,6 +52,10 @@ def test_enriched_pages_lowers_and_cuts_once(spark, sf_dir):
     assert said.count("lower(text") <= 8 and said.count(r"(?U)(\w+)") == 1
 
 
+def test_enriched_summary_only_counts(spark, sf_dir):
+    said = plan(spark, sf_dir, "enriched_summary")
+    assert "{1,4096}" not in said and "split(" not in said and said.count("lower(text") <= 2
+
 
 def test_names_under_their_letters(spark):
     """Names tried letter by letter are found as one alternation finds them."""
