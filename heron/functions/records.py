@@ -27,7 +27,9 @@ IMAGES = "images array<struct<src:string,src_resolved:string,alt:string,title:st
 CODES = "codes array<struct<content:string,language:string,confidence:double,is_inline:boolean,is_config:boolean,is_truncated:boolean,context_heading:string,context_text:string,filename_hint:string,line_count:int,char_count:int,source_tag:string>>"
 ASSETS = "assets array<struct<url:string,asset_type:string,alt:string,link_text:string,width:long,height:long,srcset:string,poster:string,region:string,context:string,classification:string>>"
 MAIN = "text string, link_density double, place string"
-SCAN = "portal_links array<struct<type:string,url:string,text:string>>, forms array<struct<action:string,method:string,fields:array<struct<name:string,type:string>>,has_password:boolean,purpose:string>>, providers array<string>, integrations array<string>, endpoints array<string>, features array<struct<category:string,feature_type:string,confidence:double>>, portal_count int, feature_count int"
+PORTALS = "portal_links array<struct<type:string,url:string,text:string>>"
+FORMS = "forms array<struct<action:string,method:string,fields:array<struct<name:string,type:string>>,has_password:boolean,purpose:string>>"
+SCAN = f"{PORTALS}, {FORMS}, providers array<string>, integrations array<string>, endpoints array<string>, features array<struct<category:string,feature_type:string,confidence:double>>, portal_count int, feature_count int"
 HINTS = "hints array<struct<feature:string,subtree:string,priority:string,reason:string,depth_boost:int>>"
 NAVIGATION = f"container string, links array<struct<text:string,url:string,children:{LINKS}>>, utility string"
 
@@ -81,6 +83,16 @@ def scans(pages: DataFrame) -> DataFrame:
     return made(pages, SCAN, lambda dom, html, url: page.scan(dom, html, url))
 
 
+def portal_rows(pages: DataFrame) -> DataFrame:
+    """Links to portals alone, as scans gives them."""
+    return made(pages, PORTALS, lambda dom, html, url: {"portal_links": page.portal_links(dom, url)}).select("page_id", F.inline("portal_links"))
+
+
+def form_rows(pages: DataFrame) -> DataFrame:
+    """Forms alone, as scans gives them."""
+    return made(pages, FORMS, lambda dom, html, url: {"forms": page.forms(dom)}).select("page_id", F.inline("forms"))
+
+
 def hints(pages: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     def make(dom: Dom, html: str, url: str) -> dict:
         links = [{"url": page.resolved(url, dom.attrs[a]["href"]), "text": dom.clean(a)} for a in dom.all(("a",)) if "href" in dom.attrs[a]]

@@ -89,3 +89,19 @@ def test_ngrams_without_pieces_of_arrays(spark, sf_dir):
         assert [r[0] for r in df.select(T.ngrams(F.col("w"), n)).collect()] == want
     assert spark.range(1).select(T.similarity(F.lit(None).cast("string"), F.lit("a b c"))).first()[0] == 0.0
     assert "array_join(slice(" not in plan(spark, sf_dir, "text_similarity")
+
+
+ODD = '<a href="/login">In</a><a href="/Customer/Login?x">driver</a><a>no place</a><a href="http://[bad">log in</a><form action="/quote"><input name="q"></form><form><input type="hidden"></form>'
+
+
+def odd_pages(spark):
+    return spark.createDataFrame([(1, "https://a.example/", ODD), (2, None, ODD), (3, "https://b.example/", None), (4, "", "<form><input type=password>")], "page_id long, url string, html string")
+
+
+def test_portals_alone(spark, sf_dir):
+    """Only the links are looked for, and they are those of the whole scan."""
+    from heron.functions import records
+
+    pages = odd_pages(spark)
+    assert sorted(records.portal_rows(pages).collect()) == sorted(records.scans(pages).selectExpr("page_id", "inline(portal_links)").collect()) != []
+    assert "endpoints" not in plan(spark, sf_dir, "html_portals")
